@@ -1,0 +1,1072 @@
+"""Named queries over the test tables, each with the SQL that gives the same rows.
+
+Every query reads its whole tables. Computed doubles are rounded alike on both sides; the
+small shift keeps exact halves from depending on the order of a floating-point sum.
+"""
+
+from pyspark.sql import functions as F
+
+from ..functions import jsonprops, scalars
+from ..operators import (
+    assemble, cleaning, correlation, explore, features, idsets, learn, metrics, quantiles, scale,
+    selection, split,
+)
+from ..sources.store import TableStore
+from . import attribution as attribution_plan
+from . import events as events_plan
+from . import positions as positions_plan
+from . import samples, training
+from .samples import BRANDS, LOGS_SQL
+
+QUERIES, ORACLES = {}, {}
+
+TYPES = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
+REASONS = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
+SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
+NAMES = ("click", "error", "purchase", "signup", "view")
+
+
+def query(name, sql=None, extra=""):
+    def register(function):
+        QUERIES[name] = function
+        if sql is not None:
+            ORACLES[name] = f"WITH {LOGS_SQL}{',' + extra if extra else ''}\n{sql}"
+        return function
+
+    return register
+
+
+def near(column, digits=4):
+    return F.round(column + 1e-7, digits)
+
+
+def near_all(df, digits=4):
+    """Round every double column."""
+    return df.select(
+        *[
+            near(scale.col(n), digits).alias(n) if t == "double" else scale.col(n)
+            for n, t in df.dtypes
+        ]
+    )
+
+
+def sql_text(value):
+    return f"'{value}'" if isinstance(value, str) else str(value)
+
+
+def sql_stat(column, stat):
+    simple = {"mean": "avg", "max": "max", "min": "min", "sum": "sum"}
+    if stat in simple:
+        return f'{simple[stat]}("{column}")'
+    return f'quantile_cont("{column}", {quantiles.QUANTILES[stat]})'
+
+
+def sql_stats(columns, stats):
+    return [
+        f'round({sql_stat(c, s)} + 1e-7, 4) AS "{c}_{s}"' for c in columns for s in stats
+    ]
+
+
+def sql_counts(column, values, name):
+    return [
+        f'count(*) FILTER (WHERE "{column}" = {sql_text(v)}) AS "{name.format(feature=column, value=v)}"'
+        for v in values
+    ]
+
+
+def sql_flags(column, values, name="uses_{feature}_{value}"):
+    return [
+        f'max(CASE WHEN "{column}" = {sql_text(v)} THEN 1 ELSE 0 END)::INTEGER'
+        f' AS "{name.format(feature=column, value=v)}"'
+        for v in values
+    ]
+
+
+def sql_sums(amount, by, values, name):
+    return [
+        f'round(coalesce(sum("{amount}") FILTER (WHERE "{by}" = {sql_text(v)}), 0) + 1e-7, 4)'
+        f' AS "{name.format(amount=amount, by=by, value=v)}"'
+        for v in values
+    ]
+
+
+def sql_by_user(table, columns):
+    return f"SELECT user_id, {', '.join(columns)} FROM {table} WHERE user_id IS NOT NULL GROUP BY user_id"
+
+
+MONEY = positions_plan.MONEY
+CONVERSION_SQL = [
+    f"count(*) FILTER (WHERE NOT coalesce({c} - {c}_enrolled = 0, false))"
+    f" AS amount_of_conversions_for_feature_{c}"
+    for c in positions_plan.CONVERTED
+]
+BALANCE_SUM_SQL = [
+    s for m in MONEY
+    for s in sql_sums(m, "user_balance_type", (1, 2, 4), "{amount}_sum_balance_type_{value}")
+]
+FREQUENCY_SQL = [
+    "count(DISTINCT client_platform_id) AS ids_client_platform_count",
+    *sql_flags("instrument_type", TYPES),
+    *sql_counts("instrument_type", TYPES, "deals_per_{value}_instr_count"),
+    *sql_counts("user_balance_type", (1, 2, 4), "deals_per_balance_type_{value}_count"),
+    *sql_counts("position_type", ("long", "short"), "deals_per_position_type_{value}_count"),
+    *sql_counts("instrument_dir", ("A", "R"), "deals_per_instr_dir_type_{value}_count"),
+    *sql_counts("client_platform_id", range(12), "deals_per_client_platform_{value}_count"),
+    *sql_counts("close_reason", REASONS, "{feature}_{value}_count"),
+    *sql_counts("instrument_underlying", (*BRANDS, "OTHER"), "{feature}_{value}_count"),
+    *sql_counts("leverage", range(1, 8), "{feature}_{value}_count"),
+]
+POSITION_SQL = [
+    *sql_stats(("count", *MONEY), features.POSITION_STATS), *CONVERSION_SQL, *BALANCE_SUM_SQL,
+    *FREQUENCY_SQL,
+]
+EVENT_STATS = ("mean", "median", "max", "min", "q10", "q90")
+EVENT_SQL = [
+    "count(*) AS ids_events_count",
+    *sql_stats(("duration",), EVENT_STATS),
+    *sql_sums("duration", "platform_id", range(10), "duration_per_platform_{value}"),
+    *sql_counts("platform_id", range(10), "events_per_platform_{value}"),
+    *sql_counts("category", ("system", "user"), "{feature}_{value}_count"),
+    *sql_counts("name", NAMES, "{feature}_{value}_count"),
+]
+CLEAN_EVENTS = " clean_events AS (SELECT * REPLACE (coalesce(duration, 0) AS duration) FROM event_rows)"
+DEVICES = [f"{s}-{r}" for s in SEGMENTS for r in REASONS]
+COUNTRIES = [-1, *[n for n in range(25) if n != 7]]
+ATTRIBUTION_SQL = [
+    "count(*) AS ids_records_count",
+    *sql_counts("client_platform_id", (9, 12, 15), "amount_of_clicks_per_platform_{value}"),
+    *sql_counts("aff_id", range(25), "amount_of_clicks_per_aff_{value}"),
+    *sql_flags("client_platform_id", (9, 12, 15)),
+    *sql_flags("aff_id", range(25)),
+    *sql_flags("country_id", COUNTRIES, "is_{feature}_{value}"),
+    *sql_flags("device", DEVICES),
+]
+CLEAN_ATTRIBUTION = (
+    " clean_attribution AS (SELECT * REPLACE (coalesce(country_id, -1) AS country_id) FROM attribution)"
+)
+
+
+# --- sources, cleaning, bucketing -------------------------------------------------------------
+
+AUDITED = ("instrument_dir", "sell_amount_enrolled", "instrument_strike", "volatility", "buy_amount")
+
+
+@query(
+    "null_audit",
+    " UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", count(*) FILTER (WHERE {c} IS NULL) AS missing,
+        count(*) AS "rows", bool_or({c} IS NULL) AS has_missing FROM positions"""
+        for c in AUDITED
+    ),
+)
+def null_audit(spark, sf_dir):
+    return cleaning.null_audit(samples.positions(spark, sf_dir).select(*AUDITED))
+
+
+@query(
+    "shape_audit",
+    """SELECT 'read' AS step, count(*) AS "rows", 26 AS "columns" FROM positions
+    UNION ALL SELECT 'de-duplicated', count(*), 26 FROM clean_positions""",
+)
+def shape_audit(spark, sf_dir):
+    return cleaning.shape_audit(samples.positions(spark, sf_dir).drop("take_profit_at"))
+
+
+@query(
+    "dedup",
+    """SELECT DISTINCT user_id, position_id, user_balance_type, instrument_dir, "count", buy_amount,
+    volatility FROM positions""",
+)
+def dedup(spark, sf_dir):
+    rows = samples.positions(spark, sf_dir).select(
+        "user_id", "position_id", "user_balance_type", "instrument_dir", "count", "buy_amount",
+        "volatility",
+    )
+    return cleaning.drop_repeats(rows)
+
+
+@query(
+    "const_fill",
+    """SELECT event_id, user_id, coalesce(duration, 0) AS duration,
+    coalesce(parameters, '{}') AS parameters FROM event_rows""",
+)
+def const_fill(spark, sf_dir):
+    rows = events_plan.clean_events(samples.events(spark, sf_dir))
+    return rows.select("event_id", "user_id", "duration", "parameters")
+
+
+@query(
+    "mean_impute",
+    """SELECT position_id, round(coalesce(volatility, (SELECT avg(volatility) FROM rows_)) + 1e-7, 5)
+    AS volatility FROM rows_""",
+    " rows_ AS (SELECT DISTINCT position_id, user_id, volatility FROM positions)",
+)
+def mean_impute(spark, sf_dir):
+    rows = samples.positions(spark, sf_dir).select("position_id", "user_id", "volatility")
+    filled = cleaning.fill_mean(cleaning.drop_repeats(rows), ["volatility"])
+    return near_all(filled.select("position_id", "volatility"), 5)
+
+
+@query(
+    "rare_bucket",
+    """SELECT user_id, client_platform_id,
+    CASE WHEN aff_id IN (SELECT aff_id FROM attribution GROUP BY 1 HAVING count(*) > 600)
+      THEN aff_id ELSE 99999 END AS aff_id,
+    CASE WHEN device IN (SELECT device FROM attribution GROUP BY 1 HAVING count(*) > 600)
+      THEN device ELSE 'Other' END AS device,
+    CASE WHEN coalesce(country_id, -1) IN
+        (SELECT coalesce(country_id, -1) FROM attribution GROUP BY 1 HAVING count(*) > 600)
+      THEN coalesce(country_id, -1) ELSE 999 END AS country_id,
+    coalesce(media_source, 'Unknown') AS media_source
+    FROM attribution""",
+)
+def rare_bucket(spark, sf_dir):
+    rows = attribution_plan.clean_attribution(samples.attribution(spark, sf_dir), 600)
+    return rows.select(
+        "user_id", "client_platform_id", "aff_id", "device", "country_id", "media_source"
+    )
+
+
+@query("whitelist_bucket", "SELECT position_id, instrument_underlying FROM clean_positions")
+def whitelist_bucket(spark, sf_dir):
+    rows = cleaning.drop_repeats(samples.positions(spark, sf_dir))
+    bucketed = cleaning.bucket_others(rows, "instrument_underlying", BRANDS)
+    return bucketed.select("position_id", "instrument_underlying")
+
+
+@query(
+    "category_values",
+    " UNION ".join(
+        f"SELECT '{c}' AS feature, {c}::VARCHAR AS value FROM positions WHERE {c} IS NOT NULL"
+        for c in ("instrument_type", "instrument_dir", "leverage", "close_reason", "client_platform_id")
+    ),
+)
+def category_values(spark, sf_dir):
+    return cleaning.category_values(
+        samples.positions(spark, sf_dir),
+        ["instrument_type", "instrument_dir", "leverage", "close_reason", "client_platform_id"],
+    )
+
+
+# --- grouped features -------------------------------------------------------------------------
+
+
+@query("rows_per_user", sql_by_user("positions", ["count(*) AS n"]))
+def rows_per_user(spark, sf_dir):
+    return features.rows_per_key(samples.positions(spark, sf_dir))
+
+
+@query(
+    "numeric_stats",
+    sql_by_user("positions", sql_stats(("buy_amount", "instrument_strike"), features.POSITION_STATS)),
+)
+def numeric_stats(spark, sf_dir):
+    spec = features.FeatureSpec(parts=(features.Stats(("buy_amount", "instrument_strike")),))
+    return near_all(features.build_features(samples.positions(spark, sf_dir), spec))
+
+
+@query(
+    "heavy_user_quantiles",
+    sql_by_user(
+        "positions",
+        sql_stats(("buy_amount", "instrument_strike", "pnl_total"), ("q10", "q25", "median", "q75", "q90")),
+    ),
+)
+def heavy_user_quantiles(spark, sf_dir):
+    """Users above the mean row count go through ranked range partitions."""
+    rows = samples.positions(spark, sf_dir)
+    return near_all(
+        quantiles.exact_quantiles(
+            rows, "user_id", ["buy_amount", "instrument_strike", "pnl_total"],
+            ["q10", "q25", "median", "q75", "q90"], heavy_rows=40,
+        )
+    )
+
+
+@query(
+    "cond_counts",
+    sql_by_user(
+        "positions",
+        [
+            *sql_counts("instrument_type", TYPES, "deals_per_{value}_instr_count"),
+            *sql_counts("instrument_dir", ("A", "R"), "deals_per_instr_dir_type_{value}_count"),
+            "count(*) FILTER (WHERE instrument_dir IS NULL) AS deals_per_instr_dir_type_none_count",
+            *sql_counts("leverage", range(1, 8), "{feature}_{value}_count"),
+        ],
+    ),
+)
+def cond_counts(spark, sf_dir):
+    spec = features.FeatureSpec(
+        parts=(
+            features.CountBy("instrument_type", name="deals_per_{value}_instr_count"),
+            features.CountBy(
+                "instrument_dir", name="deals_per_instr_dir_type_{value}_count", null_name="none"
+            ),
+            features.CountBy("leverage"),
+        )
+    )
+    return features.build_features(samples.positions(spark, sf_dir), spec)
+
+
+@query(
+    "wide_counts",
+    sql_by_user("positions", sql_counts("instrument_active_id", range(178), "{feature}_{value}_count")),
+)
+def wide_counts(spark, sf_dir):
+    """178 values: counted by pivot."""
+    spec = features.FeatureSpec(parts=(features.CountBy("instrument_active_id"),))
+    return features.build_features(samples.positions(spark, sf_dir), spec)
+
+
+@query(
+    "long_counts",
+    """SELECT user_id, feature, value, count(*) AS n FROM (
+      SELECT user_id, 'instrument_active_id' AS feature, instrument_active_id::VARCHAR AS value FROM positions
+      UNION ALL SELECT user_id, 'instrument_dir', instrument_dir FROM positions)
+    WHERE value IS NOT NULL GROUP BY ALL""",
+)
+def long_counts(spark, sf_dir):
+    return features.count_pairs(
+        samples.positions(spark, sf_dir), "user_id", ["instrument_active_id", "instrument_dir"]
+    )
+
+
+@query(
+    "value_sets",
+    "SELECT DISTINCT user_id, 'instrument_type' AS feature, instrument_type AS value FROM positions",
+)
+def value_sets(spark, sf_dir):
+    return features.value_pairs(samples.positions(spark, sf_dir), "user_id", ["instrument_type"])
+
+
+@query(
+    "cond_sums",
+    sql_by_user(
+        "clean_events",
+        sql_sums("duration", "platform_id", range(10), "duration_per_platform_{value}"),
+    ),
+    CLEAN_EVENTS,
+)
+def cond_sums(spark, sf_dir):
+    spec = features.FeatureSpec(
+        parts=(features.SumBy("duration", "platform_id", name="duration_per_platform_{value}"),)
+    )
+    rows = events_plan.clean_events(samples.events(spark, sf_dir))
+    return near_all(features.build_features(rows, spec))
+
+
+@query(
+    "distinct_per_user",
+    sql_by_user(
+        "positions",
+        [
+            "count(DISTINCT client_platform_id) AS ids_client_platform_count",
+            "count(DISTINCT user_balance_id) AS ids_balances_count",
+        ],
+    ),
+)
+def distinct_per_user(spark, sf_dir):
+    spec = features.FeatureSpec(
+        parts=(
+            features.DistinctCount("client_platform_id", "ids_client_platform_count"),
+            features.DistinctCount("user_balance_id", "ids_balances_count"),
+        )
+    )
+    return features.build_features(samples.positions(spark, sf_dir), spec)
+
+
+@query(
+    "membership_flags",
+    sql_by_user(
+        "positions",
+        [
+            *sql_flags("user_balance_type", (1, 2, 4), "has_balance_type_{value}"),
+            *sql_flags("position_type", ("long", "short"), "has_position_type_{value}"),
+            *sql_flags("instrument_dir", ("A", "R"), "has_instr_dir_type_{value}"),
+            *sql_flags("client_platform_id", range(12)),
+        ],
+    ),
+)
+def membership_flags(spark, sf_dir):
+    spec = features.FeatureSpec(parts=positions_plan.extra_flag_spec())
+    return features.build_features(samples.positions(spark, sf_dir), spec)
+
+
+@query("conversion_counts", sql_by_user("positions", CONVERSION_SQL))
+def conversion_counts(spark, sf_dir):
+    parts = tuple(p for p in positions_plan.number_spec() if isinstance(p, features.CountWhere))
+    return features.build_features(samples.positions(spark, sf_dir), features.FeatureSpec(parts=parts))
+
+
+@query(
+    "conversion_flags",
+    "SELECT DISTINCT position_id, user_id, "
+    + ", ".join(
+        f"CASE WHEN {c} - {c}_enrolled = 0 THEN 0 ELSE 1 END AS {c}_conversion_happened"
+        for c in positions_plan.CONVERTED
+    )
+    + " FROM positions",
+)
+def conversion_flags(spark, sf_dir):
+    flagged = positions_plan.with_conversions(samples.positions(spark, sf_dir))
+    return cleaning.drop_repeats(
+        flagged.select("position_id", "user_id", *[c for c in flagged.columns if c.endswith("_happened")])
+    )
+
+
+@query("position_features", sql_by_user("clean_positions", POSITION_SQL))
+def position_features(spark, sf_dir):
+    return near_all(positions_plan.position_features(samples.positions(spark, sf_dir), BRANDS))
+
+
+@query("event_features", sql_by_user("clean_events", EVENT_SQL), CLEAN_EVENTS)
+def event_features(spark, sf_dir):
+    return near_all(events_plan.event_features(samples.events(spark, sf_dir)))
+
+
+@query("attribution_features", sql_by_user("clean_attribution", ATTRIBUTION_SQL), CLEAN_ATTRIBUTION)
+def attribution_features(spark, sf_dir):
+    return attribution_plan.attribution_features(samples.attribution(spark, sf_dir))
+
+
+@query(
+    "exploration_features",
+    sql_by_user(
+        "(SELECT DISTINCT * FROM positions)",
+        [
+            "count(*) AS ids_deals_count",
+            "count(DISTINCT user_balance_id) AS ids_balances_count",
+            *[s for s in FREQUENCY_SQL if "instrument_underlying" not in s],
+            *sql_counts("instrument_underlying", [f"Brand#{i}" for i in range(1, 26)], "{feature}_{value}_count"),
+            *sql_flags("user_balance_type", (1, 2, 4), "has_balance_type_{value}"),
+            *sql_flags("position_type", ("long", "short"), "has_position_type_{value}"),
+            *sql_flags("instrument_dir", ("A", "R"), "has_instr_dir_type_{value}"),
+            *sql_flags("client_platform_id", range(12)),
+            *sql_counts("instrument_active_id", range(178), "{feature}_{value}_count"),
+        ],
+    ),
+)
+def exploration_features(spark, sf_dir):
+    return positions_plan.exploration_features(samples.positions(spark, sf_dir))
+
+
+# --- exploration ------------------------------------------------------------------------------
+
+
+@query(
+    "value_counts",
+    "SELECT name AS value, count(*) AS n FROM event_rows GROUP BY 1",
+)
+def value_counts(spark, sf_dir):
+    return explore.value_counts(samples.events(spark, sf_dir), "name")
+
+
+@query(
+    "count_summary",
+    """SELECT round(avg(n) + 1e-7, 4) AS mean, quantile_cont(n, 0.5)::DOUBLE AS median,
+    round(quantile_cont(n, 0.1) + 1e-7, 4) AS q10, round(quantile_cont(n, 0.9) + 1e-7, 4) AS q90,
+    round(quantile_cont(n, 0.99) + 1e-7, 4) AS q99, max(n) AS max, count(*) AS keys
+    FROM (SELECT user_id, count(*) AS n FROM clean_positions GROUP BY 1)""",
+)
+def count_summary(spark, sf_dir):
+    per_user = features.rows_per_key(cleaning.drop_repeats(samples.positions(spark, sf_dir)))
+    return near_all(explore.count_summary(per_user))
+
+
+LABELLED = """ labelled AS (
+  SELECT *, CASE WHEN user_id IN (SELECT user_id FROM deposits) THEN 1 ELSE 0 END AS made_depo
+  FROM clean_positions)"""
+
+
+@query(
+    "class_balance",
+    """SELECT made_depo, count(*) AS "rows", count(DISTINCT user_id) AS users FROM labelled GROUP BY 1""",
+    LABELLED,
+)
+def class_balance(spark, sf_dir):
+    rows = cleaning.drop_repeats(samples.positions(spark, sf_dir))
+    return explore.class_balance(rows, samples.deposits(spark, sf_dir))
+
+
+@query(
+    "label_rows",
+    "SELECT event_id, CASE WHEN user_id IN (SELECT user_id FROM deposits) THEN 1 ELSE 0 END AS made_depo FROM event_rows",
+)
+def label_rows(spark, sf_dir):
+    rows = samples.events(spark, sf_dir).select("event_id", "user_id")
+    return assemble.label_rows(rows, samples.deposits(spark, sf_dir)).select("event_id", "made_depo")
+
+
+@query(
+    "month_counts",
+    """SELECT count(*) FILTER (WHERE month(time) = 1) AS month_1,
+    count(*) FILTER (WHERE month(time) = 2) AS month_2 FROM event_rows""",
+)
+def month_counts(spark, sf_dir):
+    month = F.month("time")
+    return explore.count_matching(
+        samples.events(spark, sf_dir), {"month_1": month == 1, "month_2": month == 2}
+    )
+
+
+LIFT_COLUMNS = ("client_platform_id", "country_id", "device", "aff_id")
+
+
+@query(
+    "category_lift",
+    """SELECT feature, value, count(*) FILTER (WHERE d = 1) AS positive,
+    count(*) FILTER (WHERE d = 0) AS negative,
+    round(coalesce(count(*) FILTER (WHERE d = 1)
+        / nullif((SELECT count(*) FROM labelled_attr WHERE d = 1), 0), 0)
+      - coalesce(count(*) FILTER (WHERE d = 0)
+        / nullif((SELECT count(*) FROM labelled_attr WHERE d = 0), 0), 0), 8) AS lift
+    FROM (""" + " UNION ALL ".join(
+        f"SELECT d, '{c}' AS feature, {v} AS value FROM labelled_attr"
+        for c, v in zip(
+            LIFT_COLUMNS,
+            ("client_platform_id::VARCHAR",
+             "'cat_id_' || coalesce(country_id::BIGINT::VARCHAR, 'nan')",
+             "device", "'cat_id_' || aff_id"),
+        )
+    ) + ") WHERE value IS NOT NULL GROUP BY ALL",
+    """ labelled_attr AS (SELECT *, CASE WHEN user_id IN (SELECT user_id FROM deposits) THEN 1 ELSE 0 END AS d
+    FROM attribution)""",
+)
+def category_lift(spark, sf_dir):
+    rows = samples.attribution(spark, sf_dir).withColumns(
+        {
+            "country_id": scalars.category_label(F.col("country_id").cast("long")),
+            "aff_id": scalars.category_label(F.col("aff_id")),
+        }
+    )
+    lift = explore.category_lift(rows, samples.deposits(spark, sf_dir), list(LIFT_COLUMNS))
+    return lift.withColumn("lift", F.round("lift", 8))
+
+
+@query(
+    "recode",
+    """SELECT label, platform, count(*) AS n FROM (
+      SELECT CASE WHEN user_balance_type = 1 THEN 'Real_money' ELSE 'Whatever_else' END AS label,
+        'cat_id_' || client_platform_id AS platform FROM positions) GROUP BY ALL""",
+)
+def recode(spark, sf_dir):
+    return (
+        samples.positions(spark, sf_dir)
+        .select(
+            scalars.balance_label(F.col("user_balance_type")).alias("label"),
+            scalars.category_label(F.col("client_platform_id")).alias("platform"),
+        )
+        .groupBy("label", "platform")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+
+
+SUMMARIZED = ("buy_amount", "count", "instrument_strike")
+
+
+@query(
+    "summary",
+    " UNION ALL ".join(
+        f"""SELECT '{c}' AS feature, count("{c}") AS "count", round(avg("{c}") + 1e-7, 4) AS mean,
+        round(stddev_samp("{c}"), 4) AS std, min("{c}") AS min,
+        round(quantile_cont("{c}", 0.25) + 1e-7, 4) AS q25, round(quantile_cont("{c}", 0.5) + 1e-7, 4) AS median,
+        round(quantile_cont("{c}", 0.75) + 1e-7, 4) AS q75, max("{c}") AS max FROM positions"""
+        for c in SUMMARIZED
+    ),
+)
+def summary(spark, sf_dir):
+    found = explore.describe(samples.positions(spark, sf_dir), list(SUMMARIZED))
+    rounded = {c: near(F.col(c)) for c in ("mean", "q25", "median", "q75")}
+    return found.withColumns({**rounded, "std": F.round("std", 4)})
+
+
+PER_USER = """ per_user AS (
+  SELECT u.*, CASE WHEN d.user_id IS NULL THEN 0 ELSE 1 END AS target
+  FROM (SELECT user_id, avg(buy_amount) AS buy_amount_mean, max(sell_amount) AS sell_amount_max,
+      min(pnl_total) AS pnl_total_min, count(*) FILTER (WHERE leverage = 1) AS leverage_1_count,
+      count(*) AS deals, 5 AS constant
+    FROM clean_positions GROUP BY user_id) u
+  LEFT JOIN (SELECT DISTINCT user_id FROM deposits) d ON u.user_id = d.user_id)"""
+CORRELATED = ("buy_amount_mean", "sell_amount_max", "pnl_total_min", "leverage_1_count", "deals", "constant")
+
+
+def per_user(spark, sf_dir):
+    """A small labelled per-user table with one constant feature."""
+    rows = positions_plan.clean_positions(samples.positions(spark, sf_dir), BRANDS)
+    grouped = rows.groupBy("user_id").agg(
+        F.avg("buy_amount").alias("buy_amount_mean"),
+        F.max("sell_amount").alias("sell_amount_max"),
+        F.min("pnl_total").alias("pnl_total_min"),
+        F.count_if(F.col("leverage") == 1).alias("leverage_1_count"),
+        F.count(F.lit(1)).alias("deals"),
+        F.lit(5).alias("constant"),
+    )
+    return assemble.label_users(grouped, samples.deposits(spark, sf_dir))
+
+
+def sql_corr(a, b):
+    return (
+        f"CASE WHEN stddev_pop({a}) > 0 AND stddev_pop({b}) > 0 THEN"
+        f" round(covar_pop({a}, {b}) / (stddev_pop({a}) * stddev_pop({b})), 6) END"
+    )
+
+
+@query(
+    "target_corr",
+    " UNION ALL ".join(
+        f"SELECT '{c}' AS feature, {sql_corr(c, 'target')} AS correlation FROM per_user" for c in CORRELATED
+    ),
+    PER_USER,
+)
+def target_corr(spark, sf_dir):
+    found = correlation.target_correlation(per_user(spark, sf_dir), list(CORRELATED))
+    return found.withColumn("correlation", F.round("correlation", 6))
+
+
+@query(
+    "corr_filter",
+    "SELECT feature FROM ("
+    + " UNION ALL ".join(
+        f"SELECT '{c}' AS feature, {sql_corr(c, 'target')} AS r FROM per_user" for c in CORRELATED
+    )
+    + ") WHERE abs(r) > 0.05",
+    PER_USER,
+)
+def corr_filter(spark, sf_dir):
+    kept = correlation.select_by_correlation(per_user(spark, sf_dir), threshold=0.05)
+    return spark.createDataFrame([(k,) for k in kept], "feature string")
+
+
+@query(
+    "corr_matrix",
+    " UNION ALL ".join(
+        f"SELECT '{a}' AS feature, '{b}' AS other, {sql_corr(a, b)} AS correlation FROM per_user"
+        for a in CORRELATED[:-1] for b in CORRELATED[:-1]
+    ),
+    PER_USER,
+)
+def corr_matrix(spark, sf_dir):
+    found = correlation.correlation_matrix(per_user(spark, sf_dir), list(CORRELATED[:-1]))
+    return found.withColumn("correlation", F.round("correlation", 6))
+
+
+@query(
+    "topn",
+    "SELECT user_id, deals FROM per_user ORDER BY deals DESC, user_id LIMIT 20",
+    PER_USER,
+)
+def topn(spark, sf_dir):
+    return explore.top_rows(
+        per_user(spark, sf_dir).select("user_id", "deals"), "deals", 20, ties=("user_id",)
+    )
+
+
+@query("keep_columns", "SELECT deals, leverage_1_count, target, user_id FROM per_user", PER_USER)
+def keep_columns(spark, sf_dir):
+    return cleaning.keep_columns(per_user(spark, sf_dir), ["deals", "leverage_1_count", "deals"])
+
+
+# --- id sets ----------------------------------------------------------------------------------
+
+
+def ids(spark, sf_dir):
+    return {
+        "positions": samples.positions(spark, sf_dir),
+        "deposits": samples.deposits(spark, sf_dir),
+        "events": samples.events(spark, sf_dir),
+        "attribution": samples.attribution(spark, sf_dir),
+    }
+
+
+@query("id_distinct", "SELECT DISTINCT user_id FROM event_rows")
+def id_distinct(spark, sf_dir):
+    return idsets.distinct_ids(samples.events(spark, sf_dir))
+
+
+@query(
+    "id_intersect",
+    "SELECT user_id FROM positions INTERSECT SELECT user_id FROM deposits",
+)
+def id_intersect(spark, sf_dir):
+    logs = ids(spark, sf_dir)
+    return idsets.id_intersection(logs["positions"].select("user_id"), logs["deposits"].select("user_id"))
+
+
+@query("id_subtract", "SELECT user_id FROM positions EXCEPT SELECT user_id FROM deposits")
+def id_subtract(spark, sf_dir):
+    logs = ids(spark, sf_dir)
+    return idsets.id_difference(logs["positions"].select("user_id"), logs["deposits"].select("user_id"))
+
+
+SETS_SQL = {
+    "inter_pos_dep": "SELECT user_id FROM positions INTERSECT SELECT user_id FROM deposits",
+    "dif_pos_dep": "SELECT user_id FROM positions EXCEPT SELECT user_id FROM deposits",
+    "inter_dep_ev": "SELECT user_id FROM deposits INTERSECT SELECT user_id FROM event_rows",
+    "inter_pos_no_dep_events": "(SELECT user_id FROM positions EXCEPT SELECT user_id FROM deposits)"
+    " INTERSECT SELECT user_id FROM event_rows",
+    "inter_pos_events": "SELECT user_id FROM positions INTERSECT SELECT user_id FROM event_rows",
+    "inter_pos_attr": "SELECT user_id FROM positions INTERSECT SELECT user_id FROM attribution",
+}
+
+
+@query(
+    "overlap_report",
+    " UNION ALL ".join(f"SELECT '{n}' AS set_name, count(*) AS ids FROM ({s})" for n, s in SETS_SQL.items()),
+)
+def overlap_report(spark, sf_dir):
+    return idsets.overlap_report(**ids(spark, sf_dir))
+
+
+@query(
+    "overlap_sets",
+    " UNION ALL ".join(f"SELECT '{n}' AS set_name, user_id FROM ({s})" for n, s in SETS_SQL.items()),
+)
+def overlap_sets(spark, sf_dir):
+    return idsets.overlap_sets(**ids(spark, sf_dir))
+
+
+COUNTS = " per_user_n AS (SELECT user_id, count(*) AS n FROM clean_positions GROUP BY user_id)"
+
+
+def clean_user_rows(spark, sf_dir):
+    return cleaning.drop_repeats(samples.positions(spark, sf_dir))
+
+
+@query(
+    "outlier_users",
+    "SELECT user_id, n FROM per_user_n WHERE n > (SELECT quantile_cont(n, 0.99) FROM per_user_n)",
+    COUNTS,
+)
+def outlier_users(spark, sf_dir):
+    return idsets.split_outliers(clean_user_rows(spark, sf_dir))[0]
+
+
+@query(
+    "exclude_outliers",
+    """SELECT p.user_id, p.deals, p.target FROM per_user p WHERE p.user_id NOT IN
+    (SELECT user_id FROM per_user_n WHERE n > (SELECT quantile_cont(n, 0.99) FROM per_user_n))""",
+    PER_USER + "," + COUNTS,
+)
+def exclude_outliers(spark, sf_dir):
+    outliers, _ = idsets.split_outliers(clean_user_rows(spark, sf_dir))
+    table = per_user(spark, sf_dir).select("user_id", "deals", "target")
+    return idsets.without_ids(table, outliers)
+
+
+@query(
+    "outer_indicator",
+    """SELECT user_id, n, 'left_only' AS exist, 1::BIGINT AS copies FROM per_user_n
+    WHERE n > (SELECT quantile_cont(n, 0.99) FROM per_user_n)""",
+    COUNTS,
+)
+def outer_indicator(spark, sf_dir):
+    rows = clean_user_rows(spark, sf_dir)
+    _, others = idsets.split_outliers(rows)
+    return idsets.outer_indicator(features.rows_per_key(rows), others)
+
+
+# --- training table ---------------------------------------------------------------------------
+
+
+@query(
+    "merge_features",
+    """SELECT p.user_id, p.n AS deals, coalesce(e.n, 0) AS events, coalesce(a.n, 0) AS clicks
+    FROM per_user_n p
+    LEFT JOIN (SELECT user_id, count(*) AS n FROM event_rows GROUP BY 1) e USING (user_id)
+    LEFT JOIN (SELECT user_id, count(*) AS n FROM attribution GROUP BY 1) a USING (user_id)""",
+    COUNTS,
+)
+def merge_features(spark, sf_dir):
+    return assemble.merge_features(
+        features.rows_per_key(clean_user_rows(spark, sf_dir), name="deals"),
+        features.rows_per_key(samples.events(spark, sf_dir), name="events"),
+        features.rows_per_key(samples.attribution(spark, sf_dir), name="clicks"),
+    )
+
+
+@query(
+    "side_by_side",
+    """SELECT coalesce(e.user_id, d.user_id) AS user_id, e.n AS events, d.n AS deposits
+    FROM (SELECT user_id, count(*) AS n FROM event_rows GROUP BY 1) e
+    FULL JOIN (SELECT user_id, count(*) AS n FROM deposits GROUP BY 1) d ON e.user_id = d.user_id""",
+)
+def side_by_side(spark, sf_dir):
+    return assemble.side_by_side(
+        features.rows_per_key(samples.events(spark, sf_dir), name="events"),
+        features.rows_per_key(samples.deposits(spark, sf_dir), name="deposits"),
+    )
+
+
+@query(
+    "label_users",
+    "SELECT user_id, deals, target FROM per_user",
+    PER_USER,
+)
+def label_users(spark, sf_dir):
+    return per_user(spark, sf_dir).select("user_id", "deals", "target")
+
+
+def full_table(spark, sf_dir):
+    return training.training_table(
+        samples.deposits(spark, sf_dir),
+        samples.positions(spark, sf_dir),
+        samples.attribution(spark, sf_dir),
+        samples.events(spark, sf_dir),
+        instruments=BRANDS,
+    )
+
+
+@query(
+    "training_table",
+    "SELECT p.*, "
+    + "coalesce(COLUMNS(e.* EXCLUDE (user_id)), 0), a.* EXCLUDE (user_id), "
+    + "CASE WHEN d.user_id IS NULL THEN 0 ELSE 1 END AS target "
+    + """FROM pos_users p LEFT JOIN ev_users e ON p.user_id = e.user_id
+    LEFT JOIN attr_users a ON p.user_id = a.user_id
+    LEFT JOIN (SELECT DISTINCT user_id FROM deposits) d ON p.user_id = d.user_id""",
+    ",".join(
+        [
+            CLEAN_EVENTS,
+            CLEAN_ATTRIBUTION,
+            " pos_users AS (" + sql_by_user("clean_positions", [
+                c if not c.startswith("round(") else "coalesce(" + c.replace(" AS ", ", 0) AS ", 1)
+                for c in POSITION_SQL
+            ]) + ")",
+            " ev_users AS (" + sql_by_user("clean_events", EVENT_SQL) + ")",
+            " attr_users AS (" + sql_by_user("clean_attribution", ATTRIBUTION_SQL) + ")",
+        ]
+    ),
+)
+def training_table(spark, sf_dir):
+    return near_all(full_table(spark, sf_dir))
+
+
+# --- scalar functions and JSON ----------------------------------------------------------------
+
+
+@query(
+    "date_parts",
+    """SELECT event_id, month(time)::INTEGER AS month, year(time)::INTEGER AS year,
+    day(time)::INTEGER AS day, floor(epoch_us(time) / 1e6)::DOUBLE AS timestamp_sec FROM event_rows""",
+)
+def date_parts(spark, sf_dir):
+    return scalars.date_parts(samples.events(spark, sf_dir)).select(
+        "event_id", "month", "year", "day", "timestamp_sec"
+    )
+
+
+def json_events(spark, sf_dir):
+    """Event properties of every shape: flat, nested, with a list, empty, not an object, broken."""
+    kind = F.col("event_type")
+    detail = F.struct(F.col("value").alias("amount"), kind.alias("kind"))
+    return samples.table(spark, sf_dir, "events").select(
+        "event_id",
+        F.when(kind == "click", F.to_json(F.struct(F.col("user_id").alias("owner"), detail.alias("detail"))))
+        .when(kind == "view", F.to_json(F.struct(F.array("event_id", "user_id").alias("refs"))))
+        .when(
+            kind == "signup",
+            F.to_json(
+                F.struct(
+                    (F.col("event_id") % 4).alias("balance_type"),
+                    F.col("event_id").alias("position_id"),
+                    kind.alias("instrument_type"),
+                )
+            ),
+        )
+        .when((kind == "purchase") & (F.col("event_id") % 2 == 0), F.to_json(F.array("event_id")))
+        .when(kind == "purchase", F.concat(F.lit('{"owner": '), kind))
+        .otherwise("{}")
+        .alias("parameters"),
+    )
+
+
+@query(
+    "json_flatten",
+    """SELECT event_id,
+    CASE WHEN event_type = 'click' THEN user_id END AS p_owner,
+    CASE WHEN event_type = 'click' THEN value END AS p_detail_amount,
+    CASE WHEN event_type = 'click' THEN 'click' END AS p_detail_kind,
+    CASE WHEN event_type = 'view' THEN event_id END AS p_refs,
+    CASE WHEN event_type = 'signup' THEN event_id % 4 END AS p_balance_type,
+    CASE WHEN event_type = 'signup' THEN event_id END AS p_position_id,
+    CASE WHEN event_type = 'signup' THEN 'signup' END AS p_instrument_type
+    FROM events""",
+)
+def json_flatten(spark, sf_dir):
+    rows = json_events(spark, sf_dir)
+    return jsonprops.unpack_properties(rows, "parameters", prefix="p_").drop("parameters")
+
+
+@query(
+    "json_keys",
+    """SELECT event_id,
+    CASE WHEN event_type = 'signup' THEN (event_id % 4)::VARCHAR END AS balance_type,
+    CASE WHEN event_type = 'signup' THEN event_id::VARCHAR END AS position_id,
+    CASE WHEN event_type = 'signup' THEN 'signup' END AS instrument_type
+    FROM events""",
+)
+def json_keys(spark, sf_dir):
+    return jsonprops.extract_keys(json_events(spark, sf_dir), "parameters").drop("parameters")
+
+
+@query(
+    "json_nested",
+    """SELECT event_id, CASE WHEN event_type <> 'purchase' THEN event_type = 'click' END AS is_nested
+    FROM events""",
+)
+def json_nested(spark, sf_dir):
+    return jsonprops.nested_flag(json_events(spark, sf_dir), "parameters").drop("parameters")
+
+
+@query(
+    "json_status",
+    """SELECT CASE WHEN event_type <> 'purchase' THEN 'object' WHEN event_id % 2 = 0 THEN 'other'
+    ELSE 'bad' END AS kind, count(*) AS n FROM events GROUP BY 1""",
+)
+def json_status(spark, sf_dir):
+    return jsonprops.json_status(json_events(spark, sf_dir), "parameters")
+
+
+@query(
+    "json_props",
+    "SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k FROM events",
+)
+def json_props(spark, sf_dir):
+    rows = samples.table(spark, sf_dir, "events").select("event_id", "props")
+    return jsonprops.unpack_properties(rows, "props").drop("props")
+
+
+# --- splits and scores ------------------------------------------------------------------------
+
+
+@query(
+    "hash_split",
+    """SELECT user_id, substr(md5('test42:' || user_id), 1, 8) < '33333333' AS is_test
+    FROM per_user_n""",
+    COUNTS,
+)
+def hash_split(spark, sf_dir):
+    users = idsets.distinct_ids(samples.positions(spark, sf_dir))
+    train, test = split.hash_split(users)
+    return train.withColumn("is_test", F.lit(False)).unionByName(test.withColumn("is_test", F.lit(True)))
+
+
+@query(
+    "rank_auc",
+    """SELECT round((sum(r) FILTER (WHERE y = 1) - count(*) FILTER (WHERE y = 1) * (count(*) FILTER (WHERE y = 1) + 1) / 2)
+      / (count(*) FILTER (WHERE y = 1)::DOUBLE * count(*) FILTER (WHERE y = 0)), 6) AS auc,
+    count(*) FILTER (WHERE y = 1) AS positives, count(*) FILTER (WHERE y = 0) AS negatives
+    FROM (SELECT y, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2 AS r FROM (
+      SELECT l_extendedprice AS s, CASE WHEN l_quantity > 25 THEN 1 ELSE 0 END AS y FROM lineitem))""",
+)
+def rank_auc(spark, sf_dir):
+    rows = samples.table(spark, sf_dir, "lineitem").select(
+        F.col("l_extendedprice").alias("score"), (F.col("l_quantity") > 25).cast("int").alias("target")
+    )
+    return metrics.rank_auc(rows, "score", digits=6)
+
+
+@query(
+    "accuracy_score",
+    """SELECT round(avg(CASE WHEN (l_extendedprice > 50000) = (l_quantity > 25) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6)
+    AS accuracy FROM lineitem""",
+)
+def accuracy_score(spark, sf_dir):
+    rows = samples.table(spark, sf_dir, "lineitem").select(
+        (F.col("l_extendedprice") > 50000).cast("double").alias("prediction"),
+        (F.col("l_quantity") > 25).cast("double").alias("target"),
+    )
+    return metrics.accuracy(rows).withColumn("accuracy", F.round("accuracy", 6))
+
+
+# --- models -----------------------------------------------------------------------------------
+
+MODEL_FEATURES = (
+    "buy_amount_mean", "buy_amount_max", "sell_amount_mean", "sell_amount_max", "sell_amount_q90",
+    "pnl_total_mean", "count_mean", "ids_client_platform_count", "deals_per_balance_type_1_count",
+    "deals_per_position_type_long_count", "ids_events_count", "duration_mean",
+)
+
+
+def model_parts(spark, sf_dir):
+    """(train, test) vectors of all users: the training table is staged once."""
+    table = scale.stage(cleaning.keep_columns(full_table(spark, sf_dir), MODEL_FEATURES))
+    train, test = split.hash_split(table)
+    return [learn.to_vectors(part, MODEL_FEATURES).persist() for part in (train, test)], (train, test)
+
+
+@query("tree_importance")
+def tree_importance(spark, sf_dir):
+    (train, _), _ = model_parts(spark, sf_dir)
+    model = learn.fit_tree(train, max_depth=8)
+    return explore.top_rows(
+        learn.importances(spark, model, MODEL_FEATURES), "importance", 20, ties=("feature",)
+    )
+
+
+@query("tree_auc")
+def tree_auc(spark, sf_dir):
+    (train, test), _ = model_parts(spark, sf_dir)
+    return learn.evaluate(learn.fit_tree(train, max_depth=8), test)
+
+
+@query("gbt_scores")
+def gbt_scores(spark, sf_dir):
+    (train, test), _ = model_parts(spark, sf_dir)
+    model = learn.fit_boosted(train, rounds=10, maxDepth=3, stepSize=0.1)
+    scored = model.transform(test)
+    return scored.select("user_id", "target", learn.probability(scored).alias("score"))
+
+
+@query("gbt_auc")
+def gbt_auc(spark, sf_dir):
+    (train, test), _ = model_parts(spark, sf_dir)
+    model = learn.fit_boosted(train, rounds=10, maxDepth=3, stepSize=0.1)
+    return learn.evaluate(model, test, use_probability=True)
+
+
+@query("grid_search")
+def grid_search(spark, sf_dir):
+    (train, _), _ = model_parts(spark, sf_dir)
+    grid = {"learning_rate": [0.05, 0.1], "n_estimators": [3], "num_leaves": [4]}
+    return learn.grid_search(train, grid, folds=2)[2]
+
+
+@query("random_search")
+def random_search(spark, sf_dir):
+    (train, _), _ = model_parts(spark, sf_dir)
+    space = {"n_estimators": [4, 8], "max_depth": [3, 4, 5], "min_samples_leaf": [1, 2]}
+    return learn.random_search(train, space, draws=3, folds=2)[2]
+
+
+@query("rfe_path")
+def rfe_path(spark, sf_dir):
+    _, (train, test) = model_parts(spark, sf_dir)
+    path = selection.elimination_path(train, MODEL_FEATURES, 4, step=2, test=test, max_depth=5)
+    rows = [(len(s.features), f, s.accuracy) for s in path for f in s.features]
+    return spark.createDataFrame(rows, "size int, feature string, accuracy double")
+
+
+@query("optimal_features")
+def optimal_features(spark, sf_dir):
+    table = scale.stage(cleaning.keep_columns(full_table(spark, sf_dir), MODEL_FEATURES))
+    train, test = split.hash_split(table, 0.3, seed=0)
+    kept = selection.select_by_elimination(
+        train, MODEL_FEATURES, find_optimal=True, start=4, upto=9, test=test, step=0.25, max_depth=5
+    )
+    return spark.createDataFrame([(i, f) for i, f in enumerate(kept)], "position int, feature string")
+
+
+@query("save_load")
+def save_load(spark, sf_dir):
+    """Features, names, ids and a model written to a store and read back."""
+    store = TableStore(spark, f"{scale.shared_dir(spark)}/store")
+    (train, test), (rows, _) = model_parts(spark, sf_dir)
+    store.save("merged", rows)
+    store.save_selected("rfe", MODEL_FEATURES)
+    store.save_ids("outliers", idsets.split_outliers(samples.positions(spark, sf_dir))[0])
+    store.save_model("tree", learn.fit_tree(train, max_depth=4))
+    names = store.selected_features("rfe", first=40)
+    vectors = learn.to_vectors(store.load("merged"), names)
+    kept = idsets.without_ids(vectors, store.load("outliers"))
+    return store.load_model("tree").transform(kept).select("user_id", "target", "prediction")
