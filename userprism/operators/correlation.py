@@ -4,7 +4,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Correlation
 from pyspark.sql import functions as F
 
-from .scale import col
+from .scale import col, literal, quoted
 
 
 def target_correlation(df, features, target="target"):
@@ -12,18 +12,15 @@ def target_correlation(df, features, target="target"):
 
     All features share one aggregate over the table, which combines map-side to a single row.
     """
-    y = col(target).cast("double")
+    y = f"CAST({quoted(target)} AS DOUBLE)"
     rows = []
     for name in features:
-        x = col(name).cast("double")
-        spread = F.stddev_pop(F.when(y.isNotNull(), x)) * F.stddev_pop(F.when(x.isNotNull(), y))
-        rows.append(
-            F.struct(
-                F.lit(name).alias("feature"),
-                F.try_divide(F.covar_pop(x, y), spread).alias("correlation"),
-            )
-        )
-    return df.agg(F.array(*rows).alias("r")).select(F.inline("r"))
+        x = f"CAST({quoted(name)} AS DOUBLE)"
+        spread = f"stddev_pop({x}) FILTER (WHERE {y} IS NOT NULL)"
+        spread += f" * stddev_pop({y}) FILTER (WHERE {x} IS NOT NULL)"
+        ratio = f"try_divide(covar_pop({x}, {y}), {spread})"
+        rows.append(f"struct({literal(name)} AS feature, {ratio} AS correlation)")
+    return df.selectExpr(f"array({', '.join(rows)}) AS r").select(F.inline("r"))
 
 
 def select_by_correlation(df, target="target", key="user_id", threshold=0.2):

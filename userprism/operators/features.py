@@ -9,12 +9,12 @@ from collections import Counter
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .quantiles import HEAVY_ROWS, QUANTILES, exact_quantiles
-from .scale import col
+from .scale import col, literal, quoted
 
 # Measured: one generated aggregate is fastest up to about this many columns.
 AGGREGATE_COLUMNS = 95
@@ -24,7 +24,7 @@ PIVOT_VALUES = 60
 MAX_VALUES = 5000
 
 POSITION_STATS = ("mean", "median", "max", "min", "q10", "q25", "q75", "q90")
-SIMPLE_STATS = {"mean": F.avg, "max": F.max, "min": F.min, "sum": F.sum}
+SIMPLE_STATS = {"mean": "avg", "max": "max", "min": "min", "sum": "sum"}
 
 
 @dataclass(frozen=True)
@@ -69,10 +69,10 @@ class FlagBy:
 
 @dataclass(frozen=True)
 class CountWhere:
-    """Rows that meet a condition."""
+    """Rows that meet a condition, given as SQL text."""
 
     name: str
-    condition: Column
+    condition: str
 
 
 @dataclass(frozen=True)
@@ -175,7 +175,8 @@ def pivot_counts(df, key, part):
     )
     names = [feature_name(part.name, v, feature=part.column) for v in part.values]
     wide = wide.toDF(key, *names)
-    return wide.select(col(key), *[F.coalesce(col(n), F.lit(0)).cast("long").alias(n) for n in names])
+    filled = [f"coalesce({quoted(n)}, 0L) AS {quoted(n)}" for n in names]
+    return wide.selectExpr(quoted(key), *filled)
 
 
 def with_values(df, spec):
@@ -193,45 +194,40 @@ def with_values(df, spec):
 
 
 def _cells(spec):
-    """(aggregates by hidden name, output columns in order) for counts, sums and flags."""
-    aggregates, outputs = {}, []
+    """(aggregates by hidden name, output columns in order) for counts, sums and flags.
 
-    def cell(identity, build):
-        if identity not in names:
-            names[identity] = f"__c{len(names)}"
-            aggregates[names[identity]] = build()
-        return F.col(names[identity])
+    Expressions are SQL texts: a spec has hundreds of them, and a text reaches the JVM in one
+    call. Equal counts behind several outputs are computed once.
+    """
+    names, outputs = {}, []
+
+    def cell(aggregate):
+        return names.setdefault(aggregate, f"__c{len(names)}")
+
+    def count(condition):
+        return cell(f"count_if({condition})")
 
-    names = {}
     if spec.rows:
-        outputs.append((spec.rows, cell(("rows",), lambda: F.count(F.lit(1)))))
+        outputs.append((spec.rows, cell("count(1)")))
     for part in spec.parts:
         if isinstance(part, CountWhere):
-            counted = cell(("where", part.name), lambda p=part: F.count_if(p.condition))
-            outputs.append((part.name, counted))
+            outputs.append((part.name, count(part.condition)))
         elif isinstance(part, SumBy):
             for v in part.values:
-                total = cell(
-                    ("sum", part.amount, part.by, v),
-                    lambda p=part, v=v: F.sum(F.when(col(p.by) == F.lit(v), col(p.amount))),
-                )
+                same = f"{quoted(part.by)} = {literal(v)}"
+                total = cell(f"sum(CASE WHEN {same} THEN {quoted(part.amount)} END)")
                 name = feature_name(part.name, v, amount=part.amount, by=part.by)
-                outputs.append((name, F.coalesce(total, F.lit(0.0))))
+                outputs.append((name, f"coalesce({total}, 0D)"))
         elif isinstance(part, (CountBy, FlagBy)) and len(part.values) <= PIVOT_VALUES:
             for v in part.values:
-                counted = cell(
-                    ("count", part.column, v),
-                    lambda p=part, v=v: F.count_if(col(p.column) == F.lit(v)),
-                )
+                counted = count(f"{quoted(part.column)} = {literal(v)}")
                 if isinstance(part, FlagBy):
-                    counted = (counted > 0).cast("int")
+                    counted = f"CAST({counted} > 0 AS INT)"
                 outputs.append((feature_name(part.name, v, feature=part.column), counted))
         if isinstance(part, CountBy) and part.null_name:
-            counted = cell(
-                ("null", part.column), lambda p=part: F.count_if(col(p.column).isNull())
-            )
+            counted = count(f"{quoted(part.column)} IS NULL")
             outputs.append((feature_name(part.name, part.null_name, feature=part.column), counted))
-    return aggregates, outputs
+    return {name: aggregate for aggregate, name in names.items()}, outputs
 
 
 def _chunks(items, size):
@@ -250,17 +246,18 @@ def build_features(df, spec, heavy_rows=HEAVY_ROWS):
     for stats in spec.of(Stats):
         simple = [(c, s) for c in stats.columns for s in stats.stats if s in SIMPLE_STATS]
         for chunk in _chunks(simple, AGGREGATE_COLUMNS):
-            parts.append(
-                df.groupBy(key).agg(*[SIMPLE_STATS[s](col(c)).alias(f"{c}_{s}") for c, s in chunk])
-            )
+            texts = [f"{SIMPLE_STATS[s]}({quoted(c)}) AS {quoted(f'{c}_{s}')}" for c, s in chunk]
+            parts.append(df.groupBy(key).agg(*[F.expr(t) for t in texts]))
         ranks = [s for s in stats.stats if s in QUANTILES]
         if ranks:
             parts.append(exact_quantiles(df, spec.key, list(stats.columns), ranks, heavy_rows))
-        outputs += [(f"{c}_{s}", col(f"{c}_{s}")) for c in stats.columns for s in stats.stats]
+        outputs += [
+            (f"{c}_{s}", quoted(f"{c}_{s}")) for c in stats.columns for s in stats.stats
+        ]
 
     aggregates, cells = _cells(spec)
     for chunk in _chunks(list(aggregates.items()), AGGREGATE_COLUMNS):
-        parts.append(df.groupBy(key).agg(*[a.alias(n) for n, a in chunk]))
+        parts.append(df.groupBy(key).agg(*[F.expr(f"{a} AS {n}") for n, a in chunk]))
     outputs += cells
 
     for part in spec.of((CountBy, FlagBy)):
@@ -268,16 +265,18 @@ def build_features(df, spec, heavy_rows=HEAVY_ROWS):
             wide = pivot_counts(df, spec.key, part)
             parts.append(wide)
             for n in wide.columns[1:]:
-                counted = (col(n) > 0).cast("int") if isinstance(part, FlagBy) else col(n)
+                counted = quoted(n)
+                if isinstance(part, FlagBy):
+                    counted = f"CAST({counted} > 0 AS INT)"
                 outputs.append((n, counted))
 
     for part in spec.of(DistinctCount):
         parts.append(distinct_per_key(df, spec.key, part.column, part.name))
-        outputs.append((part.name, col(part.name)))
+        outputs.append((part.name, quoted(part.name)))
 
     repeated = sorted(n for n, times in Counter(n for n, _ in outputs).items() if times > 1)
     if repeated:
         raise ValueError(f"feature names used twice: {repeated}")
     # Every part has the same keys and arrives partitioned by the key.
     joined: DataFrame = reduce(lambda a, b: a.join(b, spec.key), parts)
-    return joined.select(key, *[c.alias(n) for n, c in outputs])
+    return joined.selectExpr(quoted(spec.key), *[f"{c} AS {quoted(n)}" for n, c in outputs])

@@ -13,7 +13,7 @@ from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import functions as F
 
 from .metrics import rank_auc
-from .scale import col
+from .scale import col, quoted
 from .split import fold_column, in_fraction
 
 # Spark's limit; the nearest to a tree without a depth limit.
@@ -82,7 +82,7 @@ def feature_columns(df, target="target", key="user_id"):
 
 def to_vectors(df, features, target="target", key="user_id"):
     """(key, features vector, target as double): the input of every fit."""
-    values = F.array(*[F.coalesce(col(f).cast("double"), F.lit(0.0)) for f in features])
+    values = F.expr(f"array({', '.join(f'coalesce(CAST({quoted(f)} AS DOUBLE), 0D)' for f in features)})")
     return df.select(
         col(key), array_to_vector(values).alias("features"), col(target).cast("double").alias(target)
     )

@@ -4,7 +4,7 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from .scale import col, lookup_join, prefix_sums, stage
+from .scale import col, lookup_join, prefix_sums, quoted, stage
 
 # Quantile statistics by name.
 QUANTILES = {"q10": 0.10, "q25": 0.25, "median": 0.50, "q75": 0.75, "q90": 0.90, "q99": 0.99}
@@ -25,9 +25,10 @@ def exact_quantiles(df, key, columns, stats, heavy_rows=HEAVY_ROWS):
     """
     rows = df.select(col(key), *[col(c) for c in columns]).filter(col(key).isNotNull())
     counts = rows.groupBy(col(key)).agg(F.count(F.lit(1)).alias("n"))
-    heavy = stage(counts.filter(F.col("n") > heavy_rows).select(col(key)))
+    heavy = counts.filter(F.col("n") > heavy_rows).select(col(key))
     if heavy.isEmpty():
         return by_percentile(rows, key, columns, stats)
+    heavy = stage(heavy)
     light = by_percentile(lookup_join(rows, heavy, key, "left_anti"), key, columns, stats)
     ranked = by_rank(lookup_join(rows, heavy, key, "left_semi"), [key], columns, stats)
     # A heavy key whose numbers are all missing has no ranked cell but keeps its row.
@@ -35,14 +36,13 @@ def exact_quantiles(df, key, columns, stats, heavy_rows=HEAVY_ROWS):
 
 
 def by_percentile(rows, key, columns, stats):
-    probs = F.array(*[F.lit(QUANTILES[s]) for s in stats])
-    grouped = rows.groupBy(col(key)).agg(
-        *[F.percentile(col(c), probs).alias(f"__p{i}") for i, c in enumerate(columns)]
-    )
-    return grouped.select(
-        col(key),
+    probs = ", ".join(f"{QUANTILES[s]}D" for s in stats)
+    arrays = [f"percentile({quoted(c)}, array({probs})) AS __p{i}" for i, c in enumerate(columns)]
+    grouped = rows.groupBy(col(key)).agg(*[F.expr(a) for a in arrays])
+    return grouped.selectExpr(
+        quoted(key),
         *[
-            F.col(f"__p{i}")[j].alias(f"{c}_{s}")
+            f"__p{i}[{j}] AS {quoted(f'{c}_{s}')}"
             for i, c in enumerate(columns)
             for j, s in enumerate(stats)
         ],

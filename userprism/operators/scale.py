@@ -26,6 +26,17 @@ def quoted(name):
     return "`" + name.replace("`", "``") + "`"
 
 
+def literal(value):
+    """A Python value as SQL text."""
+    if isinstance(value, bool):
+        return str(value).upper()
+    if isinstance(value, float):
+        return f"CAST('{value!r}' AS DOUBLE)"
+    if isinstance(value, int):
+        return str(value)
+    return "'" + str(value).replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def col(name):
     """Column by exact name: feature names may hold dots, dashes and spaces."""
     return F.col(quoted(name))

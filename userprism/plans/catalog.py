@@ -42,12 +42,11 @@ def near(column, digits=4):
 
 def near_all(df, digits=4):
     """Round every double column."""
-    return df.select(
-        *[
-            near(scale.col(n), digits).alias(n) if t == "double" else scale.col(n)
-            for n, t in df.dtypes
-        ]
-    )
+    texts = []
+    for name, kind in df.dtypes:
+        c = scale.quoted(name)
+        texts.append(f"round({c} + 1e-7, {digits}) AS {c}" if kind == "double" else c)
+    return df.selectExpr(*texts)
 
 
 def sql_text(value):
@@ -274,11 +273,11 @@ def numeric_stats(spark, sf_dir):
 )
 def heavy_user_quantiles(spark, sf_dir):
     """Users above the mean row count go through ranked range partitions."""
-    rows = samples.positions(spark, sf_dir)
+    used = ["buy_amount", "instrument_strike", "pnl_total"]
+    rows = scale.stage(samples.positions(spark, sf_dir).select("user_id", *used))
     return near_all(
         quantiles.exact_quantiles(
-            rows, "user_id", ["buy_amount", "instrument_strike", "pnl_total"],
-            ["q10", "q25", "median", "q75", "q90"], heavy_rows=40,
+            rows, "user_id", used, ["q10", "q25", "median", "q75", "q90"], heavy_rows=40,
         )
     )
 

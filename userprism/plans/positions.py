@@ -35,7 +35,7 @@ def number_spec(balance_types=None):
     conversions = tuple(
         CountWhere(
             f"amount_of_conversions_for_feature_{c}",
-            conversion_flag(col(c), col(f"{c}_enrolled")) == 1,
+            f"NOT coalesce({c} - {c}_enrolled = 0, false)",
         )
         for c in CONVERTED
     )
