@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .scale import col, lookup_join
+from .scale import col, lookup_join, stage
 
 
 def drop_repeats(df):
@@ -59,26 +59,33 @@ def drop_present(df, columns):
     return df.drop(*[c for c in columns if c in df.columns])
 
 
-def frequent_values(df, column, min_count=100):
-    """Values on strictly more than ``min_count`` rows."""
+def frequent_values(df, columns, min_count=100):
+    """(feature, value) pairs on strictly more than ``min_count`` rows, counted in one pass."""
     return (
-        df.filter(col(column).isNotNull())
-        .groupBy(col(column))
+        df.select(F.inline(F.array(*_pairs(columns))))
+        .filter(F.col("value").isNotNull())
+        .groupBy("feature", "value")
         .agg(F.count(F.lit(1)).alias("n"))
         .filter(F.col("n") > min_count)
     )
 
 
-def bucket_rare(df, column, replacement, min_count=100):
-    """Keep frequent values; every other value, and a missing one, becomes ``replacement``."""
-    frequent = frequent_values(df, column, min_count).select(
-        col(column), F.lit(True).alias("__frequent")
-    )
-    data_type = df.schema[column].dataType
-    kept = F.when(F.col("__frequent"), col(column)).otherwise(F.lit(replacement).cast(data_type))
-    return lookup_join(df, frequent, column).withColumn(column, kept).select(
-        *[col(c) for c in df.columns]
-    )
+def bucket_rare(df, replacements, min_count=100):
+    """Keep frequent values; every other value, and a missing one, becomes the replacement.
+
+    ``replacements`` maps each column to what stands for its rare values. The frequent values
+    are staged once and looked up per column.
+    """
+    frequent = stage(frequent_values(df, list(replacements), min_count))
+    order = [col(c) for c in df.columns]
+    for column, replacement in replacements.items():
+        data_type = df.schema[column].dataType
+        known = frequent.filter(F.col("feature") == column).select(
+            F.col("value").cast(data_type).alias(column), F.lit(True).alias("__frequent")
+        )
+        kept = F.when(F.col("__frequent"), col(column)).otherwise(F.lit(replacement).cast(data_type))
+        df = lookup_join(df, known, column, staged=True).withColumn(column, kept).select(*order)
+    return df
 
 
 def bucket_others(df, column, keep, replacement="OTHER"):
@@ -88,10 +95,14 @@ def bucket_others(df, column, keep, replacement="OTHER"):
     )
 
 
+def _pairs(columns):
+    return [F.struct(F.lit(c).alias("feature"), col(c).cast("string").alias("value")) for c in columns]
+
+
 def category_values(df, columns):
     """Present values of each category in long form, one row per (feature, value)."""
-    pairs = [F.struct(F.lit(c).alias("feature"), col(c).cast("string").alias("value")) for c in columns]
-    return df.select(F.inline(F.array(*pairs))).filter(F.col("value").isNotNull()).distinct()
+    pairs = F.inline(F.array(*_pairs(columns)))
+    return df.select(pairs).filter(F.col("value").isNotNull()).distinct()
 
 
 def keep_columns(df, names, extra=("target", "user_id")):

@@ -12,14 +12,6 @@ def distinct_ids(df, key="user_id"):
     return df.select(col(key)).filter(col(key).isNotNull()).distinct()
 
 
-def id_intersection(a, b):
-    return a.intersect(b)
-
-
-def id_difference(a, b):
-    return a.subtract(b)
-
-
 def presence(tables, key="user_id"):
     """One row per id with a flag ``in_{name}`` per table.
 
@@ -34,6 +26,16 @@ def presence(tables, key="user_id"):
     return rows.groupBy(col(key)).agg(*[F.bool_or(f"in_{n}").alias(f"in_{n}") for n in names])
 
 
+def id_intersection(a, b, key="user_id"):
+    """Ids in both tables. Repeats fold before the shuffle, unlike in a semi join."""
+    return presence({"a": a, "b": b}, key).filter("in_a AND in_b").select(col(key))
+
+
+def id_difference(a, b, key="user_id"):
+    """Ids in the first table only."""
+    return presence({"a": a, "b": b}, key).filter("in_a AND NOT in_b").select(col(key))
+
+
 def _overlap_conditions():
     pos, dep, ev, attr = (F.col(f"in_{n}") for n in ("pos", "dep", "ev", "attr"))
     return {

@@ -29,8 +29,8 @@ def exact_quantiles(df, key, columns, stats, heavy_rows=HEAVY_ROWS):
     if heavy.isEmpty():
         return by_percentile(rows, key, columns, stats)
     heavy = stage(heavy)
-    light = by_percentile(lookup_join(rows, heavy, key, "left_anti"), key, columns, stats)
-    ranked = by_rank(lookup_join(rows, heavy, key, "left_semi"), [key], columns, stats)
+    light = by_percentile(lookup_join(rows, heavy, key, "left_anti", staged=True), key, columns, stats)
+    ranked = by_rank(lookup_join(rows, heavy, key, "left_semi", staged=True), [key], columns, stats)
     # A heavy key whose numbers are all missing has no ranked cell but keeps its row.
     return light.unionByName(heavy.join(ranked, key, "left"))
 

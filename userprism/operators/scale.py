@@ -83,14 +83,14 @@ def hot_keys(facts, key):
     return [r[0] for r in counts.filter(F.col("n") * HOT_SHARE > total).collect()]
 
 
-def lookup_join(facts, lookup, key, how="left", limit_bytes=BROADCAST_BYTES):
+def lookup_join(facts, lookup, key, how="left", limit_bytes=BROADCAST_BYTES, staged=False):
     """Join many rows to a lookup that is unique on ``key``, without shuffling a hot key.
 
     The lookup is staged and measured. Within ``limit_bytes`` it is broadcast. Beyond, rows
     with a hot or null key meet only the hot part of the lookup (a broadcast of at most
     HOT_SHARE rows) and all other rows are joined through a shuffle.
     """
-    lookup = stage(lookup)
+    lookup = lookup if staged else stage(lookup)
     if measured_bytes(lookup) <= limit_bytes:
         return facts.join(F.broadcast(lookup), key, how)
     hot = hot_keys(facts, key)

@@ -11,9 +11,7 @@ RARE = {"aff_id": 99999, "device": "Other", "country_id": 999}
 def clean_attribution(df, min_count=100):
     """Gaps filled, then values on at most ``min_count`` rows bucketed."""
     df = cleaning.fill_missing(df, {"country_id": -1, "media_source": "Unknown"})
-    for column, replacement in RARE.items():
-        df = cleaning.bucket_rare(df, column, replacement, min_count)
-    return df
+    return cleaning.bucket_rare(df, RARE, min_count)
 
 
 def attribution_spec():

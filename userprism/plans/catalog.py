@@ -688,13 +688,13 @@ def id_distinct(spark, sf_dir):
 )
 def id_intersect(spark, sf_dir):
     logs = ids(spark, sf_dir)
-    return idsets.id_intersection(logs["positions"].select("user_id"), logs["deposits"].select("user_id"))
+    return idsets.id_intersection(logs["positions"], logs["deposits"])
 
 
 @query("id_subtract", "SELECT user_id FROM positions EXCEPT SELECT user_id FROM deposits")
 def id_subtract(spark, sf_dir):
     logs = ids(spark, sf_dir)
-    return idsets.id_difference(logs["positions"].select("user_id"), logs["deposits"].select("user_id"))
+    return idsets.id_difference(logs["positions"], logs["deposits"])
 
 
 SETS_SQL = {
