@@ -21,6 +21,8 @@ def _family(kind):
         return "bigint" if kind.startswith(("bigint", "long")) else kind.replace("integer", "int")
     if kind.startswith(("varchar", "string")):
         return "string"
+    if kind.startswith("timestamp"):
+        return "timestamp"
     if kind.startswith("bool"):
         return "boolean"
     return kind
@@ -39,13 +41,12 @@ def differences(df, con, sql):
     order = sorted(ours)
     at_theirs = [names.index(c) for c in order]
     at_ours = [df.columns.index(c) for c in order]
-    mine = sorted((repr(tuple(r[i] for i in at_ours)) for r in df.collect()))
-    other = sorted((repr(tuple(r[i] for i in at_theirs)) for r in rows))
+    mine = sorted((tuple(r[i] for i in at_ours) for r in df.collect()), key=repr)
+    other = sorted((tuple(r[i] for i in at_theirs) for r in rows), key=repr)
     if len(mine) != len(other):
         found.append(f"rows: {len(mine)} / {len(other)}")
-    wrong = [(a, b) for a, b in zip(mine, other) if a != b]
+    wrong = [(a, b) for a, b in zip(mine, other) if repr(a) != repr(b)]
     if wrong:
-        a, b = eval(wrong[0][0], {"nan": float("nan")}), eval(wrong[0][1], {"nan": float("nan")})
-        pairs = [(c, x, y) for c, x, y in zip(order, a, b) if x != y][:5]
+        pairs = [(c, x, y) for c, x, y in zip(order, *wrong[0]) if repr(x) != repr(y)][:5]
         found.append(f"{len(wrong)} rows differ, first: {pairs}")
     return found

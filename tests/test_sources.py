@@ -1,0 +1,91 @@
+import pytest
+
+from conftest import bag, by_key
+from userprism.plans import training
+from userprism.sources import logs, schemas
+from userprism.sources.store import TableStore
+
+EVENTS = """user_id\ttime\tname\tcategory\tplatform_id\tdevice_id\tduration\tparameters\tnote
+1\t2019-09-01 10:00:00\tlogin\ta\t9\td1\t1.5\t"{""k"": 1}"\tNA
+2.0\t2019-09-01 10:00:01\tNA\tnull\t\tNaN\tNaN\t\tkept
+\t2019-10-01\tchart\ta\t9\td1\tnull\tNA\tx
+"""
+
+
+@pytest.fixture
+def event_file(tmp_path):
+    path = tmp_path / "events.csv"
+    path.write_text(EVENTS)
+    return str(path)
+
+
+def test_missing_tokens_and_types(spark, event_file):
+    df = logs.read_delimited(spark, event_file, schemas.EVENTS)
+    assert dict(df.dtypes)["user_id"] == "bigint" and dict(df.dtypes)["time"] == "timestamp_ntz"
+    found = [tuple(r)[2:] for r in df.orderBy("time").collect()]
+    assert found == [
+        ("login", "a", 9, "d1", 1.5, '{"k": 1}', None),
+        (None, None, None, None, None, None, "kept"),
+        ("chart", "a", 9, "d1", None, None, "x"),
+    ]
+    assert [r.user_id for r in df.orderBy("time").collect()] == [1, 2, None]
+
+
+def test_columns_by_name_not_position(spark, tmp_path):
+    path = tmp_path / "d.csv"
+    path.write_text("client_platform_id\tuser_id\n9\t1\n")
+    assert logs.read_delimited(spark, str(path), schemas.DEPOSITS).first().user_id == 1
+    with pytest.raises(ValueError, match="lacks"):
+        logs.read_delimited(spark, str(path), schemas.EVENTS)
+
+
+def test_bad_cells(spark, tmp_path):
+    path = tmp_path / "d.csv"
+    path.write_text("user_id\tclient_platform_id\nx\t9\n1\tNA\n")
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        logs.read_delimited(spark, str(path), schemas.DEPOSITS).collect()
+    lenient = logs.read_delimited(spark, str(path), schemas.DEPOSITS, on_bad_cell="null")
+    assert bag(lenient) == [(1, None), (None, 9)]
+    assert bag(logs.bad_cells(spark, str(path), schemas.DEPOSITS)) == [("client_platform_id", 0), ("user_id", 1)]
+
+
+def test_store(spark, tmp_path):
+    store = TableStore(spark, str(tmp_path / "store"))
+    store.save_selected("rfe", ["b", "a", "c d.e"])
+    assert store.selected_features("rfe") == ["b", "a", "c d.e"]
+    assert store.selected_features("rfe", first=2) == ["b", "a"]
+    one = spark.createDataFrame([(1, 2)], "user_id long, x int")
+    two = spark.createDataFrame([(1, 3), (2, 4)], "user_id long, y int")
+    store.save("one", one)
+    store.save("two", two)
+    assert bag(store.load_halves("one", "two")) == [(1, 2, 3), (2, None, 4)]
+    assert bag(store.save_ids("ids", two)) == [(1,), (2,)]
+
+
+def write_log(folder, name, schema, rows):
+    lines = ["\t".join(schema.names)]
+    for row in rows:
+        lines.append("\t".join("NA" if row.get(c) is None else str(row[c]) for c in schema.names))
+    (folder / name).write_text("\n".join(lines) + "\n")
+    return str(folder / name)
+
+
+def test_from_files_to_the_merged_table(spark, tmp_path):
+    numbers = {c.name: 1.0 for c in schemas.POSITIONS.fields if c.dataType.simpleString() == "double"}
+    deal = dict(numbers, user_balance_id=1, user_balance_type=1, instrument_type="turbo",
+                instrument_underlying="EURUSD", instrument_active_id=3, client_platform_id=9,
+                position_type="long", close_reason="win", leverage=1)
+    config = logs.LogConfig(
+        deposits=write_log(tmp_path, "d.csv", schemas.DEPOSITS, [dict(user_id=1, client_platform_id=15)]),
+        positions=write_log(tmp_path, "p.csv", schemas.POSITIONS, [dict(deal, user_id=1), dict(deal, user_id=1), dict(deal, user_id=2)]),
+        events=write_log(tmp_path, "e.csv", schemas.EVENTS, [dict(user_id=2, time="2019-09-01", name="login", category="a", platform_id=9)]),
+        attribution=write_log(tmp_path, "a.csv", schemas.ATTRIBUTION, [dict(user_id=1, client_platform_id=9, device="x", aff_id=4)]),
+        store=str(tmp_path / "features"),
+        reuse_prepared=False,
+    )
+    merged = by_key(training.build_store(spark, config))
+    assert set(merged) == {1, 2}
+    assert merged[1]["deals_per_turbo_instr_count"] == 1 and merged[1]["target"] == 1
+    assert merged[2]["ids_events_count"] == 1 and merged[2]["uses_aff_id_99999"] == 0
+    again = logs.LogConfig(**{**config.__dict__, "reuse_prepared": True})
+    assert by_key(training.build_store(spark, again)) == merged

@@ -40,7 +40,22 @@ def json_status(df, column):
 
 
 def _step(key):
-    return "['" + key.replace("\\", "\\\\").replace("'", "\\'") + "']"
+    if isinstance(key, int):
+        return f"[{key}]"
+    return f'["{key}"]' if "'" in key else f"['{key}']"
+
+
+def value_at(variant, steps, kind):
+    """The value below ``steps`` (keys or positions), or null where there is none of the kind."""
+    path = "$"
+    for step in steps:
+        if isinstance(step, str) and "'" in step and '"' in step:
+            # A path cannot quote such a key; look it up in a map instead.
+            values = F.from_json(F.try_variant_get(variant, path, "string"), "map<string,variant>")
+            variant, path = F.try_element_at(values, F.lit(step)), "$"
+        else:
+            path += _step(step)
+    return F.try_variant_get(variant, path, kind)
 
 
 def extract_keys(df, column, keys=("balance_type", "position_id", "instrument_type")):
@@ -48,7 +63,7 @@ def extract_keys(df, column, keys=("balance_type", "position_id", "instrument_ty
     variant = parsed(col(column))
     flat = has_nested(F.col("__v")) == F.lit(False)
     found = {
-        k: F.when(flat, F.try_variant_get(F.col("__v"), "$" + _step(k), "string")) for k in keys
+        k: F.when(flat, value_at(F.col("__v"), [k], "string")) for k in keys
     }
     return df.withColumn("__v", variant).withColumns(found).drop("__v")
 
@@ -79,16 +94,16 @@ def _leaf_type(data_type):
     return data_type.simpleString()
 
 
-def _leaves(data_type, path="$", name=()):
+def _leaves(data_type, steps=()):
+    """(steps, type) of every value; a list gives its first element."""
     for f in data_type.fields:
-        step = path + _step(f.name)
-        kind = f.dataType
-        if isinstance(kind, T.StructType) and kind.fields:
-            yield from _leaves(kind, step, (*name, f.name))
+        below, kind = (*steps, f.name), f.dataType
+        if isinstance(kind, T.StructType):
+            yield from _leaves(kind, below)
         elif isinstance(kind, T.ArrayType):
-            yield "_".join((*name, f.name)), step + "[0]", _leaf_type(kind.elementType)
-        elif not isinstance(kind, T.StructType):
-            yield "_".join((*name, f.name)), step, _leaf_type(kind)
+            yield (*below, 0), _leaf_type(kind.elementType)
+        else:
+            yield below, _leaf_type(kind)
 
 
 def unpack_properties(df, column, schema=None, prefix=""):
@@ -99,8 +114,9 @@ def unpack_properties(df, column, schema=None, prefix=""):
     """
     schema = schema or property_schema(df, column)
     by_name = defaultdict(list)
-    for name, path, kind in _leaves(schema):
-        by_name[prefix + name].append((path, kind))
+    for steps, kind in _leaves(schema):
+        name = "_".join(s for s in steps if isinstance(s, str))
+        by_name[prefix + name].append((steps, kind))
     taken = set(by_name) & set(df.columns)
     if taken:
         raise ValueError(f"property names already used: {sorted(taken)}")
@@ -108,5 +124,5 @@ def unpack_properties(df, column, schema=None, prefix=""):
     for name, places in by_name.items():
         kinds = {k for _, k in places}
         kind = kinds.pop() if len(kinds) == 1 else "string"
-        columns[name] = F.coalesce(*[F.try_variant_get(F.col("__v"), p, kind) for p, _ in places])
+        columns[name] = F.coalesce(*[value_at(F.col("__v"), steps, kind) for steps, _ in places])
     return df.withColumn("__v", parsed(col(column))).withColumns(columns).drop("__v")

@@ -104,6 +104,43 @@ def fit_boosted(train, target="target", key="user_id", rounds=100, valid_fractio
     return booster.fit(marked)
 
 
+def auc_by_round(model, test, target="target", digits=6):
+    """(round, auc) of a boosted model after each of its trees, from one pass over ``test``."""
+    scored = test
+    for i, tree in enumerate(model.trees):
+        scored = tree.setPredictionCol(f"__t{i}").transform(scored)
+    steps = F.expr(f"array({', '.join(f'{w!r}D * __t{i}' for i, w in enumerate(model.treeWeights))})")
+    sums = "transform(sequence(1, size(s)), n -> aggregate(slice(s, 1, n), 0D, (a, x) -> a + x))"
+    margins = scored.select(col(target), steps.alias("s")).select(
+        col(target), F.posexplode(F.expr(sums)).alias("round", "margin")
+    )
+    found = rank_auc(margins, "margin", target, digits, group=["round"])
+    return found.select((F.col("round") + 1).alias("round"), "auc")
+
+
+def best_round(aucs, patience):
+    """First round with the best AUC, looking no further than ``patience`` rounds without gain."""
+    best, best_auc = 0, float("-inf")
+    for number, auc in sorted(aucs):
+        if auc > best_auc:
+            best, best_auc = number, auc
+        elif number - best >= patience:
+            break
+    return best
+
+
+def fit_boosted_on_auc(train, target="target", key="user_id", rounds=100, patience=50,
+                       valid_fraction=0.1, seed=42, **settings):
+    """Boosted trees cut at the round with the best AUC on a held-out part of ``train``."""
+    held_out = in_fraction(col(key), valid_fraction, seed, "valid")
+    fit_on, valid = train.filter(~held_out), train.filter(held_out)
+    booster = GBTClassifier(labelCol=target, maxIter=rounds, seed=seed, **settings)
+    full = booster.fit(fit_on)
+    aucs = [(r["round"], r["auc"]) for r in auc_by_round(full, valid, target).collect()]
+    best = best_round([(n, a) for n, a in aucs if a is not None], patience)
+    return full if best in (0, rounds) else booster.setMaxIter(best).fit(fit_on)
+
+
 def probability(df):
     """Probability of class 1 of a scored frame."""
     return vector_to_array(F.col("probability"))[1]

@@ -4,6 +4,8 @@ Every query reads its whole tables. Computed doubles are rounded alike on both s
 small shift keeps exact halves from depending on the order of a floating-point sum.
 """
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import jsonprops, scalars
@@ -11,6 +13,7 @@ from ..operators import (
     assemble, cleaning, correlation, explore, features, idsets, learn, metrics, quantiles, scale,
     selection, split,
 )
+from ..sources import logs, schemas
 from ..sources.store import TableStore
 from . import attribution as attribution_plan
 from . import events as events_plan
@@ -162,6 +165,21 @@ def null_audit(spark, sf_dir):
     return cleaning.null_audit(samples.positions(spark, sf_dir).select(*AUDITED))
 
 
+@query(
+    "delimited_read",
+    """SELECT user_id, time, name, category, platform_id, NULL::VARCHAR AS device_id, duration,
+    parameters FROM event_rows""",
+)
+def delimited_read(spark, sf_dir):
+    """The events written as tab-separated text, with gaps as NA, and read as a log."""
+    folder = f"{scale.shared_dir(spark)}/events-{uuid.uuid4().hex}"
+    rows = samples.events(spark, sf_dir).withColumn("device_id", F.lit(None).cast("string"))
+    writer = rows.select(*schemas.EVENTS.names).write
+    writer = writer.option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    writer.csv(folder, sep="\t", header=True, nullValue="NA", escape='"')
+    return logs.read_delimited(spark, folder, schemas.EVENTS)
+
+
 @query(
     "shape_audit",
     """SELECT 'read' AS step, count(*) AS "rows", 26 AS "columns" FROM positions
@@ -423,6 +441,21 @@ def event_features(spark, sf_dir):
     return near_all(events_plan.event_features(samples.events(spark, sf_dir)))
 
 
+@query(
+    "stored_halves",
+    sql_by_user("clean_events", [EVENT_SQL[0], *[c for c in EVENT_SQL if "duration" in c]]),
+    CLEAN_EVENTS,
+)
+def stored_halves(spark, sf_dir):
+    """Numbers and frequencies stored apart and loaded side by side."""
+    store = TableStore(spark, f"{scale.shared_dir(spark)}/halves-{uuid.uuid4().hex}")
+    rows = events_plan.clean_events(samples.events(spark, sf_dir))
+    numbers = [p for p in events_plan.event_spec().parts if not isinstance(p, features.CountBy)]
+    store.save("numbers", features.build_features(rows, features.FeatureSpec(parts=tuple(numbers))))
+    store.save("frequency", features.rows_per_key(rows, name="ids_events_count"))
+    return near_all(store.load_halves("numbers", "frequency"))
+
+
 @query("attribution_features", sql_by_user("clean_attribution", ATTRIBUTION_SQL), CLEAN_ATTRIBUTION)
 def attribution_features(spark, sf_dir):
     return attribution_plan.attribution_features(samples.attribution(spark, sf_dir))
@@ -1024,6 +1057,12 @@ def gbt_auc(spark, sf_dir):
     return learn.evaluate(model, test, use_probability=True)
 
 
+@query("gbt_auc_rounds")
+def gbt_auc_rounds(spark, sf_dir):
+    (train, test), _ = model_parts(spark, sf_dir)
+    return learn.auc_by_round(learn.fit_boosted(train, rounds=5, maxDepth=3), test)
+
+
 @query("grid_search")
 def grid_search(spark, sf_dir):
     (train, _), _ = model_parts(spark, sf_dir)
@@ -1059,7 +1098,7 @@ def optimal_features(spark, sf_dir):
 @query("save_load")
 def save_load(spark, sf_dir):
     """Features, names, ids and a model written to a store and read back."""
-    store = TableStore(spark, f"{scale.shared_dir(spark)}/store")
+    store = TableStore(spark, f"{scale.shared_dir(spark)}/store-{uuid.uuid4().hex}")
     (train, test), (rows, _) = model_parts(spark, sf_dir)
     store.save("merged", rows)
     store.save_selected("rfe", MODEL_FEATURES)
