@@ -94,6 +94,11 @@ def without_ids(df, ids, key="user_id"):
     return df.join(ids.select(col(key)), key, "left_anti")
 
 
+def with_ids(df, ids, key="user_id"):
+    """Rows of a per-user table whose id is listed."""
+    return df.join(ids.select(col(key)), key, "left_semi")
+
+
 def outer_indicator(left, right, keep_both=False):
     """Which side each row is on, compared on all common columns; missing equals missing.
 

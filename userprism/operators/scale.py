@@ -108,12 +108,10 @@ def sorted_parts(df, group, order, amount, partitions=None):
     with ``part_before``, ``part_total`` and ``group_total``. The partition number is written
     with the rows, so both results always agree on it.
     """
-    spark = df.sparkSession
-    partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [col(g) for g in group]
-    parts = stage(
-        df.repartitionByRange(partitions, *keys, col(order)).withColumn(PART, F.spark_partition_id())
-    )
+    # Without a given number, adaptive execution merges small neighbouring ranges.
+    ordered = df.repartitionByRange(*([partitions] if partitions else []), *keys, col(order))
+    parts = stage(ordered.withColumn(PART, F.spark_partition_id()))
     totals = parts.groupBy(*keys, PART).agg(F.sum(col(amount)).alias("part_total"))
     # At most one row per range partition in each group, whatever the number of input rows.
     whole = Window.partitionBy(*keys)

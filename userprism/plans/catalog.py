@@ -1013,38 +1013,59 @@ def accuracy_score(spark, sf_dir):
 
 # --- models -----------------------------------------------------------------------------------
 
-MODEL_FEATURES = (
-    "buy_amount_mean", "buy_amount_max", "sell_amount_mean", "sell_amount_max", "sell_amount_q90",
-    "pnl_total_mean", "count_mean", "ids_client_platform_count", "deals_per_balance_type_1_count",
-    "deals_per_position_type_long_count", "ids_events_count", "duration_mean",
+POSITION_SPEC = features.FeatureSpec(
+    parts=(
+        features.Stats(("buy_amount", "sell_amount", "pnl_total", "count"), ("mean", "max", "q90")),
+        features.DistinctCount("client_platform_id", "ids_client_platform_count"),
+        features.CountBy("user_balance_type", (1,), "deals_per_balance_type_{value}_count"),
+        features.CountBy("position_type", ("long",), "deals_per_position_type_{value}_count"),
+    )
+)
+EVENT_SPEC = features.FeatureSpec(
+    rows="ids_events_count", parts=(features.Stats(("duration",), ("mean", "max")),)
 )
 
 
+def model_table(spark, sf_dir):
+    """A labelled table of some features of every user, staged: each fit reads it many times."""
+    table = label_and_join(
+        features.build_features(samples.positions(spark, sf_dir), POSITION_SPEC),
+        features.build_features(samples.events(spark, sf_dir), EVENT_SPEC),
+        features.rows_per_key(samples.attribution(spark, sf_dir), name="ids_records_count"),
+        samples.deposits(spark, sf_dir),
+    )
+    return scale.stage(table)
+
+
+def label_and_join(positions, events, attribution, deposits):
+    return assemble.label_users(assemble.merge_features(positions, events, attribution), deposits)
+
+
 def model_parts(spark, sf_dir):
-    """(train, test) vectors of all users: the training table is staged once."""
-    table = scale.stage(cleaning.keep_columns(full_table(spark, sf_dir), MODEL_FEATURES))
-    train, test = split.hash_split(table)
-    return [learn.to_vectors(part, MODEL_FEATURES).persist() for part in (train, test)], (train, test)
+    """Feature names, and vectors of the train and the test users."""
+    table = model_table(spark, sf_dir)
+    names = learn.feature_columns(table)
+    return names, *[learn.to_vectors(part, names) for part in split.hash_split(table)]
 
 
 @query("tree_importance")
 def tree_importance(spark, sf_dir):
-    (train, _), _ = model_parts(spark, sf_dir)
+    names, train, _ = model_parts(spark, sf_dir)
     model = learn.fit_tree(train, max_depth=8)
     return explore.top_rows(
-        learn.importances(spark, model, MODEL_FEATURES), "importance", 20, ties=("feature",)
+        learn.importances(spark, model, names), "importance", 20, ties=("feature",)
     )
 
 
 @query("tree_auc")
 def tree_auc(spark, sf_dir):
-    (train, test), _ = model_parts(spark, sf_dir)
+    _, train, test = model_parts(spark, sf_dir)
     return learn.evaluate(learn.fit_tree(train, max_depth=8), test)
 
 
 @query("gbt_scores")
 def gbt_scores(spark, sf_dir):
-    (train, test), _ = model_parts(spark, sf_dir)
+    _, train, test = model_parts(spark, sf_dir)
     model = learn.fit_boosted(train, rounds=10, maxDepth=3, stepSize=0.1)
     scored = model.transform(test)
     return scored.select("user_id", "target", learn.probability(scored).alias("score"))
@@ -1052,45 +1073,49 @@ def gbt_scores(spark, sf_dir):
 
 @query("gbt_auc")
 def gbt_auc(spark, sf_dir):
-    (train, test), _ = model_parts(spark, sf_dir)
+    _, train, test = model_parts(spark, sf_dir)
     model = learn.fit_boosted(train, rounds=10, maxDepth=3, stepSize=0.1)
     return learn.evaluate(model, test, use_probability=True)
 
 
 @query("gbt_auc_rounds")
 def gbt_auc_rounds(spark, sf_dir):
-    (train, test), _ = model_parts(spark, sf_dir)
+    _, train, test = model_parts(spark, sf_dir)
     return learn.auc_by_round(learn.fit_boosted(train, rounds=5, maxDepth=3), test)
 
 
 @query("grid_search")
 def grid_search(spark, sf_dir):
-    (train, _), _ = model_parts(spark, sf_dir)
+    names, train, _ = model_parts(spark, sf_dir)
     grid = {"learning_rate": [0.05, 0.1], "n_estimators": [3], "num_leaves": [4]}
     return learn.grid_search(train, grid, folds=2)[2]
 
 
 @query("random_search")
 def random_search(spark, sf_dir):
-    (train, _), _ = model_parts(spark, sf_dir)
+    names, train, _ = model_parts(spark, sf_dir)
     space = {"n_estimators": [4, 8], "max_depth": [3, 4, 5], "min_samples_leaf": [1, 2]}
     return learn.random_search(train, space, draws=3, folds=2)[2]
 
 
 @query("rfe_path")
 def rfe_path(spark, sf_dir):
-    _, (train, test) = model_parts(spark, sf_dir)
-    path = selection.elimination_path(train, MODEL_FEATURES, 4, step=2, test=test, max_depth=5)
+    table = model_table(spark, sf_dir)
+    train, test = split.hash_split(table)
+    path = selection.elimination_path(
+        train, learn.feature_columns(table), 4, step=4, test=test, max_depth=5
+    )
     rows = [(len(s.features), f, s.accuracy) for s in path for f in s.features]
     return spark.createDataFrame(rows, "size int, feature string, accuracy double")
 
 
 @query("optimal_features")
 def optimal_features(spark, sf_dir):
-    table = scale.stage(cleaning.keep_columns(full_table(spark, sf_dir), MODEL_FEATURES))
+    table = model_table(spark, sf_dir)
     train, test = split.hash_split(table, 0.3, seed=0)
     kept = selection.select_by_elimination(
-        train, MODEL_FEATURES, find_optimal=True, start=4, upto=9, test=test, step=0.25, max_depth=5
+        train, learn.feature_columns(table), find_optimal=True, start=6, upto=13, test=test,
+        step=0.25, max_depth=5,
     )
     return spark.createDataFrame([(i, f) for i, f in enumerate(kept)], "position int, feature string")
 
@@ -1099,12 +1124,11 @@ def optimal_features(spark, sf_dir):
 def save_load(spark, sf_dir):
     """Features, names, ids and a model written to a store and read back."""
     store = TableStore(spark, f"{scale.shared_dir(spark)}/store-{uuid.uuid4().hex}")
-    (train, test), (rows, _) = model_parts(spark, sf_dir)
-    store.save("merged", rows)
-    store.save_selected("rfe", MODEL_FEATURES)
+    table = store.save("merged", model_table(spark, sf_dir))
+    names = learn.feature_columns(table)
+    store.save_selected("rfe", names)
     store.save_ids("outliers", idsets.split_outliers(samples.positions(spark, sf_dir))[0])
-    store.save_model("tree", learn.fit_tree(train, max_depth=4))
-    names = store.selected_features("rfe", first=40)
-    vectors = learn.to_vectors(store.load("merged"), names)
-    kept = idsets.without_ids(vectors, store.load("outliers"))
-    return store.load_model("tree").transform(kept).select("user_id", "target", "prediction")
+    store.save_model("tree", learn.fit_tree(learn.to_vectors(table, names), max_depth=4))
+    kept = idsets.without_ids(store.load("merged"), store.load("outliers"))
+    vectors = learn.to_vectors(kept, store.selected_features("rfe", first=40))
+    return store.load_model("tree").transform(vectors).select("user_id", "target", "prediction")

@@ -20,6 +20,10 @@ MONEY = (
     "close_underlying_price", "open_underlying_price", "instrument_strike",
 )
 CONVERTED = ("buy_amount", "sell_amount", "pnl_realized", "pnl_total")
+CATEGORIES = (
+    "instrument_type", "user_balance_type", "position_type", "instrument_dir", "client_platform_id",
+    "close_reason", "instrument_underlying", "leverage",
+)
 
 
 def clean_positions(df, instruments=INSTRUMENTS):
@@ -76,15 +80,18 @@ def position_features(df, instruments=INSTRUMENTS, heavy_rows=HEAVY_ROWS):
     """One row per positions user.
 
     The cleaned rows are staged: several aggregates read them, and de-duplication is the most
-    expensive step of the plan.
+    expensive step of the plan. Only columns the features use are written.
     """
-    rows = stage(clean_positions(df, instruments).drop("volatility"))
+    enrolled = [f"{c}_enrolled" for c in CONVERTED]
+    used = ["user_id", "count", *MONEY, *enrolled, *CATEGORIES]
+    rows = stage(clean_positions(df, instruments).select(*used))
     return build_features(rows, FeatureSpec(parts=number_spec() + frequency_spec()), heavy_rows)
 
 
 def exploration_features(df):
     """The wider exploration table: deals, balances, all flags and unbucketed instruments."""
-    rows = stage(cleaning.drop_repeats(df))
+    used = ["user_id", "user_balance_id", "instrument_active_id", *CATEGORIES]
+    rows = stage(cleaning.drop_repeats(df).select(*used))
     parts = (
         DistinctCount("user_balance_id", "ids_balances_count"),
         *frequency_spec(),

@@ -2,6 +2,7 @@
 
 from ..operators.assemble import label_users, merge_features
 from ..operators.cleaning import keep_columns
+from ..operators.idsets import distinct_ids
 from ..sources.logs import LogConfig, read_logs
 from ..sources.store import TableStore
 from .attribution import attribution_features
@@ -15,6 +16,12 @@ ALWAYS_KEPT = (
 )
 
 
+def user_ids(spark, config=LogConfig()):
+    """Distinct ids of (deposits, positions, events, attribution), each as a table."""
+    deposits, positions, attribution, events = read_logs(spark, config)
+    return tuple(distinct_ids(log) for log in (deposits, positions, events, attribution))
+
+
 def training_table(deposits, positions, attribution, events, add_target=True, min_count=100,
                    instruments=INSTRUMENTS):
     """One row per positions user: all features, zero where absent, and the label."""
