@@ -103,6 +103,14 @@ def test_stage_reads_back_the_same_rows(spark):
     assert staged.columns == ["x.y", "c d", "e"] and bag(staged) == bag(df)
 
 
+def test_staged_tables_can_be_cleared(spark):
+    staged = scale.stage(spark.range(3))
+    assert staged.count() == 3
+    scale.clear_staged(spark)
+    with pytest.raises(Exception, match="FILE_NOT_EXIST|PATH_NOT_FOUND|FAILED_READ_FILE"):
+        staged.selectExpr("sum(id)").collect()
+
+
 def test_measured_bytes_counts_text(spark):
     short = spark.createDataFrame([("a",)] * 10, "t string")
     long = spark.createDataFrame([("a" * 1000,)] * 10, "t string")

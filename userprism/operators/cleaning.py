@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .scale import col, lookup_join, stage
+from .scale import col, fits_broadcast, lookup_join, stage
 
 
 def drop_repeats(df):
@@ -77,6 +77,7 @@ def bucket_rare(df, replacements, min_count=100):
     are staged once and looked up per column.
     """
     frequent = stage(frequent_values(df, list(replacements), min_count))
+    fits = fits_broadcast(frequent)
     order = [col(c) for c in df.columns]
     for column, replacement in replacements.items():
         data_type = df.schema[column].dataType
@@ -84,7 +85,8 @@ def bucket_rare(df, replacements, min_count=100):
             F.col("value").cast(data_type).alias(column), F.lit(True).alias("__frequent")
         )
         kept = F.when(F.col("__frequent"), col(column)).otherwise(F.lit(replacement).cast(data_type))
-        df = lookup_join(df, known, column, staged=True).withColumn(column, kept).select(*order)
+        found = lookup_join(df, known, column, staged=True, fits=fits)
+        df = found.withColumn(column, kept).select(*order)
     return df
 
 

@@ -4,7 +4,7 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from .scale import col, lookup_join, prefix_sums, quoted, stage
+from .scale import col, fits_broadcast, lookup_join, prefix_sums, quoted, stage
 
 # Quantile statistics by name.
 QUANTILES = {"q10": 0.10, "q25": 0.25, "median": 0.50, "q75": 0.75, "q90": 0.90, "q99": 0.99}
@@ -29,8 +29,13 @@ def exact_quantiles(df, key, columns, stats, heavy_rows=HEAVY_ROWS):
     if heavy.isEmpty():
         return by_percentile(rows, key, columns, stats)
     heavy = stage(heavy)
-    light = by_percentile(lookup_join(rows, heavy, key, "left_anti", staged=True), key, columns, stats)
-    ranked = by_rank(lookup_join(rows, heavy, key, "left_semi", staged=True), [key], columns, stats)
+    fits = fits_broadcast(heavy)
+
+    def part(how):
+        return lookup_join(rows, heavy, key, how, staged=True, fits=fits)
+
+    light = by_percentile(part("left_anti"), key, columns, stats)
+    ranked = by_rank(part("left_semi"), [key], columns, stats)
     # A heavy key whose numbers are all missing has no ranked cell but keeps its row.
     return light.unionByName(heavy.join(ranked, key, "left"))
 

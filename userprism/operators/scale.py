@@ -67,6 +67,14 @@ def stage(df):
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear_staged(spark):
+    """Delete the tables this application staged, once their results are no longer read."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in files.globStatus(spark._jvm.org.apache.hadoop.fs.Path(folder, "stage-*")):
+        files.delete(status.getPath(), True)
+
+
 def measured_bytes(df):
     """Uncompressed size of a frame, from one aggregate over it."""
     texts = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.StringType, T.BinaryType))]
@@ -83,15 +91,20 @@ def hot_keys(facts, key):
     return [r[0] for r in counts.filter(F.col("n") * HOT_SHARE > total).collect()]
 
 
-def lookup_join(facts, lookup, key, how="left", limit_bytes=BROADCAST_BYTES, staged=False):
+def fits_broadcast(table, limit_bytes=BROADCAST_BYTES):
+    return measured_bytes(table) <= limit_bytes
+
+
+def lookup_join(facts, lookup, key, how="left", limit_bytes=BROADCAST_BYTES, staged=False, fits=None):
     """Join many rows to a lookup that is unique on ``key``, without shuffling a hot key.
 
     The lookup is staged and measured. Within ``limit_bytes`` it is broadcast. Beyond, rows
     with a hot or null key meet only the hot part of the lookup (a broadcast of at most
-    HOT_SHARE rows) and all other rows are joined through a shuffle.
+    HOT_SHARE rows) and all other rows are joined through a shuffle. ``fits`` passes on a
+    measurement the caller has made of a staged lookup.
     """
     lookup = lookup if staged else stage(lookup)
-    if measured_bytes(lookup) <= limit_bytes:
+    if fits_broadcast(lookup, limit_bytes) if fits is None else fits:
         return facts.join(F.broadcast(lookup), key, how)
     hot = hot_keys(facts, key)
     is_hot = col(key).isin(hot) if hot else F.lit(False)
