@@ -59,8 +59,17 @@ def test_set_operations_fold_before_the_shuffle(events):
         assert text.count("partial_max") == 2  # bool_or runs as max
 
 
+def test_id_filters_stay_above_the_aggregate(events, no_broadcast):
+    per_user = ft.rows_per_key(events)
+    ids = events.filter("value > 100")
+    for df in (idsets.without_ids(per_user, ids), idsets.with_ids(per_user, ids)):
+        text = plan(df)
+        assert text.index("SortMergeJoin") < text.index("HashAggregate")
+        assert exchanges(text) == 2
+
+
 def test_lift_joins_folded_rows(events, no_broadcast):
-    text = plan(explore.label_counts(events, events.filter("value > 100"), ["event_type"]))
+    text = plan(explore.labelled_folds(events, events.filter("value > 100"), ["event_type"]))
     join = text.index("SortMergeJoin")
     assert text.index("HashAggregate", join) > join
     assert "partial_count" in text[join:]

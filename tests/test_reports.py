@@ -45,6 +45,7 @@ def test_outliers_and_summary(spark):
     assert (row["mean"], row["median"], row["q10"], row["max"], row["keys"]) == (12.46, 1.5, 1.0, 1000, 100)
     assert row["q99"] == pytest.approx(109.0)
     assert bag(idsets.without_ids(rows.select("user_id").distinct(), high))[-1] == (98,)
+    assert bag(idsets.with_ids(features.rows_per_key(rows), high.union(high))) == [(99, 1000)]
     left = idsets.outer_indicator(features.rows_per_key(rows), rest)
     assert bag(left) == [(99, 1000, "left_only", 1)]
 

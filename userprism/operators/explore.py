@@ -35,25 +35,21 @@ def count_summary(per_key, column="n"):
     )
 
 
-def label_counts(df, positive_ids, columns, key="user_id"):
-    """Rows per (label, feature, value), with the label taken from ``positive_ids``.
+def labelled_folds(df, positive_ids, columns, key="user_id"):
+    """(key, feature, value, n, made_depo): rows folded by key and value, then labelled.
 
-    Rows are first folded by (key, value), so the join on the key moves no hot key's rows.
-    A row without a value is counted under a null value; each row counts once per feature.
+    Folding first means the join on the key moves no hot key's rows. A row without a value is
+    kept under a null value, so each row counts once per feature.
     """
     pairs = [F.struct(F.lit(c).alias("feature"), col(c).cast("string").alias("value")) for c in columns]
     folded = (
-        df.select(col(key).alias("__key"), F.inline(F.array(*pairs)))
-        .groupBy("__key", "feature", "value")
+        df.select(col(key), F.inline(F.array(*pairs)))
+        .groupBy(col(key), "feature", "value")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    ids = distinct_ids(positive_ids, key).select(col(key).alias("__key"), F.lit(1).alias("made_depo"))
-    return (
-        folded.join(ids, "__key", "left")
-        .withColumn("made_depo", F.coalesce("made_depo", F.lit(0)))
-        .groupBy("made_depo", "feature", "value")
-        .agg(F.sum("n").alias("n"))
-    )
+    ids = distinct_ids(positive_ids, key).withColumn("made_depo", F.lit(1))
+    labelled = folded.join(ids, key, "left")
+    return labelled.withColumn("made_depo", F.coalesce("made_depo", F.lit(0)))
 
 
 def category_lift(df, positive_ids, columns, key="user_id"):
@@ -61,14 +57,16 @@ def category_lift(df, positive_ids, columns, key="user_id"):
 
     Shares are of all rows of the class, also those without a value.
     """
-    counts = label_counts(df, positive_ids, columns, key)
-    per_value = counts.groupBy("feature", "value").agg(
+    per_value = labelled_folds(df, positive_ids, columns, key).groupBy("feature", "value").agg(
         F.sum(F.when(F.col("made_depo") == 1, F.col("n")).otherwise(0)).alias("positive"),
         F.sum(F.when(F.col("made_depo") == 0, F.col("n")).otherwise(0)).alias("negative"),
     )
-    # Every row appears once under each feature, so one feature carries the class totals.
-    whole = per_value.filter(F.col("feature") == columns[0]).agg(
-        F.sum("positive").alias("positive"), F.sum("negative").alias("negative")
+    # Every row appears once under each feature, so one feature carries the class totals. A
+    # conditional sum keeps the plan below equal to the one above, whose shuffle is reused.
+    first = F.col("feature") == columns[0]
+    whole = per_value.agg(
+        F.sum(F.when(first, F.col("positive"))).alias("positive"),
+        F.sum(F.when(first, F.col("negative"))).alias("negative"),
     )
     lift = F.coalesce(
         F.try_divide("positive", whole.select("positive").scalar()), F.lit(0.0)

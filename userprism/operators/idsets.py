@@ -90,13 +90,18 @@ def split_outliers(df, key="user_id", probability=0.99):
 
 
 def without_ids(df, ids, key="user_id"):
-    """Rows of a per-user table whose id is not listed."""
-    return df.join(ids.select(col(key)), key, "left_anti")
+    """Rows of a per-user table whose id is not listed.
+
+    A flag from an outer join, as Spark may move an anti join below the aggregate that made
+    the table, where one user's rows would meet in one task.
+    """
+    listed = distinct_ids(ids, key).withColumn("__listed", F.lit(True))
+    return df.join(listed, key, "left").filter(F.col("__listed").isNull()).drop("__listed")
 
 
 def with_ids(df, ids, key="user_id"):
     """Rows of a per-user table whose id is listed."""
-    return df.join(ids.select(col(key)), key, "left_semi")
+    return df.join(distinct_ids(ids, key), key)
 
 
 def outer_indicator(left, right, keep_both=False):
