@@ -11,7 +11,7 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from userprism.plans.catalog import QUERIES  # noqa: E402
+from userprism.plans.queries import QUERIES  # noqa: E402
 from userprism.session import local_session  # noqa: E402
 
 HEADLINE = (

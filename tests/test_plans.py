@@ -85,7 +85,7 @@ def test_prefix_sums_keep_no_unpartitioned_rows(spark):
 
 @pytest.mark.parametrize("name", ["category_lift", "training_table", "overlap_report", "outlier_users"])
 def test_no_pairing_joins(spark, name):
-    from userprism.plans.catalog import QUERIES
+    from userprism.plans.queries import QUERIES
 
     text = plan(QUERIES[name](spark, SF_DIR))
     assert "CartesianProduct" not in text and "NestedLoop" not in text

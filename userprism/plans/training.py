@@ -3,6 +3,7 @@
 from ..operators.assemble import label_users, merge_features
 from ..operators.cleaning import keep_columns
 from ..operators.idsets import distinct_ids
+from ..operators.scale import stage
 from ..sources.logs import LogConfig, read_logs
 from ..sources.store import TableStore
 from .attribution import attribution_features
@@ -24,11 +25,15 @@ def user_ids(spark, config=LogConfig()):
 
 def training_table(deposits, positions, attribution, events, add_target=True, min_count=100,
                    instruments=INSTRUMENTS):
-    """One row per positions user: all features, zero where absent, and the label."""
+    """One row per positions user: all features, zero where absent, and the label.
+
+    The feature tables are staged, so that a train and a test split, or a second reader, only
+    join them again.
+    """
     merged = merge_features(
-        position_features(positions, instruments),
-        event_features(events),
-        attribution_features(attribution, min_count),
+        stage(position_features(positions, instruments)),
+        stage(event_features(events)),
+        stage(attribution_features(attribution, min_count)),
     )
     return label_users(merged, deposits) if add_target else merged
 
