@@ -49,6 +49,18 @@ def test_bad_cells(spark, tmp_path):
     assert bag(logs.bad_cells(spark, str(path), schemas.DEPOSITS)) == [("client_platform_id", 0), ("user_id", 1)]
 
 
+def test_whole_numbers_keep_their_digits(spark, tmp_path):
+    path = tmp_path / "d.csv"
+    path.write_text("user_id\tclient_platform_id\n9007199254740993\t3.0\n12.0\t1e3\n")
+    df = logs.read_delimited(spark, str(path), schemas.DEPOSITS)
+    assert bag(df) == [(12, 1000), (9007199254740993, 3)]
+    path = tmp_path / "e.csv"
+    path.write_text("user_id\tclient_platform_id\n3.7\t1\n")
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        logs.read_delimited(spark, str(path), schemas.DEPOSITS).collect()
+    assert logs.read_delimited(spark, str(path), schemas.DEPOSITS, on_bad_cell="null").first() == (None, 1)
+
+
 def test_store(spark, tmp_path):
     store = TableStore(spark, str(tmp_path / "store"))
     store.save_selected("rfe", ["b", "a", "c d.e"])

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from .cleaning import fill_zero
 from .idsets import distinct_ids
-from .scale import col, lookup_join
+from .scale import lookup_join
 
 
 def side_by_side(a, b, key="user_id"):

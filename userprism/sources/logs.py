@@ -43,21 +43,25 @@ def read_delimited(spark, path, schema, delimiter="\t", multiline=False, on_bad_
     declared = {f.name: f.dataType for f in schema.fields}
 
     def typed(name):
-        c = col(name)
         target = declared.get(name, T.StringType())
         if isinstance(target, T.StringType):
-            return c
-        # A whole column with gaps is often written as 3.0; read it as a number first.
-        c = c.cast("double") if _is_whole(target) and on_bad_cell == "fail" else c
-        if on_bad_cell == "null":
-            c = c.try_cast("double").try_cast(target) if _is_whole(target) else c.try_cast(target)
-        return c.cast(target).alias(name)
+            return col(name)
+        lenient = _lenient_cast(col(name), target)
+        # Where the lenient reading finds nothing, a plain cast raises on a present cell.
+        value = F.coalesce(lenient, col(name).cast(target)) if on_bad_cell == "fail" else lenient
+        return value.alias(name)
 
     return normalize_missing(raw.select(*[typed(c) for c in raw.columns]))
 
 
-def _is_whole(data_type):
-    return isinstance(data_type, T.IntegralType)
+def _lenient_cast(column, target):
+    """The cell as its type, or null. A whole number may be written as 3.0, as happens to whole
+    columns with gaps; ids keep all their digits."""
+    direct = column.try_cast(target)
+    if not isinstance(target, T.IntegralType):
+        return direct
+    exact = column.try_cast("decimal(38,6)")
+    return F.coalesce(direct, F.when(exact == F.floor(exact), exact.try_cast(target)))
 
 
 def _raw(spark, path, delimiter, multiline):
@@ -73,7 +77,7 @@ def bad_cells(spark, path, schema, delimiter="\t", multiline=False):
     counts = [
         F.struct(
             F.lit(f.name).alias("column"),
-            F.count_if(col(f.name).isNotNull() & col(f.name).try_cast(f.dataType).isNull()).alias("bad"),
+            F.count_if(col(f.name).isNotNull() & _lenient_cast(col(f.name), f.dataType).isNull()).alias("bad"),
         )
         for f in schema.fields
     ]
