@@ -1,6 +1,8 @@
 """The named queries of the ten operators over the driver's tables."""
 
-from . import fingerprints
+import public_tokenizers
+
+from . import bytebpe, fingerprints, packing
 
 QUERIES, ORACLES = {}, {}
 
@@ -22,3 +24,14 @@ def table(spark, sf_dir, name):
 @query("op1_fingerprints")
 def op1_fingerprints(spark, sf_dir):
     return fingerprints.compare_with_edits(table(spark, sf_dir, "documents"))
+
+
+@query("op2_packing")
+def op2_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op8_byte_bpe")
+def op8_byte_bpe(spark, sf_dir):
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return bytebpe.round_trip(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
