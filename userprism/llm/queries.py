@@ -2,7 +2,7 @@
 
 import public_tokenizers
 
-from . import bytebpe, fingerprints, packing
+from . import bytebpe, fingerprints, packing, substrings
 
 QUERIES, ORACLES = {}, {}
 
@@ -31,6 +31,11 @@ def op2_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+@query("op5_substring_dedup")
+def op5_substring_dedup(spark, sf_dir):
+    return substrings.digests(table(spark, sf_dir, "documents"))
+
+
 @query("op8_byte_bpe")
 def op8_byte_bpe(spark, sf_dir):
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")

@@ -97,11 +97,26 @@ def lower_ascii(data):
 
 
 def words(column, separators=SPACES, lower=False):
-    """Split and hash every text; equal words have equal hashes."""
+    """Split and hash every text; equal words have equal hashes.
+
+    Long columns are hashed in parts of about ``BATCH_BYTES``, cut between texts.
+    """
     data, offsets = text_bytes(column)
     if lower:
         data = lower_ascii(data)
-    return words_of(data, offsets, separator_table(separators))
+    table = separator_table(separators)
+    if len(data) <= 2 * BATCH_BYTES:
+        return words_of(data, offsets, table)
+    parts, at, seen = [], 0, 0
+    while at < len(offsets) - 1:
+        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + BATCH_BYTES, side="right")) - 1)
+        found = words_of(data[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at], table)
+        first = found.first[: end - at] + seen
+        parts.append((found.start + offsets[at], found.end + offsets[at], found.hash, first))
+        seen += len(found.start)
+        at = end
+    start, stop, hashes, first = (np.concatenate(c) for c in zip(*parts))
+    return Words(start, stop, hashes, np.append(first, seen))
 
 
 def words_of(data, offsets, table):
