@@ -2,7 +2,7 @@
 
 import public_tokenizers
 
-from . import bytebpe, fingerprints, packing, substrings
+from . import bytebpe, fingerprints, jaccard, packing, substrings
 
 QUERIES, ORACLES = {}, {}
 
@@ -40,3 +40,8 @@ def op5_substring_dedup(spark, sf_dir):
 def op8_byte_bpe(spark, sf_dir):
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return bytebpe.round_trip(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+
+
+@query("op10_jaccard_join")
+def op10_jaccard_join(spark, sf_dir):
+    return jaccard.link(table(spark, sf_dir, "documents"))
