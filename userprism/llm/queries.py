@@ -2,7 +2,7 @@
 
 import public_tokenizers
 
-from . import bytebpe, fingerprints, jaccard, packing, substrings
+from . import bytebpe, fingerprints, jaccard, packing, rabit, substrings
 
 QUERIES, ORACLES = {}, {}
 
@@ -31,6 +31,11 @@ def op2_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+@query("op4_one_bit_codes")
+def op4_one_bit_codes(spark, sf_dir):
+    return rabit.neighbours(table(spark, sf_dir, "embeddings"))
+
+
 @query("op5_substring_dedup")
 def op5_substring_dedup(spark, sf_dir):
     return substrings.digests(table(spark, sf_dir, "documents"))
