@@ -2,7 +2,7 @@
 
 import public_tokenizers
 
-from . import bytebpe, fingerprints, jaccard, packing, rabit, substrings
+from . import bytebpe, fingerprints, jaccard, packing, rabit, substrings, warc
 
 QUERIES, ORACLES = {}, {}
 
@@ -47,6 +47,24 @@ def op8_byte_bpe(spark, sf_dir):
     return bytebpe.round_trip(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+OP9_SQL = """
+WITH rows AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+), firsts AS (
+  SELECT payload_digest, max(page_id) AS original FROM rows WHERE payload_bytes >= 1000 GROUP BY payload_digest
+)
+SELECT r.page_id, r.payload_bytes, r.payload_digest,
+  CASE WHEN f.original IS NULL OR f.original = r.page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN f.original <> r.page_id THEN f.original END AS refers_to
+FROM rows r LEFT JOIN firsts f ON r.payload_digest = f.payload_digest AND r.payload_bytes >= 1000
+"""
+
+
+@query("op9_warc", OP9_SQL)
+def op9_warc(spark, sf_dir):
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 @query("op10_jaccard_join")
 def op10_jaccard_join(spark, sf_dir):
     return jaccard.link(table(spark, sf_dir, "documents"))
