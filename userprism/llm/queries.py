@@ -2,7 +2,7 @@
 
 import public_tokenizers
 
-from . import bytebpe, fingerprints, jaccard, packing, rabit, substrings, warc
+from . import bytebpe, fingerprints, jaccard, packing, quality, rabit, substrings, warc
 
 QUERIES, ORACLES = {}, {}
 
@@ -31,6 +31,11 @@ def op2_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+@query("op3_quality")
+def op3_quality(spark, sf_dir):
+    return quality.held_out_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query("op4_one_bit_codes")
 def op4_one_bit_codes(spark, sf_dir):
     return rabit.neighbours(table(spark, sf_dir, "embeddings"))
