@@ -34,13 +34,18 @@ class WordTokenizer:
     """Token bytes (little-endian 32 bits) of whole texts, word by word.
 
     The tokenizer drops white space and never joins over it, so a text's tokens are its
-    words' tokens in a row. Tokens of recent words are kept, twice ``keep`` words at most.
+    words' tokens in a row. Tokens of recent words of up to ``LONGEST`` characters are kept,
+    twice ``keep`` words at most.
     """
 
+    LONGEST = 48
+
     # str.split also cuts at these control characters, the tokenizer does not.
     ODD = re.compile("[\x1c-\x1f]")
+    # Letters that lower-case one by one, then signs: the tokenizer cuts between the two.
+    PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,!?;:|%$#&*]*)")
 
-    def __init__(self, path, keep=250_000):
+    def __init__(self, path, keep=600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -48,27 +53,42 @@ class WordTokenizer:
         self._new, self._old = {}, {}
 
     def _learn(self, words):
-        """Take up the tokens of words that are not at hand."""
+        """Take up the tokens of words that are not at hand; those of long words are returned."""
         if len(self._new) >= self.keep:
             self._new, self._old = {}, self._new
-        old = self._old
-        missing = []
+        new, old = self._new, self._old
+        missing, parts, long = set(), [], [w for w in words if len(w) > self.LONGEST]
+        long = dict(zip(long, self.run.encode_batch_fast(long, add_special_tokens=False))) if long else {}
         for w in words:
+            if w in long:
+                continue
             if w in old:
-                self._new[w] = old[w]
-            else:
-                missing.append(w)
-        for w, found in zip(missing, self.run.encode_batch(missing, add_special_tokens=False)):
-            self._new[w] = np.array(found.ids, "<u4").tobytes()
+                new[w] = old[w]
+                continue
+            plain = self.PLAIN.fullmatch(w)
+            core, tail = (plain[1].lower(), plain[2]) if plain else (w, "")
+            parts.append((w, core, tail))
+            for part in (core, tail):
+                if part not in new:
+                    if part in old:
+                        new[part] = old[part]
+                    else:
+                        missing.add(part)
+        missing = list(missing)
+        for w, found in zip(missing, self.run.encode_batch_fast(missing, add_special_tokens=False)):
+            new[w] = np.array(found.ids, "<u4").tobytes()
+        for w, core, tail in parts:
+            new[w] = new[core] + new[tail]
+        return {w: np.array(found.ids, "<u4").tobytes() for w, found in long.items()}
 
     def encode(self, text):
         words = text.split(" ") if self.ODD.search(text) else text.split()
         get = self._new.get
         found = [get(w) for w in words]
         if None in found:
-            self._learn({w for w, b in zip(words, found) if b is None})
-            new, old = self._new, self._old
-            found = [new[w] if w in new else old[w] for w in words]
+            long = self._learn({w for w, b in zip(words, found) if b is None})
+            new, old = self._new, self._old  # a filled-up cache may just have become the old one
+            found = [new[w] if w in new else old[w] if w in old else long[w] for w in words]
         return b"".join(found)
 
 
