@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from . import textops
 
-BLOCK_BYTES = 16 * 1024 * 1024
+BLOCK_BYTES = 8 * 1024 * 1024
 BLOCK = "__block"
 
 INDEX = "__block int, bucket int, entries binary, repeated binary"
