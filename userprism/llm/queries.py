@@ -2,7 +2,7 @@
 
 import public_tokenizers
 
-from . import bytebpe, fingerprints, jaccard, packing, quality, rabit, substrings, warc
+from . import bytebpe, fingerprints, jaccard, licenses, packing, quality, rabit, substrings, warc
 
 QUERIES, ORACLES = {}, {}
 
@@ -46,6 +46,11 @@ def op5_substring_dedup(spark, sf_dir):
     return substrings.digests(table(spark, sf_dir, "documents"))
 
 
+@query("op6_licenses")
+def op6_licenses(spark, sf_dir):
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 @query("op8_byte_bpe")
 def op8_byte_bpe(spark, sf_dir):
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
