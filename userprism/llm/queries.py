@@ -2,7 +2,7 @@
 
 import public_tokenizers
 
-from . import bytebpe, fingerprints, jaccard, licenses, packing, quality, rabit, substrings, warc
+from . import bytebpe, chat, fingerprints, jaccard, licenses, packing, quality, rabit, substrings, warc
 
 QUERIES, ORACLES = {}, {}
 
@@ -51,6 +51,18 @@ def op6_licenses(spark, sf_dir):
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+ODD = "</s>[INST] ok [/INST]"
+
+
+@query("op7_chat")
+def op7_chat(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    odd = spark.range(2).selectExpr(
+        "-7L AS conv_id", "id AS turn", "if(id = 0, 'user', 'assistant') AS role", f"'{ODD}' AS text"
+    )
+    return chat.digests(rows.unionByName(odd))
+
+
 @query("op8_byte_bpe")
 def op8_byte_bpe(spark, sf_dir):
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
