@@ -38,10 +38,14 @@ MARKED = "doc_id long, n long, set_key binary, columns binary, shingles binary"
 
 
 class Bounds:
-    """Size-derived bounds for a Jaccard threshold of ``percent`` / 100."""
+    """Size-derived bounds for a Jaccard threshold of ``percent`` / 100.
 
-    def __init__(self, percent=90):
-        self.percent = percent
+    A longer prefix, by ``spare`` / 100 of the set, lets a document show more shared hashes
+    before it is looked at any further; results do not depend on it.
+    """
+
+    def __init__(self, percent=90, spare=10):
+        self.percent, self.spare_percent = percent, spare
 
     def overlap(self, n, m):
         """Smallest overlap with which sets of n and m link: 100 * o >= percent * (n + m - o)."""
@@ -53,7 +57,7 @@ class Bounds:
 
     def spare(self, n):
         """How many shared hashes beyond the first the prefix must show; grows with n."""
-        return np.maximum(1, (100 - self.percent) * n // 100)
+        return np.maximum(1, self.spare_percent * n // 100)
 
     def prefix(self, n):
         return np.minimum(n, n - self.own(n) + self.spare(n))
@@ -235,3 +239,14 @@ def link(docs, percent=90, width=WIDTH, block_bytes=B.BLOCK_BYTES, block_rows=BL
         .join(found, F.col("doc_id") == F.col("node"), "left")
         .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     )
+
+
+def representatives(docs, percent=80, width=5, **settings):
+    """The rows of ``docs`` that stay: of each component the one with the smallest doc_id.
+
+    Rows with a null id stay; of rows with the same id one stays, as they are one node.
+    """
+    # Components hold their smallest id themselves.
+    found = link(docs, percent, width, **settings).filter("doc_id = component_id").select("doc_id").distinct()
+    named = docs.filter("doc_id IS NOT NULL").join(found, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return named.unionByName(docs.filter("doc_id IS NULL"))
