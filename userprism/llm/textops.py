@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 
 SPACES = bytes([0x20, *range(0x09, 0x0E)])
-BATCH_BYTES = 4 * 1024 * 1024
+BATCH_BYTES = 2 * 1024 * 1024
 
 _RANDOM = np.random.Generator(np.random.PCG64(20240607))
 _BYTE_VALUES = _RANDOM.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -105,7 +105,7 @@ def words(column, separators=SPACES, lower=False):
     if lower:
         data = lower_ascii(data)
     table = separator_table(separators)
-    if len(data) <= 2 * BATCH_BYTES:
+    if len(data) <= BATCH_BYTES:
         return words_of(data, offsets, table)
     parts, at, seen = [], 0, 0
     while at < len(offsets) - 1:
