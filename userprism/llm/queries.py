@@ -3,13 +3,18 @@
 import public_tokenizers
 
 from . import bytebpe, chat, fingerprints, jaccard, licenses, packing, quality, rabit, substrings, warc
+from .shipping import ship
 
 QUERIES, ORACLES = {}, {}
 
 
 def query(name, sql=None):
     def register(function):
-        QUERIES[name] = function
+        def run(spark, sf_dir):
+            ship(spark)
+            return function(spark, sf_dir)
+
+        QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = sql
         return function
