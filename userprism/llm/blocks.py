@@ -17,7 +17,7 @@ from . import textops
 BLOCK_BYTES = 8 * 1024 * 1024
 BLOCK = "__block"
 
-INDEX = "__block int, bucket int, entries binary, repeated binary"
+INDEX = "__block int, bucket int, entries binary, times binary"
 ANSWERS = "__block int, bucket int, known binary, detail binary"
 
 
@@ -52,15 +52,16 @@ class Entries:
         self.hash, self.bucket = h[new], b[new]
         self.times = np.bincount(at, minlength=len(self.hash))
 
-    def index(self, block, repeated):
-        """The block's rows of the index, one per bucket."""
+    def index(self, block):
+        """The block's rows of the index, one per bucket; times are counted up to 255."""
         numbers, first = np.unique(self.bucket, return_index=True)
         last = np.append(first[1:], len(self.hash))
+        times = np.minimum(self.times, 255).astype(np.uint8)
         return pa.table({
             BLOCK: pa.array(np.full(len(numbers), block, np.int32)),
             "bucket": pa.array(numbers.astype(np.int32)),
             "entries": pa.array([self.hash[a:b].tobytes() for a, b in zip(first, last)], pa.binary()),
-            "repeated": pa.array([np.packbits(repeated[a:b]).tobytes() for a, b in zip(first, last)], pa.binary()),
+            "times": pa.array([times[a:b].tobytes() for a, b in zip(first, last)], pa.binary()),
         })
 
     def read(self, answers):
@@ -76,17 +77,14 @@ class Entries:
 
 
 def _merge(table, count):
-    """Answers of one bucket. ``detail`` of a known entry: the number of blocks that hold it, or
-    the lowest other block that does (the own one if it only repeats there)."""
+    """Answers of one bucket. ``detail`` of a known entry: how often all blocks hold it, or the
+    lowest other block that does (the own one if it only repeats there)."""
     blocks = table.column(BLOCK).to_numpy()
     parts = [np.frombuffer(e, np.uint64) for e in table.column("entries").to_pylist()]
-    bits = [
-        np.unpackbits(np.frombuffer(r, np.uint8), count=len(p)).astype(bool)
-        for r, p in zip(table.column("repeated").to_pylist(), parts)
-    ]
     ends = np.cumsum([len(p) for p in parts])
     owner = np.repeat(blocks, [len(p) for p in parts])
-    hashes, repeated = np.concatenate(parts), np.concatenate(bits)
+    hashes = np.concatenate(parts)
+    times = np.frombuffer(b"".join(table.column("times").to_pylist()), np.uint8)
     order = np.lexsort((owner, hashes))
     h, o = hashes[order], owner[order]
     new = np.ones(len(h), bool)
@@ -94,11 +92,12 @@ def _merge(table, count):
     first = np.flatnonzero(new)
     group = np.cumsum(new) - 1
     size = np.diff(np.append(first, len(h)))
+    total = np.add.reduceat(times[order].astype(np.int64), first)
     known = np.empty(len(h), bool)
-    known[order] = (size[group] > 1) | repeated[order]
+    known[order] = total[group] > 1
     detail = np.empty(len(h), np.int32)
     if count:
-        detail[order] = size[group]
+        detail[order] = np.minimum(total, 2**31 - 1)[group]
     else:
         second = o[np.minimum(first + 1, len(o) - 1)]
         lowest = o[first][group]
@@ -119,17 +118,15 @@ def answers(index, count=False):
     return index.groupBy("bucket").applyInArrow(lambda table: _merge(table, count), ANSWERS)
 
 
-def resolve(rows, entries_of, repeated_of, finish, schema, count=False):
-    """Run ``finish(table, entries, known, detail)`` on each block of ``rows`` (see ``dealt``).
+def resolve(rows, entries_of, finish, schema, count=False):
+    """Run ``finish(table, entries, more, known, detail)`` on each block of ``rows`` (see ``dealt``).
 
-    ``entries_of(table)`` makes a block's ``Entries`` and what ``finish`` needs besides;
-    ``repeated_of(entries, more)`` tells which repeat inside the block. ``rows`` enters both
-    passes with the same columns, so Spark shuffles it once and reuses that shuffle.
+    ``entries_of(table)`` makes a block's ``Entries`` and what ``finish`` needs besides. ``rows``
+    enters both passes with the same columns, so Spark shuffles it once and reuses that shuffle.
     """
 
     def index(table):
-        entries, more = entries_of(table)
-        return entries.index(table.column(BLOCK)[0].as_py(), repeated_of(entries, more))
+        return entries_of(table)[0].index(table.column(BLOCK)[0].as_py())
 
     def close(table, answer):
         entries, more = entries_of(table)

@@ -9,10 +9,10 @@ Only rows of the matrix that can reach the threshold take part, which sizes alon
    first, as many columns as a linked row cannot avoid; rows that meet in a column are of one
    family.
 3. A family's rows are compared with its smallest id first. Those linked with it are of one
-   component already and are not compared with each other; all other pairs meet in blocks of at
-   most ``BLOCK_ROWS`` rows, whose sparse product accumulates the overlap counts. Pairs whose
-   sizes or whose overlap stay below the bound are discarded there, and of the links a block
-   finds only a spanning forest leaves it.
+   component already and are not compared with each other. All other pairs of fitting size
+   classes meet in blocks of at most ``BLOCK_ROWS`` rows and ``BLOCK_SETS`` bytes, whose sparse
+   product accumulates the overlap counts. Pairs whose overlap stays below the bound of their
+   sizes are discarded there, and of the links of a block only a spanning forest leaves it.
 
 Every link between different texts is on a path of found links, so components are whole.
 Defined results: a document without words has no shingles and links with nothing, nor does one
@@ -21,6 +21,7 @@ not read.
 """
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,9 @@ from . import textops
 from .components import components
 
 WIDTH = 3
-BLOCK_ROWS = 256
+BLOCK_ROWS = 1024
+BLOCK_SETS = 4 * 1024 * 1024
+MOST = 1 << 32  # blocks of a cell
 
 MARKED = "doc_id long, n long, set_key binary, columns binary, shingles binary"
 
@@ -94,7 +97,7 @@ def marked(docs, bounds, width, block_bytes):
         shared = known[entries.of]
         count = np.bincount(owner[shared], minlength=len(n))
         stays = (count >= bounds.least(n)) & (n > 0)
-        # Rarest first: fewest blocks, then hash. Hashes that occur nowhere else come before all.
+        # Rarest first, then by hash. Hashes that occur nowhere else come before all.
         at = np.flatnonzero(shared & stays[owner])
         value, mine = entries.hash[entries.of[at]], owner[at]
         order = np.lexsort((value, detail[entries.of[at]], mine))
@@ -112,24 +115,55 @@ def marked(docs, bounds, width, block_bytes):
 
     rows = docs.select(F.col("doc_id").cast("long"), "text")
     return B.resolve(
-        B.dealt(rows, n_blocks), lambda t: _sets(t, n_blocks, bounds, width), lambda e, _: e.times > 1, finish, MARKED,
-        count=True,
+        B.dealt(rows, n_blocks), lambda t: _sets(t, n_blocks, bounds, width), finish, MARKED, count=True
     )
 
 
+def _overlaps(sets, left, right):
+    """(row of ``left``, overlaps with all rows of ``right``), one after the other.
+
+    Columns that one row alone has are left out. Where few columns are left for many meetings
+    they are multiplied as dense strips, else row by row over the sorted columns of ``right``.
+    """
+    rows = np.union1d(left, right)
+    keys = np.concatenate([sets[r] for r in rows])
+    row = np.repeat(np.arange(len(rows)), [len(sets[r]) for r in rows])
+    _, column, times = np.unique(keys, return_inverse=True, return_counts=True)
+    shared = np.cumsum(times > 1) - 1
+    keep = times[column] > 1
+    row, column = row[keep], shared[column[keep]]
+    width = int(shared[-1]) + 1 if len(shared) else 0
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    at_left, at_right = np.searchsorted(rows, left), np.searchsorted(rows, right)
+    df = np.bincount(column, minlength=width).astype(float)
+    if len(left) * len(right) * width < 100 * (df * df).sum():
+        total = np.zeros((len(left), len(right)), np.float32)
+        for low in range(0, width, 4096):
+            a, b = np.searchsorted(column, [low, low + 4096])
+            strip = np.zeros((len(rows), 4096), np.float32)
+            strip[row[a:b], column[a:b] - low] = 1
+            total += strip[at_left] @ strip[at_right].T
+        yield from zip(left, total)
+        return
+    place = np.full(len(rows), -1)
+    place[at_right] = np.arange(len(right))
+    inside = place[row] >= 0
+    owner, key = place[row[inside]], column[inside]
+    by_row = np.argsort(row, kind="stable")
+    ends = np.searchsorted(row[by_row], np.arange(len(rows) + 1))
+    for i, r in zip(left, at_left):
+        mine = column[by_row[ends[r] : ends[r + 1]]]
+        a, b = np.searchsorted(key, mine, side="left"), np.searchsorted(key, mine, side="right")
+        n = b - a
+        at = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        yield i, np.bincount(owner[at], minlength=len(right))
+
+
 def _links(sets, n, left, right, bounds):
-    """Product of the rows ``left`` with the rows ``right``: pairs (i, j), i < j by place, that link."""
-    keys = np.concatenate([sets[j] for j in right])
-    owner = np.repeat(np.arange(len(right)), [len(sets[j]) for j in right])
-    order = np.argsort(keys, kind="stable")
-    keys, owner = keys[order], owner[order]
-    sizes = n[right]
-    for i in left:
-        a, b = np.searchsorted(keys, sets[i], side="left"), np.searchsorted(keys, sets[i], side="right")
-        width = b - a
-        at = np.repeat(a - (np.cumsum(width) - width), width) + np.arange(width.sum())
-        overlap = np.bincount(owner[at], minlength=len(right))
-        for k in np.flatnonzero((overlap >= bounds.overlap(n[i], sizes)) & (overlap > 0)):
+    """Pairs (i, j) of rows of ``left`` and ``right`` whose overlap reaches the bound of their sizes."""
+    for i, overlap in _overlaps(sets, left, right):
+        for k in np.flatnonzero((overlap >= bounds.overlap(n[i], n[right])) & (overlap > 0)):
             yield i, right[k]
 
 
@@ -186,18 +220,31 @@ def _family_links(rows, bounds, block_rows):
         .mapInArrow(with_head, "family long, doc_id long, shingles binary, linked boolean")
     )
     stars = compared.filter("linked").select(F.col("doc_id").alias("a"), F.col("family").alias("b"))
-    sizes = compared.groupBy("family").agg(
-        F.ceil(F.count(F.when(~F.col("linked"), 1)) / block_rows).cast("int").alias("free"),
-        F.ceil(F.count(F.when(F.col("linked"), 1)) / block_rows).cast("int").alias("covered"),
-    ).filter("free > 0")
-    # Blocks 0 .. free - 1 hold the rows that are not linked with the head, later ones the others.
-    own = F.when(F.col("linked"), F.col("free") + F.pmod(F.xxhash64("doc_id"), "covered")).otherwise(
-        F.pmod(F.xxhash64("doc_id"), "free")
-    ).cast("int")
-    partners = F.when(F.col("linked"), F.sequence(F.lit(0), F.col("free") - 1)).otherwise(
-        F.sequence(F.lit(0), F.col("free") + F.col("covered") - 1)
+    # Linked sizes differ by the threshold at most, so by one step of these classes.
+    step = math.log(100 / bounds.percent) * (1 + 1e-9)
+    n = F.octet_length("shingles") / 8
+    placed = compared.withColumn("class", F.floor(F.log(n) / step))
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / block_rows), F.ceil(F.sum(F.octet_length("shingles")) / BLOCK_SETS))
+    cells = placed.groupBy("family", "class", "linked").agg(blocks.alias("blocks"), F.count(F.lit(1)).alias("rows"))
+    # A few entries for each class of a family; families of linked rows alone need no more.
+    maps = cells.groupBy("family").agg(
+        F.map_from_entries(F.collect_list(F.struct(F.struct("class", "linked").alias("cell"), "blocks"))).alias("cells"),
+        F.count_if(~F.col("linked")).alias("free"),
+    ).filter("free > 0").drop("free")
+
+    def labels(cell_class, linked):
+        """Numbers of all blocks of a cell."""
+        count = F.try_element_at("cells", F.struct(cell_class.alias("class"), linked.alias("linked")))
+        base = (cell_class * 2 + linked.cast("long")) * MOST
+        return F.when(count.isNull(), F.array().cast("array<bigint>")).otherwise(F.sequence(base, base + count - 1))
+
+    own = (F.col("class") * 2 + F.col("linked").cast("long")) * MOST + F.pmod(
+        F.xxhash64("doc_id"), F.element_at("cells", F.struct("class", "linked"))
     )
-    dealt = compared.join(sizes, "family").withColumn("own", own).withColumn("other", F.explode(partners))
+    free = F.concat(*[labels(F.col("class") + d, F.lit(False)) for d in (-1, 0, 1)])
+    covered = F.concat(*[labels(F.col("class") + d, F.lit(True)) for d in (-1, 0, 1)])
+    partners = F.when(F.col("linked"), free).otherwise(F.concat(free, covered))
+    dealt = placed.join(maps, "family").withColumn("own", own).withColumn("other", F.explode(partners))
     met = dealt.select(
         "family", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "doc_id", "shingles",
         F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"),

@@ -70,7 +70,7 @@ def _run(docs, finish, schema, width, block_bytes):
         return finish(table, found, factors)
 
     return B.resolve(
-        B.dealt(docs, n), lambda table: _windows(table, n, width), lambda entries, _: entries.times > 1, close, schema
+        B.dealt(docs, n), lambda table: _windows(table, n, width), close, schema
     )
 
 
