@@ -101,3 +101,41 @@ def test_from_files_to_the_merged_table(spark, tmp_path):
     assert merged[2]["ids_events_count"] == 1 and merged[2]["uses_aff_id_99999"] == 0
     again = logs.LogConfig(**{**config.__dict__, "reuse_prepared": True})
     assert by_key(training.build_store(spark, again)) == merged
+
+
+def test_rows_with_other_numbers_of_cells(spark, tmp_path):
+    path = tmp_path / "rows.csv"
+    path.write_text('user_id\tclient_platform_id\n1\t9\n2\n3\t9\textra\n4\t9\t\n"5"\t"9"\n')
+    with pytest.raises(Exception, match="more cells than columns"):
+        logs.read_delimited(spark, str(path), schemas.DEPOSITS).collect()
+    rows = bag(logs.read_delimited(spark, str(path), schemas.DEPOSITS, on_bad_cell="null"))
+    assert rows == sorted([(1, 9), (2, None), (3, 9), (4, 9), (5, 9)], key=repr)
+    few = logs.read_delimited(spark, str(path), schemas.DEPOSITS).select("user_id")
+    with pytest.raises(Exception, match="more cells than columns"):
+        few.collect()
+    assert tuple(logs.long_rows(spark, str(path)).first()) == (2, 5)
+
+
+def test_a_file_with_other_column_order_stops_the_read(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("user_id\tclient_platform_id\n1\t9\n")
+    (tmp_path / "b.csv").write_text("client_platform_id\tuser_id\n9\t2\n")
+    with pytest.raises(Exception, match="CSV header does not conform"):
+        logs.read_delimited(spark, str(tmp_path), schemas.DEPOSITS).collect()
+
+
+def test_settings_reach_the_reader(spark, tmp_path):
+    (tmp_path / "e.csv").write_text('user_id\tname\n1\t"two\nlines"\nx\tb\n')
+    schema = "user_id long, name string"
+    schema = spark.createDataFrame([], schema).schema
+    config = logs.LogConfig("", "", "", "", multiline=True, on_bad_cell="null")
+    assert bag(logs.read_log(spark, str(tmp_path / "e.csv"), schema, config)) == [(1, "two\nlines"), (None, "b")]
+
+
+def test_stored_logs_are_checked_too(spark, tmp_path):
+    spark.createDataFrame([("1", 9, 0.5)], "user_id string, client_platform_id int, more double").write.parquet(str(tmp_path / "p"))
+    config = logs.LogConfig("", "", "", "", file_format="parquet")
+    found = logs.read_log(spark, str(tmp_path / "p"), schemas.DEPOSITS, config)
+    assert found.dtypes == [("user_id", "bigint"), ("client_platform_id", "bigint"), ("more", "double")] and found.first() == (1, 9, 0.5)
+    spark.createDataFrame([(1,)], "user_id long").write.parquet(str(tmp_path / "q"))
+    with pytest.raises(ValueError, match="lacks columns"):
+        logs.read_log(spark, str(tmp_path / "q"), schemas.DEPOSITS, config)

@@ -1,0 +1,101 @@
+"""Categories of any type and of any number of values; settings and sizes of the learning part."""
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from conftest import bag, by_key
+from userprism.functions import jsonprops
+from userprism.operators import correlation, features as ft, learn, selection, sparse
+
+KINDS = {
+    "float": ("0.1", "0.5"), "double": ("0.1", "0.5"), "decimal(6,2)": ("0.10", "12.50"), "date": ("2020-01-01", "2020-01-02"),
+    "boolean": ("true", "false"), "int": ("1", "2"), "timestamp_ntz": ("2020-01-01 00:00:00", "2020-01-02 01:00:00"),
+}
+
+
+@pytest.mark.parametrize("kind", KINDS)
+@pytest.mark.parametrize("pivot", [False, True])
+def test_categories_compare_in_their_own_type(spark, monkeypatch, kind, pivot):
+    monkeypatch.setattr(ft, "PIVOT_VALUES", 0 if pivot else 60)
+    a, b = KINDS[kind]
+    rows = spark.createDataFrame([(1, a, 2.0), (1, a, 3.0), (1, b, 4.0), (2, b, 5.0), (2, None, 6.0)], "user_id long, c string, x double")
+    rows = rows.withColumn("c", F.col("c").cast(kind))
+    spec = ft.FeatureSpec(parts=(ft.CountBy("c"), ft.FlagBy("c"), ft.SumBy("x", "c")))
+    values = ft.discover_values(rows, ["c"])["c"]
+    low, high = values if values[0] is not False else values[::-1]
+    got = by_key(ft.build_features(rows, spec))
+    name = lambda template, v: ft.feature_name(template, v, feature="c", amount="x", by="c")
+    assert got[1][name("{feature}_{value}_count", low)] == 2 and got[2][name("{feature}_{value}_count", low)] == 0
+    assert got[2][name("{feature}_{value}_count", high)] == 1 and got[1][name("uses_{feature}_{value}", high)] == 1
+    assert got[1][name("{amount}_sum_{by}_{value}", low)] == 5.0 and got[2][name("{amount}_sum_{by}_{value}", high)] == 5.0
+
+
+def test_width_is_limited_only_by_the_caller(spark):
+    rows = spark.range(6001).selectExpr("id % 3 AS user_id", "id AS c")
+    assert len(ft.discover_values(rows, ["c"])["c"]) == 6001
+    with pytest.raises(ValueError, match="bucket them first"):
+        ft.build_features(rows, ft.FeatureSpec(parts=(ft.CountBy("c"),)), max_values=100)
+
+
+def test_sparse_form_equals_the_dense_one(spark):
+    rows = spark.range(400).selectExpr(
+        "id % 7 AS user_id", "cast(id % 13 as double) AS c", "if(id % 5 = 0, null, 'v' || id % 4) AS d", "cast(id as double) AS x"
+    )
+    spec = ft.FeatureSpec(rows="n", parts=(
+        ft.CountBy("c"), ft.CountBy("d", null_name="none"), ft.SumBy("x", "d"), ft.FlagBy("c"), ft.Stats(("x",), ("mean", "q90")),
+        ft.DistinctCount("d", "kinds"),
+    ))
+    dense = by_key(ft.build_features(rows, spec))
+    vectors, names = sparse.sparse_features(rows, spec)
+    names = {r["index"]: r["name"] for r in names.collect()}
+    assert sorted(names) == list(range(len(names)))
+    got = {r.user_id: {names[int(i)]: v for i, v in zip(r.features.indices, r.features.values)} for r in vectors.collect()}
+    want = {u: {n: float(v) for n, v in f.items() if n != "user_id" and v} for u, f in dense.items()}
+    assert got == want
+
+
+def test_search_results_fit_again(spark):
+    rows = [(i, float(i % 10), float(i % 3), int(i % 10 > 4)) for i in range(120)]
+    train = learn.to_vectors(spark.createDataFrame(rows, "user_id long, a double, b double, target int"), ["a", "b"])
+    best = learn.spark_settings({"n_estimators": 2, "num_leaves": 4, "random_state": 3})
+    assert learn.fit_boosted(train, **best).getMaxIter() == 2
+    model = learn.fit_boosted_on_auc(train, **best)
+    assert model.getMaxDepth() == 2 and model.getSeed() == 3
+    assert [n for n, _ in sorted(tuple(r) for r in learn.auc_by_round(model, train).collect())] == list(range(1, model.getNumTrees + 1))
+
+
+def test_depth_is_the_smaller_limit_in_any_order():
+    both = {"num_leaves": 62, "max_depth": -1}
+    assert learn.spark_settings(both) == learn.spark_settings(dict(reversed(both.items()))) == {"maxDepth": 6}
+    assert learn.spark_settings({"max_depth": 3, "num_leaves": 62}) == {"maxDepth": 3}
+    assert learn.spark_settings(learn.BOOSTED_BASE)["maxDepth"] == 6
+
+
+def test_every_size_in_the_range_is_scored(spark, monkeypatch):
+    rows = [(i, *[float((i * k) % 7) for k in range(1, 9)], int(i % 7 > 3)) for i in range(140)]
+    names = [f"f{k}" for k in range(1, 9)]
+    table = spark.createDataFrame(rows, ["user_id", *names, "target"])
+    seen = []
+    monkeypatch.setattr(selection, "best_size", lambda path: seen.append([len(s.features) for s in path if s.accuracy is not None]) or path[-1])
+    selection.select_by_elimination(table, names, find_optimal=True, start=2, upto=6, test=table, step=0.5, max_depth=2)
+    selection.select_by_elimination(table, names[:3], find_optimal=True, start=10, upto=60, test=table, max_depth=2)
+    assert seen == [[5, 4, 3, 2], [3]]
+
+
+def test_correlations_use_the_rows_where_both_are_present(spark):
+    rows = [(1.0, 2.0, 5.0, 1), (2.0, None, 5.0, 0), (3.0, 5.0, 5.0, 1), (4.0, 9.0, 5.0, 0), (None, 1.0, 5.0, 1)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, target int")
+    matrix = {(r.feature, r.other): r.correlation for r in correlation.correlation_matrix(df, ["a", "b", "c", "target"]).collect()}
+    label = {r.feature: r.correlation for r in correlation.target_correlation(df, ["a", "b", "c"]).collect()}
+    assert len(matrix) == 16 and matrix["a", "c"] is None and matrix["a", "a"] == pytest.approx(1)
+    assert matrix["a", "b"] == pytest.approx(np.corrcoef([1, 3, 4], [2, 5, 9])[0, 1])
+    for name in "abc":
+        assert label[name] == (None if name == "c" else pytest.approx(matrix[name, "target"]))
+
+
+def test_properties_in_long_form(spark):
+    rows = [(1, '{"a": 1, "b": "x", "c": {"d": [1]}}'), (2, "[1]"), (3, "bad"), (4, None), (5, "{}"), (6, '{"a": null, "e f": true}')]
+    got = bag(jsonprops.property_pairs(spark.createDataFrame(rows, "id long, props string"), "props", "id"))
+    assert [r for r in got if r[0] == 1] == [(1, "a", "BIGINT", "1"), (1, "b", "STRING", "x"), (1, "c", "OBJECT", '{"d":[1]}')]
+    assert {r[0] for r in got} == {1, 6} and (6, "e f", "BOOLEAN", "true") in got

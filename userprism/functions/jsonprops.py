@@ -39,6 +39,20 @@ def json_status(df, column):
     return df.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def property_pairs(df, column, id):
+    """Top-level properties in long form: one row (id, path, type, value) per property.
+
+    The keys stay data, so any number of them is fine. Rows with bad or missing JSON, or JSON
+    that is no object, give none; a nested object or list is given as JSON text.
+    """
+    pairs = F.from_json(F.col("__v").cast("string"), "map<string,variant>")
+    objects = df.select(col(id), parsed(col(column)).alias("__v")).filter(is_object(F.col("__v")))
+    return objects.select(col(id), F.explode(pairs).alias("path", "__p")).select(
+        col(id), "path", F.regexp_extract(F.schema_of_variant("__p"), "^[A-Z]+", 0).alias("type"),
+        F.col("__p").cast("string").alias("value"),
+    )
+
+
 def _step(key):
     if isinstance(key, int):
         return f"[{key}]"

@@ -1,26 +1,30 @@
 """Pearson correlation with the label, and the full matrix."""
 
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.stat import Correlation
 from pyspark.sql import functions as F
 
 from .scale import col, literal, quoted
 
 
+def _numbers(df, features):
+    """Array of (feature, number) of a row, as SQL text."""
+    cells = (f"struct({literal(n)} AS feature, CAST({quoted(n)} AS DOUBLE) AS x)" for n in features)
+    return F.expr(f"array({', '.join(cells)})")
+
+
+def _correlation(x, y):
+    """Pearson correlation over the rows where both are present; null for a constant."""
+    a, b = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def target_correlation(df, features, target="target"):
     """One row per feature: Pearson correlation with the label, null for a constant feature.
 
-    All features share one aggregate over the table, which combines map-side to a single row.
+    Each feature uses the rows where it and the label are present. Features are rows of one
+    narrow aggregate that combines map-side, so a plan's size does not grow with their number.
     """
-    y = f"CAST({quoted(target)} AS DOUBLE)"
-    rows = []
-    for name in features:
-        x = f"CAST({quoted(name)} AS DOUBLE)"
-        spread = f"stddev_pop({x}) FILTER (WHERE {y} IS NOT NULL)"
-        spread += f" * stddev_pop({y}) FILTER (WHERE {x} IS NOT NULL)"
-        ratio = f"try_divide(covar_pop({x}, {y}), {spread})"
-        rows.append(f"struct({literal(name)} AS feature, {ratio} AS correlation)")
-    return df.selectExpr(f"array({', '.join(rows)}) AS r").select(F.inline("r"))
+    pairs = df.select(col(target).cast("double").alias("y"), F.inline(_numbers(df, features)))
+    return pairs.groupBy("feature").agg(_correlation(F.col("x"), F.col("y")).alias("correlation"))
 
 
 def select_by_correlation(df, target="target", key="user_id", threshold=0.2):
@@ -34,19 +38,9 @@ def select_by_correlation(df, target="target", key="user_id", threshold=0.2):
 def correlation_matrix(df, columns):
     """All pairs in long form; null where either feature is constant.
 
-    A missing number counts as 0, as in the zero-filled training table. Only the matrix, whose
-    size is set by the number of columns, reaches the driver.
+    Each pair uses the rows where both are present, as with the label. Pairs are made, folded
+    map-side and returned by the executors.
     """
-    values = F.array(*[F.coalesce(col(c).cast("double"), F.lit(0.0)) for c in columns])
-    assembled = df.select(array_to_vector(values).alias("v"))
-    matrix = Correlation.corr(assembled, "v").first()[0].toArray()
-    rows = [
-        (a, b, None if matrix[i, j] != matrix[i, j] else float(matrix[i, j]))
-        for i, a in enumerate(columns)
-        for j, b in enumerate(columns)
-    ]
-    return df.sparkSession.createDataFrame(
-        rows, "feature string, other string, correlation double"
-    )
-
-
+    rows = df.select(_numbers(df, columns).alias("a")).withColumn("b", F.col("a"))
+    pairs = rows.select("b", F.inline("a")).select(F.col("feature"), F.col("x"), F.inline("b").alias("other", "y"))
+    return pairs.groupBy("feature", "other").agg(_correlation(F.col("x"), F.col("y")).alias("correlation"))

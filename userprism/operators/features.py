@@ -7,8 +7,10 @@ than any other.
 
 from collections import Counter
 from dataclasses import dataclass, field
+from decimal import Decimal
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,9 +22,6 @@ from .scale import col, literal, quoted
 AGGREGATE_COLUMNS = 95
 # A category with more values than this is counted by (key, value) first and then pivoted.
 PIVOT_VALUES = 60
-# Discovered values become columns, so their number must stay a schema-sized one.
-MAX_VALUES = 5000
-
 POSITION_STATS = ("mean", "median", "max", "min", "q10", "q25", "q75", "q90")
 SIMPLE_STATS = {"mean": "avg", "max": "max", "min": "min", "sum": "sum"}
 
@@ -110,11 +109,11 @@ def _typed(text, data_type):
     return text
 
 
-def discover_values(df, columns, limit=MAX_VALUES):
+def discover_values(df, columns, limit=None):
     """Sorted present values of each category column, found in one pass.
 
-    Raises when there are more than ``limit``: bucket the column first, or use ``count_pairs``,
-    which has no width limit.
+    They become columns, and so part of the schema on the driver. ``limit`` lets a caller state
+    how wide that may get; ``sparse.sparse_features`` serves categories of any size instead.
     """
     columns = list(dict.fromkeys(columns))
     if not columns:
@@ -124,10 +123,9 @@ def discover_values(df, columns, limit=MAX_VALUES):
         df.select(F.inline(F.array(*pairs)))
         .filter(F.col("v").isNotNull())
         .distinct()
-        .limit(limit + 1)
-        .collect()
     )
-    if len(found) > limit:
+    found = (found if limit is None else found.limit(limit + 1)).collect()
+    if limit is not None and len(found) > limit:
         raise ValueError(f"more than {limit} category values in {columns}: bucket them first")
     values = {c: [] for c in columns}
     for name, text in found:
@@ -156,21 +154,51 @@ def rows_per_key(df, key="user_id", name="n"):
     return df.filter(col(key).isNotNull()).groupBy(col(key)).agg(F.count(F.lit(1)).alias(name))
 
 
-def distinct_per_key(df, key, column, name):
-    """Exact distinct count per key; Spark first folds repeats by (key, value)."""
-    return (
-        df.filter(col(key).isNotNull())
-        .groupBy(col(key))
-        .agg(F.countDistinct(col(column)).alias(name))
-    )
+def distinct_per_key(df, key, columns):
+    """Exact distinct counts per key, one for each name of ``columns`` (name: column).
+
+    All columns share one fold by (key, column, value) and one count per key.
+    """
+    fold = value_pairs(df, key, list(dict.fromkeys(columns.values())))
+    counts = fold.groupBy(col(key)).agg(*[
+        F.count_if(F.col("feature") == c).alias(n) for n, c in columns.items()
+    ])
+    return counts
+
+
+def same(df, column, value):
+    """SQL condition that a column has a value, compared in the column's own type.
+
+    A value found as text, or given as a Python number, is cast to the type: 0.1 in a FLOAT
+    column is not the DOUBLE 0.1.
+    """
+    kind = df.schema[column].dataType
+    if isinstance(kind, (T.StringType, T.IntegralType, T.BooleanType, T.DoubleType)):
+        return f"{quoted(column)} = {literal(value)}"
+    return f"{quoted(column)} = CAST({literal(str(value))} AS {kind.simpleString()})"
+
+
+def _pivot_values(df, part):
+    """(column to pivot on, its values): types that a pivot cannot name are compared as text."""
+    kind = df.schema[part.column].dataType
+    if isinstance(kind, (T.StringType, T.IntegralType, T.BooleanType, T.DoubleType)):
+        return col(part.column), list(part.values)
+    if isinstance(kind, T.FloatType):
+        return col(part.column).cast("double"), [float(np.float32(v)) for v in part.values]
+    if isinstance(kind, T.DecimalType):
+        digits = Decimal(1).scaleb(-kind.scale)
+        return col(part.column).cast("string"), [str(Decimal(str(v)).quantize(digits)) for v in part.values]
+    return col(part.column).cast("string"), [str(v) for v in part.values]
 
 
 def pivot_counts(df, key, part):
     """Counts of a category with many values: fold by (key, value), then spread to columns."""
+    column, values = _pivot_values(df, part)
     wide = (
         df.filter(col(key).isNotNull())
+        .select(col(key), column.alias("__value"))
         .groupBy(col(key))
-        .pivot(part.column, list(part.values))
+        .pivot("__value", values)
         .agg(F.count(F.lit(1)))
     )
     names = [feature_name(part.name, v, feature=part.column) for v in part.values]
@@ -179,11 +207,11 @@ def pivot_counts(df, key, part):
     return wide.selectExpr(quoted(key), *filled)
 
 
-def with_values(df, spec):
+def with_values(df, spec, limit=None):
     """The spec with every category's value list filled in."""
     column_of = lambda p: p.by if isinstance(p, SumBy) else p.column
     open_parts = [p for p in spec.of((CountBy, SumBy, FlagBy)) if p.values is None]
-    found = discover_values(df, [column_of(p) for p in open_parts])
+    found = discover_values(df, [column_of(p) for p in open_parts], limit)
     filled = []
     for part in spec.parts:
         if part in open_parts:
@@ -193,7 +221,7 @@ def with_values(df, spec):
     return FeatureSpec(spec.key, spec.rows, tuple(filled))
 
 
-def _cells(spec):
+def _cells(df, spec):
     """(aggregates by hidden name, output columns in order) for counts, sums and flags.
 
     Expressions are SQL texts: a spec has hundreds of them, and a text reaches the JVM in one
@@ -214,13 +242,12 @@ def _cells(spec):
             outputs.append((part.name, count(part.condition)))
         elif isinstance(part, SumBy):
             for v in part.values:
-                same = f"{quoted(part.by)} = {literal(v)}"
-                total = cell(f"sum(CASE WHEN {same} THEN {quoted(part.amount)} END)")
+                total = cell(f"sum(CASE WHEN {same(df, part.by, v)} THEN {quoted(part.amount)} END)")
                 name = feature_name(part.name, v, amount=part.amount, by=part.by)
                 outputs.append((name, f"coalesce({total}, 0D)"))
         elif isinstance(part, (CountBy, FlagBy)) and len(part.values) <= PIVOT_VALUES:
             for v in part.values:
-                counted = count(f"{quoted(part.column)} = {literal(v)}")
+                counted = count(same(df, part.column, v))
                 if isinstance(part, FlagBy):
                     counted = f"CAST({counted} > 0 AS INT)"
                 outputs.append((feature_name(part.name, v, feature=part.column), counted))
@@ -236,10 +263,13 @@ def _chunks(items, size):
     return [items[i : i + width] for i in range(0, len(items), width)]
 
 
-def build_features(df, spec, heavy_rows=HEAVY_ROWS):
-    """One row per key with every column the spec declares. Rows without a key are left out."""
+def build_features(df, spec, heavy_rows=HEAVY_ROWS, max_values=None):
+    """One row per key with every column the spec declares. Rows without a key are left out.
+
+    ``max_values`` states how many values of open categories may become columns.
+    """
     df = df.filter(col(spec.key).isNotNull())
-    spec = with_values(df, spec)
+    spec = with_values(df, spec, max_values)
     key = col(spec.key)
     parts, outputs = [], []
 
@@ -255,7 +285,7 @@ def build_features(df, spec, heavy_rows=HEAVY_ROWS):
             (f"{c}_{s}", quoted(f"{c}_{s}")) for c in stats.columns for s in stats.stats
         ]
 
-    aggregates, cells = _cells(spec)
+    aggregates, cells = _cells(df, spec)
     for chunk in _chunks(list(aggregates.items()), AGGREGATE_COLUMNS):
         parts.append(df.groupBy(key).agg(*[F.expr(f"{a} AS {n}") for n, a in chunk]))
     outputs += cells
@@ -270,9 +300,12 @@ def build_features(df, spec, heavy_rows=HEAVY_ROWS):
                     counted = f"CAST({counted} > 0 AS INT)"
                 outputs.append((n, counted))
 
-    for part in spec.of(DistinctCount):
-        parts.append(distinct_per_key(df, spec.key, part.column, part.name))
-        outputs.append((part.name, quoted(part.name)))
+    distinct = {part.name: part.column for part in spec.of(DistinctCount)}
+    if distinct:
+        # A key whose values are all missing has no fold.
+        keys = df.select(key).distinct()
+        parts.append(keys.join(distinct_per_key(df, spec.key, distinct), spec.key, "left"))
+        outputs += [(n, f"coalesce({quoted(n)}, 0L)") for n in distinct]
 
     repeated = sorted(n for n, times in Counter(n for n, _ in outputs).items() if times > 1)
     if repeated:

@@ -29,7 +29,14 @@ BOOSTED_GRID = {
     "subsample": [0.7, 0.75],
 }
 
-# The random-forest search space.
+# Settings of the boosted model that the search leaves alone.
+BOOSTED_BASE = {
+    "learning_rate": 0.05, "num_leaves": 62, "max_depth": -1, "max_bin": 510, "min_split_gain": 0.5,
+    "min_child_samples": 5, "colsample_bytree": 0.8,
+}
+
+# The random-forest search space. The smallest node that may still split has no
+# Spark counterpart and is left out; the forest here is a classifier, as the label is 0 or 1.
 FOREST_SPACE = {
     "n_estimators": list(range(200, 2001, 200)),
     "max_features": ["auto", "sqrt"],
@@ -65,14 +72,15 @@ def spark_settings(params, forest=False):
     for name, value in params.items():
         if name not in _NAMES:
             raise ValueError(f"no Spark counterpart for {name}")
+        target = "numTrees" if forest and name == "n_estimators" else _NAMES[name]
         if name == "num_leaves":
             value = max(1, math.ceil(math.log2(value)))
         elif name == "max_depth":
             value = MAX_DEPTH if value is None or value < 0 else min(value, MAX_DEPTH)
         elif name == "colsample_bytree":
             value = str(value)
-        target = "numTrees" if forest and name == "n_estimators" else _NAMES[name]
-        settings[target] = value
+        # Leaves and depth both limit the depth, in whatever order they come.
+        settings[target] = min(value, settings.get(target, value)) if target == "maxDepth" else value
     return settings
 
 
@@ -89,18 +97,19 @@ def to_vectors(df, features, target="target", key="user_id"):
 
 
 def fit_tree(train, target="target", max_depth=MAX_DEPTH, seed=42, **settings):
-    tree = DecisionTreeClassifier(labelCol=target, maxDepth=max_depth, seed=seed, **settings)
+    tree = DecisionTreeClassifier(**{"labelCol": target, "maxDepth": max_depth, "seed": seed, **settings})
     return tree.fit(train)
 
 
 def fit_boosted(train, target="target", key="user_id", rounds=100, valid_fraction=0.1,
                 tolerance=0.01, seed=42, **settings):
-    """Boosted trees that stop adding rounds when the held-out part no longer improves."""
+    """Boosted trees that stop adding rounds when the held-out part no longer improves.
+
+    ``settings`` in Spark's names win over the arguments, so a search's result fits as it is.
+    """
     marked = train.withColumn("__valid", in_fraction(col(key), valid_fraction, seed, "valid"))
-    booster = GBTClassifier(
-        labelCol=target, maxIter=rounds, seed=seed, validationIndicatorCol="__valid",
-        validationTol=tolerance, **settings,
-    )
+    given = {"labelCol": target, "maxIter": rounds, "seed": seed, "validationTol": tolerance}
+    booster = GBTClassifier(**{**given, **settings, "validationIndicatorCol": "__valid"})
     return booster.fit(marked)
 
 
@@ -110,7 +119,11 @@ def auc_by_round(model, test, target="target", digits=6):
     for i, tree in enumerate(model.trees):
         scored = tree.setPredictionCol(f"__t{i}").transform(scored)
     steps = F.expr(f"array({', '.join(f'{w!r}D * __t{i}' for i, w in enumerate(model.treeWeights))})")
-    sums = "transform(sequence(1, size(s)), n -> aggregate(slice(s, 1, n), 0D, (a, x) -> a + x))"
+    # One walk over the trees: each margin is the one before plus the tree's own.
+    sums = (
+        "aggregate(s, CAST(array() AS array<double>),"
+        " (a, x) -> concat(a, array(coalesce(try_element_at(a, -1), 0D) + x)))"
+    )
     margins = scored.select(col(target), steps.alias("s")).select(
         col(target), F.posexplode(F.expr(sums)).alias("round", "margin")
     )
@@ -134,7 +147,8 @@ def fit_boosted_on_auc(train, target="target", key="user_id", rounds=100, patien
     """Boosted trees cut at the round with the best AUC on a held-out part of ``train``."""
     held_out = in_fraction(col(key), valid_fraction, seed, "valid")
     fit_on, valid = train.filter(~held_out), train.filter(held_out)
-    booster = GBTClassifier(labelCol=target, maxIter=rounds, seed=seed, **settings)
+    booster = GBTClassifier(**{"labelCol": target, "maxIter": rounds, "seed": seed, **settings})
+    rounds = booster.getMaxIter()
     full = booster.fit(fit_on)
     aucs = [(r["round"], r["auc"]) for r in auc_by_round(full, valid, target).collect()]
     best = best_round([(n, a) for n, a in aucs if a is not None], patience)
@@ -198,19 +212,25 @@ def search(train, estimator, candidates, folds, target="target", key="user_id",
     return fitted.bestModel, candidates[best], table
 
 
-def grid_search(train, grid=None, folds=4, target="target", seed=42, **options):
-    """Search every combination of boosted-tree settings."""
+def grid_search(train, grid=None, folds=4, target="target", seed=42, base=None, **options):
+    """Search every combination of boosted-tree settings; ``base`` holds those that stay."""
     unique = {}
     for params in combinations(grid or BOOSTED_GRID):
         settings = spark_settings(params)
         unique[str(settings)] = settings
-    return search(train, GBTClassifier(labelCol=target, seed=seed), list(unique.values()), folds,
+    estimator = GBTClassifier(**{"labelCol": target, "seed": seed, **spark_settings(base or {})})
+    return search(train, estimator, list(unique.values()), folds,
                   target=target, seed=seed, **options)
 
 
 def random_search(train, space=None, draws=100, folds=3, target="target", seed=42, **options):
     """Search random draws of random-forest settings."""
-    drawn = sample_combinations(space or FOREST_SPACE, draws, seed)
-    candidates = [spark_settings(p, forest=True) for p in drawn]
+    # Depths beyond Spark's limit are one candidate, not several.
+    unique = {}
+    for params in combinations(space or FOREST_SPACE):
+        settings = spark_settings(params, forest=True)
+        unique[str(settings)] = settings
+    every = list(unique.values())
+    candidates = random.Random(seed).sample(every, min(draws, len(every)))
     return search(train, RandomForestClassifier(labelCol=target, seed=seed), candidates, folds,
                   target=target, seed=seed, **options)

@@ -4,7 +4,7 @@ from ..operators.assemble import label_users, merge_features
 from ..operators.cleaning import keep_columns
 from ..operators.idsets import distinct_ids
 from ..operators.scale import stage
-from ..sources.logs import LogConfig, read_logs
+from ..sources.logs import read_logs
 from ..sources.store import TableStore
 from .attribution import attribution_features
 from .events import event_features
@@ -17,7 +17,7 @@ ALWAYS_KEPT = (
 )
 
 
-def user_ids(spark, config=LogConfig()):
+def user_ids(spark, config):
     """Distinct ids of (deposits, positions, events, attribution), each as a table."""
     deposits, positions, attribution, events = read_logs(spark, config)
     return tuple(distinct_ids(log) for log in (deposits, positions, events, attribution))
@@ -38,7 +38,7 @@ def training_table(deposits, positions, attribution, events, add_target=True, mi
     return label_users(merged, deposits) if add_target else merged
 
 
-def build_store(spark, config=LogConfig()):
+def build_store(spark, config):
     """Compute and store the feature tables and the merged table; returns the merged table.
 
     With ``reuse_prepared`` the stored feature tables are joined again instead.

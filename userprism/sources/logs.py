@@ -20,11 +20,13 @@ MISSING_TOKENS = (
 class LogConfig:
     """Where the logs are, how they are delimited, and whether stored features are reused."""
 
-    deposits: str = "data/ds_deposits.csv"
-    events: str = "data/ds_events.csv"
-    positions: str = "data/ds_positions.csv"
-    attribution: str = "data/ds_appsflyer.csv"
+    deposits: str
+    events: str
+    positions: str
+    attribution: str
     delimiter: str = "\t"
+    multiline: bool = False
+    on_bad_cell: str = "fail"
     file_format: str = "csv"
     store: str = "data/features"
     reuse_prepared: bool = True
@@ -34,18 +36,31 @@ def read_delimited(spark, path, schema, delimiter="\t", multiline=False, on_bad_
     """Read a delimited file with a header; declared columns are typed, others stay text.
 
     Cells holding a missing token become null before the cast. A cell that does not fit its
-    type stops the read, or becomes null with ``on_bad_cell="null"`` (see ``bad_cells``).
+    type stops the read, or becomes null with ``on_bad_cell="null"`` (see ``bad_cells``); so
+    does a row with more cells than the header, whose extra cells go then (see ``long_rows``). A short
+    row ends in nulls. A file whose header differs from the first one's stops the read.
     """
     raw = _raw(spark, path, delimiter, multiline)
+    if on_bad_cell == "fail":
+        stop = F.raise_error(F.concat(F.lit("more cells than columns: "), F.col(LINE))).cast("boolean")
+        raw = raw.filter(F.when(F.col(EXTRA), stop).otherwise(True))
+    return _typed_columns(raw.drop(LINE, EXTRA), path, schema, on_bad_cell)
+
+
+def _typed_columns(raw, path, schema, on_bad_cell):
+    """Declared columns in their types; absent ones stop the read."""
     absent = [f.name for f in schema.fields if f.name not in raw.columns]
     if absent:
         raise ValueError(f"{path} lacks columns {absent}")
+    kinds = dict(raw.dtypes)
     declared = {f.name: f.dataType for f in schema.fields}
 
     def typed(name):
         target = declared.get(name, T.StringType())
-        if isinstance(target, T.StringType):
+        if kinds[name] == target.simpleString() or name not in declared:
             return col(name)
+        if isinstance(target, T.StringType) or kinds[name] != "string":
+            return (col(name).cast(target) if on_bad_cell == "fail" else col(name).try_cast(target)).alias(name)
         lenient = _lenient_cast(col(name), target)
         # Where the lenient reading finds nothing, a plain cast raises on a present cell.
         value = F.coalesce(lenient, col(name).cast(target)) if on_bad_cell == "fail" else lenient
@@ -64,11 +79,26 @@ def _lenient_cast(column, target):
     return F.coalesce(direct, F.when(exact == F.floor(exact), exact.try_cast(target)))
 
 
+LINE, EXTRA = "__line", "__extra"
+
+
 def _raw(spark, path, delimiter, multiline):
-    raw = spark.read.csv(
-        path, sep=delimiter, header=True, escape='"', multiLine=multiline, inferSchema=False
-    )
-    return normalize_missing(raw, MISSING_TOKENS)
+    """All cells as text, the line of a row with another number of cells, and whether it has more."""
+    options = {"sep": delimiter, "escape": '"', "multiLine": str(multiline).lower()}
+    names = spark.read.options(header="true", **options).csv(path).columns
+    texts = [T.StructField(n, T.StringType()) for n in names]
+    # Each file's header is checked against these names.
+    raw = spark.read.options(
+        header="true", enforceSchema="false", mode="PERMISSIVE", columnNameOfCorruptRecord=LINE,
+        columnPruning="false", **options  # a pruned read does not count cells
+    ).schema(T.StructType([*texts, T.StructField(LINE, T.StringType())])).csv(path)
+    wider = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names) + 1)])
+    more = F.from_csv(F.col(LINE), wider.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "), options)
+    # An extra cell is there also when it is empty.
+    ends = F.col(LINE).isNotNull() & (F.get(F.split(F.col(LINE), F.lit("\\Q" + delimiter + "\\E")), F.lit(len(names))).isNotNull())
+    extra = F.coalesce(more[f"c{len(names)}"].isNotNull() | (ends & ~F.contains(F.col(LINE), F.lit('"'))), F.lit(False))
+    marked = raw.withColumn(EXTRA, extra)
+    return normalize_missing(marked.select(*[col(n) for n in names], LINE, EXTRA), MISSING_TOKENS)
 
 
 def bad_cells(spark, path, schema, delimiter="\t", multiline=False):
@@ -84,13 +114,20 @@ def bad_cells(spark, path, schema, delimiter="\t", multiline=False):
     return raw.agg(F.array(*counts).alias("c")).select(F.inline("c"))
 
 
+def long_rows(spark, path, delimiter="\t", multiline=False):
+    """How many rows have more cells than columns, and how many have a first cell."""
+    raw = _raw(spark, path, delimiter, multiline)
+    return raw.agg(F.count_if(F.col(EXTRA)).alias("long"), F.count(col(raw.columns[0])).alias("present"))
+
+
 def read_log(spark, path, schema, config):
     if config.file_format == "csv":
-        return read_delimited(spark, path, schema, config.delimiter)
-    return normalize_missing(spark.read.format(config.file_format).load(path))
+        return read_delimited(spark, path, schema, config.delimiter, config.multiline, config.on_bad_cell)
+    stored = spark.read.format(config.file_format).load(path)
+    return normalize_missing(_typed_columns(stored, path, schema, config.on_bad_cell))
 
 
-def read_logs(spark, config=LogConfig()):
+def read_logs(spark, config):
     """(deposits, positions, attribution, events), all lazy."""
     return (
         read_log(spark, config.deposits, schemas.DEPOSITS, config),
