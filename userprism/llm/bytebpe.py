@@ -94,9 +94,9 @@ class Vocabulary:
         for end in range(len(table), len(data) + 1):
             for start in range(max(0, end - longest), end):
                 token = get(data[start:end])
-                if token is None or self.parts(token) is None:
+                if token is None or start and not fits(table[start], token):
                     continue
-                if not start or fits(table[start], token):
+                if self.parts(token) is not None:
                     table.append(token)
                     break
         return table
@@ -118,9 +118,12 @@ class Vocabulary:
 
 
 class Encoder:
-    """Encodes whole texts; tokens of recent pieces are kept, twice ``keep`` of them at most."""
+    """Encodes whole texts; tokens of recent pieces of up to ``LONGEST`` characters are kept,
+    twice ``keep`` of them at most."""
 
-    def __init__(self, vocabulary, pattern, keep=150_000):
+    LONGEST = 48
+
+    def __init__(self, vocabulary, pattern, keep=500_000):
         self.vocabulary, self.keep = vocabulary, keep
         self.split = regex.compile(pattern).findall
         self._new, self._old = {}, {}
@@ -129,9 +132,10 @@ class Encoder:
         tokens = self._old.get(text)
         if tokens is None:
             tokens = self.vocabulary.encode_piece(text.encode())
-        if len(self._new) >= self.keep:
-            self._new, self._old = {}, self._new
-        self._new[text] = tokens
+        if len(text) <= self.LONGEST:
+            if len(self._new) >= self.keep:
+                self._new, self._old = {}, self._new
+            self._new[text] = tokens
         return tokens
 
     def encode(self, text):
