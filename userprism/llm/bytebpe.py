@@ -20,6 +20,8 @@ import regex
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import caches
+
 NEVER = 1 << 60
 
 
@@ -213,14 +215,9 @@ class EditableText:
         return [t for w, table in zip(whole, self.tables) for t in ([w] if w is not None else v.read(table))]
 
 
-_encoders = {}
-
-
 def encoder(path, pattern):
     """The encoder of this process for a vocabulary file."""
-    if (path, pattern) not in _encoders:
-        _encoders[path, pattern] = Encoder(Vocabulary.load(path), pattern)
-    return _encoders[path, pattern]
+    return caches.hold(("bytes", path, pattern), lambda: Encoder(Vocabulary.load(path), pattern))
 
 
 def encode(docs, path, pattern, id="doc_id", text="text"):

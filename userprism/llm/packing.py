@@ -23,6 +23,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators.scale import stage
+from . import caches
 
 CAPACITY = 4096
 END = 1
@@ -92,14 +93,9 @@ class WordTokenizer:
         return b"".join(found)
 
 
-_tokenizers = {}
-
-
 def tokenizer(path):
     """The tokenizer of this process for a vocabulary file."""
-    if path not in _tokenizers:
-        _tokenizers[path] = WordTokenizer(path)
-    return _tokenizers[path]
+    return caches.hold(("words", path), lambda: WordTokenizer(path))
 
 
 def pieces(docs, path, capacity=CAPACITY):

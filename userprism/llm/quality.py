@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from ..operators.scale import stage
-from . import textops
+from . import caches, textops
 
 SIZE, NONZERO = 32, 2
 WORD_ROWS, SHAPE_ROWS = 1 << 15, 1 << 12
@@ -48,6 +48,7 @@ _SIGNS = _random.choice([-1.0, 1.0], (ROWS, NONZERO))
 
 def tokens(column):
     """(word rows, shape rows, first word of each text) of an Arrow column."""
+    caches.release()
     data, offsets = textops.text_bytes(column)
     table = textops.separator_table()
     found = textops.words_of(textops.lower_ascii(data), offsets, table)

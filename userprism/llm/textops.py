@@ -10,6 +10,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
+from . import caches
+
 SPACES = bytes([0x20, *range(0x09, 0x0E)])
 BATCH_BYTES = 2 * 1024 * 1024
 
@@ -101,6 +103,7 @@ def words(column, separators=SPACES, lower=False):
 
     Long columns are hashed in parts of about ``BATCH_BYTES``, cut between texts.
     """
+    caches.release()
     data, offsets = text_bytes(column)
     if lower:
         data = lower_ascii(data)
