@@ -116,3 +116,13 @@ def test_measured_bytes_counts_text(spark):
     long = spark.createDataFrame([("a" * 1000,)] * 10, "t string")
     assert scale.measured_bytes(long) - scale.measured_bytes(short) == 10 * 999
     assert math.isclose(scale.measured_bytes(short.limit(0)), 0)
+
+
+def test_a_staging_scope_deletes_its_own_tables(spark):
+    outside = scale.stage(spark.range(3))
+    with scale.staging(spark) as paths:
+        inside = scale.stage(spark.range(5))
+        assert inside.count() == 5 and len(paths) == 1
+    assert outside.count() == 3
+    with pytest.raises(Exception, match="(?i)does not exist|not found|PATH_NOT_FOUND|FILE_NOT_EXIST"):
+        spark.read.parquet(paths[0]).count()

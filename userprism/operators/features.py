@@ -222,7 +222,7 @@ def with_values(df, spec, limit=None):
 
 
 def _cells(df, spec):
-    """(aggregates by hidden name, output columns in order) for counts, sums and flags.
+    """(aggregates by hidden name, output columns in order) for statistics, counts, sums and flags.
 
     Expressions are SQL texts: a spec has hundreds of them, and a text reaches the JVM in one
     call. Equal counts behind several outputs are computed once.
@@ -235,6 +235,11 @@ def _cells(df, spec):
     def count(condition):
         return cell(f"count_if({condition})")
 
+    for stats in spec.of(Stats):
+        for c in stats.columns:
+            for s in stats.stats:
+                simple = s in SIMPLE_STATS
+                outputs.append((f"{c}_{s}", cell(f"{SIMPLE_STATS[s]}({quoted(c)})") if simple else quoted(f"{c}_{s}")))
     if spec.rows:
         outputs.append((spec.rows, cell("count(1)")))
     for part in spec.parts:
@@ -274,16 +279,9 @@ def build_features(df, spec, heavy_rows=HEAVY_ROWS, max_values=None):
     parts, outputs = [], []
 
     for stats in spec.of(Stats):
-        simple = [(c, s) for c in stats.columns for s in stats.stats if s in SIMPLE_STATS]
-        for chunk in _chunks(simple, AGGREGATE_COLUMNS):
-            texts = [f"{SIMPLE_STATS[s]}({quoted(c)}) AS {quoted(f'{c}_{s}')}" for c, s in chunk]
-            parts.append(df.groupBy(key).agg(*[F.expr(t) for t in texts]))
         ranks = [s for s in stats.stats if s in QUANTILES]
         if ranks:
             parts.append(exact_quantiles(df, spec.key, list(stats.columns), ranks, heavy_rows))
-        outputs += [
-            (f"{c}_{s}", quoted(f"{c}_{s}")) for c in stats.columns for s in stats.stats
-        ]
 
     aggregates, cells = _cells(df, spec)
     for chunk in _chunks(list(aggregates.items()), AGGREGATE_COLUMNS):

@@ -9,6 +9,7 @@
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -63,18 +64,42 @@ def stage(df):
     """Write ``df`` once to the shared folder and continue from the written table."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
+    for scope in _scopes:
+        scope.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def clear_staged(spark):
-    """Delete the tables this application staged, once their results are no longer read."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
-    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    for status in files.globStatus(spark._jvm.org.apache.hadoop.fs.Path(folder, "stage-*")):
+_scopes = []
+
+
+@contextmanager
+def staging(spark):
+    """Tables staged inside are deleted at the end: write or collect results before that."""
+    paths = []
+    _scopes.append(paths)
+    try:
+        yield paths
+    finally:
+        # By identity: two scopes may hold equal lists.
+        _scopes[:] = [s for s in _scopes if s is not paths]
+        for path in paths:
+            _delete(spark, path)
+
+
+def _delete(spark, pattern):
+    place = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in files.globStatus(place) or ():
         files.delete(status.getPath(), True)
 
 
+def clear_staged(spark):
+    """Delete what this application staged, once its results are no longer read."""
+    for kind in ("stage", "events", "halves", "store", "warc"):
+        _delete(spark, f"{shared_dir(spark)}/{kind}-*")
+
+
 def measured_bytes(df):
     """Uncompressed size of a frame, from one aggregate over it."""
     texts = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.StringType, T.BinaryType))]

@@ -3,6 +3,7 @@
 from ..operators import cleaning
 from ..operators.features import CountBy, FeatureSpec, Stats, SumBy, build_features
 from ..operators.quantiles import HEAVY_ROWS
+from ..operators.scale import stage
 
 
 def clean_events(df):
@@ -23,5 +24,10 @@ def event_spec():
 
 
 def event_features(df, heavy_rows=HEAVY_ROWS):
-    """One row per events user. Cleaning is row-wise, so the log is read again, not staged."""
-    return build_features(clean_events(df), event_spec(), heavy_rows)
+    """One row per events user.
+
+    The used columns of the cleaned log are staged: value lists, row counts and two aggregates
+    read them, and the log itself is parsed once.
+    """
+    rows = stage(clean_events(df).select("user_id", "duration", "platform_id", "category", "name"))
+    return build_features(rows, event_spec(), heavy_rows)
