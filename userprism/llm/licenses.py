@@ -2,7 +2,7 @@
 
 Text is reduced to words (ASCII letters lower-cased, digits, non-ASCII characters) joined by
 spaces. Rules are regular expressions over that, each gated by a keyword that must occur; the
-whole set is gated by a few stems without which no rule can match. Every match is an interval.
+whole set is gated by a few stems: a text without any of them is not searched. Every match is an interval.
 In the order of start, longer first, then rank, a match inside a kept interval of its own or a
 better rank is suppressed, so "under the mit license" inside a quoted identifier line does
 not count twice. Ranks: identifier tags, grants, links, license text, names.
@@ -17,8 +17,11 @@ from pyspark.sql import functions as F
 # The base phrases and their labels.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
-# Stems of which every rule's text holds one.
-GATE = ("licen", "spdx", "gpl", "creative commons", "public domain", "cc0", "wtfpl", "copyleft", " cc ")
+# A text without any of these stems is not searched.
+GATE = (
+    "licen", "spdx", "gpl", "creative", "public domain", "cc0", "wtfpl", " cc ", "permission", "redistribution", "advertising",
+    "under the",
+)
 
 # Licenses: label, identifier as words, keyword, name.
 NAMES = (
