@@ -199,7 +199,16 @@ def _product(table, bounds):
 
 
 def _family_links(rows, bounds, block_rows):
-    """Links inside families. ``rows``: family, doc_id, n, shingles; a family is its smallest id."""
+    """Links inside families. ``rows``: family, doc_id, shingles, large; a family is its smallest id.
+
+    A family that fits into one block is one product; only large ones are dealt into blocks.
+    """
+    whole = rows.filter("NOT large").select("family", "doc_id", "shingles", F.lit(2).alias("side"))
+    small = whole.groupBy("family").applyInArrow(lambda t: _product(t, bounds), "a long, b long")
+    return small.unionByName(_large_links(rows.filter("large").drop("large"), bounds, block_rows))
+
+
+def _large_links(rows, bounds, block_rows):
     head = rows.filter("doc_id = family").select("family", F.col("shingles").alias("head"))
 
     def with_head(batches):
@@ -260,7 +269,7 @@ def link(docs, percent=90, width=WIDTH, block_bytes=B.BLOCK_BYTES, block_rows=BL
     able = all_docs.filter("set_key IS NOT NULL AND doc_id IS NOT NULL")
     # Equal sets become one row, the one with the smallest id; copies combine before the shuffle.
     least = able.groupBy("set_key").agg(F.min(F.struct("doc_id", "columns", "shingles")).alias("row"))
-    rows = stage(least.select("set_key", "row.*"))
+    rows = stage(least.select("set_key", "row.*", (F.octet_length("row.shingles") / 8).cast("long").alias("n")))
     kinds = rows.select("set_key", F.col("doc_id").alias("kind"))
     copies = able.select("set_key", "doc_id").join(kinds, "set_key").filter("doc_id <> kind").select(
         F.col("doc_id").alias("a"), F.col("kind").alias("b")
@@ -278,7 +287,10 @@ def link(docs, percent=90, width=WIDTH, block_bytes=B.BLOCK_BYTES, block_rows=BL
     heads = cells.groupBy("column").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("last")).filter("head < last")
     met = cells.join(heads, "column").filter("doc_id <> head").select(F.col("doc_id").alias("a"), F.col("head").alias("b"))
     families = components(met).withColumnRenamed("component", "family")
-    members = rows.join(families, rows.doc_id == families.node).select("family", "doc_id", "shingles")
+    sized = rows.select(F.col("doc_id").alias("node"), "n").join(families, "node")
+    large = (F.count(F.lit(1)) > block_rows) | (F.sum("n") * 8 > BLOCK_SETS)
+    families = families.join(sized.groupBy("family").agg(large.alias("large")), "family")
+    members = rows.join(families, rows.doc_id == families.node).select("family", "doc_id", "shingles", "large")
     edges = _family_links(members, bounds, block_rows).unionByName(copies)
     found = components(edges)
     return (
