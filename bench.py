@@ -19,6 +19,7 @@ HEADLINE = (
     "cond_sums", "distinct_per_user", "conversion_counts", "count_summary", "category_lift",
     "overlap_report", "outlier_users", "target_corr", "json_flatten", "rank_auc",
     "event_features", "attribution_features", "position_features", "training_table", "tree_auc",
+    "exploration_features", "corr_filter", "gbt_auc", "delimited_read", "sparse_positions", "typed_counts",
 )
 
 
@@ -46,6 +47,7 @@ def main():
                 "unit": "sec",
                 "queries": times,
                 "first": first,
+                "first_total": round(sum(first.values()), 3),
                 "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"),
             }
         )
