@@ -35,9 +35,11 @@ def conversion_flag(amount, enrolled):
 
 def balance_label(balance_type):
     """Type 1 is real money; anything else, and a missing type, is not."""
+    # The two labels.
     return F.when(balance_type == 1, "Real_money").otherwise("Whatever_else")
 
 
 def category_label(value):
     """``cat_id_{value}``; a missing value reads ``cat_id_nan``."""
+    # Fixed value: the prefix.
     return F.concat(F.lit("cat_id_"), F.coalesce(value.cast("string"), F.lit("nan")))

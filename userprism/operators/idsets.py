@@ -38,6 +38,7 @@ def id_difference(a, b, key="user_id"):
 
 def _overlap_conditions():
     pos, dep, ev, attr = (F.col(f"in_{n}") for n in ("pos", "dep", "ev", "attr"))
+    # Names of the set sizes.
     return {
         "inter_pos_dep": pos & dep,
         "dif_pos_dep": pos & ~dep,

@@ -15,6 +15,7 @@ def clean_attribution(df, min_count=100):
 
 
 def attribution_spec():
+    # The names of the features.
     return FeatureSpec(
         rows="ids_records_count",
         parts=(

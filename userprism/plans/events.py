@@ -11,6 +11,7 @@ def clean_events(df):
 
 
 def event_spec():
+    # The names of the features.
     return FeatureSpec(
         rows="ids_events_count",
         parts=(

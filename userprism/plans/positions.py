@@ -15,6 +15,7 @@ SPARSE = (
 )
 # Instruments kept by name.
 INSTRUMENTS = ("EURUSD", "GBPJPY", "AUDCAD-OTC", "EURJPY", "EURGBP-OTC", "AUDCAD", "USDJPY")
+# Amounts, amounts that may be converted, categories.
 MONEY = (
     "buy_amount", "sell_amount", "pnl_realized", "close_effect_amount", "pnl_total",
     "close_underlying_price", "open_underlying_price", "instrument_strike",
