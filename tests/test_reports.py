@@ -25,7 +25,7 @@ def test_set_operations(logs):
 
 def test_overlap(logs):
     expected = {
-        "inter_pos_dep": {1, 2}, "dif_pos_dep": {3, 4}, "inter_dep_ev": {2, 9},
+        "inter_pos_dep": {1, 2}, "dif_pos_dep": {3, 4}, "dif_dep_pos": {9}, "inter_dep_ev": {2, 9},
         "inter_pos_no_dep_events": {3}, "inter_pos_events": {2, 3}, "inter_pos_attr": {1, 2, 3, 4},
     }
     assert dict(bag(idsets.overlap_report(**logs))) == {n: len(s) for n, s in expected.items()}

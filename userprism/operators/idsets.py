@@ -42,6 +42,7 @@ def _overlap_conditions():
     return {
         "inter_pos_dep": pos & dep,
         "dif_pos_dep": pos & ~dep,
+        "dif_dep_pos": dep & ~pos,
         "inter_dep_ev": dep & ev,
         "inter_pos_no_dep_events": pos & ~dep & ev,
         "inter_pos_events": pos & ev,

@@ -38,6 +38,7 @@ def id_subtract(spark, sf_dir):
 SETS_SQL = {
     "inter_pos_dep": "SELECT user_id FROM positions INTERSECT SELECT user_id FROM deposits",
     "dif_pos_dep": "SELECT user_id FROM positions EXCEPT SELECT user_id FROM deposits",
+    "dif_dep_pos": "SELECT user_id FROM deposits EXCEPT SELECT user_id FROM positions",
     "inter_dep_ev": "SELECT user_id FROM deposits INTERSECT SELECT user_id FROM event_rows",
     "inter_pos_no_dep_events": "(SELECT user_id FROM positions EXCEPT SELECT user_id FROM deposits)"
     " INTERSECT SELECT user_id FROM event_rows",
