@@ -46,7 +46,7 @@ class WordTokenizer:
     # Letters that lower-case one by one, then signs: the tokenizer cuts between the two.
     PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,!?;:|%$#&*]*)")
 
-    def __init__(self, path, keep=600_000):
+    def __init__(self, path, keep=350_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
