@@ -105,6 +105,59 @@ def test_base_places_match_brute_force(spark):
     assert len(licenses.rules()) > 200 and licenses.scan(docs.limit(0)).count() == 0
 
 
+def shapes(tree, full):
+    """Texts that a parsed pattern matches: each branch; repeats as short as allowed, or, if ``full``, at least once."""
+    out = [""]
+    for op, arg in tree:
+        kind = str(op)
+        if kind == "LITERAL":
+            more = [chr(arg)]
+        elif kind == "ANY":
+            more = ["x"]
+        elif kind == "IN":
+            more = [chr(arg[0][1] if str(arg[0][0]) == "LITERAL" else arg[0][1][0])]
+        elif kind == "BRANCH":
+            more = [s for branch in arg[1] for s in shapes(branch, full)]
+        elif kind == "SUBPATTERN":
+            more = shapes(arg[3], full)
+        elif kind in ("MAX_REPEAT", "MIN_REPEAT"):
+            n = max(arg[0], 1) if full else arg[0]
+            more = [s * n for s in shapes(arg[2], full)] if n else [""]
+        else:
+            raise ValueError(kind)
+        out = [a + b for a in out for b in more]
+    return out
+
+
+def rule_texts():
+    """(rule, text): texts of every rule; the openings of grants vary for one rule only."""
+    for rule in licenses.rules():
+        pattern = rule[3]
+        if rule[0] == 2 and rule[1] != "isc":
+            pattern = pattern.replace(licenses.GRANT, "(?:released under|provided according to the terms of the)")
+        for full in (False, True):
+            for text in shapes(re._parser.parse(pattern), full):
+                assert re.fullmatch(rule[3], text)
+                yield rule, text
+
+
+def test_texts_of_every_rule_pass_the_gate(spark):
+    texts = sorted({text for _, text in rule_texts()})
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    assert sorted(licenses.scan(docs).collect()) == sorted(licenses.scan(docs, gated=False).collect())
+
+
+@pytest.mark.parametrize("text, label", [
+    ("Released under BSD 3-Clause", "bsd-3-clause"), ("available under Apache 2.0", "apache-2"), ("distributed under MIT", "mit"),
+    ("mozilla.org/MPL/2.0", "mpl-2"), ("eclipse.org/legal/epl-2.0", "epl-2"), ("artistic 2", "artistic-2"), ("php 3.01", "php-3.01"),
+    ("Neither the name of X nor the names of its contributors", "bsd-3-clause"),
+    ("This software is provided 'as-is', without any express or implied warranty. In no event will the authors", "zlib"),
+])
+def test_license_without_a_common_word(spark, text, label):
+    row = licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert label in row.labels.split(",") and row.score > 0
+
+
 MARKS = "</s>[INST] ok [/INST]"
 
 

@@ -1,8 +1,8 @@
 """License scan by ordered signature rules, in SQL functions only.
 
 Text is reduced to words (ASCII letters lower-cased, digits, non-ASCII characters) joined by
-spaces. Rules are regular expressions over that, each gated by a keyword that must occur; the
-whole set is gated by a few stems: a text without any of them is not searched. Every match is an interval.
+spaces. Rules are regular expressions over that, each gated by a keyword that must occur; a text
+without the keyword of any rule is not searched, as no rule could match it. Every match is an interval.
 In the order of start, longer first, then rank, a match inside a kept interval of its own or a
 better rank is suppressed, so "under the mit license" inside a quoted identifier line does
 not count twice. Ranks: identifier tags, grants, links, license text, names.
@@ -17,12 +17,6 @@ from pyspark.sql import functions as F
 # The base phrases and their labels.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
-# A text without any of these stems is not searched.
-GATE = (
-    "licen", "spdx", "gpl", "creative", "public domain", "cc0", "wtfpl", " cc ", "permission", "redistribution", "advertising",
-    "under the",
-)
-
 # Licenses: label, identifier as words, keyword, name.
 NAMES = (
     ("mit", "mit", "mit", "(?:the )?(?:mit|expat|x11)"),
@@ -195,20 +189,23 @@ def _kept(matches):
     return F.aggregate(matches, begin, step, lambda done: done["out"])
 
 
-def detect(docs, text="text"):
-    """``docs`` with ``words`` (see module) and ``licenses``: kept matches as intervals of it."""
+def detect(docs, text="text", gated=True):
+    """``docs`` with ``words`` (see module) and ``licenses``: kept matches as intervals of it.
+
+    Without ``gated`` every text is searched, with the same result.
+    """
     spaced = F.concat(F.lit(" "), F.col("words"), F.lit(" "))
-    gate = F.lit(False)
-    for stem in GATE:
-        gate = gate | F.contains(spaced, F.lit(stem))
+    gate = F.lit(not gated)
+    for key in sorted({rule[2] for rule in rules()}) if gated else ():
+        gate = gate | F.contains(spaced, F.lit(key))
     kind = "array<struct<start:int,back:int,rank:int,label:string,confidence:double,stop:int>>"
     found = F.when(gate, _kept(_matches(spaced))).otherwise(F.array().cast(kind))
     return docs.withColumn("words", _words(F.col(text))).withColumn("licenses", found)
 
 
-def scan(docs):
+def scan(docs, gated=True):
     """One row per document with the base phrases' places and all labels."""
-    rows = detect(docs.select("doc_id", "text"))
+    rows = detect(docs.select("doc_id", "text"), gated=gated)
     # Each word between two spaces of its own, so that neighbouring places share none.
     wide = F.when(F.col("words") == "", "").otherwise(F.concat(F.lit(" "), F.replace("words", F.lit(" "), F.lit("  ")), F.lit(" ")))
     rows = rows.select("doc_id", wide.alias("wide"), "licenses").withColumn("n_words", _count(F.col("wide")))
