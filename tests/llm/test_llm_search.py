@@ -141,6 +141,11 @@ def rule_texts():
                 yield rule, text
 
 
+def test_a_keyword_stands_in_every_form_of_its_rule():
+    for rule, text in rule_texts():
+        assert any(key in f" {text} " for key in rule[2].split("|")), (rule, text)
+
+
 def test_texts_of_every_rule_pass_the_gate(spark):
     texts = sorted({text for _, text in rule_texts()})
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
@@ -231,3 +236,15 @@ def test_word_vectors_add_up_over_tasks(spark, monkeypatch):
     docs = spark.createDataFrame([(i, f"a b c{i % 5} d") for i in range(60)], "doc_id long, text string")
     one, many = quality.word_vectors(docs.repartition(1)), quality.word_vectors(docs.repartition(7))
     assert np.allclose(one, many, atol=1e-5) and np.abs(one).sum() > 0
+
+
+@pytest.mark.parametrize("text, label", [
+    ("licensed under the Expat License", "mit"), ("under the X11 license", "mit"), ("Creative Commons Attribution 4.0", "cc-by"),
+    ("Creative Commons Attribution-ShareAlike 4.0", "cc-by-sa"), ("Creative Commons Attribution-NoDerivatives 4.0", "cc-by-nd"),
+    ("Creative Commons Attribution-NonCommercial 4.0", "cc-by-nc"), ("licensed under zero clause BSD", "0bsd"),
+    ("under the NCSA open source license", "ncsa"), ("either version 2 of the License, or (at your option) any later version", "gpl-2+"),
+    ("obtaining a copy of the software and accompanying documentation covered by this license", "bsl-1"),
+])
+def test_each_form_of_a_name_opens_its_rule(spark, text, label):
+    row = licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert label in row.labels.split(",") and row.score > 0

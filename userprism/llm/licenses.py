@@ -1,8 +1,8 @@
 """License scan by ordered signature rules, in SQL functions only.
 
 Text is reduced to words (ASCII letters lower-cased, digits, non-ASCII characters) joined by
-spaces. Rules are regular expressions over that, each gated by a keyword that must occur; a text
-without the keyword of any rule is not searched, as no rule could match it. Every match is an interval.
+spaces. Rules are regular expressions over that, each gated by keywords of which one must occur; a text
+without the keywords of all rules is not searched, as no rule could match it. Every match is an interval.
 In the order of start, longer first, then rank, a match inside a kept interval of its own or a
 better rank is suppressed, so "under the mit license" inside a quoted identifier line does
 not count twice. Ranks: identifier tags, grants, links, license text, names.
@@ -17,16 +17,16 @@ from pyspark.sql import functions as F
 # The base phrases and their labels.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
-# Licenses: label, identifier as words, keyword, name.
+# Licenses: label, identifier as words, keywords (one of them stands in every form of the name), name.
 NAMES = (
-    ("mit", "mit", "mit", "(?:the )?(?:mit|expat|x11)"),
-    ("mit-0", "mit 0", "mit", "mit (?:no attribution|0)"),
+    ("mit", "mit", " mit | expat | x11 ", "(?:the )?(?:mit|expat|x11)"),
+    ("mit-0", "mit 0", " mit 0 | mit no attribution ", "mit (?:no attribution|0)"),
     ("apache-2", "apache 2 0", "apache", "apache(?: software)?(?: license)?(?: version)? 2(?: 0)?"),
     ("apache-1.1", "apache 1 1", "apache", "apache(?: software)?(?: license)?(?: version)? 1 1"),
     ("bsd-2-clause", "bsd 2 clause", "bsd", "(?:simplified bsd|freebsd|bsd 2 clause|2 clause bsd)"),
     ("bsd-3-clause", "bsd 3 clause", "bsd", "(?:new bsd|modified bsd|revised bsd|bsd 3 clause|3 clause bsd)"),
     ("bsd-4-clause", "bsd 4 clause", "bsd", "(?:original bsd|bsd 4 clause|4 clause bsd)"),
-    ("0bsd", "0bsd", "0bsd", "(?:0bsd|zero clause bsd)"),
+    ("0bsd", "0bsd", "0bsd|zero clause bsd", "(?:0bsd|zero clause bsd)"),
     ("gpl-2", "gpl 2 0(?: only)?", "gpl", "(?:gnu )?gpl(?: version| v)? ?2(?: 0)?"),
     ("gpl-2+", "gpl 2 0 or later", "gpl", "(?:gnu )?gpl(?: version| v)? ?2(?: 0)? or (?:any )?later"),
     ("gpl-3", "gpl 3 0(?: only)?", "gpl", "(?:gnu )?gpl(?: version| v)? ?3(?: 0)?"),
@@ -40,37 +40,37 @@ NAMES = (
     ("agpl-3", "agpl 3 0(?: only| or later)?", "agpl", "(?:gnu )?agpl(?: version| v)? ?3(?: 0)?"),
     ("agpl-3", "gnu agpl 3", "affero", "gnu affero general public licen[cs]e(?: version| v)? ?3(?: 0)?"),
     ("gfdl-1.3", "gfdl 1 3(?: only| or later)?", "free documentation", "gnu free documentation licen[cs]e(?: version| v)? ?1 3"),
-    ("mpl-1.1", "mpl 1 1", "mozilla", "mozilla public licen[cs]e(?: version| v)? ?1 1"),
-    ("mpl-2", "mpl 2 0", "mozilla", "mozilla public licen[cs]e(?: version| v)? ?2(?: 0)?"),
-    ("epl-1", "epl 1 0", "eclipse", "eclipse public licen[cs]e(?: version| v)? ?1(?: 0)?"),
-    ("epl-2", "epl 2 0", "eclipse", "eclipse public licen[cs]e(?: version| v)? ?2(?: 0)?"),
+    ("mpl-1.1", "mpl 1 1", "mozilla public", "mozilla public licen[cs]e(?: version| v)? ?1 1"),
+    ("mpl-2", "mpl 2 0", "mozilla public", "mozilla public licen[cs]e(?: version| v)? ?2(?: 0)?"),
+    ("epl-1", "epl 1 0", "eclipse public", "eclipse public licen[cs]e(?: version| v)? ?1(?: 0)?"),
+    ("epl-2", "epl 2 0", "eclipse public", "eclipse public licen[cs]e(?: version| v)? ?2(?: 0)?"),
     ("eupl-1.2", "eupl 1 2", "european union", "european union public licen[cs]e(?: version| v)? ?1 2"),
     ("cddl-1", "cddl 1 0", "common development", "common development and distribution licen[cs]e(?: version| v)?(?: 1(?: 0)?)?"),
     ("cpl-1", "cpl 1 0", "common public", "common public licen[cs]e(?: version| v)?(?: 1(?: 0)?)?"),
-    ("isc", "isc", "isc", "isc"),
-    ("zlib", "zlib", "zlib", "zlib(?: libpng)?"),
-    ("bsl-1", "bsl 1 0", "boost", "boost software licen[cs]e(?: version| v)?(?: 1(?: 0)?)?"),
+    ("isc", "isc", " isc ", "isc"),
+    ("zlib", "zlib", " zlib ", "zlib(?: libpng)?"),
+    ("bsl-1", "bsl 1 0", "boost software", "boost software licen[cs]e(?: version| v)?(?: 1(?: 0)?)?"),
     ("unlicense", "unlicense", "unlicense", "(?:the )?unlicense"),
     ("wtfpl", "wtfpl", "wtfpl", "wtfpl"),
     ("artistic-2", "artistic 2 0", "artistic", "artistic(?: licen[cs]e)?(?: version| v)? ?2(?: 0)?"),
     ("python-2", "python 2 0", "python software", "python software foundation(?: licen[cs]e)?(?: version)?(?: 2)?"),
-    ("ruby", "ruby", "ruby", "ruby"),
+    ("ruby", "ruby", " ruby ", "ruby"),
     ("postgresql", "postgresql", "postgresql", "postgresql"),
     ("openssl", "openssl", "openssl", "openssl"),
-    ("php-3.01", "php 3 01", "php", "php(?: licen[cs]e)?(?: version| v)? ?3 01"),
+    ("php-3.01", "php 3 01", " php", "php(?: licen[cs]e)?(?: version| v)? ?3 01"),
     ("ofl-1.1", "ofl 1 1", "open font", "(?:sil )?open font(?: licen[cs]e)?(?: version| v)?(?: 1 1)?"),
     ("ms-pl", "ms pl", "microsoft public", "microsoft public"),
-    ("ncsa", "ncsa", "illinois", "(?:university of illinois )?(?:illinois )?ncsa open source"),
+    ("ncsa", "ncsa", "ncsa open source", "(?:university of illinois )?(?:illinois )?ncsa open source"),
     ("afl-3", "afl 3 0", "academic free", "academic free(?: licen[cs]e)?(?: version| v)?(?: 3(?: 0)?)?"),
     ("osl-3", "osl 3 0", "open software", "open software licen[cs]e(?: version| v)?(?: 3(?: 0)?)?"),
     ("odbl-1", "odbl 1 0", "open database", "open (?:data commons open )?database(?: licen[cs]e)?(?: version| v)?(?: 1(?: 0)?)?"),
     ("cc0-1", "cc0 1 0", "cc0", "cc0(?: 1 0)?(?: universal)?"),
-    ("cc-by", "cc by [1-4] [05]", "cc by", "(?:cc by|creative commons attribution)(?: [1-4] [05])?"),
-    ("cc-by-sa", "cc by sa [1-4] [05]", "sa", "(?:cc by sa|creative commons attribution share ?alike)(?: [1-4] [05])?"),
-    ("cc-by-nd", "cc by nd [1-4] [05]", "nd", "(?:cc by nd|creative commons attribution no ?deriv(?:ative)?s)(?: [1-4] [05])?"),
-    ("cc-by-nc", "cc by nc [1-4] [05]", "nc", "(?:cc by nc|creative commons attribution non ?commercial)(?: [1-4] [05])?"),
-    ("cc-by-nc-sa", "cc by nc sa [1-4] [05]", "nc", "(?:cc by nc sa|creative commons attribution non ?commercial share ?alike)(?: [1-4] [05])?"),
-    ("cc-by-nc-nd", "cc by nc nd [1-4] [05]", "nc", "(?:cc by nc nd|creative commons attribution non ?commercial no ?deriv(?:ative)?s)(?: [1-4] [05])?"),
+    ("cc-by", "cc by [1-4] [05]", "cc by|creative commons attribution", "(?:cc by|creative commons attribution)(?: [1-4] [05])?"),
+    ("cc-by-sa", "cc by sa [1-4] [05]", "cc by sa|creative commons attribution share", "(?:cc by sa|creative commons attribution share ?alike)(?: [1-4] [05])?"),
+    ("cc-by-nd", "cc by nd [1-4] [05]", "cc by nd|creative commons attribution no", "(?:cc by nd|creative commons attribution no ?deriv(?:ative)?s)(?: [1-4] [05])?"),
+    ("cc-by-nc", "cc by nc [1-4] [05]", "cc by nc|creative commons attribution non", "(?:cc by nc|creative commons attribution non ?commercial)(?: [1-4] [05])?"),
+    ("cc-by-nc-sa", "cc by nc sa [1-4] [05]", "cc by nc sa|creative commons attribution non", "(?:cc by nc sa|creative commons attribution non ?commercial share ?alike)(?: [1-4] [05])?"),
+    ("cc-by-nc-nd", "cc by nc nd [1-4] [05]", "cc by nc nd|creative commons attribution non", "(?:cc by nc nd|creative commons attribution non ?commercial no ?deriv(?:ative)?s)(?: [1-4] [05])?"),
 )
 
 # Links: label, keyword, path as words.
@@ -97,13 +97,13 @@ TEXTS = (
     ("bsd-2-clause", "redistribution and use", "redistribution and use in source and binary forms with or without modification are permitted"),
     ("bsd-3-clause", "neither the name", "neither the names? of .{1,80}? nor the names of (?:its|any) contributors"),
     ("bsd-4-clause", "all advertising materials", "all advertising materials mentioning features or use of this software"),
-    ("gpl-2+", "free software", "either version 2 of the license or at your option any later version"),
-    ("gpl-3+", "free software", "either version 3 of the license or at your option any later version"),
-    ("zlib", "as is", "this software is provided as is without any express or implied warranty in no event will the authors"),
+    ("gpl-2+", "at your option any later", "either version 2 of the license or at your option any later version"),
+    ("gpl-3+", "at your option any later", "either version 3 of the license or at your option any later version"),
+    ("zlib", "provided as is", "this software is provided as is without any express or implied warranty in no event will the authors"),
     ("unlicense", "unencumbered", "this is free and unencumbered software released into the public domain"),
     ("public-domain", "public domain", "(?:released|placed|dedicated) (?:in|into|to) the public domain"),
     ("wtfpl", "what the", "do what the fuck you want to public license"),
-    ("bsl-1", "permission is hereby granted", "obtaining a copy of the software and accompanying documentation covered by this license"),
+    ("bsl-1", "accompanying documentation", "obtaining a copy of the software and accompanying documentation covered by this license"),
 )
 
 GRANT = (
@@ -113,7 +113,7 @@ GRANT = (
 
 
 def rules():
-    """All rules as (rank, label, keyword, pattern, confidence), in order."""
+    """All rules as (rank, label, keywords, pattern, confidence), in order; keywords are split by |."""
     out = []
     for label, tag, key, name in NAMES:
         out.append((1, label, "spdx", f"spdx license identifier {tag}", 1.0))
@@ -138,10 +138,10 @@ def _count(text):
     return ((F.octet_length(text) - F.octet_length(F.replace(text, F.lit(" "), F.lit("")))) / 2).cast("long")
 
 
-def _matches(text):
+def _matches(text, gated=True):
     """All matches of all rules: (start, -end, rank, label, confidence, end)."""
     table = F.array(*[
-        F.struct(F.lit(rank).alias("rank"), F.lit(label).alias("label"), F.lit(key).alias("keyword"),
+        F.struct(F.lit(rank).alias("rank"), F.lit(label).alias("label"), F.array(*map(F.lit, key.split("|"))).alias("keywords"),
                  F.lit(f"(?<= ){pattern}(?= )").alias("pattern"), F.lit(sure).alias("confidence"))
         for rank, label, key, pattern, sure in rules()
     ])
@@ -164,7 +164,7 @@ def _matches(text):
         pairs = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
         return F.aggregate(pairs, begin, step, lambda done: done["out"])
 
-    able = F.filter(table, lambda rule: F.contains(text, rule["keyword"]))
+    able = F.filter(table, lambda rule: F.exists(rule["keywords"], lambda key: F.contains(text, key))) if gated else table
     return F.array_sort(F.flatten(F.transform(able, places)))
 
 
@@ -192,14 +192,14 @@ def _kept(matches):
 def detect(docs, text="text", gated=True):
     """``docs`` with ``words`` (see module) and ``licenses``: kept matches as intervals of it.
 
-    Without ``gated`` every text is searched, with the same result.
+    Without ``gated`` every text is searched by every rule, with the same result.
     """
     spaced = F.concat(F.lit(" "), F.col("words"), F.lit(" "))
     gate = F.lit(not gated)
-    for key in sorted({rule[2] for rule in rules()}) if gated else ():
+    for key in sorted({key for rule in rules() for key in rule[2].split("|")}) if gated else ():
         gate = gate | F.contains(spaced, F.lit(key))
     kind = "array<struct<start:int,back:int,rank:int,label:string,confidence:double,stop:int>>"
-    found = F.when(gate, _kept(_matches(spaced))).otherwise(F.array().cast(kind))
+    found = F.when(gate, _kept(_matches(spaced, gated))).otherwise(F.array().cast(kind))
     return docs.withColumn("words", _words(F.col(text))).withColumn("licenses", found)
 
 
