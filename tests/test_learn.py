@@ -97,3 +97,31 @@ def test_elimination(table):
 def test_best_size_prefers_fewer_features_on_a_tie():
     steps = [selection.Step(("a", "b"), 0.9), selection.Step(("a",), 0.9), selection.Step(("b",), None)]
     assert selection.best_size(steps).features == ("a",)
+
+
+def test_model_queries_do_the_whole_job(spark, monkeypatch):
+    from userprism.plans.queries import assembly, models
+
+    sf_dir = "/root/testdata/sf0.001"
+    table = models.model_table(spark, sf_dir).persist()
+    assert table.columns == assembly.full_table(spark, sf_dir).columns and len(table.columns) > 200
+    monkeypatch.setattr(models, "model_table", lambda *_: table)
+
+    searches = []
+    monkeypatch.setattr(learn, "search", lambda train, estimator, candidates, folds, **_: searches.append((len(candidates), folds)) or [None] * 3)
+    models.grid_search(spark, sf_dir)
+    models.random_search(spark, sf_dir)
+    assert searches == [(144, 4), (100, 3)]
+
+    found = {r.feature: r.correlation for r in models.target_corr_merged(spark, sf_dir).collect()}
+    assert sorted(found) == sorted(learn.feature_columns(table))
+    kept = {r.feature for r in models.corr_filter_merged(spark, sf_dir).collect()}
+    assert kept == {f for f, r in found.items() if r is not None and abs(r) > 0.2}
+
+    paths = []
+    monkeypatch.setattr(selection, "elimination_path", lambda train, features, smallest, step=1, sizes=None, **options: paths.append(
+        (len(features), smallest, step, sizes, options.get("max_depth"))) or [selection.Step(tuple(features), 1.0)])
+    models.rfe_path(spark, sf_dir)
+    models.optimal_features(spark, sf_dir)
+    n = len(found)
+    assert paths == [(n, 30, 1, None, None), (n, 10, 1, set(range(10, 60)), None)]

@@ -1,39 +1,20 @@
-"""Tree models, searches and feature elimination. These have no SQL."""
+"""Tree models, searches, feature elimination and correlations on the merged table. These have no SQL.
+
+Rounds, depths, folds, steps, sizes, thresholds and candidate lists are the operators' own.
+"""
 
 import uuid
 
-from ...operators import assemble, explore, features, idsets, learn, scale, selection, split
+from ...operators import correlation, explore, idsets, learn, scale, selection, split
 from ...sources.store import TableStore
 from .. import samples
+from .assembly import full_table
 from .registry import query
 
 
-POSITION_SPEC = features.FeatureSpec(
-    parts=(
-        features.Stats(("buy_amount", "sell_amount", "pnl_total", "count"), ("mean", "max", "q90")),
-        features.DistinctCount("client_platform_id", "ids_client_platform_count"),
-        features.CountBy("user_balance_type", (1,), "deals_per_balance_type_{value}_count"),
-        features.CountBy("position_type", ("long",), "deals_per_position_type_{value}_count"),
-    )
-)
-EVENT_SPEC = features.FeatureSpec(
-    rows="ids_events_count", parts=(features.Stats(("duration",), ("mean", "max")),)
-)
-
-
 def model_table(spark, sf_dir):
-    """A labelled table of some features of every user, staged: each fit reads it many times."""
-    table = label_and_join(
-        features.build_features(samples.positions(spark, sf_dir), POSITION_SPEC),
-        features.build_features(samples.events(spark, sf_dir), EVENT_SPEC),
-        features.rows_per_key(samples.attribution(spark, sf_dir), name="ids_records_count"),
-        samples.deposits(spark, sf_dir),
-    )
-    return scale.stage(table)
-
-
-def label_and_join(positions, events, attribution, deposits):
-    return assemble.label_users(assemble.merge_features(positions, events, attribution), deposits)
+    """The labelled merged table of all features, staged: each fit reads it many times."""
+    return scale.stage(full_table(spark, sf_dir))
 
 
 def model_parts(spark, sf_dir):
@@ -46,7 +27,7 @@ def model_parts(spark, sf_dir):
 @query("tree_importance")
 def tree_importance(spark, sf_dir):
     names, train, _ = model_parts(spark, sf_dir)
-    model = learn.fit_tree(train, max_depth=8)
+    model = learn.fit_tree(train)
     return explore.top_rows(
         learn.importances(spark, model, names), "importance", 20, ties=("feature",)
     )
@@ -55,13 +36,13 @@ def tree_importance(spark, sf_dir):
 @query("tree_auc")
 def tree_auc(spark, sf_dir):
     _, train, test = model_parts(spark, sf_dir)
-    return learn.evaluate(learn.fit_tree(train, max_depth=8), test)
+    return learn.evaluate(learn.fit_tree(train), test)
 
 
 @query("gbt_scores")
 def gbt_scores(spark, sf_dir):
     _, train, test = model_parts(spark, sf_dir)
-    model = learn.fit_boosted(train, rounds=10, maxDepth=3, stepSize=0.1)
+    model = learn.fit_boosted_on_auc(train)
     scored = model.transform(test)
     return scored.select("user_id", "target", learn.probability(scored).alias("score"))
 
@@ -69,52 +50,68 @@ def gbt_scores(spark, sf_dir):
 @query("gbt_auc")
 def gbt_auc(spark, sf_dir):
     _, train, test = model_parts(spark, sf_dir)
-    model = learn.fit_boosted(train, rounds=10, maxDepth=3, stepSize=0.1)
+    model = learn.fit_boosted_on_auc(train)
     return learn.evaluate(model, test, use_probability=True)
 
 
 @query("gbt_auc_rounds")
 def gbt_auc_rounds(spark, sf_dir):
     _, train, test = model_parts(spark, sf_dir)
-    return learn.auc_by_round(learn.fit_boosted(train, rounds=5, maxDepth=3), test)
+    return learn.auc_by_round(learn.fit_boosted(train), test)
 
 
 @query("grid_search")
 def grid_search(spark, sf_dir):
+    """Every combination of ``BOOSTED_GRID`` that differs on Spark: 144 candidates, 4 folds."""
     names, train, _ = model_parts(spark, sf_dir)
-    grid = {"learning_rate": [0.05, 0.1], "n_estimators": [3], "num_leaves": [4]}
-    return learn.grid_search(train, grid, folds=2)[2]
+    return learn.grid_search(train, base=learn.BOOSTED_BASE)[2]
 
 
 @query("random_search")
 def random_search(spark, sf_dir):
+    """100 draws from ``FOREST_SPACE``, 3 folds, forests of 200 to 2000 trees."""
     names, train, _ = model_parts(spark, sf_dir)
-    space = {"n_estimators": [4, 8], "max_depth": [3, 4, 5], "min_samples_leaf": [1, 2]}
-    return learn.random_search(train, space, draws=3, folds=2)[2]
+    return learn.random_search(train)[2]
 
 
 @query("rfe_path")
 def rfe_path(spark, sf_dir):
+    """One feature less a fit, down to 30."""
     table = model_table(spark, sf_dir)
     train, test = split.hash_split(table)
-    path = selection.elimination_path(
-        train, learn.feature_columns(table), 4, step=4, test=test, max_depth=5
-    )
+    path = selection.elimination_path(train, learn.feature_columns(table), 30, test=test)
     rows = [(len(s.features), f, s.accuracy) for s in path for f in s.features]
     return spark.createDataFrame(rows, "size int, feature string, accuracy double")
 
 
 @query("optimal_features")
 def optimal_features(spark, sf_dir):
+    """The best of all sizes from 10 to 59, by steps of one feature."""
     table = model_table(spark, sf_dir)
     train, test = split.hash_split(table, 0.3, seed=0)
-    kept = selection.select_by_elimination(
-        train, learn.feature_columns(table), find_optimal=True, start=6, upto=13, test=test,
-        step=0.25, max_depth=5,
-    )
+    kept = selection.select_by_elimination(train, learn.feature_columns(table), find_optimal=True, test=test)
     return spark.createDataFrame([(i, f) for i, f in enumerate(kept)], "position int, feature string")
 
 
+@query("target_corr_merged")
+def target_corr_merged(spark, sf_dir):
+    """All features; ``target_corr`` and its siblings show six columns, as their SQL does."""
+    table = model_table(spark, sf_dir)
+    return correlation.target_correlation(table, learn.feature_columns(table))
+
+
+@query("corr_filter_merged")
+def corr_filter_merged(spark, sf_dir):
+    kept = correlation.select_by_correlation(model_table(spark, sf_dir))
+    return spark.createDataFrame([(k,) for k in kept], "feature string")
+
+
+@query("corr_matrix_merged")
+def corr_matrix_merged(spark, sf_dir):
+    table = model_table(spark, sf_dir)
+    return correlation.correlation_matrix(table, learn.feature_columns(table))
+
+
 @query("save_load")
 def save_load(spark, sf_dir):
     """Features, names, ids and a model written to a store and read back."""
@@ -123,7 +120,7 @@ def save_load(spark, sf_dir):
     names = learn.feature_columns(table)
     store.save_selected("rfe", names)
     store.save_ids("outliers", idsets.split_outliers(samples.positions(spark, sf_dir))[0])
-    store.save_model("tree", learn.fit_tree(learn.to_vectors(table, names), max_depth=4))
+    store.save_model("tree", learn.fit_tree(learn.to_vectors(table, names)))
     kept = idsets.without_ids(store.load("merged"), store.load("outliers"))
-    vectors = learn.to_vectors(kept, store.selected_features("rfe", first=40))
+    vectors = learn.to_vectors(kept, store.selected_features("rfe"))
     return store.load_model("tree").transform(vectors).select("user_id", "target", "prediction")
