@@ -125,3 +125,39 @@ def test_model_queries_do_the_whole_job(spark, monkeypatch):
     models.optimal_features(spark, sf_dir)
     n = len(found)
     assert paths == [(n, 30, 1, None, None), (n, 10, 1, set(range(10, 60)), None)]
+
+
+def test_vectors_hold_the_training_table_without_value_lists(spark, monkeypatch):
+    from userprism.operators import features
+    from userprism.plans.queries import assembly, models
+
+    sf_dir = "/root/testdata/sf0.001"
+    dense = {r.user_id: r.asDict() for r in assembly.full_table(spark, sf_dir).collect()}
+
+    def discover(df, columns, limit=None):
+        assert not columns, "category values on the driver"
+        return {}
+
+    monkeypatch.setattr(features, "discover_values", discover)
+    names, train, test = models.model_parts(spark, sf_dir)
+    of = {r["index"]: r.name for r in names.collect()}
+    rows = train.unionByName(test).collect()
+    assert len(rows) == len(dense) and len(of) > 150
+    for row in rows:
+        got = {of[int(i)]: v for i, v in zip(row.features.indices, row.features.values)}
+        want = {k: v for k, v in dense[row.user_id].items() if k not in ("user_id", "target") and v}
+        assert got == pytest.approx(want) and row.target == dense[row.user_id]["target"]
+
+
+def test_affiliates_without_number_are_no_columns(spark):
+    from userprism.plans.queries import assembly
+    from userprism.plans import samples, training
+
+    sf_dir, n = "/root/testdata/sf0.001", 20_000
+    attribution = spark.range(n).selectExpr(
+        "id % 50 AS user_id", "9L AS client_platform_id", "1D AS country_id", "'d' AS device", "id AS aff_id", "'m' AS media_source"
+    )
+    logs = samples.deposits(spark, sf_dir), samples.positions(spark, sf_dir), attribution, samples.events(spark, sf_dir)
+    vectors, names = training.training_vectors(*logs, min_count=0, instruments=assembly.BRANDS)
+    assert names.filter("name LIKE 'amount_of_clicks_per_aff_%'").count() == n
+    assert vectors.count() == samples.positions(spark, sf_dir).select("user_id").distinct().count()

@@ -58,13 +58,23 @@ def dictionary(long):
     return prefix_sums(names, [], "name", "one").select("name", F.col("before").cast("long").alias("index"))
 
 
-def sparse_features(df, spec):
-    """(one sparse vector per key, the dictionary). The key's values fold by index before the shuffle."""
-    long = stage(long_features(df, spec))
+def vectors(long, key, users=None):
+    """(one sparse vector per key, the dictionary) of a long table.
+
+    With ``users``, a table of keys, exactly these have a row; one without features is all zero.
+    """
+    long = stage(long)
     names = stage(dictionary(long))
     width = names.count()
-    vector = F.udf(lambda cells: SparseVector(width, [(int(i), v) for i, v in cells]), VectorUDT())
-    placed = long.join(names, "name").groupBy(col(spec.key)).agg(
+    vector = F.udf(lambda cells: SparseVector(width, [(int(i), v) for i, v in cells or ()]), VectorUDT())
+    placed = long.join(names, "name").groupBy(col(key)).agg(
         F.sort_array(F.collect_list(F.struct("index", "value"))).alias("cells")
     )
-    return placed.select(col(spec.key), vector("cells").alias("features")), names
+    if users is not None:
+        placed = users.join(placed, key, "left")
+    return placed.select(col(key), vector("cells").alias("features")), names
+
+
+def sparse_features(df, spec):
+    """(one sparse vector per key, the dictionary) of a table's features."""
+    return vectors(long_features(df, spec), spec.key)

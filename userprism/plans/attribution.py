@@ -29,8 +29,16 @@ def attribution_spec():
     )
 
 
-def attribution_features(df, min_count=100):
-    """One row per attribution user. Bucketed rows are staged for the aggregates after it."""
+def attribution_rows(df, min_count=100):
+    """The rows and the spec of the attribution features. Bucketed rows are staged for the aggregates after it."""
     used = ["user_id", "client_platform_id", "aff_id", "country_id", "device"]
     rows = stage(clean_attribution(df.select(*used, "media_source"), min_count).select(*used))
-    return build_features(rows, attribution_spec())
+    return rows, attribution_spec()
+
+
+def attribution_features(df, min_count=100):
+    """One row per attribution user; every affiliate, device and country left becomes columns.
+
+    ``training.training_vectors`` holds the same features for any number of them.
+    """
+    return build_features(*attribution_rows(df, min_count))

@@ -24,11 +24,16 @@ def event_spec():
     )
 
 
-def event_features(df, heavy_rows=HEAVY_ROWS):
-    """One row per events user.
+def event_rows(df):
+    """The rows and the spec of the events features.
 
     The used columns of the cleaned log are staged: value lists, row counts and two aggregates
     read them, and the log itself is parsed once.
     """
     rows = stage(clean_events(df).select("user_id", "duration", "platform_id", "category", "name"))
-    return build_features(rows, event_spec(), heavy_rows)
+    return rows, event_spec()
+
+
+def event_features(df, heavy_rows=HEAVY_ROWS):
+    """One row per events user."""
+    return build_features(*event_rows(df), heavy_rows)

@@ -77,8 +77,8 @@ def extra_flag_spec():
     )
 
 
-def position_features(df, instruments=INSTRUMENTS, heavy_rows=HEAVY_ROWS):
-    """One row per positions user.
+def position_rows(df, instruments=INSTRUMENTS):
+    """The rows and the spec of the positions features.
 
     The cleaned rows are staged: several aggregates read them, and de-duplication is the most
     expensive step of the plan. Only columns the features use are written.
@@ -86,7 +86,12 @@ def position_features(df, instruments=INSTRUMENTS, heavy_rows=HEAVY_ROWS):
     enrolled = [f"{c}_enrolled" for c in CONVERTED]
     used = ["user_id", "count", *MONEY, *enrolled, *CATEGORIES]
     rows = stage(clean_positions(df, instruments).select(*used))
-    return build_features(rows, FeatureSpec(parts=number_spec() + frequency_spec()), heavy_rows)
+    return rows, FeatureSpec(parts=number_spec() + frequency_spec())
+
+
+def position_features(df, instruments=INSTRUMENTS, heavy_rows=HEAVY_ROWS):
+    """One row per positions user."""
+    return build_features(*position_rows(df, instruments), heavy_rows)
 
 
 def exploration_features(df):

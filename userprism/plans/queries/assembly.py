@@ -48,8 +48,8 @@ def label_users(spark, sf_dir):
     return per_user(spark, sf_dir).select("user_id", "deals", "target")
 
 
-def full_table(spark, sf_dir):
-    return training.training_table(
+def full_table(spark, sf_dir, build=training.training_table):
+    return build(
         samples.deposits(spark, sf_dir),
         samples.positions(spark, sf_dir),
         samples.attribution(spark, sf_dir),
@@ -58,6 +58,11 @@ def full_table(spark, sf_dir):
     )
 
 
+def full_vectors(spark, sf_dir):
+    """The merged table as sparse vectors, and the table of feature names."""
+    return full_table(spark, sf_dir, training.training_vectors)
+
+
 @query(
     "training_table",
     "SELECT p.*, "

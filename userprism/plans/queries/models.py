@@ -8,7 +8,7 @@ import uuid
 from ...operators import correlation, explore, idsets, learn, scale, selection, split
 from ...sources.store import TableStore
 from .. import samples
-from .assembly import full_table
+from .assembly import full_table, full_vectors
 from .registry import query
 
 
@@ -18,10 +18,9 @@ def model_table(spark, sf_dir):
 
 
 def model_parts(spark, sf_dir):
-    """Feature names, and vectors of the train and the test users."""
-    table = model_table(spark, sf_dir)
-    names = learn.feature_columns(table)
-    return names, *[learn.to_vectors(part, names) for part in split.hash_split(table)]
+    """The table of feature names, and sparse vectors of the train and the test users."""
+    vectors, names = full_vectors(spark, sf_dir)
+    return names, *split.hash_split(vectors)
 
 
 @query("tree_importance")
@@ -29,7 +28,7 @@ def tree_importance(spark, sf_dir):
     names, train, _ = model_parts(spark, sf_dir)
     model = learn.fit_tree(train)
     return explore.top_rows(
-        learn.importances(spark, model, names), "importance", 20, ties=("feature",)
+        learn.importances(spark, model, [r.name for r in names.orderBy("index").collect()]), "importance", 20, ties=("feature",)
     )
 
 

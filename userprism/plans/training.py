@@ -1,14 +1,17 @@
 """From the four logs to the labelled training table."""
 
+from pyspark.sql import functions as F
+
+from ..operators import sparse
 from ..operators.assemble import label_users, merge_features
 from ..operators.cleaning import keep_columns
 from ..operators.idsets import distinct_ids
 from ..operators.scale import stage
 from ..sources.logs import read_logs
 from ..sources.store import TableStore
-from .attribution import attribution_features
-from .events import event_features
-from .positions import INSTRUMENTS, position_features
+from .attribution import attribution_features, attribution_rows
+from .events import event_features, event_rows
+from .positions import INSTRUMENTS, position_features, position_rows
 
 # Features always added to a stored selection.
 ALWAYS_KEPT = (
@@ -38,6 +41,23 @@ def training_table(deposits, positions, attribution, events, add_target=True, mi
     return label_users(merged, deposits) if add_target else merged
 
 
+def training_vectors(deposits, positions, attribution, events, min_count=100, instruments=INSTRUMENTS):
+    """The training table for fits, with categories of any number of values.
+
+    Returns (user_id, features, target), one sparse vector per positions user, and the table
+    (name, index) of the features. No category value becomes a column or reaches the driver.
+    """
+    logs = (position_rows(positions, instruments), event_rows(events), attribution_rows(attribution, min_count))
+    long = None
+    for rows, spec in logs:
+        part = sparse.long_features(rows, spec)
+        long = part if long is None else long.unionByName(part)
+    users = distinct_ids(logs[0][0])
+    vectors, names = sparse.vectors(long, "user_id", users)
+    labelled = label_users(vectors, deposits)
+    return stage(labelled.withColumn("target", F.col("target").cast("double"))), names
+
+
 def build_store(spark, config):
     """Compute and store the feature tables and the merged table; returns the merged table.
 
