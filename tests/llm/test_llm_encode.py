@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 import tiktoken
 
-from userprism.llm import bytebpe, fingerprints, packing
+from userprism.llm import bytebpe, fingerprints, packing, textops
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 RANKS, WORDS = P.path("byte_bpe_50k.tiktoken"), P.path("word_bpe_49k.json")
@@ -164,3 +164,10 @@ def test_every_prefix_of_a_table_is_an_encoding(library):
         table = vocabulary.prefix_table(data)
         for n in range(1, len(data) + 1):
             assert vocabulary.read(table[: n + 1]) == [vocabulary.ranks[p] for p in vocabulary.merge(data[:n])]
+
+
+def test_a_repeated_passage_keeps_its_smallest_hashes():
+    passage = " ".join(f"w{i}" for i in range(80))
+    (limit, hashes), = fingerprints.sketches(pa.array([" ".join([passage] * 100)]))
+    every, _ = textops.distinct_sorted(*textops.shingles(textops.words(pa.array([" ".join([passage] * 2)]), lower=True), 5))
+    assert len(every) == 80 and list(hashes) == list(every[:64]) and limit == every[63]

@@ -40,18 +40,17 @@ def sketches(column, settings=Settings()):
     """One (limit, sorted hashes) per text of an Arrow column."""
     hashes, owner = textops.shingles(textops.words(column, lower=True), settings.width)
     below = hashes <= settings.threshold
-    few = np.bincount(owner[below], minlength=len(column)) < settings.at_least * 2
+    few = np.bincount(textops.distinct_sorted(hashes[below], owner[below])[1], minlength=len(column)) < settings.at_least
     kept = below | few[owner]
     hashes, owner = textops.distinct_sorted(hashes[kept], owner[kept])
     first = np.searchsorted(owner, np.arange(len(column) + 1))
     rank = np.arange(len(hashes)) - first[owner]
-    found = np.bincount(owner[hashes <= settings.threshold], minlength=len(column))
     total = np.diff(first)
     keep = (hashes <= settings.threshold) | (few[owner] & (rank < settings.at_least))
     out = []
     for i in range(len(column)):
         mine = hashes[first[i] : first[i + 1]][keep[first[i] : first[i + 1]]]
-        if found[i] >= settings.at_least or not few[i]:
+        if not few[i]:
             limit = settings.threshold
         elif total[i] <= settings.at_least:
             limit = ALL
