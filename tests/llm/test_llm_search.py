@@ -248,3 +248,13 @@ def test_word_vectors_add_up_over_tasks(spark, monkeypatch):
 def test_each_form_of_a_name_opens_its_rule(spark, text, label):
     row = licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
     assert label in row.labels.split(",") and row.score > 0
+
+
+@pytest.mark.parametrize("n", [4, 8])
+def test_few_labels_train_a_network(spark, n):
+    """Less than ten labelled rows of both classes: clean and broken texts still differ."""
+    texts = [("plain words of a clean text that goes on " * 5) if i % 2 else ("@@ ## 99 zz!! %% 00 " * 8) for i in range(n)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = quality.fit(docs, docs.selectExpr("doc_id", "cast(doc_id % 2 as int) AS quality"))
+    scores = {r.doc_id: r.score for r in quality.score(docs, model).collect()}
+    assert min(s for i, s in scores.items() if i % 2) > 0.5 > max(s for i, s in scores.items() if i % 2 == 0)

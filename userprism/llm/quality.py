@@ -215,7 +215,8 @@ def fit(docs, labels, sample=20_000, units=32, rounds=30, seed=5):
     """A model from all texts of ``docs`` and at most ``sample`` rows of ``labels`` (doc_id, quality).
 
     The sample takes the labelled ids with the smallest hashes. Every fifth row of it, in that
-    order, fits the temperature, the others the network.
+    order, fits the temperature, the others the network. Where one of these parts lacks a class,
+    all rows fit the network and the temperature is 1.
     """
     vectors = word_vectors(docs)
     chosen = stage(
@@ -239,15 +240,19 @@ def fit(docs, labels, sample=20_000, units=32, rounds=30, seed=5):
     rows.sort(key=lambda r: r.order)
     y = np.array([r.y for r in rows], float)
     nothing = np.zeros(FEATURES)
-    if len(rows) < 10 or y.min() == y.max():
+    if not len(rows) or y.min() == y.max():
         constant = float(y.mean()) if len(rows) else 0.5
         return Model(vectors, nothing, nothing + 1, None, None, 1.0, constant)
     x = np.array([np.frombuffer(r.x, np.float32) for r in rows], np.float64)
     aside = np.arange(len(x)) % 5 == 4
+    both = len(set(y[aside])) == 2 == len(set(y[~aside]))
+    if not both:
+        aside[:] = False
     shift, scale = x[~aside].mean(axis=0), x[~aside].std(axis=0) + 1e-6
     hidden, output = _train((x[~aside] - shift) / scale, y[~aside], units, rounds, seed)
     model = Model(vectors, shift, scale, hidden, output, 1.0)
-    model.temperature = _temperature(model.log_odds(x[aside]), y[aside])
+    if both:
+        model.temperature = _temperature(model.log_odds(x[aside]), y[aside])
     return model
 
 
