@@ -1,11 +1,13 @@
-"""Substring deduplication by relative Lempel-Ziv parsing against indexed reference blocks.
+"""Substring deduplication by windows looked up in indexed reference blocks.
 
 The corpus itself is the reference, cut into blocks. Each block is indexed by the windows of
-``WINDOW`` words it holds, and every document is parsed against the indexes of all blocks: at
-a window that occurs elsewhere a factor opens and grows greedily while the following windows
-occur in the same reference block; where it ends, the windows across its border are looked up
-like any other. Factors have ``WINDOW`` words at least, shorter ones are literals and stay. A
-word inside a factor is a repeat.
+``WINDOW`` words it holds, and every window of a document is looked up in the indexes of all
+blocks. It is labelled with the lowest-numbered other block that holds it, and a factor is a run
+of neighbouring windows with one label. This is no relative Lempel-Ziv parse: no place in the
+reference is kept, a factor ends where the label changes even if its block goes on, and its
+windows may stand in different documents of the block. Factors have ``WINDOW`` words at least,
+shorter ones are literals and stay. A word inside any window found is a repeat, so the results
+do not depend on where factors end.
 
 Windows are compared by 64-bit hashes plus the independent bits that choose their bucket.
 
@@ -43,7 +45,7 @@ def _windows(table, n_blocks, width):
 
 
 def _parse(found, place, known, reference, width):
-    """Greedy factors as (first word, end word, reference block), by word number in the block."""
+    """Runs of windows with one label as (first word, end word, reference block), by word number in the block."""
     hit = np.flatnonzero(known)
     at, source = place[hit], reference[hit]
     text = np.searchsorted(found.first, at, side="right")
