@@ -1,8 +1,10 @@
-"""The named queries of the ten operators over the driver's tables."""
+"""The named queries of the operators over the driver's tables."""
 
 import public_tokenizers
 
-from . import bytebpe, chat, fingerprints, jaccard, licenses, packing, quality, rabit, substrings, warc
+from . import (
+    bytebpe, chat, fingerprints, jaccard, licenses, manifest, mixing, packing, phrases, quality, rabit, substrings, warc,
+)
 from .shipping import ship
 
 QUERIES, ORACLES = {}, {}
@@ -95,3 +97,18 @@ def op9_warc(spark, sf_dir):
 @query("op10_jaccard_join")
 def op10_jaccard_join(spark, sf_dir):
     return jaccard.link(table(spark, sf_dir, "documents"))
+
+
+@query("op11_phrases")
+def op11_phrases(spark, sf_dir):
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+@query("op12_manifest")
+def op12_manifest(spark, sf_dir):
+    return manifest.verify(table(spark, sf_dir, "documents"))
+
+
+@query("op13_mixing")
+def op13_mixing(spark, sf_dir):
+    return mixing.mix(table(spark, sf_dir, "documents"))
