@@ -108,7 +108,8 @@ def test_model_queries_do_the_whole_job(spark, monkeypatch):
     monkeypatch.setattr(models, "model_table", lambda *_: table)
 
     searches = []
-    monkeypatch.setattr(learn, "search", lambda train, estimator, candidates, folds, **_: searches.append((len(candidates), folds)) or [None] * 3)
+    for name in ("search_boosted", "search_forests"):
+        monkeypatch.setattr(learn, name, lambda train, candidates, folds, *_: searches.append((len(candidates), folds)) or [None] * 3)
     models.grid_search(spark, sf_dir)
     models.random_search(spark, sf_dir)
     assert searches == [(144, 4), (100, 3)]
@@ -129,7 +130,7 @@ def test_model_queries_do_the_whole_job(spark, monkeypatch):
 
 def test_vectors_hold_the_training_table_without_value_lists(spark, monkeypatch):
     from userprism.operators import features
-    from userprism.plans.queries import assembly, models
+    from userprism.plans.queries import assembly
 
     sf_dir = "/root/testdata/sf0.001"
     dense = {r.user_id: r.asDict() for r in assembly.full_table(spark, sf_dir).collect()}
@@ -139,9 +140,9 @@ def test_vectors_hold_the_training_table_without_value_lists(spark, monkeypatch)
         return {}
 
     monkeypatch.setattr(features, "discover_values", discover)
-    names, train, test = models.model_parts(spark, sf_dir)
+    vectors, names = assembly.full_vectors(spark, sf_dir)
     of = {r["index"]: r.name for r in names.collect()}
-    rows = train.unionByName(test).collect()
+    rows = vectors.collect()
     assert len(rows) == len(dense) and len(of) > 150
     for row in rows:
         got = {of[int(i)]: v for i, v in zip(row.features.indices, row.features.values)}

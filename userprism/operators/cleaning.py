@@ -70,13 +70,13 @@ def frequent_values(df, columns, min_count=100):
     )
 
 
-def bucket_rare(df, replacements, min_count=100):
+def bucket_rare(df, replacements, min_count=100, frequent=None):
     """Keep frequent values; every other value, and a missing one, becomes the replacement.
 
     ``replacements`` maps each column to what stands for its rare values. The frequent values
-    are staged once and looked up per column.
+    are staged once and looked up per column; ``frequent`` gives those of an earlier log instead.
     """
-    frequent = stage(frequent_values(df, list(replacements), min_count))
+    frequent = stage(frequent_values(df, list(replacements), min_count) if frequent is None else frequent)
     fits = fits_broadcast(frequent)
     order = [col(c) for c in df.columns]
     for column, replacement in replacements.items():

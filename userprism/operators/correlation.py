@@ -1,8 +1,17 @@
 """Pearson correlation with the label, and the full matrix."""
 
+import numpy as np
+import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import functions as F
 
-from .scale import col, literal, quoted
+from .scale import col, literal, quoted, stage
+from .sparse import cells, dictionary
+
+# Features of a strip, and products of two strips that a task holds at once: 512 KB each.
+STRIP = 256
+HELD = 64
 
 
 def _numbers(df, features):
@@ -44,3 +53,86 @@ def correlation_matrix(df, columns):
     rows = df.select(_numbers(df, columns).alias("a")).withColumn("b", F.col("a"))
     pairs = rows.select("b", F.inline("a")).select(F.col("feature"), F.col("x"), F.inline("b").alias("other", "y"))
     return pairs.groupBy("feature", "other").agg(_correlation(F.col("x"), F.col("y")).alias("correlation"))
+
+
+def _products(batches, strip):
+    """Sums of products of two strips of features over the users of a task.
+
+    Yields (row, other, sums): a feature, a strip, and the sums with each feature of the strip.
+    """
+    held = {}
+
+    def flush():
+        for (s, t), product in held.items():
+            some = np.flatnonzero(product.any(axis=1))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array((some + s * strip).astype(np.int64)), pa.array(np.full(len(some), t, np.int64)),
+                    pa.array(list(product[some]), pa.list_(pa.float64())),
+                ],
+                names=["row", "other", "sums"],
+            )
+        held.clear()
+
+    for batch in batches:
+        lists = batch.column(0)
+        sizes = np.diff(lists.offsets.to_numpy())
+        user = np.repeat(np.arange(len(lists)), sizes)
+        flat = lists.flatten()
+        index, value = (flat.field(f).to_numpy(zero_copy_only=False) for f in ("index", "value"))
+        strips = {}
+        for s in np.unique(index // strip):
+            mine = index // strip == s
+            dense = np.zeros((len(lists), strip))
+            dense[user[mine], index[mine] - s * strip] = value[mine]
+            strips[int(s)] = dense
+        for s, left in strips.items():
+            for t, right in strips.items():
+                if s <= t:
+                    product = left.T @ right
+                    held[s, t] = held[s, t] + product if (s, t) in held else product
+                    if len(held) >= HELD:
+                        yield from flush()
+    yield from flush()
+
+
+def gram(long, names, key="user_id", strip=STRIP):
+    """(row, column, xy): sums of products of all pairs of features, zeros left out.
+
+    The matrix is made in tiles of ``strip`` features a side: a task multiplies its users' strips
+    and holds at most ``HELD`` tiles, whose rows are added up by executors. A user's row is read
+    once, not once for each pair of its features.
+    """
+    rows = cells(long, names, key).groupBy(col(key)).agg(F.sort_array(F.collect_list(F.struct("index", "value"))).alias("cells"))
+    tiles = rows.select("cells").mapInArrow(lambda b: _products(b, strip), "row long, other long, sums array<double>")
+    summed = tiles.groupBy("row", "other").agg(Summarizer.sum(array_to_vector("sums")).alias("sums"))
+    pairs = summed.select("row", "other", F.posexplode(vector_to_array("sums")).alias("at", "xy"))
+    return pairs.select("row", (F.col("other") * strip + F.col("at")).alias("column"), "xy").filter("xy <> 0")
+
+
+def wide_correlation_matrix(long, users, key="user_id", strip=STRIP):
+    """(feature, other, correlation) of all pairs of a long table's features over ``users``.
+
+    A user without a cell is a 0. Null where either feature is constant.
+    """
+    long = stage(long)
+    names = stage(dictionary(long))
+    n = F.lit(float(users.count()))
+    x = F.col("value")
+    sums = cells(long, names, key).groupBy("index").agg(
+        F.sum(x).alias("x"), F.sum(x * x).alias("xx"), F.count(F.lit(1)).alias("cells"), F.min(x).alias("low"), F.max(x).alias("high"),
+    )
+    spread = F.when((F.col("cells") < n) | (F.col("low") < F.col("high")), n * F.col("xx") - F.col("x") * F.col("x"))
+    sums = stage(sums.join(names, "index").select("index", "name", "x", F.when(spread > 0, F.sqrt(spread)).alias("spread")))
+    half = gram(long, names, key, strip)
+    xy = half.unionByName(
+        half.filter(F.floor(F.col("row") / strip) < F.floor(F.col("column") / strip)).select(
+            F.col("column").alias("row"), F.col("row").alias("column"), "xy"
+        )
+    )
+    a, b = (sums.select(*[F.col(c).alias(c + side) for c in sums.columns]) for side in ("_a", "_b"))
+    # Every pair of features is a row of the result, also those that no user has both.
+    pairs = a.select("*", F.explode(F.sequence(F.lit(0), F.lit(names.count() - 1))).alias("index_b")).join(b, "index_b")
+    pairs = pairs.join(xy, (pairs.index_a == xy.row) & (pairs.index_b == xy.column), "left")
+    value = F.try_divide(n * F.coalesce("xy", F.lit(0.0)) - F.col("x_a") * F.col("x_b"), F.col("spread_a") * F.col("spread_b"))
+    return pairs.select(F.col("name_a").alias("feature"), F.col("name_b").alias("other"), value.alias("correlation"))

@@ -2,14 +2,15 @@
 
 import math
 import random
+from contextlib import contextmanager
 from itertools import product
+from multiprocessing.pool import ThreadPool
 
+from pyspark import SparkContext, inheritable_thread_target
 from pyspark.ml.classification import (
-    DecisionTreeClassifier, GBTClassifier, RandomForestClassifier,
+    DecisionTreeClassifier, GBTClassificationModel, GBTClassifier, RandomForestClassifier,
 )
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import functions as F
 
 from .metrics import rank_auc
@@ -18,6 +19,8 @@ from .split import fold_column, in_fraction
 
 # Spark's limit; the nearest to a tree without a depth limit.
 MAX_DEPTH = 30
+# Trees keep a 4-byte bin per row and feature; a task of a fit reads about this much of them.
+FIT_BYTES = 16 * 1024 * 1024
 
 # The boosted-tree search grid, in the names used below.
 BOOSTED_GRID = {
@@ -62,11 +65,12 @@ _NAMES = {
 }
 
 
-def spark_settings(params, forest=False):
+def spark_settings(params, forest=False, rows=None):
     """Common boosting and forest parameter names as Spark ML parameters.
 
-    Leaf counts become the depth that can hold them. Unknown names raise: Spark's boosting
-    has no L1/L2 penalty and no dropout of trees.
+    Leaf counts become the depth that can hold them. A least split gain is a sum over rows, where
+    Spark compares impurity per row, so it is divided by the ``rows`` to fit on. Unknown names
+    raise: Spark's boosting has no L1/L2 penalty and no dropout of trees.
     """
     settings = {}
     for name, value in params.items():
@@ -79,6 +83,12 @@ def spark_settings(params, forest=False):
             value = MAX_DEPTH if value is None or value < 0 else min(value, MAX_DEPTH)
         elif name == "colsample_bytree":
             value = str(value)
+        elif name == "min_split_gain":
+            if not rows:
+                raise ValueError("min_split_gain needs the number of rows")
+            value = value / rows
+        elif name == "max_features" and value == "auto":
+            value = "sqrt"  # what it means for a forest of classifiers
         # Leaves and depth both limit the depth, in whatever order they come.
         settings[target] = min(value, settings.get(target, value)) if target == "maxDepth" else value
     return settings
@@ -96,6 +106,24 @@ def to_vectors(df, features, target="target", key="user_id"):
     )
 
 
+@contextmanager
+def prepared(*parts):
+    """The parts persisted in partitions sized for fits, which run a job per level of each tree.
+
+    A task's overhead outweighs a small partition's work many times over there.
+    """
+    held = []
+    for part in parts:
+        row = part.select(F.count(F.lit(1)).alias("n"), F.first("features").alias("v")).first()
+        size = row.n * (row.v.size if row.v is not None else 0) * 4
+        held.append(part.repartition(max(1, -(-size // FIT_BYTES))).persist())
+    try:
+        yield held
+    finally:
+        for part in held:
+            part.unpersist()
+
+
 def fit_tree(train, target="target", max_depth=MAX_DEPTH, seed=42, **settings):
     tree = DecisionTreeClassifier(**{"labelCol": target, "maxDepth": max_depth, "seed": seed, **settings})
     return tree.fit(train)
@@ -113,24 +141,51 @@ def fit_boosted(train, target="target", key="user_id", rounds=100, valid_fractio
     return booster.fit(marked)
 
 
+def _margins(model, df, target):
+    """(target, steps) with the weighted prediction of each tree of a boosted model, in order."""
+    for i, tree in enumerate(model.trees):
+        df = tree.setPredictionCol(f"__t{i}").transform(df)
+    steps = ", ".join(f"{w!r}D * __t{i}" for i, w in enumerate(model.treeWeights))
+    return df.select(col(target), F.expr(f"array({steps})").alias("steps"))
+
+
 def auc_by_round(model, test, target="target", digits=6):
     """(round, auc) of a boosted model after each of its trees, from one pass over ``test``."""
-    scored = test
-    for i, tree in enumerate(model.trees):
-        scored = tree.setPredictionCol(f"__t{i}").transform(scored)
-    steps = F.expr(f"array({', '.join(f'{w!r}D * __t{i}' for i, w in enumerate(model.treeWeights))})")
     # One walk over the trees: each margin is the one before plus the tree's own.
     sums = (
-        "aggregate(s, CAST(array() AS array<double>),"
+        "aggregate(steps, CAST(array() AS array<double>),"
         " (a, x) -> concat(a, array(coalesce(try_element_at(a, -1), 0D) + x)))"
     )
-    margins = scored.select(col(target), steps.alias("s")).select(
-        col(target), F.posexplode(F.expr(sums)).alias("round", "margin")
-    )
+    margins = _margins(model, test, target).select(col(target), F.posexplode(F.expr(sums)).alias("round", "margin"))
     found = rank_auc(margins, "margin", target, digits, group=["round"])
     return found.select((F.col("round") + 1).alias("round"), "auc")
 
 
+def accuracy_by_round(model, test, counts, target="target"):
+    """Accuracy of a boosted model's first k trees for each k of ``counts``, from one pass over ``test``."""
+    counts = [min(k, len(model.trees)) for k in counts]
+    right = [
+        f"avg(IF((aggregate(slice(steps, 1, {k}), 0D, (a, x) -> a + x) > 0) = ({quoted(target)} = 1), 1D, 0D))"
+        for k in counts
+    ]
+    return list(_margins(model, test, target).agg(*[F.expr(r).alias(f"k{i}") for i, r in enumerate(right)]).first())
+
+
+def first_rounds(model, rounds):
+    """The boosted model of the first ``rounds`` trees: what a fit of so many rounds gives."""
+    if rounds >= len(model.trees):
+        return model
+    gateway, trees, weights = SparkContext._active_spark_context._gateway, model._java_obj.trees(), model.treeWeights
+    kept = gateway.new_array(gateway.jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, rounds)
+    kept_weights = gateway.new_array(gateway.jvm.double, rounds)
+    for i in range(rounds):
+        kept[i], kept_weights[i] = trees[i], weights[i]
+    build = gateway.jvm.org.apache.spark.ml.classification.GBTClassificationModel
+    cut = GBTClassificationModel(build(model.uid, kept, kept_weights))
+    model._copyValues(cut)
+    return cut
+
+
 def best_round(aucs, patience):
     """First round with the best AUC, looking no further than ``patience`` rounds without gain."""
     best, best_auc = 0, float("-inf")
@@ -144,15 +199,16 @@ def best_round(aucs, patience):
 
 def fit_boosted_on_auc(train, target="target", key="user_id", rounds=100, patience=50,
                        valid_fraction=0.1, seed=42, **settings):
-    """Boosted trees cut at the round with the best AUC on a held-out part of ``train``."""
+    """Boosted trees cut at the round with the best AUC on a held-out part of ``train``.
+
+    One fit: the first k trees of a long fit are the fit of k rounds.
+    """
     held_out = in_fraction(col(key), valid_fraction, seed, "valid")
-    fit_on, valid = train.filter(~held_out), train.filter(held_out)
     booster = GBTClassifier(**{"labelCol": target, "maxIter": rounds, "seed": seed, **settings})
-    rounds = booster.getMaxIter()
-    full = booster.fit(fit_on)
-    aucs = [(r["round"], r["auc"]) for r in auc_by_round(full, valid, target).collect()]
-    best = best_round([(n, a) for n, a in aucs if a is not None], patience)
-    return full if best in (0, rounds) else booster.setMaxIter(best).fit(fit_on)
+    with prepared(train.filter(~held_out), train.filter(held_out)) as (fit_on, valid):
+        full = booster.fit(fit_on)
+        aucs = [(r["round"], r["auc"]) for r in auc_by_round(full, valid, target).collect()]
+    return first_rounds(full, best_round([(n, a) for n, a in aucs if a is not None], patience) or len(full.trees))
 
 
 def probability(df):
@@ -170,7 +226,8 @@ def evaluate(model, test, target="target", use_probability=False):
 def importances(spark, model, features):
     """(feature, importance), one row per feature."""
     values = model.featureImportances.toArray()
-    rows = [(f, float(v)) for f, v in zip(features, values)]
+    # A vector of importances ends at the last feature used in a model cut to its first rounds.
+    rows = [(f, float(values[i]) if i < len(values) else 0.0) for i, f in enumerate(features)]
     return spark.createDataFrame(rows, "feature string, importance double")
 
 
@@ -185,52 +242,142 @@ def sample_combinations(space, draws, seed=42):
     return random.Random(seed).sample(every, min(draws, len(every)))
 
 
-def search(train, estimator, candidates, folds, target="target", key="user_id",
-           metric="accuracy", parallelism=4, seed=42):
-    """Cross-validated search. Folds come from the key's hash, so they are repeatable.
+def _folds(train, folds, key, seed):
+    """(rest, fold) for each fold of a persisted table; folds come from the key's hash."""
+    fold = fold_column(col(key), folds, seed)
+    return [(train.filter(fold != f), train.filter(fold == f)) for f in range(folds)]
+
+
+def _run(spark, jobs, parallelism):
+    """Results of independent fits, ``parallelism`` of them at a time."""
+    run = inheritable_thread_target(spark)(lambda job: job())
+    with ThreadPool(min(parallelism, max(1, len(jobs)))) as pool:
+        return pool.map(run, jobs, chunksize=1)
+
+
+def _families(candidates, count):
+    """Candidates that differ in the number of trees alone share their fits: [(settings, counts)]."""
+    families = {}
+    for candidate in candidates:
+        settings = {k: v for k, v in candidate.items() if k != count}
+        families.setdefault(repr(sorted(settings.items())), (settings, []))[1].append(candidate[count])
+    return [(settings, sorted(set(counts))) for settings, counts in families.values()]
+
+
+def _searched(spark, candidates, count, families, scores, folds):
+    """(index of the best candidate, one row per candidate) from each family's scores by fold.
 
-    Returns the refitted best model, its settings, and one row per candidate.
+    The first of equally good candidates wins.
     """
-    maps = [{estimator.getParam(n): v for n, v in c.items()} for c in candidates]
-    folded = train.withColumn("fold", fold_column(col(key), folds, seed)).persist()
-    validator = CrossValidator(
-        estimator=estimator,
-        estimatorParamMaps=maps,
-        evaluator=MulticlassClassificationEvaluator(labelCol=target, metricName=metric),
-        numFolds=folds,
-        foldCol="fold",
-        parallelism=parallelism,
-    )
-    fitted = validator.fit(folded)
-    folded.unpersist()
-    scores = list(fitted.avgMetrics)
-    best = max(range(len(scores)), key=lambda i: (scores[i], -i))
-    table = train.sparkSession.createDataFrame(
-        [(i, str(c), float(s), i == best) for i, (c, s) in enumerate(zip(candidates, scores))],
+    found = {}
+    for i, (settings, counts) in enumerate(families):
+        by_fold = scores[i * folds : (i + 1) * folds]
+        for j, k in enumerate(counts):
+            found[repr(sorted({**settings, count: k}.items()))] = sum(s[j] for s in by_fold) / folds
+    ordered = [found[repr(sorted(c.items()))] for c in candidates]
+    best = max(range(len(ordered)), key=lambda i: (ordered[i], -i))
+    table = spark.createDataFrame(
+        [(i, str(c), float(s), i == best) for i, (c, s) in enumerate(zip(candidates, ordered))],
         "candidate int, settings string, score double, best boolean",
     )
-    return fitted.bestModel, candidates[best], table
+    return best, table
 
 
-def grid_search(train, grid=None, folds=4, target="target", seed=42, base=None, **options):
-    """Search every combination of boosted-tree settings; ``base`` holds those that stay."""
+def unique_settings(params, **options):
+    """Spark settings of each combination, those that are the same on Spark once."""
     unique = {}
-    for params in combinations(grid or BOOSTED_GRID):
-        settings = spark_settings(params)
-        unique[str(settings)] = settings
-    estimator = GBTClassifier(**{"labelCol": target, "seed": seed, **spark_settings(base or {})})
-    return search(train, estimator, list(unique.values()), folds,
-                  target=target, seed=seed, **options)
+    for given in params:
+        settings = spark_settings(given, **options)
+        unique.setdefault(repr(sorted(settings.items())), settings)
+    return list(unique.values())
+
+
+def search_boosted(train, candidates, folds, target="target", key="user_id", seed=42, base=None, parallelism=8):
+    """Cross-validated accuracy of boosted-tree candidates that each give ``maxIter``.
+
+    One fit a fold serves all candidates that differ in their rounds: it is scored after each of
+    the rounds asked for. Returns the best candidate refitted, its settings, and a row per candidate.
+    """
+    spark, families = train.sparkSession, _families(candidates, "maxIter")
+    common = {"labelCol": target, "seed": seed, **(base or {})}
 
+    def job(settings, counts, fit_on, held_out):
+        def run():
+            model = GBTClassifier(**{**common, **settings, "maxIter": counts[-1]}).fit(fit_on)
+            return accuracy_by_round(model, held_out, counts, target)
+
+        return run
+
+    with prepared(train) as (held,):
+        parts = _folds(held, folds, key, seed)
+        jobs = [job(*family, *part) for family in families for part in parts]
+        best, table = _searched(spark, candidates, "maxIter", families, _run(spark, jobs, parallelism), folds)
+        model = GBTClassifier(**{**common, **candidates[best]}).fit(held)
+    return model, candidates[best], table
+
+
+def grid_search(train, grid=None, folds=4, target="target", key="user_id", seed=42, base=None, parallelism=8):
+    """Search every combination of boosted-tree settings; ``base`` holds those that stay."""
+    candidates = unique_settings(combinations(grid or BOOSTED_GRID))
+    default = GBTClassifier().getMaxIter()
+    candidates = [{"maxIter": default, **c} for c in candidates]
+    stays = spark_settings(base, rows=train.count()) if base else None
+    return search_boosted(train, candidates, folds, target, key, seed, stays, parallelism)
 
-def random_search(train, space=None, draws=100, folds=3, target="target", seed=42, **options):
+
+def fit_tuned(train, grid=None, folds=4, target="target", key="user_id", seed=42, base=None, rounds=100, **options):
+    """Search, then boosted trees with the best settings, cut at the best AUC of a held-out part.
+
+    All of the best settings are carried over but the number of rounds, which the held-out part
+    decides. Returns the model and one row per candidate.
+    """
+    _, best, table = grid_search(train, grid, folds, target, key, seed, base, **options)
+    stays = spark_settings(base, rows=train.count()) if base else {}
+    model = fit_boosted_on_auc(train, target, key, seed=seed, **{**stays, **best, "maxIter": rounds})
+    return model, table
+
+
+def forest_parts(counts):
+    """Sizes of forests that add up, one after the other, to each of the sorted ``counts``."""
+    return [k - before for before, k in zip([0, *counts], counts)]
+
+
+def search_forests(train, candidates, folds, target="target", key="user_id", seed=42, parallelism=8):
+    """Cross-validated accuracy of random-forest candidates that each give ``numTrees``.
+
+    Trees of a forest are independent, so a forest of k trees is part of a larger one: candidates
+    that differ in their trees alone share forests that add up, and votes are summed from one to
+    the next. Returns the best candidate refitted, its settings, and a row per candidate.
+    """
+    spark, families = train.sparkSession, _families(candidates, "numTrees")
+
+    def job(settings, counts, fit_on, held_out):
+        def run():
+            scored, margin, right = held_out, "0D", []
+            for i, size in enumerate(forest_parts(counts)):
+                forest = RandomForestClassifier(labelCol=target, seed=seed + i, **{**settings, "numTrees": size})
+                model = forest.fit(fit_on).setRawPredictionCol("__raw").setProbabilityCol("").setPredictionCol("")
+                votes = vector_to_array("__raw")
+                scored = model.transform(scored).withColumn(f"__m{i}", votes[1] - votes[0]).drop("__raw")
+                margin += f" + __m{i}"
+                right.append(F.expr(f"avg(IF(({margin} > 0) = ({quoted(target)} = 1), 1D, 0D)) AS k{i}"))
+            return list(scored.agg(*right).first())
+
+        return run
+
+    with prepared(train) as (held,):
+        parts = _folds(held, folds, key, seed)
+        jobs = [job(*family, *part) for family in families for part in parts]
+        best, table = _searched(spark, candidates, "numTrees", families, _run(spark, jobs, parallelism), folds)
+        model = RandomForestClassifier(labelCol=target, seed=seed, **candidates[best]).fit(held)
+    return model, candidates[best], table
+
+
+def random_search(train, space=None, draws=100, folds=3, target="target", key="user_id", seed=42, parallelism=8):
     """Search random draws of random-forest settings."""
     # Depths beyond Spark's limit are one candidate, not several.
-    unique = {}
-    for params in combinations(space or FOREST_SPACE):
-        settings = spark_settings(params, forest=True)
-        unique[str(settings)] = settings
-    every = list(unique.values())
+    every = unique_settings(combinations(space or FOREST_SPACE), forest=True)
+    default = RandomForestClassifier().getNumTrees()
+    every = [{"numTrees": default, **c} for c in every]
     candidates = random.Random(seed).sample(every, min(draws, len(every)))
-    return search(train, RandomForestClassifier(labelCol=target, seed=seed), candidates, folds,
-                  target=target, seed=seed, **options)
+    return search_forests(train, candidates, folds, target, key, seed, parallelism)

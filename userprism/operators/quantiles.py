@@ -72,6 +72,12 @@ def by_rank(rows, keys, columns, stats):
         .groupBy(*key_cols, "__feature", "__value")
         .agg(F.count(F.lit(1)).alias("__n"))
     )
+    return rank_cells(cells, keys, columns, stats)
+
+
+def rank_cells(cells, keys, columns, stats):
+    """Quantiles of counted values: (keys, __feature, __value, __n), the feature by its place in ``columns``."""
+    key_cols = [col(k) for k in keys]
     position = {s: F.lit(QUANTILES[s]) * (F.col("group_total") - 1) for s in stats}
     wanted = [edge(position[s]) for s in stats for edge in (F.floor, F.ceil)]
 

@@ -60,14 +60,17 @@ def shared_dir(spark):
     return context.getCheckpointDir()
 
 
-def stage(df):
-    """Write ``df`` once to the shared folder and continue from the written table."""
+def stage(df, schema=None):
+    """Write ``df`` once to the shared folder and continue from the written table.
+
+    ``schema`` reads it with other types of the same layout, as ML vectors are a struct in Parquet.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
     for scope in _scopes:
         scope.append(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(schema or df.schema).parquet(path)
 
 
 _scopes = []

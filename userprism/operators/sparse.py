@@ -4,11 +4,12 @@ Nothing of the width reaches the driver: names are a table, numbered by running
 range partitions, and a user's row holds only the features it has.
 """
 
-from pyspark.ml.linalg import SparseVector, VectorUDT
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .features import CountBy, FeatureSpec, FlagBy, SumBy, build_features
-from .scale import col, literal, prefix_sums, quoted, stage
+from .scale import col, literal, lookup_join, prefix_sums, quoted, stage
 
 
 def _name(part, text, **fields):
@@ -58,23 +59,70 @@ def dictionary(long):
     return prefix_sums(names, [], "name", "one").select("name", F.col("before").cast("long").alias("index"))
 
 
-def vectors(long, key, users=None):
+def cells(long, names, key="user_id"):
+    """(key, index, value) of the features that a staged dictionary ``names`` knows; others are left out.
+
+    A feature that every user has is a hot name, which ``lookup_join`` keeps out of the shuffle.
+    """
+    return lookup_join(long, names, "name", "inner", staged=True).select(
+        col(key), F.col("index").cast("int").alias("index"), "value"
+    )
+
+
+def vectors(long, key, users=None, names=None):
     """(one sparse vector per key, the dictionary) of a long table.
 
-    With ``users``, a table of keys, exactly these have a row; one without features is all zero.
+    With ``names``, a stored dictionary, vectors have its layout: unseen names are ignored, absent
+    ones are 0. With ``users``, a table of keys, exactly these have a row; one without features is
+    all zero. Vectors are built as the struct that holds them in Parquet, so no Python runs.
     """
-    long = stage(long)
-    names = stage(dictionary(long))
-    width = names.count()
-    vector = F.udf(lambda cells: SparseVector(width, [(int(i), v) for i, v in cells or ()]), VectorUDT())
-    placed = long.join(names, "name").groupBy(col(key)).agg(
+    if names is None:
+        long = stage(long)
+        names = dictionary(long)
+    names = stage(names)
+    width = names.agg(F.coalesce(F.max("index") + 1, F.lit(0))).first()[0]
+    placed = cells(long, names, key).groupBy(col(key)).agg(
         F.sort_array(F.collect_list(F.struct("index", "value"))).alias("cells")
     )
     if users is not None:
         placed = users.join(placed, key, "left")
-    return placed.select(col(key), vector("cells").alias("features")), names
+    held = F.coalesce(F.col("cells"), F.array().cast("array<struct<index: int, value: double>>"))
+    vector = F.struct(
+        F.lit(0).cast("byte").alias("type"), F.lit(width).cast("int").alias("size"),
+        held["index"].alias("indices"), held["value"].alias("values"),
+    )
+    rows = placed.select(col(key), vector.alias("features"))
+    schema = T.StructType([placed.schema[key], T.StructField("features", VectorUDT())])
+    return stage(rows, schema), names
 
 
 def sparse_features(df, spec):
     """(one sparse vector per key, the dictionary) of a table's features."""
     return vectors(long_features(df, spec), spec.key)
+
+
+def target_correlation(long, labels, key="user_id", target="target"):
+    """(name, correlation) of every feature of a long table with the label of its users.
+
+    ``labels`` has a row (key, target) per user. Only present cells are read: a user without a
+    cell is a 0, so the moments of n users follow from the cells' own sums. Null for a constant.
+    """
+    y = col(target).cast("double")
+    whole = labels.agg(F.count(F.lit(1)).alias("n"), F.sum(y).alias("y"), F.sum(y * y).alias("yy"))
+    n, sum_y, sum_yy = (F.lit(v or 0.0) for v in whole.first())
+    labelled = long.join(labels.select(col(key), y.alias("__y")), key)
+    x = F.col("value").cast("double")
+    sums = labelled.groupBy("name").agg(
+        F.sum(x).alias("x"), F.sum(x * x).alias("xx"), F.sum(x * F.col("__y")).alias("xy"),
+        F.count(F.lit(1)).alias("cells"), F.min(x).alias("low"), F.max(x).alias("high"),
+    )
+    spread_x = n * F.col("xx") - F.col("x") * F.col("x")
+    spread_y = n * sum_yy - sum_y * sum_y
+    constant = (F.col("cells") == n) & (F.col("low") == F.col("high"))
+    value = F.try_divide(n * F.col("xy") - F.col("x") * sum_y, F.sqrt(spread_x) * F.sqrt(spread_y))
+    return sums.select("name", F.when(~constant & (spread_x > 0), value).alias("correlation"))
+
+
+def select_names(correlations, threshold=0.2):
+    """The dictionary (name, index) of the features whose absolute correlation is above ``threshold``."""
+    return dictionary(correlations.filter(F.abs("correlation") > threshold))

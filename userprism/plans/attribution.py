@@ -8,10 +8,18 @@ from ..operators.scale import stage
 RARE = {"aff_id": 99999, "device": "Other", "country_id": 999}
 
 
-def clean_attribution(df, min_count=100):
-    """Gaps filled, then values on at most ``min_count`` rows bucketed."""
-    df = cleaning.fill_missing(df, {"country_id": -1, "media_source": "Unknown"})
-    return cleaning.bucket_rare(df, RARE, min_count)
+def filled_attribution(df):
+    return cleaning.fill_missing(df, {"country_id": -1, "media_source": "Unknown"})
+
+
+def frequent_attribution(df, min_count=100):
+    """(feature, value, n) of the values that stay, to bucket a later log alike."""
+    return cleaning.frequent_values(filled_attribution(df), list(RARE), min_count)
+
+
+def clean_attribution(df, min_count=100, frequent=None):
+    """Gaps filled, then values on at most ``min_count`` rows, or not in ``frequent``, bucketed."""
+    return cleaning.bucket_rare(filled_attribution(df), RARE, min_count, frequent)
 
 
 def attribution_spec():
@@ -29,10 +37,10 @@ def attribution_spec():
     )
 
 
-def attribution_rows(df, min_count=100):
+def attribution_rows(df, min_count=100, frequent=None):
     """The rows and the spec of the attribution features. Bucketed rows are staged for the aggregates after it."""
     used = ["user_id", "client_platform_id", "aff_id", "country_id", "device"]
-    rows = stage(clean_attribution(df.select(*used, "media_source"), min_count).select(*used))
+    rows = stage(clean_attribution(df.select(*used, "media_source"), min_count, frequent).select(*used))
     return rows, attribution_spec()
 
 

@@ -48,19 +48,14 @@ def label_users(spark, sf_dir):
     return per_user(spark, sf_dir).select("user_id", "deals", "target")
 
 
-def full_table(spark, sf_dir, build=training.training_table):
-    return build(
-        samples.deposits(spark, sf_dir),
-        samples.positions(spark, sf_dir),
-        samples.attribution(spark, sf_dir),
-        samples.events(spark, sf_dir),
-        instruments=BRANDS,
-    )
+def full_table(spark, sf_dir, build=training.training_table, deposits=samples.deposits):
+    _, *logs = samples.logs(spark, sf_dir)
+    return build(deposits(spark, sf_dir), *logs, instruments=BRANDS)
 
 
-def full_vectors(spark, sf_dir):
+def full_vectors(spark, sf_dir, deposits=samples.deposits):
     """The merged table as sparse vectors, and the table of feature names."""
-    return full_table(spark, sf_dir, training.training_vectors)
+    return full_table(spark, sf_dir, training.training_vectors, deposits)
 
 
 @query(

@@ -5,21 +5,26 @@ Rounds, depths, folds, steps, sizes, thresholds and candidate lists are the oper
 
 import uuid
 
+from pyspark.sql import functions as F
+
 from ...operators import correlation, explore, idsets, learn, scale, selection, split
 from ...sources.store import TableStore
-from .. import samples
+from .. import samples, training
 from .assembly import full_table, full_vectors
 from .registry import query
 
+# The part of the grid that ``gbt_tuned_auc`` searches; ``grid_search`` takes all of it.
+TUNED_GRID = {k: learn.BOOSTED_GRID[k] for k in ("n_estimators", "num_leaves", "subsample")}
+
 
 def model_table(spark, sf_dir):
     """The labelled merged table of all features, staged: each fit reads it many times."""
-    return scale.stage(full_table(spark, sf_dir))
+    return scale.stage(full_table(spark, sf_dir, deposits=samples.likely_deposits))
 
 
 def model_parts(spark, sf_dir):
     """The table of feature names, and sparse vectors of the train and the test users."""
-    vectors, names = full_vectors(spark, sf_dir)
+    vectors, names = full_vectors(spark, sf_dir, samples.likely_deposits)
     return names, *split.hash_split(vectors)
 
 
@@ -38,38 +43,64 @@ def tree_auc(spark, sf_dir):
     return learn.evaluate(learn.fit_tree(train), test)
 
 
+def boosted(train, **settings):
+    """The boosted model's own settings, then those of a search, cut at the best held-out AUC."""
+    base = learn.spark_settings(learn.BOOSTED_BASE, rows=train.count())
+    return learn.fit_boosted_on_auc(train, **{**base, **settings})
+
+
 @query("gbt_scores")
 def gbt_scores(spark, sf_dir):
     _, train, test = model_parts(spark, sf_dir)
-    model = learn.fit_boosted_on_auc(train)
-    scored = model.transform(test)
+    scored = boosted(train).transform(test)
     return scored.select("user_id", "target", learn.probability(scored).alias("score"))
 
 
 @query("gbt_auc")
 def gbt_auc(spark, sf_dir):
     _, train, test = model_parts(spark, sf_dir)
-    model = learn.fit_boosted_on_auc(train)
-    return learn.evaluate(model, test, use_probability=True)
+    return learn.evaluate(boosted(train), test, use_probability=True)
 
 
 @query("gbt_auc_rounds")
 def gbt_auc_rounds(spark, sf_dir):
+    """AUC after each round of a fit that stops when its held-out loss does."""
     _, train, test = model_parts(spark, sf_dir)
-    return learn.auc_by_round(learn.fit_boosted(train), test)
+    base = learn.spark_settings(learn.BOOSTED_BASE, rows=train.count())
+    return learn.auc_by_round(learn.fit_boosted(train, **base), test)
+
+
+@query("gbt_selected_auc")
+def gbt_selected_auc(spark, sf_dir):
+    """The boosted model on the features that correlate with the train users' label."""
+    _, *logs = samples.logs(spark, sf_dir)
+    learns = ~split.in_fraction(F.col("user_id"), 0.2, 42)
+    vectors, _ = training.selected_vectors(
+        samples.likely_deposits(spark, sf_dir), *logs, learns=learns, instruments=samples.BRANDS
+    )
+    train, test = split.hash_split(vectors)
+    return learn.evaluate(boosted(train), test, use_probability=True)
 
 
 @query("grid_search")
 def grid_search(spark, sf_dir):
     """Every combination of ``BOOSTED_GRID`` that differs on Spark: 144 candidates, 4 folds."""
-    names, train, _ = model_parts(spark, sf_dir)
+    _, train, _ = model_parts(spark, sf_dir)
     return learn.grid_search(train, base=learn.BOOSTED_BASE)[2]
 
 
+@query("gbt_tuned_auc")
+def gbt_tuned_auc(spark, sf_dir):
+    """A search over depth and rows, whose best settings enter the final fit."""
+    _, train, test = model_parts(spark, sf_dir)
+    model, _ = learn.fit_tuned(train, TUNED_GRID, base=learn.BOOSTED_BASE)
+    return learn.evaluate(model, test, use_probability=True)
+
+
 @query("random_search")
 def random_search(spark, sf_dir):
     """100 draws from ``FOREST_SPACE``, 3 folds, forests of 200 to 2000 trees."""
-    names, train, _ = model_parts(spark, sf_dir)
+    _, train, _ = model_parts(spark, sf_dir)
     return learn.random_search(train)[2]
 
 
@@ -107,8 +138,11 @@ def corr_filter_merged(spark, sf_dir):
 
 @query("corr_matrix_merged")
 def corr_matrix_merged(spark, sf_dir):
-    table = model_table(spark, sf_dir)
-    return correlation.correlation_matrix(table, learn.feature_columns(table))
+    """Every pair of the merged table's features, from strips of the long form."""
+    _, positions, attribution, events = samples.logs(spark, sf_dir)
+    return correlation.wide_correlation_matrix(
+        *training.long_rows(positions, attribution, events, instruments=samples.BRANDS)
+    )
 
 
 @query("save_load")

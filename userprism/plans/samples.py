@@ -98,6 +98,18 @@ def deposits(spark, sf_dir):
     )
 
 
+def likely_deposits(spark, sf_dir):
+    """Deposits for the model queries: three quarters of the large orders, so that the label is neither rare nor certain."""
+    return table(spark, sf_dir, "orders").filter("o_totalprice > 400000 AND o_orderkey % 4 <> 0").select(
+        F.col("o_custkey").alias("user_id")
+    )
+
+
+def logs(spark, sf_dir):
+    """Deposits, positions, attribution, events."""
+    return deposits(spark, sf_dir), positions(spark, sf_dir), attribution(spark, sf_dir), events(spark, sf_dir)
+
+
 LOGS_SQL = """
 position_rows AS (
   SELECT o_custkey AS user_id, l_orderkey * 10 + l_linenumber AS position_id,

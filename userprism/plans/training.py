@@ -9,7 +9,7 @@ from ..operators.idsets import distinct_ids
 from ..operators.scale import stage
 from ..sources.logs import read_logs
 from ..sources.store import TableStore
-from .attribution import attribution_features, attribution_rows
+from .attribution import attribution_features, attribution_rows, frequent_attribution
 from .events import event_features, event_rows
 from .positions import INSTRUMENTS, position_features, position_rows
 
@@ -41,23 +41,68 @@ def training_table(deposits, positions, attribution, events, add_target=True, mi
     return label_users(merged, deposits) if add_target else merged
 
 
-def training_vectors(deposits, positions, attribution, events, min_count=100, instruments=INSTRUMENTS):
-    """The training table for fits, with categories of any number of values.
-
-    Returns (user_id, features, target), one sparse vector per positions user, and the table
-    (name, index) of the features. No category value becomes a column or reaches the driver.
-    """
-    logs = (position_rows(positions, instruments), event_rows(events), attribution_rows(attribution, min_count))
+def long_rows(positions, attribution, events, min_count=100, instruments=INSTRUMENTS, frequent=None):
+    """(the features of all three logs in long form, staged; one row per positions user)."""
+    logs = (
+        position_rows(positions, instruments), event_rows(events), attribution_rows(attribution, min_count, frequent)
+    )
     long = None
     for rows, spec in logs:
         part = sparse.long_features(rows, spec)
         long = part if long is None else long.unionByName(part)
-    users = distinct_ids(logs[0][0])
-    vectors, names = sparse.vectors(long, "user_id", users)
+    return stage(long), distinct_ids(logs[0][0])
+
+
+def labelled_vectors(long, users, deposits, names=None):
+    vectors, names = sparse.vectors(long, "user_id", users, names)
     labelled = label_users(vectors, deposits)
     return stage(labelled.withColumn("target", F.col("target").cast("double"))), names
 
 
+def training_vectors(deposits, positions, attribution, events, min_count=100, instruments=INSTRUMENTS):
+    """The training table for fits, with categories of any number of values.
+
+    Returns (user_id, features, target), one sparse vector per positions user, and the table
+    (name, index) of the features. No category value becomes a column or reaches the driver.
+    """
+    long, users = long_rows(positions, attribution, events, min_count, instruments)
+    return labelled_vectors(long, users, deposits)
+
+
+def selected_vectors(deposits, positions, attribution, events, threshold=0.2, learns=None, always=ALWAYS_KEPT,
+                     min_count=100, instruments=INSTRUMENTS):
+    """Training vectors of the features that correlate with the label, of those kept always too.
+
+    The filter reads the long form, so any number of features passes it, and only those left enter
+    the vectors, which a tree holds with a bin for every feature. ``learns`` is a condition on
+    user_id: the users whose labels decide.
+    """
+    long, users = long_rows(positions, attribution, events, min_count, instruments)
+    labels = stage(label_users(users, deposits))
+    seen = labels if learns is None else labels.filter(learns)
+    cells = long if learns is None else long.filter(learns)
+    found = sparse.target_correlation(cells, seen)
+    chosen = found.filter((F.abs("correlation") > threshold) | F.col("name").isin(list(always)))
+    return labelled_vectors(long, users, deposits, sparse.dictionary(chosen))
+
+
+def save_layout(store, names, attribution, min_count=100):
+    """Store what lays out a later log like the training log: feature numbers and frequent values."""
+    store.save("layout_names", names)
+    store.save("layout_frequent", frequent_attribution(attribution, min_count))
+
+
+def scoring_vectors(store, positions, attribution, events, instruments=INSTRUMENTS):
+    """(user_id, features) of a later log's users in the stored layout.
+
+    Values that were not frequent in training are bucketed as they were there, features that the
+    layout does not know are ignored, and those that a user lacks are 0.
+    """
+    frequent = store.load("layout_frequent")
+    long, users = long_rows(positions, attribution, events, instruments=instruments, frequent=frequent)
+    return sparse.vectors(long, "user_id", users, store.load("layout_names"))[0]
+
+
 def build_store(spark, config):
     """Compute and store the feature tables and the merged table; returns the merged table.
 
