@@ -220,6 +220,11 @@ def test_forests_add_up(vectors):
     model, best, table = learn.random_search(vectors, space, draws=11, folds=2)
     rows = table.collect()
     assert len(rows) == 11 and all(0.5 < r.score <= 1 for r in rows) and model.getNumTrees == best["numTrees"]
+    # Forests that end above a limit by themselves are scored once for all such limits.
+    flat = {"minInstancesPerNode": 150, "numTrees": 4}
+    _, _, table = learn.search_forests(vectors, [{**flat, "maxDepth": d} for d in (1, 9, 20)], 2)
+    shallow, deep, deeper = [r.score for r in table.orderBy("candidate").collect()]
+    assert deep == deeper
     # The smallest count of a family is one forest by itself.
     settings = {"maxDepth": 2, "featureSubsetStrategy": "sqrt", "minInstancesPerNode": 1}
     _, _, table = learn.search_forests(vectors, [{**settings, "numTrees": n} for n in (3, 7)], 2)

@@ -292,7 +292,7 @@ def unique_settings(params, **options):
     return list(unique.values())
 
 
-def search_boosted(train, candidates, folds, target="target", key="user_id", seed=42, base=None, parallelism=8):
+def search_boosted(train, candidates, folds, target="target", key="user_id", seed=42, base=None, parallelism=16):
     """Cross-validated accuracy of boosted-tree candidates that each give ``maxIter``.
 
     One fit a fold serves all candidates that differ in their rounds: it is scored after each of
@@ -316,7 +316,7 @@ def search_boosted(train, candidates, folds, target="target", key="user_id", see
     return model, candidates[best], table
 
 
-def grid_search(train, grid=None, folds=4, target="target", key="user_id", seed=42, base=None, parallelism=8):
+def grid_search(train, grid=None, folds=4, target="target", key="user_id", seed=42, base=None, parallelism=16):
     """Search every combination of boosted-tree settings; ``base`` holds those that stay."""
     candidates = unique_settings(combinations(grid or BOOSTED_GRID))
     default = GBTClassifier().getMaxIter()
@@ -342,38 +342,64 @@ def forest_parts(counts):
     return [k - before for before, k in zip([0, *counts], counts)]
 
 
-def search_forests(train, candidates, folds, target="target", key="user_id", seed=42, parallelism=8):
+def search_forests(train, candidates, folds, target="target", key="user_id", seed=42, parallelism=16):
     """Cross-validated accuracy of random-forest candidates that each give ``numTrees``.
 
     Trees of a forest are independent, so a forest of k trees is part of a larger one: candidates
     that differ in their trees alone share forests that add up, and votes are summed from one to
-    the next. Returns the best candidate refitted, its settings, and a row per candidate.
+    the next. Depths are tried from the largest down: forests that stay below a limit by themselves
+    are the forests under that limit, and are not fitted again. Returns the best candidate
+    refitted, its settings, and a row per candidate.
     """
     spark, families = train.sparkSession, _families(candidates, "numTrees")
+    groups = {}
+    for settings, counts in families:
+        rest = {k: v for k, v in settings.items() if k != "maxDepth"}
+        group = groups.setdefault(repr(sorted(rest.items())), (rest, set(), set()))
+        group[1].add(settings.get("maxDepth"))
+        group[2].update(counts)
 
     def job(settings, counts, fit_on, held_out):
         def run():
-            scored, margin, right = held_out, "0D", []
+            scored, margin, right, depth = held_out, "0D", [], 0
             for i, size in enumerate(forest_parts(counts)):
                 forest = RandomForestClassifier(labelCol=target, seed=seed + i, **{**settings, "numTrees": size})
                 model = forest.fit(fit_on).setRawPredictionCol("__raw").setProbabilityCol("").setPredictionCol("")
+                depth = max(depth, *(tree.depth() for tree in model._java_obj.trees()))
                 votes = vector_to_array("__raw")
                 scored = model.transform(scored).withColumn(f"__m{i}", votes[1] - votes[0]).drop("__raw")
                 margin += f" + __m{i}"
                 right.append(F.expr(f"avg(IF(({margin} > 0) = ({quoted(target)} = 1), 1D, 0D)) AS k{i}"))
-            return list(scored.agg(*right).first())
+            return depth, dict(zip(counts, scored.agg(*right).first()))
 
         return run
 
+    found, last = {}, {}
     with prepared(train) as (held,):
         parts = _folds(held, folds, key, seed)
-        jobs = [job(*family, *part) for family in families for part in parts]
-        best, table = _searched(spark, candidates, "numTrees", families, _run(spark, jobs, parallelism), folds)
+        depths = sorted({d for _, of, _ in groups.values() for d in of}, key=lambda d: -1 if d is None else d, reverse=True)
+        for limit in depths:
+            todo = []
+            for name, (rest, of, counts) in groups.items():
+                for f, part in enumerate(parts if limit in of else []):
+                    depth, scores = last.get((name, f), (None, None))
+                    if limit is not None and depth is not None and depth <= limit:
+                        found[name, limit, f] = scores
+                    else:
+                        settings = rest if limit is None else {**rest, "maxDepth": limit}
+                        todo.append(((name, f), job(settings, sorted(counts), *part)))
+            for (name, f), result in zip([t[0] for t in todo], _run(spark, [t[1] for t in todo], parallelism)):
+                last[name, f], found[name, limit, f] = result, result[1]
+        scores = []
+        for settings, counts in families:
+            name = repr(sorted((k, v) for k, v in settings.items() if k != "maxDepth"))
+            scores += [[found[name, settings.get("maxDepth"), f][k] for k in counts] for f in range(folds)]
+        best, table = _searched(spark, candidates, "numTrees", families, scores, folds)
         model = RandomForestClassifier(labelCol=target, seed=seed, **candidates[best]).fit(held)
     return model, candidates[best], table
 
 
-def random_search(train, space=None, draws=100, folds=3, target="target", key="user_id", seed=42, parallelism=8):
+def random_search(train, space=None, draws=100, folds=3, target="target", key="user_id", seed=42, parallelism=16):
     """Search random draws of random-forest settings."""
     # Depths beyond Spark's limit are one candidate, not several.
     every = unique_settings(combinations(space or FOREST_SPACE), forest=True)
