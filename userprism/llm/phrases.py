@@ -29,14 +29,17 @@ from . import textops
 BREAKS = b".,;:!?\n\x0b\x0c\r"
 BLANKS = b" \t"
 DEPTH = 5
-# Text whose suffixes one task sorts at once, before and after routing.
+# Text whose words are hashed at once, whose suffixes are pre-aggregated, and that a group holds.
+HASH_BYTES = 1024 * 1024
 SLICE_BYTES = 4 * 1024 * 1024
-GROUP_BYTES = 2 * 1024 * 1024
+GROUP_BYTES = 4 * 1024 * 1024
 # Words of a group of that size: a prefix expected more often gets a longer route.
-GROUP_WORDS = 350_000
+GROUP_WORDS = 700_000
 SAMPLE = 1 / 256
 BITS = 1 << 23
 
+ROUTED = "key long, words binary, places binary, weights binary, routes binary"
+
 _LEFT, _RIGHT = np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -51,21 +54,20 @@ def _language_codes(column):
 
 
 class Pieces:
-    """Words of a slice: number of (language, word), its bytes, and whether the next word follows it."""
+    """Words of some rows: number of (language, word), its bytes, and whether the next word follows it."""
 
     def __init__(self, batch):
         data, offsets = textops.text_bytes(batch.column("text"))
         self.data = textops.lower_ascii(data)
         found = textops.words_of(self.data, offsets, textops.separator_table(BREAKS + BLANKS))
-        self.start, self.end, first = found.start, found.end, found.first
-        rows = np.repeat(np.arange(batch.num_rows), np.diff(first))
-        self.rows = rows
-        id = textops.mix(found.hash ^ _language_codes(batch.column("lang"))[rows])
+        self.start, self.end = found.start, found.end
+        self.rows = np.repeat(np.arange(batch.num_rows), found.counts)
+        id = textops.mix(found.hash ^ _language_codes(batch.column("lang"))[self.rows])
         self.id = np.where(id == 0, np.uint64(1), id)
-        breaks = np.cumsum(textops.separator_table(BREAKS)[self.data], dtype=np.int64)
-        piece = breaks[self.start] if len(self.start) else np.zeros(0, np.int64)
-        self.follows = np.zeros(len(rows), bool)
-        self.follows[:-1] = (piece[1:] == piece[:-1]) & (rows[1:] == rows[:-1])
+        breaks = np.cumsum(textops.separator_table(BREAKS)[self.data], dtype=np.int32)
+        piece = breaks[self.start] if len(self.start) else np.zeros(0, np.int32)
+        self.follows = np.zeros(len(self.rows), bool)
+        self.follows[:-1] = (piece[1:] == piece[:-1]) & (self.rows[1:] == self.rows[:-1])
 
     def texts(self, at):
         """Bytes of the words at these places, as one Arrow column."""
@@ -76,6 +78,12 @@ class Pieces:
         return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at), buffers).cast(pa.large_string())
 
 
+def _numbers(batch):
+    """(word numbers, whether the next word follows) of a slice, hashed in smaller parts."""
+    parts = [Pieces(part) for part in textops.slices(batch, limit=HASH_BYTES)]
+    return np.concatenate([p.id for p in parts]), np.concatenate([p.follows for p in parts])
+
+
 def _bits(found, position):
     """A bitmap of ``BITS`` bits of the numbers in binary column ``found``: bounded whatever they are."""
     place = found.select(position.alias("p"))
@@ -105,7 +113,7 @@ def word_counts(docs):
 
     def count(batches):
         for batch in batches:
-            for part in textops.slices(batch, limit=SLICE_BYTES):
+            for part in textops.slices(batch, limit=HASH_BYTES):
                 found = Pieces(part)
                 _, at, n = np.unique(found.id, return_index=True, return_counts=True)
                 yield pa.RecordBatch.from_arrays(
@@ -122,12 +130,12 @@ def word_counts(docs):
     return rows.groupBy("lang", "word", "id").agg(F.sum("f").alias("f"))
 
 
-def suffixes(found, frequent):
+def suffixes(id, follows, frequent):
     """Columns of word numbers of each suffix (0: ended) and hashes of its prefixes of 2 to 5 words."""
-    first = np.where(_has(frequent, found.id), found.id, np.uint64(0))
+    first = np.where(_has(frequent, id), id, np.uint64(0))
     # The word ``depth`` further on, and whether it still belongs to the piece.
     ahead = np.concatenate([first, np.zeros(DEPTH, np.uint64)])
-    linked = np.concatenate([found.follows, np.zeros(DEPTH, bool)])
+    linked = np.concatenate([follows, np.zeros(DEPTH, bool)])
     columns, n = [first], len(first)
     for depth in range(1, DEPTH):
         goes_on = (columns[-1] != 0) & linked[depth - 1 : depth - 1 + n]
@@ -147,7 +155,7 @@ def long_routes(docs, frequent, group_words, sample):
     def count(batches):
         for batch in batches:
             for part in textops.slices(batch, limit=SLICE_BYTES):
-                columns, prefixes = suffixes(Pieces(part), frequent)
+                columns, prefixes = suffixes(*_numbers(part), frequent)
                 every = np.concatenate([p[columns[d + 1] != 0] for d, p in enumerate(prefixes[:3])])
                 values, n = np.unique(every, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(n)], names=["p", "n"])
@@ -158,10 +166,10 @@ def long_routes(docs, frequent, group_words, sample):
 
 
 def _route(batches, frequent, heavy, groups):
-    """Rows (key, suffixes): the distinct suffixes of a slice by group, with counts and route lengths."""
+    """The distinct suffixes of each slice by group, with their counts and route lengths."""
     for batch in batches:
         for part in textops.slices(batch, limit=SLICE_BYTES):
-            columns, prefixes = suffixes(Pieces(part), frequent)
+            columns, prefixes = suffixes(*_numbers(part), frequent)
             size = sum((c != 0).astype(np.int64) for c in columns)
             route, route_hash, longer = np.full(len(size), 2), prefixes[0], np.ones(len(size), bool)
             for depth in (2, 3, 4):
@@ -169,28 +177,37 @@ def _route(batches, frequent, heavy, groups):
                 route += longer
                 route_hash = np.where(longer & (size > depth), prefixes[depth - 1], route_hash)
             key = (textops.mix(route_hash) % np.uint64(groups)).astype(np.int64)
-            order = np.lexsort((prefixes[-1], key))
-            whole = prefixes[-1][order]
+            # Equal beginnings stand together: such columns shuffle small.
+            order = np.lexsort((prefixes[3], prefixes[1], prefixes[0], key))
+            whole = prefixes[3][order]
             new = np.ones(len(whole), bool)
             new[1:] = whole[1:] != whole[:-1]
             first = np.flatnonzero(new)
             weight = np.diff(np.append(first, len(whole))).astype(np.uint32)
             at, key = order[first], key[order[first]]
-            columns, route = [c[at] for c in columns], route[at].astype(np.uint8)
+            words, route = np.stack([c[at] for c in columns]), route[at].astype(np.uint8)
             keys, begin = np.unique(key, return_index=True)
-            rows = []
-            for a, b in zip(begin, np.append(begin[1:], len(key))):
-                rows.append(b"".join(x[a:b].tobytes() for x in (*columns, weight, route)))
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(rows, pa.binary())], names=["key", "suffixes"])
+            rows = [_pack(words[:, a:b], weight[a:b], route[a:b]) for a, b in zip(begin, np.append(begin[1:], len(key)))]
+            packed = zip(*rows) if rows else ((),) * 4
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys), *(pa.array(c, pa.binary()) for c in packed)], names=[f.split()[0] for f in ROUTED.split(", ")]
+            )
+
+
+def _pack(words, weight, route):
+    """A group's share of a slice: distinct word numbers, places among them, weights, route lengths."""
+    values, places = np.unique(words, return_inverse=True)
+    narrow = np.uint16 if len(values) <= 1 << 16 else np.uint32
+    return values.tobytes(), places.astype(narrow).tobytes(), weight.tobytes(), route.tobytes()
 
 
-def _unpack(payloads):
+def _unpack(table):
     """Columns, weights and route lengths of all rows of a group."""
     parts = []
-    for raw in payloads:
-        m = len(raw) // (8 * DEPTH + 5)
-        words = np.frombuffer(raw, np.uint64, DEPTH * m).reshape(DEPTH, m)
-        parts.append((words, np.frombuffer(raw, np.uint32, m, 8 * DEPTH * m), np.frombuffer(raw, np.uint8, m, (8 * DEPTH + 4) * m)))
+    for values, places, weight, route in zip(*(table.column(c).to_pylist() for c in ("words", "places", "weights", "routes"))):
+        narrow = np.uint16 if len(places) == 2 * DEPTH * len(route) else np.uint32
+        words = np.frombuffer(values, np.uint64)[np.frombuffer(places, narrow).reshape(DEPTH, -1)]
+        parts.append((words, np.frombuffer(weight, np.uint32), np.frombuffer(route, np.uint8)))
     words, weight, route = zip(*parts)
     return np.concatenate(words, axis=1), np.concatenate(weight).astype(np.int64), np.concatenate(route)
 
@@ -245,7 +262,7 @@ def _packed(words, depth, pointer):
 
 
 def _mine(table, least):
-    words, weight, route = _unpack(table.column("suffixes").to_pylist())
+    words, weight, route = _unpack(table)
     phrases, counts = [], []
     for length in np.unique(route):
         mine = route == length
@@ -271,7 +288,7 @@ def phrase_counts(docs, words, least=100, group_bytes=GROUP_BYTES, group_words=G
     frequent = _bits(words.filter(F.col("f") >= least), _position(F.col("id")))
     heavy = long_routes(docs, frequent, group_words, sample)
     shared = docs.sparkSession.sparkContext.broadcast((frequent, heavy))  # 2 MB, whatever the input
-    routed = docs.mapInArrow(lambda batches: _route(batches, *shared.value, groups), "key long, suffixes binary")
+    routed = docs.mapInArrow(lambda batches: _route(batches, *shared.value, groups), ROUTED)
     mined = routed.groupBy("key").applyInArrow(lambda table: _mine(table, least), "phrase binary, n long")
     return mined.groupBy("phrase").agg(F.sum("n").alias("a")).filter(F.col("a") >= least)
 
