@@ -8,9 +8,10 @@ quicksort: every partition that is equal in its first d words is a phrase and it
 phrase's count, and a partition below the least count is given up at once. Counts of prefixes
 shorter than their route are partial and add up over groups.
 
-Two fixed-size bitmaps steer the work and never change a result: words that may be frequent (a
-suffix ends before one that is not), and prefixes that need a longer route, found in a sample.
-Words are compared by 64-bit hashes of (language, word).
+Three fixed-size bitmaps steer the work and never change a result: words and pairs of words that
+may be frequent (a suffix ends before one that is not, as no phrase goes on there), and prefixes
+that need a longer route, found in a sample. Pairs are counted first, by 32 bits of their hashes
+within a group. Words are compared by 64-bit hashes of (language, word).
 
 Defined results: a null text is empty, a null language ``und``. Repeated rows count each time.
 No phrase that is frequent enough: no rows. Extra columns are not read.
@@ -37,6 +38,7 @@ GROUP_BYTES = 4 * 1024 * 1024
 GROUP_WORDS = 700_000
 SAMPLE = 1 / 256
 BITS = 1 << 23
+PAIR_BITS = 1 << 26
 
 ROUTED = "key long, words binary, places binary, weights binary, routes binary"
 
@@ -84,27 +86,21 @@ def _numbers(batch):
     return np.concatenate([p.id for p in parts]), np.concatenate([p.follows for p in parts])
 
 
-def _bits(found, position):
-    """A bitmap of ``BITS`` bits of the numbers in binary column ``found``: bounded whatever they are."""
-    place = found.select(position.alias("p"))
+def _bits(found, position, size=BITS):
+    """A bitmap of ``size`` bits of the numbers in a column of ``found``: bounded whatever they are."""
+    place = found.select((F.pmod(position, F.lit(size)) + 1).alias("p"))
     rows = place.groupBy(F.bitmap_bucket_number("p").alias("b")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits")
-    ).collect()  # at most BITS / 32768 rows of 4 KB
-    out = np.zeros(BITS // 8 + 4096, np.uint8)
+    ).collect()  # at most size / 32768 rows of 4 KB
+    out = np.zeros(size // 8, np.uint8)
     for row in rows:
         at = (row.b - 1) * 4096
         out[at : at + 4096] = np.frombuffer(row.bits, np.uint8)
     return out
 
 
-def _position(number):
-    """Bit of a 64-bit number given as a signed long column."""
-    return F.pmod(number, F.lit(BITS)) + 1
-
-
 def _has(bits, numbers):
-    # Position 1 is bit 0 of the first bucket.
-    at = (numbers % np.uint64(BITS)).astype(np.int64)
+    at = (numbers % np.uint64(8 * len(bits))).astype(np.int64)
     return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
 
@@ -130,46 +126,98 @@ def word_counts(docs):
     return rows.groupBy("lang", "word", "id").agg(F.sum("f").alias("f"))
 
 
-def suffixes(id, follows, frequent):
+def _pair(first, second):
+    return textops.mix(first * _LEFT + second * _RIGHT + np.uint64(1))
+
+
+def _place(key, low):
+    """Bitmap position of a pair known by its group and 32 bits of its hash."""
+    return textops.mix(key.astype(np.uint64) << np.uint64(32) | low)
+
+
+def _halves(pairs, groups):
+    return (pairs >> np.uint64(32)) % np.uint64(groups), pairs & np.uint64(0xFFFFFFFF)
+
+
+def frequent_pairs(docs, frequent, least, groups):
+    """Bitmap of the pairs of neighbouring words that may occur ``least`` times."""
+
+    def count(batches):
+        for batch in batches:
+            for part in textops.slices(batch, limit=SLICE_BYTES):
+                id, follows = _numbers(part)
+                at = np.flatnonzero(follows & _has(frequent, id))
+                at = at[_has(frequent, id[at + 1])]
+                pairs, n = np.unique(_pair(id[at], id[at + 1]), return_counts=True)
+                key, low = _halves(pairs, groups)
+                order = np.argsort(key, kind="stable")
+                key, low, n = key[order].astype(np.int64), low[order].astype(np.uint32), n[order].astype(np.uint32)
+                keys, begin = np.unique(key, return_index=True)
+                spans = list(zip(begin, np.append(begin[1:], len(key))))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(keys), *(pa.array([x[a:b].tobytes() for a, b in spans], pa.binary()) for x in (low, n))],
+                    names=["key", "pairs", "times"],
+                )
+
+    def add(table):
+        low, n = (
+            np.frombuffer(b"".join(table.column(c).to_pylist()), np.uint32).astype(np.uint64) for c in ("pairs", "times")
+        )
+        order = np.argsort(low)
+        low, n = low[order], n[order]
+        first = np.flatnonzero(np.append(True, low[1:] != low[:-1]))
+        often = low[first][np.add.reduceat(n, first) >= least]
+        key = np.full(len(often), table.column("key")[0].as_py())
+        return pa.table({"p": pa.array(_place(key, often).view(np.int64))})
+
+    rows = docs.mapInArrow(count, "key long, pairs binary, times binary")
+    return _bits(rows.groupBy("key").applyInArrow(add, "p long"), F.col("p"), PAIR_BITS)
+
+
+def suffixes(id, follows, filters):
     """Columns of word numbers of each suffix (0: ended) and hashes of its prefixes of 2 to 5 words."""
-    first = np.where(_has(frequent, id), id, np.uint64(0))
-    # The word ``depth`` further on, and whether it still belongs to the piece.
-    ahead = np.concatenate([first, np.zeros(DEPTH, np.uint64)])
-    linked = np.concatenate([follows, np.zeros(DEPTH, bool)])
-    columns, n = [first], len(first)
-    for depth in range(1, DEPTH):
-        goes_on = (columns[-1] != 0) & linked[depth - 1 : depth - 1 + n]
-        columns.append(np.where(goes_on, ahead[depth : depth + n], np.uint64(0)))
-    kept = columns[1] != 0
-    columns = [c[kept] for c in columns]
-    prefix, prefixes = columns[0], []
+    frequent, pairs, groups = filters
+    goes_on, n = follows & _has(frequent, id), len(id)
+    at = np.flatnonzero(goes_on)
+    at = at[_has(frequent, id[at + 1])]
+    at = at[_has(pairs, _place(*_halves(_pair(id[at], id[at + 1]), groups)))]
+    goes_on[:] = False
+    goes_on[at] = True
+    # The word ``depth`` further on, while every pair before it goes on.
+    ahead = np.concatenate([id, np.zeros(DEPTH, np.uint64)])
+    linked = np.concatenate([goes_on, np.zeros(DEPTH, bool)])
+    columns = [id[at]]
+    still = np.ones(len(at), bool)
     for depth in range(1, DEPTH):
-        prefix = textops.mix(prefix * _LEFT + columns[depth] * _RIGHT + np.uint64(depth))
-        prefixes.append(prefix)
+        still = still & linked[at + depth - 1]
+        columns.append(np.where(still, ahead[at + depth], np.uint64(0)))
+    prefixes = [_pair(columns[0], columns[1])]
+    for depth in range(2, DEPTH):
+        prefixes.append(textops.mix(prefixes[-1] * _LEFT + columns[depth] * _RIGHT + np.uint64(depth)))
     return columns, prefixes
 
 
-def long_routes(docs, frequent, group_words, sample):
+def long_routes(docs, filters, group_words, sample):
     """Bitmap of prefixes of 2 to 4 words that would fill a group alone, judged by a sample."""
 
     def count(batches):
         for batch in batches:
             for part in textops.slices(batch, limit=SLICE_BYTES):
-                columns, prefixes = suffixes(*_numbers(part), frequent)
+                columns, prefixes = suffixes(*_numbers(part), filters)
                 every = np.concatenate([p[columns[d + 1] != 0] for d, p in enumerate(prefixes[:3])])
                 values, n = np.unique(every, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(n)], names=["p", "n"])
 
     some = docs.sample(sample, seed=11) if sample < 1 else docs
     counts = some.mapInArrow(count, "p long, n long").groupBy("p").agg(F.sum("n").alias("n"))
-    return _bits(counts.filter(F.col("n") >= group_words * sample), _position(F.col("p")))
+    return _bits(counts.filter(F.col("n") >= group_words * sample), F.col("p"))
 
 
-def _route(batches, frequent, heavy, groups):
+def _route(batches, filters, heavy, groups):
     """The distinct suffixes of each slice by group, with their counts and route lengths."""
     for batch in batches:
         for part in textops.slices(batch, limit=SLICE_BYTES):
-            columns, prefixes = suffixes(*_numbers(part), frequent)
+            columns, prefixes = suffixes(*_numbers(part), filters)
             size = sum((c != 0).astype(np.int64) for c in columns)
             route, route_hash, longer = np.full(len(size), 2), prefixes[0], np.ones(len(size), bool)
             for depth in (2, 3, 4):
@@ -285,9 +333,10 @@ def phrase_counts(docs, words, least=100, group_bytes=GROUP_BYTES, group_words=G
     docs = docs.select("text", "lang")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = max(1, -(-size // group_bytes))
-    frequent = _bits(words.filter(F.col("f") >= least), _position(F.col("id")))
-    heavy = long_routes(docs, frequent, group_words, sample)
-    shared = docs.sparkSession.sparkContext.broadcast((frequent, heavy))  # 2 MB, whatever the input
+    frequent = _bits(words.filter(F.col("f") >= least), F.col("id"))
+    filters = (frequent, frequent_pairs(docs, frequent, least, groups), groups)
+    # 10 MB, whatever the input.
+    shared = docs.sparkSession.sparkContext.broadcast((filters, long_routes(docs, filters, group_words, sample)))
     routed = docs.mapInArrow(lambda batches: _route(batches, *shared.value, groups), ROUTED)
     mined = routed.groupBy("key").applyInArrow(lambda table: _mine(table, least), "phrase binary, n long")
     return mined.groupBy("phrase").agg(F.sum("n").alias("a")).filter(F.col("a") >= least)
