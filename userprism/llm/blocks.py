@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import textops
+from . import caches, textops
 
 BLOCK_BYTES = 8 * 1024 * 1024
 BLOCK = "__block"
@@ -28,8 +28,12 @@ def number(docs, text="text", block_bytes=BLOCK_BYTES):
 
 
 def dealt(docs, blocks, text="text"):
-    """``docs`` with the number of each row's block; a null text is empty."""
-    key = F.xxhash64(*[F.col(f"`{n}`") for n, k in docs.dtypes if not k.startswith(("map", "variant"))])
+    """``docs`` with the number of each row's block; a null text is empty.
+
+    The row's number takes part, so equal rows are dealt apart. ``docs`` must come from a table as
+    it was read, where a task run again numbers its rows alike.
+    """
+    key = F.xxhash64(F.monotonically_increasing_id())
     return docs.withColumns({text: F.coalesce(F.col(text), F.lit("")), BLOCK: F.pmod(key, F.lit(blocks)).cast("int")})
 
 
@@ -115,7 +119,7 @@ def _merge(table, count):
 
 def answers(index, count=False):
     """The index of all blocks merged bucket by bucket."""
-    return index.groupBy("bucket").applyInArrow(lambda table: _merge(table, count), ANSWERS)
+    return index.groupBy("bucket").applyInArrow(caches.tidy_table(lambda table: _merge(table, count)), ANSWERS)
 
 
 def resolve(rows, entries_of, finish, schema, count=False):
@@ -125,9 +129,11 @@ def resolve(rows, entries_of, finish, schema, count=False):
     enters both passes with the same columns, so Spark shuffles it once and reuses that shuffle.
     """
 
+    @caches.tidy_table
     def index(table):
         return entries_of(table)[0].index(table.column(BLOCK)[0].as_py())
 
+    @caches.tidy_tables
     def close(table, answer):
         entries, more = entries_of(table)
         known, detail = entries.read(answer)

@@ -102,6 +102,7 @@ def pieces(docs, path, capacity=CAPACITY):
     """Token runs of all documents, each with its rank among equal lengths of its task."""
     end = np.array([END], "<u4").tobytes()
 
+    @caches.tidy
     def cut(batches):
         run, part, seen = tokenizer(path), TaskContext.get().partitionId(), {}
         for batch in batches:

@@ -32,7 +32,7 @@ WORD_ROWS, SHAPE_ROWS = 1 << 15, 1 << 12
 ROWS = WORD_ROWS + SHAPE_ROWS
 CHUNK = 1024
 FAN_IN = 32
-SLICE_BYTES = 2 * 1024 * 1024
+SLICE_BYTES = 1024 * 1024
 
 _SHAPES = np.arange(256, dtype=np.uint8)
 _SHAPES[ord("a") : ord("z") + 1] = ord("a")
@@ -90,6 +90,7 @@ def word_vectors(docs, text="text"):
     final matrix, of fixed size, comes to the driver.
     """
 
+    @caches.tidy
     def add(batches):
         total = np.zeros(ROWS * SIZE)
         for batch in batches:
@@ -225,6 +226,7 @@ def fit(docs, labels, sample=20_000, units=32, rounds=30, seed=5):
         .withColumn("order", F.xxhash64("doc_id")).orderBy("order", "doc_id").limit(sample)
     )
 
+    @caches.tidy
     def pool(batches):
         for batch in batches:
             for part in textops.slices(batch, "text", SLICE_BYTES):
@@ -261,6 +263,7 @@ def score(docs, model, column="score"):
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = docs.select("*", F.lit(0.5).alias(column)).schema
 
+    @caches.tidy
     def run(batches):
         model = shared.value
         for batch in batches:

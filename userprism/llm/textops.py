@@ -14,6 +14,8 @@ from . import caches
 
 SPACES = bytes([0x20, *range(0x09, 0x0E)])
 BATCH_BYTES = 2 * 1024 * 1024
+# Text hashed at once: some ten arrays of 8 bytes for each byte of it.
+HASH_BYTES = 512 * 1024
 
 _RANDOM = np.random.Generator(np.random.PCG64(20240607))
 _BYTE_VALUES = _RANDOM.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -101,18 +103,18 @@ def lower_ascii(data):
 def words(column, separators=SPACES, lower=False):
     """Split and hash every text; equal words have equal hashes.
 
-    Long columns are hashed in parts of about ``BATCH_BYTES``, cut between texts.
+    Long columns are hashed in parts of about ``HASH_BYTES``, cut between texts.
     """
     caches.release()
     data, offsets = text_bytes(column)
     if lower:
         data = lower_ascii(data)
     table = separator_table(separators)
-    if len(data) <= BATCH_BYTES:
+    if len(data) <= HASH_BYTES:
         return words_of(data, offsets, table)
     parts, at, seen = [], 0, 0
     while at < len(offsets) - 1:
-        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + BATCH_BYTES, side="right")) - 1)
+        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + HASH_BYTES, side="right")) - 1)
         found = words_of(data[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at], table)
         first = found.first[: end - at] + seen
         parts.append((found.start + offsets[at], found.end + offsets[at], found.hash, first))
