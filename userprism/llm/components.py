@@ -2,14 +2,14 @@
 
 Each round links nodes to the smallest neighbour they know, first larger neighbours, then
 smaller ones, until nothing changes; the number of rounds grows with the logarithm of the
-longest path. A hub with very many edges is only ever the key of an aggregate or of a join
-with one row, which adaptive execution splits. Rounds are written to the shared folder, so
+longest path. A hub with very many edges is only ever the key of an aggregate or of a lookup of
+one row, which keeps hot keys out of the shuffle. Rounds are written to the shared folder, so
 lineage stays short and a lost executor costs one round.
 """
 
 from pyspark.sql import functions as F
 
-from ..operators.scale import stage
+from ..operators.scale import lookup_join, stage
 
 
 def _large(edges):
@@ -17,13 +17,13 @@ def _large(edges):
         edges.select(F.col("b").alias("u"), F.col("a").alias("v"))
     )
     least = both.groupBy("u").agg(F.least(F.min("v"), F.min("u")).alias("m"))
-    return both.filter("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+    return lookup_join(both.filter("v > u"), least, "u", "inner").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
 
 
 def _small(edges):
     """Edges point from a larger a to a smaller b."""
     least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    moved = edges.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    moved = lookup_join(edges, least, "a", "inner").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
 
@@ -39,7 +39,7 @@ def components(edges):
     )
     state = _state(edges)
     while True:
-        edges = stage(_small(_large(edges)))
+        edges = stage(_small(stage(_large(edges))))
         before, state = state, _state(edges)
         if state == before:
             break

@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from ..operators.scale import stage
+from ..operators.scale import lookup_join, stage
 from . import blocks as B
 from . import textops
 from .components import components
@@ -225,7 +225,7 @@ def _large_links(rows, bounds, block_rows):
             yield pa.RecordBatch.from_arrays([*kept, pa.array(linked, pa.bool_())], names=["family", "doc_id", "shingles", "linked"])
 
     compared = stage(
-        rows.join(head, "family").select("family", "doc_id", "shingles", "head")
+        lookup_join(rows, head, "family", "inner").select("family", "doc_id", "shingles", "head")
         .mapInArrow(with_head, "family long, doc_id long, shingles binary, linked boolean")
     )
     stars = compared.filter("linked").select(F.col("doc_id").alias("a"), F.col("family").alias("b"))
@@ -253,7 +253,7 @@ def _large_links(rows, bounds, block_rows):
     free = F.concat(*[labels(F.col("class") + d, F.lit(False)) for d in (-1, 0, 1)])
     covered = F.concat(*[labels(F.col("class") + d, F.lit(True)) for d in (-1, 0, 1)])
     partners = F.when(F.col("linked"), free).otherwise(F.concat(free, covered))
-    dealt = placed.join(maps, "family").withColumn("own", own).withColumn("other", F.explode(partners))
+    dealt = lookup_join(placed, maps, "family", "inner").withColumn("own", own).withColumn("other", F.explode(partners))
     met = dealt.select(
         "family", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "doc_id", "shingles",
         F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"),
@@ -271,9 +271,9 @@ def link(docs, percent=90, width=WIDTH, block_bytes=B.BLOCK_BYTES, block_rows=BL
     least = able.groupBy("set_key").agg(F.min(F.struct("doc_id", "columns", "shingles")).alias("row"))
     rows = stage(least.select("set_key", "row.*", (F.octet_length("row.shingles") / 8).cast("long").alias("n")))
     kinds = rows.select("set_key", F.col("doc_id").alias("kind"))
-    copies = able.select("set_key", "doc_id").join(kinds, "set_key").filter("doc_id <> kind").select(
-        F.col("doc_id").alias("a"), F.col("kind").alias("b")
-    )
+    copies = lookup_join(able.select("set_key", "doc_id"), kinds, "set_key", "inner", staged=True).filter(
+        "doc_id <> kind"
+    ).select(F.col("doc_id").alias("a"), F.col("kind").alias("b"))
 
     def unpack(batches):
         for batch in batches:
@@ -285,11 +285,11 @@ def link(docs, percent=90, width=WIDTH, block_bytes=B.BLOCK_BYTES, block_rows=BL
 
     cells = rows.select("doc_id", "columns").mapInArrow(unpack, "column long, doc_id long")
     heads = cells.groupBy("column").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("last")).filter("head < last")
-    met = cells.join(heads, "column").filter("doc_id <> head").select(F.col("doc_id").alias("a"), F.col("head").alias("b"))
+    met = lookup_join(cells, heads, "column", "inner").filter("doc_id <> head").select(F.col("doc_id").alias("a"), F.col("head").alias("b"))
     families = components(met).withColumnRenamed("component", "family")
     sized = rows.select(F.col("doc_id").alias("node"), "n").join(families, "node")
     large = (F.count(F.lit(1)) > block_rows) | (F.sum("n") * 8 > BLOCK_SETS)
-    families = families.join(sized.groupBy("family").agg(large.alias("large")), "family")
+    families = lookup_join(families, sized.groupBy("family").agg(large.alias("large")), "family", "inner")
     members = rows.join(families, rows.doc_id == families.node).select("family", "doc_id", "shingles", "large")
     edges = _family_links(members, bounds, block_rows).unionByName(copies)
     found = components(edges)
@@ -301,11 +301,13 @@ def link(docs, percent=90, width=WIDTH, block_bytes=B.BLOCK_BYTES, block_rows=BL
 
 
 def representatives(docs, percent=80, width=5, **settings):
-    """The rows of ``docs`` that stay: of each component the one with the smallest doc_id.
+    """The rows of ``docs`` that stay: of each component those with the smallest doc_id.
 
-    Rows with a null id stay; of rows with the same id one stays, as they are one node.
+    Rows with a null id stay. Rows with the same id are one node: of equal texts among them one row
+    stays, the smallest; different texts of the id that stays all stay, as none stands for another.
     """
     # Components hold their smallest id themselves.
     found = link(docs, percent, width, **settings).filter("doc_id = component_id").select("doc_id").distinct()
-    named = docs.filter("doc_id IS NOT NULL").join(found, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.filter("doc_id IS NULL"))
+    named = docs.filter("doc_id IS NOT NULL").join(found, "doc_id", "left_semi")
+    named = named.withColumn("__text", F.sha2(F.coalesce("text", F.lit("")), 256)).dropDuplicates(["doc_id", "__text"])
+    return named.drop("__text").unionByName(docs.filter("doc_id IS NULL"))
