@@ -168,3 +168,26 @@ def test_runs_tell_sequences_apart(width):
     assert len(runs) == len(keys) and len(set(runs.tolist())) == len(set(keys))
     assert len({(a, b) for a, b in zip(runs.tolist(), keys)}) == len(set(keys))
     assert len(textops.runs(h[: width - 1], width)) == 0
+
+
+def test_null_texts_stay_null(spark):
+    rows = [(1, None, "a"), (2, "", "b"), (3, "x " * 40, "c"), (4, "x " * 40, "d")]
+    found = substrings.without_repeats(spark.createDataFrame(rows, "doc_id long, text string, note string"))
+    assert found.columns == ["doc_id", "text", "note"]
+    assert sorted(map(tuple, found.collect())) == [(1, None, "a"), (2, "", "b"), (3, "", "c"), (4, "", "d")]
+
+
+def test_different_texts_of_one_id_all_stay(spark):
+    rows = [(1, "a b c d e f g"), (1, "a b c d e f g"), (1, "q r s t u v w"), (2, "a b c d e f g"), (3, "h i j k l m"), (None, "z"), (None, "z")]
+    found = jaccard.representatives(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted(
+        [(1, "a b c d e f g"), (1, "q r s t u v w"), (3, "h i j k l m"), (None, "z"), (None, "z")], key=repr
+    )
+
+
+def test_equal_rows_are_dealt_apart(spark):
+    from userprism.llm import blocks
+
+    rows = spark.range(4000).selectExpr("if(id % 3 = 0, 7L, id) AS doc_id", "if(id % 3 = 0, 'same text', 'text ' || id) AS text")
+    sizes = [r["count"] for r in blocks.dealt(rows, 8).groupBy(blocks.BLOCK).count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 700

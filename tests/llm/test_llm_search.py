@@ -258,3 +258,52 @@ def test_few_labels_train_a_network(spark, n):
     model = quality.fit(docs, docs.selectExpr("doc_id", "cast(doc_id % 2 as int) AS quality"))
     scores = {r.doc_id: r.score for r in quality.score(docs, model).collect()}
     assert min(s for i, s in scores.items() if i % 2) > 0.5 > max(s for i, s in scores.items() if i % 2 == 0)
+
+
+def test_a_long_conversation_takes_linear_time(spark):
+    import hashlib
+    import time
+
+    def run(n):
+        rows = spark.range(n).selectExpr(
+            "1L AS conv_id", "id AS turn", "if(id = 0, 'system', if(id % 2 = 1, 'user', 'assistant')) AS role", "'say <s> ' || id AS text"
+        )
+        began = time.perf_counter()
+        found = chat.digests(rows, 400, 2).collect()
+        return found, time.perf_counter() - began
+
+    run(100)
+    _, short = run(4_000)
+    found, long = run(20_000)
+    assert long < 8 * short + 5
+    said = "".join(f"{'system' if i == 0 else 'user' if i % 2 else 'assistant'}\nsay <s> {i}\n" for i in range(20_000))
+    loss = "".join(f"say <s> {i}" for i in range(2, 20_000, 2))
+    assert [(r.conv_id, r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in found] == [
+        (1, 20_000, hashlib.sha256(said.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    ]
+
+
+def test_windows_keep_the_budget(spark):
+    rows = spark.range(600).selectExpr(
+        "id % 3 AS conv_id", "id AS turn", "if(id < 3, 'system', if(id % 2 = 1, 'user', 'assistant')) AS role", "repeat('word ', 1 + id % 17) AS text"
+    )
+    for history in (0, 1, 3):
+        made = chat.windows(rows, 300, history).collect()
+        assert len(made) > 30
+        for w in made:
+            turns = w.text.split(chat.END)[:-1]
+            assert sum(-(-len(t + chat.END) // 4) for t in turns) <= 300 and len(turns) > w.repeated
+            assert w.window == 0 or (turns[0].startswith(chat.HEAD + "system") and w.repeated <= history + 1)
+
+
+def test_repeated_query_rows_are_one_query(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.standard_normal(16).tolist()) for i in range(200)]
+    rows += [rows[0], rows[20], rows[20], (40, rng.standard_normal(16).tolist()), rows[7]]
+    found = rabit.neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 20, 5).collect()
+    assert len(found) == 10 * 5
+    for q in range(0, 200, 20):
+        own = min(v for i, v in rows if i == q)
+        scores = sorted(((-float(np.dot(own, v)), i) for i, v in rows if i != q))[:5]
+        mine = sorted((r["rank"], r.vec_id, r.score) for r in found if r.query_id == q)
+        assert [m[1] for m in mine] == [i for _, i in scores] and [m[2] for m in mine] == pytest.approx([-s for s, _ in scores])

@@ -11,14 +11,20 @@ Template: ``<s>[INST] role [/INST]\\n`` text ``</s>\\n``. Control strings inside
 text get a backslash behind their first character, backslashes are doubled; both are undone
 when a window is read.
 
+Turns get their place and the tokens before them from running totals over range partitions, so a
+conversation's texts are never gathered: choosing its spans takes one row with three numbers a
+turn, and each window is a group of its own, of as many turns as the budget holds. Only
+``digests`` meets a conversation whole, as its result asks for.
+
 Defined results: null roles and texts are empty; turns are ordered by number (null first), then
-role and text; repeated rows are turns of their own. Rows with a null conv_id form one
-conversation. No rows: no windows. Extra columns are not read. A conversation is one row while
-it is cut, as its digests need it whole; conversations are dealt over all tasks.
+role and a digest of the text; repeated rows are turns of their own. Rows with a null conv_id form
+one conversation. No rows: no windows. Extra columns are not read.
 """
 
 from pyspark.sql import functions as F
 
+from ..operators.scale import prefix_sums, stage
+
 BUDGET, HISTORY = 2048, 2
 
 # Characters between the control string's first character and its rest.
@@ -41,61 +47,92 @@ def tokens(text):
     return F.ceil(F.octet_length(text) / 4).cast("long")
 
 
-def windows(conversations, budget=BUDGET, history=HISTORY):
-    """One row per window: conv_id, window, text, ``repeated`` (turns it repeats), ``targets``.
+# A running total holds the number of turns above this and their tokens below.
+_ONE = 1 << 40
 
-    ``targets`` are the places under the loss mask, as (start, length) in characters of text.
-    """
+
+def placed_turns(conversations):
+    """Turns with their conversation's key, place and tokens before them."""
     rows = conversations.select(
-        "conv_id", F.col("turn").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
+        # A key that is never null.
+        F.struct(F.col("conv_id").isNull().alias("none"), F.coalesce("conv_id", F.lit(0)).alias("id")).alias("conv"),
+        "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"),
     ).withColumns({"head": F.concat(F.lit(HEAD), escaped(F.col("role")), F.lit(MIDDLE)), "body": escaped(F.col("text"))})
-    size = tokens(F.concat("head", "body", F.lit(END)))
-    whole = rows.groupBy("conv_id").agg(
-        F.sort_array(F.collect_list(F.struct("turn", "role", "text", "head", "body", size.alias("size")))).alias("turns")
-    )
-    n = F.size("turns")
-    # sums[i]: tokens before turn i.
-    sums = F.aggregate(
-        "turns", F.struct(F.array(F.lit(0).cast("long")).alias("all"), F.lit(0).cast("long").alias("at")),
-        lambda done, t: F.struct(F.concat(done["all"], F.array(done["at"] + t["size"])).alias("all"), (done["at"] + t["size"]).alias("at")),
-        lambda done: done["all"],
-    )
-    whole = whole.withColumn("sums", sums).withColumn(
-        "system", F.when(F.col("turns")[0]["role"] == "system", F.col("turns")[0]["size"])
+    rows = rows.withColumns({
+        "size": tokens(F.concat("head", "body", F.lit(END))),
+        "place": F.struct("turn", "role", F.sha2("text", 256).alias("digest"), F.monotonically_increasing_id().alias("row")),
+    }).withColumn("amount", F.col("size") + _ONE)
+    summed = prefix_sums(rows.drop("text", "turn"), ["conv"], "place", "amount")
+    return summed.select(
+        "conv", "role", "head", "body", "size",
+        F.floor(F.col("before") / _ONE).cast("int").alias("i"), (F.col("before") % _ONE).alias("before"),
     )
-    room = F.lit(budget - budget // 4) - F.coalesce("system", F.lit(0))
 
-    def step(done, i):
-        over = F.get("sums", i + 1) - done["base"] > room
-        # The first span holds the system turn itself, whose tokens are set aside already.
-        return F.when(
-            over & (i > done["first"]),
-            F.struct(F.concat(done["starts"], F.array(i)).alias("starts"), F.get("sums", i).alias("base"), i.alias("first")),
-        ).otherwise(done)
 
+def spans(turns, budget=BUDGET, history=HISTORY):
+    """(conv, window, i, again): which turn stands in which window, and whether it is repeated there."""
+    numbers = turns.groupBy("conv").agg(
+        F.sort_array(F.collect_list(F.struct("i", "before", "size"))).alias("turns"),
+        F.max(F.when((F.col("i") == 0) & (F.col("role") == "system"), F.col("size"))).alias("system"),
+    ).withColumn("room", F.lit(budget - budget // 4) - F.coalesce("system", F.lit(0)))
+
+    def step(done, t):
+        recent = F.concat(done["recent"], F.array(t["size"]))
+        recent = F.slice(recent, F.greatest(F.size(recent) - history + 1, F.lit(1)), F.lit(history))
+        opens = (t["before"] + t["size"] - done["base"] > F.col("room")) & (t["i"] > done["first"])
+        start = F.array(F.struct(t["i"].alias("first"), done["recent"].alias("recent")))
+        return F.struct(
+            F.when(opens, F.concat(done["starts"], start)).otherwise(done["starts"]).alias("starts"),
+            F.when(opens, t["before"]).otherwise(done["base"]).alias("base"),
+            F.when(opens, t["i"]).otherwise(done["first"]).alias("first"), recent.alias("recent"),
+        )
+
+    none = F.array().cast("array<bigint>")
     starts = F.aggregate(
-        F.sequence(F.lit(0), n - 1),
-        F.struct(F.array(F.lit(0)).alias("starts"), F.coalesce("system", F.lit(0).cast("long")).alias("base"), F.lit(0).alias("first")),
+        "turns",
+        F.struct(
+            F.array(F.struct(F.lit(0).alias("first"), none.alias("recent"))).alias("starts"),
+            # The first span holds the system turn itself, whose tokens are set aside already.
+            F.coalesce("system", F.lit(0).cast("long")).alias("base"), F.lit(0).alias("first"), none.alias("recent"),
+        ),
         step, lambda done: done["starts"],
     )
-    spans = whole.withColumn("starts", starts).select(
-        "*", F.posexplode("starts").alias("window", "first")
-    ).withColumn("last", F.coalesce(F.get("starts", F.col("window") + 1), n))
-    kept = F.when(F.col("system").isNotNull(), 1).otherwise(0)
+    chosen = numbers.select("conv", "system", F.size("turns").alias("n"), starts.alias("starts")).select(
+        "conv", "system", F.posexplode("starts").alias("window", "start"),
+        F.concat(F.slice(F.col("starts.first"), 2, F.size("starts")), F.array("n")).alias("ends"),
+    )
+    first, kept = F.col("start.first"), F.when(F.col("system").isNotNull(), 1).otherwise(0)
     # The most turns before the span whose tokens fit; never the system turn.
-    reach = F.greatest(F.lit(0), F.least(F.lit(history), F.col("first") - kept))
-    fits = F.filter(
-        F.sequence(F.lit(0), reach), lambda k: F.get("sums", F.col("first")) - F.get("sums", F.col("first") - k) <= budget // 4
+    reach = F.greatest(F.lit(0), F.least(F.lit(history), first - kept))
+    total = F.aggregate(
+        F.slice("start.recent", F.size("start.recent") - F.col("k") + 1, F.col("k")), F.lit(0).cast("long"), lambda a, x: a + x
     )
-    again = spans.withColumn("again", F.when(F.col("first") > 0, F.array_max(fits)).otherwise(0)).withColumn(
-        "front", F.when((F.col("first") > 0) & F.col("system").isNotNull(), 1).otherwise(0)
+    fits = chosen.select("conv", "window", "ends", first.alias("first"), kept.alias("kept"), F.explode(F.sequence(F.lit(0), reach)).alias("k"), "start")
+    fits = fits.filter((F.col("k") == 0) | (total <= budget // 4)).groupBy("conv", "window").agg(
+        F.max("k").alias("again"), F.first("first").alias("first"), F.first("kept").alias("kept"),
+        F.first(F.get("ends", F.col("window"))).alias("last"),
     )
+    front = (F.col("first") > 0) & (F.col("kept") == 1)
     shown = F.concat(
-        F.slice("turns", F.lit(1), F.col("front")),
-        F.slice("turns", F.col("first") - F.col("again") + 1, F.col("last") - F.col("first") + F.col("again")),
+        F.when(front, F.array(F.lit(0))).otherwise(F.array().cast("array<int>")),
+        F.sequence(F.col("first") - F.col("again"), F.col("last") - 1),
+    )
+    return fits.select("conv", "window", "first", F.explode(shown).alias("i")).select(
+        "conv", "window", "i", (F.col("i") < F.col("first")).alias("again")
     )
-    laid = again.select("conv_id", "window", (F.col("front") + F.col("again")).alias("repeated"), shown.alias("shown"))
 
+
+def windows(conversations, budget=BUDGET, history=HISTORY):
+    """One row per window: conv_id, window, text, ``repeated`` (turns it repeats), ``targets``.
+
+    ``targets`` are the places under the loss mask, as (start, length) in characters of text.
+    """
+    turns = stage(placed_turns(conversations))
+    shown = spans(turns, budget, history).join(turns.drop("before", "size"), ["conv", "i"])
+    laid = shown.groupBy("conv", "window").agg(
+        F.sort_array(F.collect_list(F.struct("i", "role", "head", "body"))).alias("shown"),
+        F.count_if("again").cast("int").alias("repeated"),
+    ).select(F.when(~F.col("conv.none"), F.col("conv.id")).alias("conv_id"), "window", "repeated", "shown")
     places = F.aggregate(
         "shown",
         F.struct(F.lit(0).alias("at"), F.lit(0).alias("n"), F.array().cast("array<struct<start:int,length:int>>").alias("out")),

@@ -13,7 +13,8 @@ Queries and rows meet in blocks of bounded size, each query gets k rows a block
 these are ranked once more. Defined results: vectors that are null, zero, or hold a null or a
 non-finite component take no part; neither do rows with a null id. Vectors meet only those of
 their own dimension. Ties go to the smaller id; repeated rows count once each, a query's own
-id is never its neighbour. Extra columns are not read.
+id is never its neighbour. Rows that repeat a query's id are one query, with the smallest of their
+vectors. Extra columns are not read.
 """
 
 import numpy as np
@@ -123,7 +124,8 @@ NEAREST = "query_id long, vec_id long, score double"
 
 def search(indexed, blocks, queries, k=20, sureness=SUREST, per_block=QUERIES):
     """(query_id, rank, vec_id, score) of the k nearest rows of each query; ``queries`` as from ``usable``."""
-    queries = queries.select(F.col("vec_id").alias("query_id"), "vector", "dimension")
+    queries = queries.groupBy(F.col("vec_id").alias("query_id")).agg(F.min("vector").alias("vector"))
+    queries = queries.withColumn("dimension", F.size("vector"))
     groups = max(1, -(-queries.count() // per_block))
     left = indexed.withColumn("asking", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     right = queries.withColumn("asking", F.pmod(F.xxhash64("query_id"), F.lit(groups)).cast("int")).withColumn(

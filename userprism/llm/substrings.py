@@ -27,6 +27,7 @@ from . import blocks as B
 from . import textops
 
 WINDOW = 35
+NULL = "__null"
 FACTORS = "doc_id long, start long, n_words long, reference_block int"
 
 
@@ -118,7 +119,7 @@ def without_repeats(docs, width=WINDOW, block_bytes=B.BLOCK_BYTES):
 
     def finish(table, found, factors):
         gone = _covered(factors[0], factors[1], len(found.hash))
-        texts = []
+        texts, null = [], table.column(NULL).to_pylist()
         _, offsets = textops.text_bytes(table.column("text"))
         for i, text in enumerate(table.column("text")):
             a, b = found.first[i], found.first[i + 1]
@@ -130,8 +131,8 @@ def without_repeats(docs, width=WINDOW, block_bytes=B.BLOCK_BYTES):
                 text = data.decode()
             else:
                 text = text.as_py()
-            texts.append(text)
+            texts.append(None if null[i] else text)
         at = table.schema.get_field_index("text")
-        return table.set_column(at, "text", pa.array(texts, pa.string())).drop_columns([B.BLOCK])
+        return table.set_column(at, "text", pa.array(texts, pa.string())).drop_columns([B.BLOCK, NULL])
 
-    return _run(docs, finish, docs.schema, width, block_bytes)
+    return _run(docs.withColumn(NULL, F.col("text").isNull()), finish, docs.schema, width, block_bytes)
