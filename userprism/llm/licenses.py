@@ -27,43 +27,43 @@ NAMES = (
     ("bsd-3-clause", "bsd 3 clause", "bsd", "(?:new bsd|modified bsd|revised bsd|bsd 3 clause|3 clause bsd)"),
     ("bsd-4-clause", "bsd 4 clause", "bsd", "(?:original bsd|bsd 4 clause|4 clause bsd)"),
     ("0bsd", "0bsd", "0bsd|zero clause bsd", "(?:0bsd|zero clause bsd)"),
-    ("gpl-2", "gpl 2 0(?: only)?", "gpl", "(?:gnu )?gpl(?: version| v)? ?2(?: 0)?"),
-    ("gpl-2+", "gpl 2 0 or later", "gpl", "(?:gnu )?gpl(?: version| v)? ?2(?: 0)? or (?:any )?later"),
-    ("gpl-3", "gpl 3 0(?: only)?", "gpl", "(?:gnu )?gpl(?: version| v)? ?3(?: 0)?"),
-    ("gpl-3+", "gpl 3 0 or later", "gpl", "(?:gnu )?gpl(?: version| v)? ?3(?: 0)? or (?:any )?later"),
-    ("gpl-2", "gnu gpl 2", "general public", "gnu general public licen[cs]e(?: version| v)? ?2(?: 0)?"),
-    ("gpl-3", "gnu gpl 3", "general public", "gnu general public licen[cs]e(?: version| v)? ?3(?: 0)?"),
-    ("lgpl-2.1", "lgpl 2 1(?: only| or later)?", "lgpl", "(?:gnu )?lgpl(?: version| v)? ?2 1"),
-    ("lgpl-3", "lgpl 3 0(?: only| or later)?", "lgpl", "(?:gnu )?lgpl(?: version| v)? ?3(?: 0)?"),
-    ("lgpl-2.1", "gnu lgpl 2 1", "lesser general", "gnu lesser general public licen[cs]e(?: version| v)? ?2 1"),
-    ("lgpl-3", "gnu lgpl 3", "lesser general", "gnu lesser general public licen[cs]e(?: version| v)? ?3(?: 0)?"),
-    ("agpl-3", "agpl 3 0(?: only| or later)?", "agpl", "(?:gnu )?agpl(?: version| v)? ?3(?: 0)?"),
-    ("agpl-3", "gnu agpl 3", "affero", "gnu affero general public licen[cs]e(?: version| v)? ?3(?: 0)?"),
-    ("gfdl-1.3", "gfdl 1 3(?: only| or later)?", "free documentation", "gnu free documentation licen[cs]e(?: version| v)? ?1 3"),
-    ("mpl-1.1", "mpl 1 1", "mozilla public", "mozilla public licen[cs]e(?: version| v)? ?1 1"),
-    ("mpl-2", "mpl 2 0", "mozilla public", "mozilla public licen[cs]e(?: version| v)? ?2(?: 0)?"),
-    ("epl-1", "epl 1 0", "eclipse public", "eclipse public licen[cs]e(?: version| v)? ?1(?: 0)?"),
-    ("epl-2", "epl 2 0", "eclipse public", "eclipse public licen[cs]e(?: version| v)? ?2(?: 0)?"),
-    ("eupl-1.2", "eupl 1 2", "european union", "european union public licen[cs]e(?: version| v)? ?1 2"),
-    ("cddl-1", "cddl 1 0", "common development", "common development and distribution licen[cs]e(?: version| v)?(?: 1(?: 0)?)?"),
-    ("cpl-1", "cpl 1 0", "common public", "common public licen[cs]e(?: version| v)?(?: 1(?: 0)?)?"),
+    ("gpl-2", "gpl 2 0(?: only)?", "gpl", "(?:gnu )?gpl(?: version| ?v)? ?2(?: 0)?"),
+    ("gpl-2+", "gpl 2 0 or later", "gpl", "(?:gnu )?gpl(?: version| ?v)? ?2(?: 0)? or (?:any )?later"),
+    ("gpl-3", "gpl 3 0(?: only)?", "gpl", "(?:gnu )?gpl(?: version| ?v)? ?3(?: 0)?"),
+    ("gpl-3+", "gpl 3 0 or later", "gpl", "(?:gnu )?gpl(?: version| ?v)? ?3(?: 0)? or (?:any )?later"),
+    ("gpl-2", "gnu gpl 2", "general public", "gnu general public licen[cs]e(?: version| ?v)? ?2(?: 0)?"),
+    ("gpl-3", "gnu gpl 3", "general public", "gnu general public licen[cs]e(?: version| ?v)? ?3(?: 0)?"),
+    ("lgpl-2.1", "lgpl 2 1(?: only| or later)?", "lgpl", "(?:gnu )?lgpl(?: version| ?v)? ?2 1"),
+    ("lgpl-3", "lgpl 3 0(?: only| or later)?", "lgpl", "(?:gnu )?lgpl(?: version| ?v)? ?3(?: 0)?"),
+    ("lgpl-2.1", "gnu lgpl 2 1", "lesser general", "gnu lesser general public licen[cs]e(?: version| ?v)? ?2 1"),
+    ("lgpl-3", "gnu lgpl 3", "lesser general", "gnu lesser general public licen[cs]e(?: version| ?v)? ?3(?: 0)?"),
+    ("agpl-3", "agpl 3 0(?: only| or later)?", "agpl", "(?:gnu )?agpl(?: version| ?v)? ?3(?: 0)?"),
+    ("agpl-3", "gnu agpl 3", "affero", "gnu affero general public licen[cs]e(?: version| ?v)? ?3(?: 0)?"),
+    ("gfdl-1.3", "gfdl 1 3(?: only| or later)?", "free documentation", "gnu free documentation licen[cs]e(?: version| ?v)? ?1 3"),
+    ("mpl-1.1", "mpl 1 1", "mozilla public", "mozilla public licen[cs]e(?: version| ?v)? ?1 1"),
+    ("mpl-2", "mpl 2 0", "mozilla public", "mozilla public licen[cs]e(?: version| ?v)? ?2(?: 0)?"),
+    ("epl-1", "epl 1 0", "eclipse public", "eclipse public licen[cs]e(?: version| ?v)? ?1(?: 0)?"),
+    ("epl-2", "epl 2 0", "eclipse public", "eclipse public licen[cs]e(?: version| ?v)? ?2(?: 0)?"),
+    ("eupl-1.2", "eupl 1 2", "european union", "european union public licen[cs]e(?: version| ?v)? ?1 2"),
+    ("cddl-1", "cddl 1 0", "common development", "common development and distribution licen[cs]e(?: version| ?v)?(?: 1(?: 0)?)?"),
+    ("cpl-1", "cpl 1 0", "common public", "common public licen[cs]e(?: version| ?v)?(?: 1(?: 0)?)?"),
     ("isc", "isc", " isc ", "isc"),
     ("zlib", "zlib", " zlib ", "zlib(?: libpng)?"),
-    ("bsl-1", "bsl 1 0", "boost software", "boost software licen[cs]e(?: version| v)?(?: 1(?: 0)?)?"),
+    ("bsl-1", "bsl 1 0", "boost software", "boost software licen[cs]e(?: version| ?v)?(?: 1(?: 0)?)?"),
     ("unlicense", "unlicense", "unlicense", "(?:the )?unlicense"),
     ("wtfpl", "wtfpl", "wtfpl", "wtfpl"),
-    ("artistic-2", "artistic 2 0", "artistic", "artistic(?: licen[cs]e)?(?: version| v)? ?2(?: 0)?"),
+    ("artistic-2", "artistic 2 0", "artistic", "artistic(?: licen[cs]e)?(?: version| ?v)? ?2(?: 0)?"),
     ("python-2", "python 2 0", "python software", "python software foundation(?: licen[cs]e)?(?: version)?(?: 2)?"),
     ("ruby", "ruby", " ruby ", "ruby"),
     ("postgresql", "postgresql", "postgresql", "postgresql"),
     ("openssl", "openssl", "openssl", "openssl"),
-    ("php-3.01", "php 3 01", " php", "php(?: licen[cs]e)?(?: version| v)? ?3 01"),
-    ("ofl-1.1", "ofl 1 1", "open font", "(?:sil )?open font(?: licen[cs]e)?(?: version| v)?(?: 1 1)?"),
+    ("php-3.01", "php 3 01", " php", "php(?: licen[cs]e)?(?: version| ?v)? ?3 01"),
+    ("ofl-1.1", "ofl 1 1", "open font", "(?:sil )?open font(?: licen[cs]e)?(?: version| ?v)?(?: 1 1)?"),
     ("ms-pl", "ms pl", "microsoft public", "microsoft public"),
     ("ncsa", "ncsa", "ncsa open source", "(?:university of illinois )?(?:illinois )?ncsa open source"),
-    ("afl-3", "afl 3 0", "academic free", "academic free(?: licen[cs]e)?(?: version| v)?(?: 3(?: 0)?)?"),
-    ("osl-3", "osl 3 0", "open software", "open software licen[cs]e(?: version| v)?(?: 3(?: 0)?)?"),
-    ("odbl-1", "odbl 1 0", "open database", "open (?:data commons open )?database(?: licen[cs]e)?(?: version| v)?(?: 1(?: 0)?)?"),
+    ("afl-3", "afl 3 0", "academic free", "academic free(?: licen[cs]e)?(?: version| ?v)?(?: 3(?: 0)?)?"),
+    ("osl-3", "osl 3 0", "open software", "open software licen[cs]e(?: version| ?v)?(?: 3(?: 0)?)?"),
+    ("odbl-1", "odbl 1 0", "open database", "open (?:data commons open )?database(?: licen[cs]e)?(?: version| ?v)?(?: 1(?: 0)?)?"),
     ("cc0-1", "cc0 1 0", "cc0", "cc0(?: 1 0)?(?: universal)?"),
     ("cc-by", "cc by [1-4] [05]", "cc by|creative commons attribution", "(?:cc by|creative commons attribution)(?: [1-4] [05])?"),
     ("cc-by-sa", "cc by sa [1-4] [05]", "cc by sa|creative commons attribution share", "(?:cc by sa|creative commons attribution share ?alike)(?: [1-4] [05])?"),
@@ -73,6 +73,36 @@ NAMES = (
     ("cc-by-nc-nd", "cc by nc nd [1-4] [05]", "cc by nc nd|creative commons attribution non", "(?:cc by nc nd|creative commons attribution non ?commercial no ?deriv(?:ative)?s)(?: [1-4] [05])?"),
 )
 
+# Abbreviated names: label, keywords, pattern. They stand alone, with a version.
+SHORT = (
+    ("mpl-1.1", " mpl", "mpl(?: version| ?v)? ?1 1"), ("mpl-2", " mpl", "mpl(?: version| ?v)? ?2(?: 0)?"),
+    ("epl-1", " epl", "epl(?: version| ?v)? ?1(?: 0)?"), ("epl-2", " epl", "epl(?: version| ?v)? ?2(?: 0)?"),
+    ("eupl-1.2", " eupl", "eupl(?: version| ?v)? ?1 2"), ("cddl-1", " cddl", "cddl(?: version| ?v)? ?1(?: [01])?"),
+    ("cpl-1", " cpl", "cpl(?: version| ?v)? ?1 0"), ("bsl-1", " bsl", "bsl(?: version| ?v)? ?1(?: 0)?"),
+    ("ofl-1.1", " ofl", "(?:sil )?ofl(?: version| ?v)? ?1 1"), ("afl-3", " afl", "afl(?: version| ?v)? ?3(?: 0)?"),
+    ("osl-3", " osl", "osl(?: version| ?v)? ?3(?: 0)?"), ("ms-pl", " ms pl ", "ms pl"),
+    ("apache-2", " asl", "asl(?: version| ?v)? ?2(?: 0)?"), ("apache-2", " alv2 ", "alv2"),
+    ("gpl-2+", "gpl", "(?:gnu )?gpl ?v? ?2(?: 0)? or (?:at your option )?(?:any )?(?:newer|higher|greater)"),
+    ("gpl-3+", "gpl", "(?:gnu )?gpl ?v? ?3(?: 0)? or (?:at your option )?(?:any )?(?:newer|higher|greater)"),
+    ("lgpl-2.1+", "lgpl", "(?:gnu )?lgpl ?v? ?2 1 or (?:any )?(?:later|newer)"),
+    ("lgpl-3+", "lgpl", "(?:gnu )?lgpl ?v? ?3(?: 0)? or (?:any )?(?:later|newer)"),
+    ("agpl-3+", "agpl", "(?:gnu )?agpl ?v? ?3(?: 0)? or (?:any )?(?:later|newer)"),
+)
+
+# One license of an "A or B" line: label, keywords, pattern; the other one stands beside it.
+LEFT = "(?<=(?:mit|apache|bsd|gpl|mpl|epl|isc|zlib|unlicense|cc0)[a-z0-9 ]{0,24} (?:or|and) )"
+RIGHT = "(?= (?:or|and)(?: the)? (?:mit|apache|bsd|gnu|l?gpl|agpl|mpl|epl|isc|zlib|unlicense|cc0))"
+EITHER = (
+    ("mit", " or mit | and mit ", f"{LEFT}mit"), ("mit", " mit or | mit and ", f"mit{RIGHT}"),
+    ("apache-2", " or apache | and apache ", f"{LEFT}apache(?: licen[cs]e)?(?: version| ?v)? ?2(?: 0)?"),
+    ("apache-2", " apache 2| apache license 2| apache v2", f"apache(?: licen[cs]e)?(?: version| ?v)? ?2(?: 0)?{RIGHT}"),
+    ("bsd-2-clause", " or bsd 2| and bsd 2", f"{LEFT}bsd 2 clause"), ("bsd-2-clause", " bsd 2 clause or | bsd 2 clause and ", f"bsd 2 clause{RIGHT}"),
+    ("bsd-3-clause", " or bsd 3| and bsd 3", f"{LEFT}bsd 3 clause"), ("bsd-3-clause", " bsd 3 clause or | bsd 3 clause and ", f"bsd 3 clause{RIGHT}"),
+    ("isc", " or isc | and isc ", f"{LEFT}isc"), ("isc", " isc or | isc and ", f"isc{RIGHT}"),
+    ("zlib", " or zlib | and zlib ", f"{LEFT}zlib"), ("zlib", " zlib or | zlib and ", f"zlib{RIGHT}"),
+    ("0bsd", " or 0bsd | and 0bsd ", f"{LEFT}0bsd"), ("0bsd", " 0bsd or | 0bsd and ", f"0bsd{RIGHT}"),
+)
+
 # Links: label, keyword, path as words.
 LINKS = (
     ("mit", "opensource org", "opensource org licenses? mit"), ("apache-2", "apache org", "apache org licenses license 2 0"),
@@ -122,6 +152,10 @@ def rules():
         # A name that already says license stands alone, a bare word does not.
         whole = "licen[cs]e" in name or key in ("lgpl", "agpl", "gpl", "cc0", "wtfpl", "unlicense") or label.startswith("cc-")
         out.append((5, label, key, f"{name}(?: licen[cs]ed?)?" if whole else f"{name} licen[cs]ed?", 0.7))
+    for label, key, name in SHORT:
+        out.append((2, label, key, f"{GRANT} {name}(?: licen[cs]e)?", 0.95))
+        out.append((5, label, key, f"{name}(?: licen[cs]ed?)?", 0.7))
+    out += [(4, label, key, name, 0.8) for label, key, name in EITHER]
     out += [(3, label, key, f"(?:https?)? ?(?:www )?{path}", 0.9) for label, key, path in LINKS]
     out += [(4, label, key, words, 0.85) for label, key, words in TEXTS]
     return out
@@ -146,23 +180,24 @@ def _matches(text, gated=True):
         for rank, label, key, pattern, sure in rules()
     ])
 
+    kind = "array<struct<start:int,back:int,rank:int,label:string,confidence:double,stop:int>>"
+
     def places(rule):
-        found = F.regexp_extract_all(text, rule["pattern"], F.lit(0))
-        gaps = F.split(text, rule["pattern"], -1)
-        kind = "array<struct<start:int,back:int,rank:int,label:string,confidence:double,stop:int>>"
-        begin = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
-
-        def step(done, pair):
-            start = (done["at"] + F.length(pair["gap"])).cast("int")
-            stop = (start + F.length(pair["hit"])).cast("int")
+        # One pass: marks around every match, which words never hold, then a split at the first mark.
+        parts = F.split(F.regexp_replace(text, rule["pattern"], F.lit("\u0001$0\u0002")), "\u0001", -1)
+        begin = F.struct(F.length(F.get(parts, F.lit(0))).alias("at"), F.array().cast(kind).alias("out"))
+
+        def step(done, part):
+            stop = (done["at"] + F.instr(part, "\u0002") - 1).cast("int")
             hit = F.struct(
-                start.alias("start"), (-stop).cast("int").alias("back"), rule["rank"].alias("rank"), rule["label"].alias("label"),
+                done["at"].alias("start"), (-stop).cast("int").alias("back"), rule["rank"].alias("rank"), rule["label"].alias("label"),
                 rule["confidence"].alias("confidence"), stop.alias("stop"),
             )
-            return F.struct(stop.alias("at"), F.concat(done["out"], F.array(hit).cast(kind)).alias("out"))
+            return F.struct(
+                (done["at"] + F.length(part) - 1).cast("int").alias("at"), F.concat(done["out"], F.array(hit).cast(kind)).alias("out")
+            )
 
-        pairs = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
-        return F.aggregate(pairs, begin, step, lambda done: done["out"])
+        return F.aggregate(F.slice(parts, 2, F.size(parts)), begin, step, lambda done: done["out"])
 
     able = F.filter(table, lambda rule: F.exists(rule["keywords"], lambda key: F.contains(text, key))) if gated else table
     return F.array_sort(F.flatten(F.transform(able, places)))
