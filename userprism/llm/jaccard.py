@@ -307,7 +307,10 @@ def representatives(docs, percent=80, width=5, **settings):
     stays, the smallest; different texts of the id that stays all stay, as none stands for another.
     """
     # Components hold their smallest id themselves.
-    found = link(docs, percent, width, **settings).filter("doc_id = component_id").select("doc_id").distinct()
-    named = docs.filter("doc_id IS NOT NULL").join(found, "doc_id", "left_semi")
-    named = named.withColumn("__text", F.sha2(F.coalesce("text", F.lit("")), 256)).dropDuplicates(["doc_id", "__text"])
-    return named.drop("__text").unionByName(docs.filter("doc_id IS NULL"))
+    found = link(docs, percent, width, **settings).filter("doc_id = component_id")
+    found = stage(found.groupBy("doc_id").agg((F.count(F.lit(1)) > 1).alias("many")))
+    once = docs.join(found.filter("NOT many").select("doc_id"), "doc_id", "left_semi")
+    # Rows that share an id are few as a rule; only they are compared by text.
+    shared = lookup_join(docs, found.filter("many").select("doc_id"), "doc_id", "left_semi", staged=True)
+    shared = shared.withColumn("__text", F.sha2(F.coalesce("text", F.lit("")), 256)).dropDuplicates(["doc_id", "__text"])
+    return once.unionByName(shared.drop("__text")).unionByName(docs.filter("doc_id IS NULL"))
