@@ -161,16 +161,6 @@ def auc_by_round(model, test, target="target", digits=6):
     return found.select((F.col("round") + 1).alias("round"), "auc")
 
 
-def accuracy_by_round(model, test, counts, target="target"):
-    """Accuracy of a boosted model's first k trees for each k of ``counts``, from one pass over ``test``."""
-    counts = [min(k, len(model.trees)) for k in counts]
-    right = [
-        f"avg(IF((aggregate(slice(steps, 1, {k}), 0D, (a, x) -> a + x) > 0) = ({quoted(target)} = 1), 1D, 0D))"
-        for k in counts
-    ]
-    return list(_margins(model, test, target).agg(*[F.expr(r).alias(f"k{i}") for i, r in enumerate(right)]).first())
-
-
 def first_rounds(model, rounds):
     """The boosted model of the first ``rounds`` trees: what a fit of so many rounds gives."""
     if rounds >= len(model.trees):
@@ -186,6 +176,16 @@ def first_rounds(model, rounds):
     return cut
 
 
+def accuracy_by_round(model, test, counts, target="target"):
+    """Accuracy of a boosted model's first k trees for each k of ``counts``, from one pass over ``test``."""
+    right = []
+    for i, k in enumerate(counts):
+        cut = first_rounds(model, k).copy().setRawPredictionCol("").setProbabilityCol("").setPredictionCol(f"__p{i}")
+        test = cut.transform(test)
+        right.append(F.avg((F.col(f"__p{i}") == col(target)).cast("double")).alias(f"k{i}"))
+    return list(test.agg(*right).first())
+
+
 def best_round(aucs, patience):
     """First round with the best AUC, looking no further than ``patience`` rounds without gain."""
     best, best_auc = 0, float("-inf")
