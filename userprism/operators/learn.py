@@ -126,7 +126,8 @@ def prepared(*parts):
 
 def fit_tree(train, target="target", max_depth=MAX_DEPTH, seed=42, **settings):
     tree = DecisionTreeClassifier(**{"labelCol": target, "maxDepth": max_depth, "seed": seed, **settings})
-    return tree.fit(train)
+    with prepared(train) as (held,):
+        return tree.fit(held)
 
 
 def fit_boosted(train, target="target", key="user_id", rounds=100, valid_fraction=0.1,
@@ -138,7 +139,8 @@ def fit_boosted(train, target="target", key="user_id", rounds=100, valid_fractio
     marked = train.withColumn("__valid", in_fraction(col(key), valid_fraction, seed, "valid"))
     given = {"labelCol": target, "maxIter": rounds, "seed": seed, "validationTol": tolerance}
     booster = GBTClassifier(**{**given, **settings, "validationIndicatorCol": "__valid"})
-    return booster.fit(marked)
+    with prepared(marked) as (held,):
+        return booster.fit(held)
 
 
 def _margins(model, df, target):
