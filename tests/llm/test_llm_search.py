@@ -134,8 +134,6 @@ def rule_texts():
     """(rule, text): texts of every rule; the openings of grants vary for one rule only."""
     for rule in licenses.rules():
         pattern = rule[3]
-        if "(?<=" in pattern or "(?= " in pattern:  # these look at what stands beside them
-            continue
         if rule[0] == 2 and rule[1] != "isc":
             pattern = pattern.replace(licenses.GRANT, "(?:released under|provided according to the terms of the)")
         for full in (False, True):
@@ -329,24 +327,14 @@ def plain_licenses(text):
     return sorted({m[3] for m in kept} | base), max([m[4] for m in kept] + [0.9] * bool(base) + [0.0])
 
 
-SHORT_FORMS = {
-    "GPLv2": "gpl-2", "GPLv3 or later": "gpl-3+", "LGPLv2.1": "lgpl-2.1", "AGPLv3": "agpl-3", "licensed under the MPL 2.0": "mpl-2",
-    "licensed under EPL-2.0": "epl-2", "BSL-1.0 license": "bsl-1", "CDDL 1.0 license": "cddl-1", "MIT or Apache-2.0": "apache-2,mit",
-    "SPDX-License-Identifier: (MIT OR Apache-2.0)": "apache-2,mit", "dual-licensed under ISC and MIT": "isc,mit", "LGPLv3 or any later": "lgpl-3+",
-    "Apache 2 and BSD-3-Clause": "apache-2,bsd-3-clause", "we commit or apache helicopters": "", "the epl 20 season": "", "zlib or mit": "mit,zlib",
-}
-
-
 def test_labels_match_a_plain_version(spark):
     rng = random.Random(8)
-    texts = [t for t in LICENSED if len(t or "") < 5000] + list(SHORT_FORMS) + sorted({text for _, text in rule_texts()})[::7]
+    texts = [t for t in LICENSED if len(t or "") < 5000] + sorted({text for _, text in rule_texts()})[::7]
     texts += [" ".join(rng.choice(texts) or "" for _ in range(rng.randint(2, 9))) for _ in range(150)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
     for r in licenses.scan(docs).collect():
         labels, score = plain_licenses(texts[r.doc_id])
         assert (r.labels, r.score) == (",".join(labels), pytest.approx(score)), texts[r.doc_id]
-        if texts[r.doc_id] in SHORT_FORMS:
-            assert r.labels == SHORT_FORMS[texts[r.doc_id]], texts[r.doc_id]
 
 
 def test_quality_scores_match_a_plain_version(spark):
