@@ -162,3 +162,12 @@ def test_affiliates_without_number_are_no_columns(spark):
     vectors, names = training.training_vectors(*logs, min_count=0, instruments=assembly.BRANDS)
     assert names.filter("name LIKE 'amount_of_clicks_per_aff_%'").count() == n
     assert vectors.count() == samples.positions(spark, sf_dir).select("user_id").distinct().count()
+
+
+def test_a_fit_has_no_more_partitions_than_cores(spark, parts, monkeypatch):
+    monkeypatch.setattr(learn, "FIT_BYTES", 64)
+    cores = spark.sparkContext.defaultParallelism
+    with learn.prepared(*parts) as held:
+        for part, given in zip(held, parts):
+            assert part.rdd.getNumPartitions() == cores and part.count() == given.count()
+    assert learn.fit_partitions(64 * (cores - 1), cores) == cores - 1 and learn.fit_partitions(0, cores) == 1
