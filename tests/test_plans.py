@@ -97,3 +97,27 @@ def test_samples_repeat_lines_of_fifty(spark):
     assert found.count() == spark.read.parquet(f"{SF_DIR}/lineitem.parquet").count() + found.filter(
         "count = 50"
     ).count() / 2
+
+
+def test_repeats_of_a_key_meet_in_one_shuffle_by_key(spark):
+    rows = [(i % 7, i % 3, None if i % 5 else "x") for i in range(300)] + [(None, 1, "x")] * 3
+    df = spark.createDataFrame(rows, "user_id long, n int, text string")
+    found = cleaning.drop_repeats(df, "user_id")
+    text = plan(found)
+    assert exchanges(text) == 1 and text.index("HashAggregate") < text.index("Exchange rangepartitioning(user_id")
+    # No task looks for copies among all its input rows: both steps come after the shuffle.
+    assert text.rindex("HashAggregate") < text.index("Exchange rangepartitioning")
+    assert found.columns == df.columns and sorted(map(str, found.collect())) == sorted(map(str, df.distinct().collect()))
+
+
+def test_pivots_spread_folds_of_their_own_keys_once_a_category(events, no_broadcast):
+    values = tuple(range(100))
+    rows = events.withColumn("v", F.pmod("event_id", F.lit(100)).cast("int"))
+    text = plan(ft.pivot_counts(rows, "user_id", ft.CountBy("v", values)))
+    assert exchanges(text) == 2
+    assert text.rindex("pivotfirst") < text.index("Exchange hashpartitioning(user_id")
+    found = ft.build_features(rows, ft.FeatureSpec(parts=(ft.CountBy("v", values), ft.FlagBy("v", values))))
+    assert plan(found).count("partial_pivotfirst") == len(re.findall("partial_pivotfirst", text))
+    some = found.filter("v_7_count > 0 OR v_8_count > 0")
+    assert some.filter("uses_v_7 <> CAST(v_7_count > 0 AS INT) OR uses_v_8 <> CAST(v_8_count > 0 AS INT)").isEmpty()
+    assert some.agg(F.sum("v_7_count")).first()[0] == rows.filter("v = 7 AND user_id IS NOT NULL").count()

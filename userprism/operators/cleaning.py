@@ -6,9 +6,17 @@ from pyspark.sql import types as T
 from .scale import col, fits_broadcast, lookup_join, stage
 
 
-def drop_repeats(df):
-    """Full-row de-duplication; missing values equal each other. Copies fold before the shuffle."""
-    return df.dropDuplicates()
+def drop_repeats(df, key=None):
+    """Full-row de-duplication; missing values equal each other. Copies fold before the shuffle.
+
+    With ``key`` rows are dealt by it instead, in ranges that also hold a hash of the row: rows of a
+    key come out side by side, and a key with very many rows takes several ranges. Aggregates by the
+    key then combine map-side, and no task holds all its input rows to look for copies.
+    """
+    if key is None:
+        return df.dropDuplicates()
+    spread = F.pmod(F.xxhash64(*[col(c) for c in df.columns]), F.lit(1024))
+    return df.withColumn("__spread", spread).repartitionByRange(col(key), "__spread").dropDuplicates().drop("__spread")
 
 
 def null_audit(df):

@@ -192,15 +192,19 @@ def _pivot_values(df, part):
 
 
 def pivot_counts(df, key, part):
-    """Counts of a category with many values: fold by (key, value), then spread to columns."""
+    """Counts of a category with many values: fold by (key, value), then spread to columns.
+
+    The fold is dealt by key before it is spread: a task then holds the wide rows of its own keys,
+    not one for nearly every key of the table.
+    """
     column, values = _pivot_values(df, part)
-    wide = (
+    fold = (
         df.filter(col(key).isNotNull())
         .select(col(key), column.alias("__value"))
-        .groupBy(col(key))
-        .pivot("__value", values)
-        .agg(F.count(F.lit(1)))
+        .groupBy(col(key), "__value")
+        .agg(F.count(F.lit(1)).alias("__n"))
     )
+    wide = fold.repartition(col(key)).groupBy(col(key)).pivot("__value", values).agg(F.sum("__n"))
     names = [feature_name(part.name, v, feature=part.column) for v in part.values]
     wide = wide.toDF(key, *names)
     filled = [f"coalesce({quoted(n)}, 0L) AS {quoted(n)}" for n in names]
@@ -288,15 +292,19 @@ def build_features(df, spec, heavy_rows=HEAVY_ROWS, max_values=None):
         parts.append(df.groupBy(key).agg(*[F.expr(f"{a} AS {n}") for n, a in chunk]))
     outputs += cells
 
+    pivoted = {}
     for part in spec.of((CountBy, FlagBy)):
         if len(part.values) > PIVOT_VALUES:
-            wide = pivot_counts(df, spec.key, part)
-            parts.append(wide)
-            for n in wide.columns[1:]:
+            # Counts and flags of the same values share a pivot.
+            same_values = part.column, tuple(part.values)
+            if same_values not in pivoted:
+                parts.append(pivot_counts(df, spec.key, part))
+                pivoted[same_values] = parts[-1].columns[1:]
+            for v, n in zip(part.values, pivoted[same_values]):
                 counted = quoted(n)
                 if isinstance(part, FlagBy):
                     counted = f"CAST({counted} > 0 AS INT)"
-                outputs.append((n, counted))
+                outputs.append((feature_name(part.name, v, feature=part.column), counted))
 
     distinct = {part.name: part.column for part in spec.of(DistinctCount)}
     if distinct:

@@ -29,7 +29,7 @@ CATEGORIES = (
 
 def clean_positions(df, instruments=INSTRUMENTS):
     """De-duplicated positions with gaps filled and rare instruments bucketed."""
-    df = cleaning.drop_present(cleaning.drop_repeats(df), SPARSE)
+    df = cleaning.drop_present(cleaning.drop_repeats(df, "user_id"), SPARSE)
     df = cleaning.fill_missing(df, {"instrument_strike": 0.0})
     df = cleaning.fill_mean(df, ["volatility"])
     return cleaning.bucket_others(df, "instrument_underlying", instruments)
@@ -97,7 +97,7 @@ def position_features(df, instruments=INSTRUMENTS, heavy_rows=HEAVY_ROWS):
 def exploration_features(df):
     """The wider exploration table: deals, balances, all flags and unbucketed instruments."""
     used = ["user_id", "user_balance_id", "instrument_active_id", *CATEGORIES]
-    rows = stage(cleaning.drop_repeats(df).select(*used))
+    rows = stage(cleaning.drop_repeats(df, "user_id").select(*used))
     parts = (
         DistinctCount("user_balance_id", "ids_balances_count"),
         *frequency_spec(),
