@@ -121,3 +121,10 @@ def test_pivots_spread_folds_of_their_own_keys_once_a_category(events, no_broadc
     some = found.filter("v_7_count > 0 OR v_8_count > 0")
     assert some.filter("uses_v_7 <> CAST(v_7_count > 0 AS INT) OR uses_v_8 <> CAST(v_8_count > 0 AS INT)").isEmpty()
     assert some.agg(F.sum("v_7_count")).first()[0] == rows.filter("v = 7 AND user_id IS NOT NULL").count()
+
+
+def test_outliers_and_their_table_read_positions_once(spark):
+    from userprism.plans.queries import QUERIES
+
+    text = plan(QUERIES["exclude_outliers"](spark, SF_DIR))
+    assert "lineitem.parquet" not in text and text.count("/stage-") >= 2

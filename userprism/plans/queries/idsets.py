@@ -1,7 +1,7 @@
 """Id sets and outlier users."""
 
-from ...operators import cleaning, features, idsets
-from .. import samples
+from ...operators import cleaning, features, idsets, scale
+from .. import positions, samples
 from .registry import query
 from .reports import PER_USER, per_user
 
@@ -86,8 +86,11 @@ def outlier_users(spark, sf_dir):
     PER_USER + "," + COUNTS,
 )
 def exclude_outliers(spark, sf_dir):
-    outliers, _ = idsets.split_outliers(clean_user_rows(spark, sf_dir))
-    table = per_user(spark, sf_dir).select("user_id", "deals", "target")
+    # De-duplicated once, for the outliers and for the table.
+    cleaned = positions.clean_positions(samples.positions(spark, sf_dir), samples.BRANDS)
+    rows = scale.stage(cleaned.select("user_id", "buy_amount", "sell_amount", "pnl_total", "leverage"))
+    outliers, _ = idsets.split_outliers(rows)
+    table = per_user(spark, sf_dir, rows).select("user_id", "deals", "target")
     return idsets.without_ids(table, outliers)
 
 

@@ -147,9 +147,10 @@ PER_USER = """ per_user AS (
 CORRELATED = ("buy_amount_mean", "sell_amount_max", "pnl_total_min", "leverage_1_count", "deals", "constant")
 
 
-def per_user(spark, sf_dir):
-    """A small labelled per-user table with one constant feature."""
-    rows = positions_plan.clean_positions(samples.positions(spark, sf_dir), BRANDS)
+def per_user(spark, sf_dir, rows=None):
+    """A small labelled per-user table with one constant feature; ``rows`` are cleaned positions at hand."""
+    if rows is None:
+        rows = positions_plan.clean_positions(samples.positions(spark, sf_dir), BRANDS)
     grouped = rows.groupBy("user_id").agg(
         F.avg("buy_amount").alias("buy_amount_mean"),
         F.max("sell_amount").alias("sell_amount_max"),
