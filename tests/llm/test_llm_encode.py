@@ -119,6 +119,27 @@ def test_word_tokens_equal_the_library():
         assert run.encode(text) == np.array(run.run.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+def test_new_words_of_letters_are_encoded_in_one_call(monkeypatch):
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcetéßÄZ") for _ in range(rng.randint(1, 12))) + rng.choice(["", ",", "...", "$"]) for _ in range(300)]
+    run, asked = packing.WordTokenizer(WORDS), []
+    library = run.run
+
+    class Counting:
+        def encode_batch_fast(self, texts, **options):
+            asked.extend(texts)
+            return library.encode_batch_fast(texts, **options)
+
+    monkeypatch.setattr(run, "run", Counting())
+    want = np.array(library.encode(" ".join(words), add_special_tokens=False).ids, "<u4").tobytes()
+    assert run.encode(" ".join(words)) == want
+    assert len(asked) <= 5  # the letters in one text, and the signs
+    # A vocabulary whose tokens do not tell where a word ends.
+    run._ends[:] = False
+    run._new, run._old = {}, {}
+    assert run.encode(" ".join(words)) == want
+
+
 @pytest.fixture(scope="module")
 def library():
     ranks = bytebpe.encoder(RANKS, P.PATTERN).vocabulary.ranks

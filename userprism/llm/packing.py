@@ -52,44 +52,70 @@ class WordTokenizer:
 
         self.run, self.keep = Tokenizer.from_file(path), keep
         self._new, self._old = {}, {}
+        suffix = getattr(self.run.model, "end_of_word_suffix", None)
+        vocabulary = self.run.get_vocab()
+        self._ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self._ends[[i for t, i in vocabulary.items() if suffix and t.endswith(suffix)]] = True
+
+    def _each(self, words):
+        """Token bytes of each word, encoded by itself."""
+        return [np.array(found.ids, "<u4").tobytes() for found in self.run.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _together(self, words):
+        """Token bytes of each of some words of letters alone, encoded as one text.
+
+        The text is cut after each token that ends a word. The last token of a word is one, so as many
+        of them as words means one a word; else each word is encoded by itself.
+        """
+        (found,) = self.run.encode_batch_fast([" ".join(words)], add_special_tokens=False)
+        ids = np.array(found.ids, "<u4")
+        cuts = np.flatnonzero(self._ends[ids]) + 1
+        if len(cuts) != len(words):
+            return self._each(words)
+        data, cuts = ids.tobytes(), (4 * cuts).tolist()
+        return [data[a:b] for a, b in zip([0, *cuts], cuts)]
 
     def _learn(self, words):
         """Take up the tokens of words that are not at hand; those of long words are returned."""
         if len(self._new) >= self.keep:
             self._new, self._old = {}, self._new
         new, old = self._new, self._old
-        missing, parts, long = set(), [], [w for w in words if len(w) > self.LONGEST]
-        long = dict(zip(long, self.run.encode_batch_fast(long, add_special_tokens=False))) if long else {}
+        letters, signs, parts, long = set(), set(), [], [w for w in words if len(w) > self.LONGEST]
+        long = dict(zip(long, self._each(long))) if long else {}
+        match = self.PLAIN.fullmatch
         for w in words:
             if w in long:
                 continue
             if w in old:
                 new[w] = old[w]
                 continue
-            plain = self.PLAIN.fullmatch(w)
+            plain = match(w)
             core, tail = (plain[1].lower(), plain[2]) if plain else (w, "")
-            parts.append((w, core, tail))
-            for part in (core, tail):
+            if core != w or tail:
+                parts.append((w, core, tail))
+            for part, missing in ((core, letters if plain else signs), (tail, signs)):
                 if part not in new:
                     if part in old:
                         new[part] = old[part]
                     else:
                         missing.add(part)
-        missing = list(missing)
-        for w, found in zip(missing, self.run.encode_batch_fast(missing, add_special_tokens=False)):
-            new[w] = np.array(found.ids, "<u4").tobytes()
+        for missing, encode in ((list(letters), self._together), (list(signs), self._each)):
+            if missing:
+                new.update(zip(missing, encode(missing)))
         for w, core, tail in parts:
             new[w] = new[core] + new[tail]
-        return {w: np.array(found.ids, "<u4").tobytes() for w, found in long.items()}
+        return long
 
     def encode(self, text):
         words = text.split(" ") if self.ODD.search(text) else text.split()
-        get = self._new.get
-        found = [get(w) for w in words]
+        found = list(map(self._new.get, words))
         if None in found:
-            long = self._learn({w for w, b in zip(words, found) if b is None})
-            new, old = self._new, self._old  # a filled-up cache may just have become the old one
-            found = [new[w] if w in new else old[w] if w in old else long[w] for w in words]
+            gaps = [i for i, data in enumerate(found) if data is None]
+            long = self._learn({words[i] for i in gaps})
+            new = self._new  # a filled-up cache may just have become the old one
+            for i in gaps:
+                w = words[i]
+                found[i] = new[w] if w in new else long[w]
         return b"".join(found)
 
 
