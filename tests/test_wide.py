@@ -1,6 +1,7 @@
 """Wide categories without value lists, layouts for later logs, daily state, sketches, shared fits."""
 
 import math
+import re
 
 import pytest
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
@@ -129,6 +130,24 @@ def test_state_of_days_equals_one_run(spark, rows, tmp_path, heavy_rows):
     assert all(same(got[u][c], want[u][c]) for u in want for c in want[u])
 
 
+def test_a_state_is_added_up_by_narrow_keys(spark):
+    rows = spark.createDataFrame(
+        [(1, "a", 2.0, None), (1, "a", 2.0, 5.0), (1, None, 1.0, 1.0), (2, "b", None, None), (None, "a", 1.0, 1.0)],
+        "user_id long, kind string, x double, y double",
+    )
+    spec = ft.FeatureSpec(rows="n", parts=(
+        ft.Stats(("x", "y"), ("mean", "max", "median")), ft.CountWhere("big", "x > 1"), ft.CountBy("kind"),
+        ft.SumBy("x", "kind"), ft.SumBy("x", "kind", name="again_{value}"), ft.SumBy("y", "kind"), ft.DistinctCount("kind", "kinds"),
+    ))
+    state = daily.day_state(rows, spec)
+    plan = state._jdf.queryExecution().optimizedPlan().toString()
+    groups = re.findall(r"Aggregate \[([^\]]*)\]", plan)
+    assert groups and all(keys.count(",") <= 2 for keys in groups)
+    got, want = by_key(daily.features_from_state(state, spec)), by_key(ft.build_features(rows, spec))
+    assert set(got) == set(want) == {1, 2}
+    assert all(same(got[u][c], want[u][c]) for u in want for c in want[u])
+
+
 def test_state_without_rows(spark, rows):
     state = daily.day_state(rows.limit(0), SPEC)
     assert state.count() == 0 and daily.features_from_state(state, SPEC).count() == 0
