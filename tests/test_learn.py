@@ -1,3 +1,5 @@
+import threading
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -171,3 +173,29 @@ def test_a_fit_has_no_more_partitions_than_cores(spark, parts, monkeypatch):
         for part, given in zip(held, parts):
             assert part.rdd.getNumPartitions() == cores and part.count() == given.count()
     assert learn.fit_partitions(64 * (cores - 1), cores) == cores - 1 and learn.fit_partitions(0, cores) == 1
+
+
+def test_elimination_fits_ahead_on_free_cores(table, monkeypatch):
+    """Fits of one partition run side by side, and the path is that of one fit after the other."""
+    train, test = split.hash_split(table, 0.3, seed=0)
+    plain, lock, now, most = selection.DecisionTreeClassifier.fit, threading.Lock(), [0], [0]
+
+    def fit(self, df):
+        with lock:
+            now[0] += 1
+            most[0] = max(most[0], now[0])
+        try:
+            return plain(self, df)
+        finally:
+            with lock:
+                now[0] -= 1
+
+    monkeypatch.setattr(selection.DecisionTreeClassifier, "fit", fit)
+    ahead = selection.elimination_path(train, FEATURES, 1, test=test, max_depth=6)
+    assert most[0] > 1
+    # Sets that a dropped feature makes useless change nothing, also when importances are no guide.
+    order = selection._drops
+    monkeypatch.setattr(selection, "_drops", lambda left, weight, *rest: (
+        (s, d) for i, (s, d) in enumerate(order(left, weight, *rest)) if i == 0))
+    assert selection.elimination_path(train, FEATURES, 1, test=test, max_depth=6) == ahead
+    assert [len(s.features) for s in ahead] == [5, 4, 3, 2, 1]
