@@ -199,3 +199,13 @@ def test_elimination_fits_ahead_on_free_cores(table, monkeypatch):
         (s, d) for i, (s, d) in enumerate(order(left, weight, *rest)) if i == 0))
     assert selection.elimination_path(train, FEATURES, 1, test=test, max_depth=6) == ahead
     assert [len(s.features) for s in ahead] == [5, 4, 3, 2, 1]
+
+
+def test_a_small_table_has_a_copy_on_each_executor(parts, monkeypatch):
+    assert learn.fit_copies(1, 12, 3) == 3 and learn.fit_copies(6, 12, 3) == 2 and learn.fit_copies(12, 12, 3) == 1
+    assert learn.fit_copies(1, 400, 100) == learn.COPIES and learn.fit_copies(16, 8, 2) == 1
+    with learn.prepared(parts[0]) as (held,):
+        assert held.storageLevel.replication == 1  # a local session is one executor
+    monkeypatch.setattr(learn, "executors", lambda spark: 3)
+    with learn.prepared(parts[0]) as (held,):
+        assert held.storageLevel.replication == 3 and held.count() == parts[0].count()
