@@ -209,3 +209,19 @@ def test_a_small_table_has_a_copy_on_each_executor(parts, monkeypatch):
     monkeypatch.setattr(learn, "executors", lambda spark: 3)
     with learn.prepared(parts[0]) as (held,):
         assert held.storageLevel.replication == 3 and held.count() == parts[0].count()
+
+
+def test_forests_that_keep_nodes_are_the_same(parts, monkeypatch):
+    space = {"n_estimators": [2, 5], "max_depth": [3, None], "bootstrap": [True, False]}
+    kept, plain = [], learn.RandomForestClassifier
+    monkeypatch.setattr(learn, "RandomForestClassifier", lambda **given: kept.append(given.get("cacheNodeIds")) or plain(**given))
+
+    def found():
+        kept.clear()
+        model, best, table = learn.random_search(parts[0], space, draws=8, folds=2)
+        return str(model.toDebugString).partition("\n")[2], best, [tuple(r) for r in table.orderBy("candidate").collect()]
+
+    with_nodes = found()
+    assert any(kept) and not learn.keeps_nodes(10**6, 2000, 12) and learn.keeps_nodes(8000, 2000, 1)
+    monkeypatch.setattr(learn, "NODE_BYTES", 0)
+    assert found() == with_nodes and not any(kept)
