@@ -128,3 +128,28 @@ def test_outliers_and_their_table_read_positions_once(spark):
 
     text = plan(QUERIES["exclude_outliers"](spark, SF_DIR))
     assert "lineitem.parquet" not in text and text.count("/stage-") >= 2
+
+
+def test_merged_table_of_one_pass_is_dealt_by_user_once_an_aggregate(spark, no_broadcast):
+    from userprism.plans.queries import QUERIES, models
+
+    table = models.passing_table(spark, SF_DIR)
+    text = plan(table)
+    # Three aggregates of positions, two of events, one of attribution and the labelled users.
+    assert len(re.findall(r"Exchange hashpartitioning\(user_id", text)) == exchanges(text) == 7
+    # Tasks fold their users to moments: no row per user and feature is made.
+    text = plan(QUERIES["target_corr_merged"](spark, SF_DIR))
+    assert "Generate" not in text and text.index("hashpartitioning(feature") < text.index("MapInArrow")
+
+
+def test_distinct_values_that_are_counted_anyway_need_no_fold(spark):
+    rows = [(u, None if i % 3 == 0 else i % (u + 2), "ab"[i % 2]) for u in range(5) for i in range(u * 3)] + [(9, None, None)]
+    df = spark.createDataFrame(rows, "user_id long, n long, t string")
+    spec = ft.FeatureSpec(parts=(ft.DistinctCount("n", "ns"), ft.CountBy("n"), ft.DistinctCount("t", "ts"), ft.FlagBy("t")))
+    found = ft.build_features(df, spec)
+    assert exchanges(plan(found)) == 1 and found.columns[-2:] == ["ns", "ts"]
+    want = {u: (len({n for v, n, _ in rows if v == u} - {None}), len({t for v, _, t in rows if v == u} - {None})) for u in (1, 2, 3, 4, 9)}
+    assert {r.user_id: (r.ns, r.ts) for r in found.collect()} == want
+    # A caller's list of values may leave some out.
+    some = ft.FeatureSpec(parts=(ft.DistinctCount("n", "ns"), ft.CountBy("n", (1,))))
+    assert {r.user_id: r.ns for r in ft.build_features(df, some).collect()} == {u: n for u, (n, _) in want.items()}

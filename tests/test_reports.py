@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -165,3 +166,23 @@ def test_split_is_stable_and_sized(spark):
     sizes = dict(bag(folds))
     assert set(sizes) == {0, 1, 2, 3} and min(sizes.values()) > 1100
     assert split.hash_split(users, 1.0)[0].isEmpty()
+
+
+def test_label_correlations_of_many_tasks(spark):
+    rng = np.random.default_rng(1)
+    x = rng.random((200, 3)) + [0, 1e6, 0]
+    rows = [(float(a), float(b), None if i % 7 == 0 else float(c), 0.1, None, float("nan") if i == 3 else 1.0 * i, i % 3 == 0)
+            for i, (a, b, c) in enumerate(x)]
+    df = spark.createDataFrame(rows, "a double, far double, gaps double, same double, none double, nan double, target boolean")
+    names = ["a", "far", "gaps", "same", "none", "nan"]
+    y = np.arange(200) % 3 == 0
+    there = np.arange(200) % 7 != 0
+    want = {"a": np.corrcoef(x[:, 0], y)[0, 1], "far": np.corrcoef(x[:, 1], y)[0, 1], "gaps": np.corrcoef(x[there, 2], y[there])[0, 1]}
+    for parts in (1, 7, 40):
+        df_parts = df.repartition(parts)
+        found = {r.feature: r.correlation for r in correlation.target_correlation(df_parts, names).collect()}
+        assert list(sorted(found)) == sorted(names) and found["same"] is None and found["none"] is None and np.isnan(found["nan"])
+        assert {n: found[n] for n in want} == pytest.approx(want)
+    # A batch's rows are folded in its task: a feature has a row a task.
+    assert "MapInArrow" in correlation.target_correlation(df, names)._jdf.queryExecution().executedPlan().toString()
+    assert correlation.target_correlation(df.limit(0), names).count() == 0

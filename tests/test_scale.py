@@ -126,3 +126,17 @@ def test_a_staging_scope_deletes_its_own_tables(spark):
     assert outside.count() == 3
     with pytest.raises(Exception, match="(?i)does not exist|not found|PATH_NOT_FOUND|FILE_NOT_EXIST"):
         spark.read.parquet(paths[0]).count()
+
+
+def test_quantiles_from_lists_equal_percentile(spark):
+    from userprism.operators import quantiles
+
+    nan, inf = float("nan"), float("inf")
+    values = [[1.0, 2.0, 4.0, 10.0], [None, None], [5.0], [3.0, 3.0, None, 1.5], [nan, 1.0, 2.0], [inf, inf, 0.0], [-inf, inf], [0.1] * 7]
+    rows = [(k, v, None if v is None or v != v or abs(v) == inf else int(v)) for k, some in enumerate(values) for v in some]
+    df = spark.createDataFrame(rows, "k long, `a.b` double, i int").repartition(3)
+    stats = list(quantiles.QUANTILES)
+    lists, maps = (
+        sorted(map(str, f(df, "k", ["a.b", "i"], stats).collect())) for f in (quantiles.by_lists, quantiles.by_percentile)
+    )
+    assert lists == maps and len(lists) == len(values)

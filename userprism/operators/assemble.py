@@ -12,16 +12,21 @@ def side_by_side(a, b, key="user_id"):
     return a.join(b, key, "full")
 
 
-def _checked_join(left, right, key):
+def _checked_join(left, right, key, key_present):
     shared = set(left.columns) & set(right.columns) - {key}
     if shared:
         raise ValueError(f"feature names in both tables: {sorted(shared)}")
-    return fill_zero(left.join(right, key, "left"))
+    joined = left.join(right, key, "left")
+    return fill_zero(joined, [c for c in joined.columns if c != key] if key_present else None)
 
 
-def merge_features(positions, events, attribution, key="user_id"):
-    """All positions users with their events and attribution features, zero where absent."""
-    return _checked_join(_checked_join(positions, events, key), attribution, key)
+def merge_features(positions, events, attribution, key="user_id", key_present=False):
+    """All positions users with their events and attribution features, zero where absent.
+
+    ``key_present`` states that no position lacks its key. It then stays the column that the tables
+    were grouped by, so that no join deals the wide rows anew.
+    """
+    return _checked_join(_checked_join(positions, events, key, key_present), attribution, key, key_present)
 
 
 def label_users(users, deposits, key="user_id", name="target"):

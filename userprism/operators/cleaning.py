@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .scale import col, fits_broadcast, lookup_join, stage
+from .scale import col, fits_broadcast, lookup_join, quoted, stage
 
 
 def drop_repeats(df, key=None):
@@ -49,9 +49,9 @@ def fill_missing(df, values):
     return df.na.fill(values)
 
 
-def fill_zero(df):
-    """0 for every missing number; texts stay."""
-    return df.na.fill(0)
+def fill_zero(df, columns=None):
+    """0 for every missing number, in the given columns or all; texts stay."""
+    return df.na.fill(0, None if columns is None else [quoted(c) for c in columns])
 
 
 def fill_mean(df, columns):

@@ -4,6 +4,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .scale import col, literal, quoted, stage
@@ -29,11 +30,81 @@ def _correlation(x, y):
 def target_correlation(df, features, target="target"):
     """One row per feature: Pearson correlation with the label, null for a constant feature.
 
-    Each feature uses the rows where it and the label are present. Features are rows of one
-    narrow aggregate that combines map-side, so a plan's size does not grow with their number.
+    Each feature uses the rows where it and the label are present. A task folds its rows to one row
+    of moments per feature, and only those are shuffled and added up.
     """
-    pairs = df.select(col(target).cast("double").alias("y"), F.inline(_numbers(df, features)))
-    return pairs.groupBy("feature").agg(_correlation(F.col("x"), F.col("y")).alias("correlation"))
+    numbers = df.select(*[col(c).cast("double").alias(f"c{i}") for i, c in enumerate([target, *features])])
+    moments = numbers.mapInArrow(lambda b: _moments(b, features), MOMENTS)
+    each = Window.partitionBy("feature")
+
+    def mean(c):
+        return F.try_divide(F.sum(F.col("n") * F.col(c)).over(each), F.sum("n").over(each))
+
+    apart = moments.withColumns({"dx": F.col("x") - mean("x"), "dy": F.col("y") - mean("y")})
+    products = {"xx": ("dx", "dx"), "yy": ("dy", "dy"), "xy": ("dx", "dy")}
+    sums = apart.groupBy("feature").agg(
+        *[F.sum(F.col(s) + F.col("n") * F.col(a) * F.col(b)).alias(s) for s, (a, b) in products.items()],
+        *[F.min(c).alias(c) for c in ("x_low", "y_low")], *[F.max(c).alias(c) for c in ("x_high", "y_high")],
+    )
+
+    def spread(c):
+        # The means of a constant's parts may be rounded apart.
+        constant = (F.col(f"{c}_low") == F.col(f"{c}_high")) & (F.abs(f"{c}_low") < float("inf"))
+        return F.when(constant, 0.0).otherwise(F.sqrt(c + c))
+
+    return sums.select("feature", F.try_divide("xy", spread("x") * spread("y")).alias("correlation"))
+
+
+MOMENTS = "feature string, n double, " + ", ".join(
+    f"{c} double" for c in ("x", "y", "xx", "yy", "xy", "x_low", "x_high", "y_low", "y_high")
+)
+
+
+def _moments(batches, features):
+    """One row per feature and task: count, means, centred sums of products and extremes.
+
+    Rows without the feature or the label are left out of both.
+    """
+    held = None
+    with np.errstate(all="ignore"):
+        for batch in batches:
+            if batch.num_rows:
+                y = batch.column(0)
+                found = np.array([_column_moments(batch.column(i + 1), y) for i in range(len(features))]).reshape(-1, 10).T
+                held = found if held is None else _added(held, found)
+    if held is not None:
+        arrays = [pa.array(features, pa.string()), *[pa.array(a) for a in held]]
+        yield pa.RecordBatch.from_arrays(arrays, names=["feature", "n", "x", "y", "xx", "yy", "xy", "x_low", "x_high", "y_low", "y_high"])
+
+
+def _column_moments(x, y):
+    present = None
+    if x.null_count or y.null_count:
+        present = x.is_valid().to_numpy(zero_copy_only=False) & y.is_valid().to_numpy(zero_copy_only=False)
+    x, y = (v.to_numpy(zero_copy_only=False) for v in (x, y))
+    if present is not None:
+        x, y = x[present], y[present]
+    if not len(x):
+        return 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, np.inf, -np.inf, np.inf, -np.inf
+    # Less the first value, so that a constant has exactly itself as its mean.
+    dx, dy = x - x[0], y - y[0]
+    mx, my = dx.mean(), dy.mean()
+    dx, dy = dx - mx, dy - my
+    return len(x), x[0] + mx, y[0] + my, dx @ dx, dy @ dy, dx @ dy, x.min(), x.max(), y.min(), y.max()
+
+
+def _added(a, b):
+    """The moments of two sets of rows as those of their union."""
+    (na, xa, ya), (nb, xb, yb) = a[:3], b[:3]
+    n = na + nb
+    part = nb / np.maximum(n, 1)
+    dx, dy = xb - xa, yb - ya
+    between = na * part
+    return np.array([
+        n, np.where(na > 0, xa + dx * part, xb), np.where(na > 0, ya + dy * part, yb),
+        a[3] + b[3] + dx * dx * between, a[4] + b[4] + dy * dy * between, a[5] + b[5] + dx * dy * between,
+        np.minimum(a[6], b[6]), np.maximum(a[7], b[7]), np.minimum(a[8], b[8]), np.maximum(a[9], b[9]),
+    ])
 
 
 def select_by_correlation(df, target="target", key="user_id", threshold=0.2):

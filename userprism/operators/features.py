@@ -225,13 +225,27 @@ def with_values(df, spec, limit=None):
     return FeatureSpec(spec.key, spec.rows, tuple(filled))
 
 
-def _cells(df, spec):
-    """(aggregates by hidden name, output columns in order) for statistics, counts, sums and flags.
+def _counted_values(df, spec, found):
+    """The values of the distinct counts' columns that are counted one by one anyway, all of them.
+
+    ``found`` names the columns whose values were found in the rows, so that none is left out.
+    """
+    exact = (T.StringType, T.IntegralType, T.BooleanType)
+    wanted = {p.column for p in spec.of(DistinctCount) if isinstance(df.schema[p.column].dataType, exact)}
+    return {
+        p.column: p.values for p in spec.of((CountBy, FlagBy))
+        if p.column in wanted & found and 0 < len(p.values) <= PIVOT_VALUES
+    }
+
+
+def _cells(df, spec, counted_values):
+    """(aggregates by hidden name, output columns in order, distinct counts) for statistics, counts, sums and flags.
 
     Expressions are SQL texts: a spec has hundreds of them, and a text reaches the JVM in one
-    call. Equal counts behind several outputs are computed once.
+    call. Equal counts behind several outputs are computed once. Distinct values of the columns in
+    ``counted_values`` are those that are counted at all.
     """
-    names, outputs = {}, []
+    names, outputs, distinct = {}, [], {}
 
     def cell(aggregate):
         return names.setdefault(aggregate, f"__c{len(names)}")
@@ -260,10 +274,13 @@ def _cells(df, spec):
                 if isinstance(part, FlagBy):
                     counted = f"CAST({counted} > 0 AS INT)"
                 outputs.append((feature_name(part.name, v, feature=part.column), counted))
+        elif isinstance(part, DistinctCount) and part.column in counted_values:
+            some = (f"CAST({count(same(df, part.column, v))} > 0 AS LONG)" for v in counted_values[part.column])
+            distinct[part.name] = " + ".join(some)
         if isinstance(part, CountBy) and part.null_name:
             counted = count(f"{quoted(part.column)} IS NULL")
             outputs.append((feature_name(part.name, part.null_name, feature=part.column), counted))
-    return {name: aggregate for aggregate, name in names.items()}, outputs
+    return {name: aggregate for aggregate, name in names.items()}, outputs, distinct
 
 
 def _chunks(items, size):
@@ -278,7 +295,9 @@ def build_features(df, spec, heavy_rows=HEAVY_ROWS, max_values=None):
     ``max_values`` states how many values of open categories may become columns.
     """
     df = df.filter(col(spec.key).isNotNull())
+    found = {p.column for p in spec.of((CountBy, FlagBy)) if p.values is None}
     spec = with_values(df, spec, max_values)
+    counted_values = _counted_values(df, spec, found)
     key = col(spec.key)
     parts, outputs = [], []
 
@@ -287,7 +306,7 @@ def build_features(df, spec, heavy_rows=HEAVY_ROWS, max_values=None):
         if ranks:
             parts.append(exact_quantiles(df, spec.key, list(stats.columns), ranks, heavy_rows))
 
-    aggregates, cells = _cells(df, spec)
+    aggregates, cells, counted_distinct = _cells(df, spec, counted_values)
     for chunk in _chunks(list(aggregates.items()), AGGREGATE_COLUMNS):
         parts.append(df.groupBy(key).agg(*[F.expr(f"{a} AS {n}") for n, a in chunk]))
     outputs += cells
@@ -306,12 +325,14 @@ def build_features(df, spec, heavy_rows=HEAVY_ROWS, max_values=None):
                     counted = f"CAST({counted} > 0 AS INT)"
                 outputs.append((feature_name(part.name, v, feature=part.column), counted))
 
-    distinct = {part.name: part.column for part in spec.of(DistinctCount)}
+    distinct = {part.name: part.column for part in spec.of(DistinctCount) if part.name not in counted_distinct}
     if distinct:
         # A key whose values are all missing has no fold.
         keys = df.select(key).distinct()
         parts.append(keys.join(distinct_per_key(df, spec.key, distinct), spec.key, "left"))
-        outputs += [(n, f"coalesce({quoted(n)}, 0L)") for n in distinct]
+
+    names = dict.fromkeys(part.name for part in spec.of(DistinctCount))
+    outputs += [(n, f"coalesce({counted_distinct.get(n, quoted(n))}, 0L)") for n in names]
 
     repeated = sorted(n for n, times in Counter(n for n, _ in outputs).items() if times > 1)
     if repeated:

@@ -9,8 +9,10 @@ from .scale import col, fits_broadcast, lookup_join, prefix_sums, quoted, stage
 # Quantile statistics by name.
 QUANTILES = {"q10": 0.10, "q25": 0.25, "median": 0.50, "q75": 0.75, "q90": 0.90, "q99": 0.99}
 
-# Keys with more rows than this leave ``percentile``, which holds one map per key in a task.
+# Keys with more rows than this leave ``percentile`` and lists, which hold a key's values in a task.
 HEAVY_ROWS = 100_000
+# From this many columns on, a sorted list a column is faster than ``percentile``, which counts values in a map.
+LISTED_COLUMNS = 4
 
 
 def quantile_columns(columns, stats):
@@ -20,21 +22,23 @@ def quantile_columns(columns, stats):
 def exact_quantiles(df, key, columns, stats, heavy_rows=HEAVY_ROWS):
     """One row per key with ``{column}_{stat}``; missing values are skipped.
 
-    Keys up to ``heavy_rows`` rows use the built-in ``percentile`` with one array per column.
-    Larger keys are ranked over range partitions. Both give the same interpolated value.
+    Keys up to ``heavy_rows`` rows use the built-in ``percentile`` with one array per column, or a
+    sorted list per column where there are several. Larger keys are ranked over range partitions.
+    All give the same interpolated value.
     """
     rows = df.select(col(key), *[col(c) for c in columns]).filter(col(key).isNotNull())
     counts = rows.groupBy(col(key)).agg(F.count(F.lit(1)).alias("n"))
     heavy = counts.filter(F.col("n") > heavy_rows).select(col(key))
+    per_key = by_lists if len(columns) >= LISTED_COLUMNS else by_percentile
     if heavy.isEmpty():
-        return by_percentile(rows, key, columns, stats)
+        return per_key(rows, key, columns, stats)
     heavy = stage(heavy)
     fits = fits_broadcast(heavy)
 
     def part(how):
         return lookup_join(rows, heavy, key, how, staged=True, fits=fits)
 
-    light = by_percentile(part("left_anti"), key, columns, stats)
+    light = per_key(part("left_anti"), key, columns, stats)
     ranked = by_rank(part("left_semi"), [key], columns, stats)
     # A heavy key whose numbers are all missing has no ranked cell but keeps its row.
     return light.unionByName(heavy.join(ranked, key, "left"))
@@ -54,6 +58,27 @@ def by_percentile(rows, key, columns, stats):
     )
 
 
+def by_lists(rows, key, columns, stats):
+    """``by_percentile`` from one sorted list of present values per column."""
+    lists = [f"sort_array(collect_list(CAST({quoted(c)} AS DOUBLE))) AS __l{i}" for i, c in enumerate(columns)]
+    grouped = rows.groupBy(col(key)).agg(*[F.expr(a) for a in lists])
+
+    def interpolated(values, p):
+        at = f"({p}D * (size({values}) - 1))"
+        low, high = f"get({values}, CAST(floor({at}) AS INT))", f"get({values}, CAST(ceil({at}) AS INT))"
+        between = f"(ceil({at}) - {at}) * {low} + ({at} - floor({at})) * {high}"
+        return f"CASE WHEN {low} = {high} THEN {low} ELSE {between} END"
+
+    return grouped.selectExpr(
+        quoted(key),
+        *[
+            f"{interpolated(f'__l{i}', QUANTILES[s])} AS {quoted(f'{c}_{s}')}"
+            for i, c in enumerate(columns)
+            for s in stats
+        ],
+    )
+
+
 def by_rank(rows, keys, columns, stats):
     """Quantiles through global ranks: no key is ever gathered in one task.
 

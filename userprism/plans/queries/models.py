@@ -4,6 +4,7 @@ Rounds, depths, folds, steps, sizes, thresholds and candidate lists are the oper
 """
 
 import uuid
+from functools import partial
 
 from pyspark.sql import functions as F
 
@@ -22,6 +23,11 @@ def model_table(spark, sf_dir):
     return scale.stage(full_table(spark, sf_dir, deposits=samples.likely_deposits))
 
 
+def passing_table(spark, sf_dir):
+    """The labelled merged table of all features for one pass over it: neither it nor its parts are written."""
+    return full_table(spark, sf_dir, partial(training.training_table, staged=False), samples.likely_deposits)
+
+
 def model_parts(spark, sf_dir):
     """The table of feature names, and sparse vectors of the train and the test users."""
     vectors, names = full_vectors(spark, sf_dir, samples.likely_deposits)
@@ -126,13 +132,13 @@ def optimal_features(spark, sf_dir):
 @query("target_corr_merged")
 def target_corr_merged(spark, sf_dir):
     """All features; ``target_corr`` and its siblings show six columns, as their SQL does."""
-    table = model_table(spark, sf_dir)
+    table = passing_table(spark, sf_dir)
     return correlation.target_correlation(table, learn.feature_columns(table))
 
 
 @query("corr_filter_merged")
 def corr_filter_merged(spark, sf_dir):
-    kept = correlation.select_by_correlation(model_table(spark, sf_dir))
+    kept = correlation.select_by_correlation(passing_table(spark, sf_dir))
     return spark.createDataFrame([(k,) for k in kept], "feature string")
 
 

@@ -27,17 +27,17 @@ def user_ids(spark, config):
 
 
 def training_table(deposits, positions, attribution, events, add_target=True, min_count=100,
-                   instruments=INSTRUMENTS):
+                   instruments=INSTRUMENTS, staged=True):
     """One row per positions user: all features, zero where absent, and the label.
 
     The feature tables are staged, so that a train and a test split, or a second reader, only
-    join them again.
+    join them again. A caller that reads the table once has no use for that and its wide writes.
     """
-    merged = merge_features(
-        stage(position_features(positions, instruments)),
-        stage(event_features(events)),
-        stage(attribution_features(attribution, min_count)),
+    tables = (
+        position_features(positions, instruments), event_features(events), attribution_features(attribution, min_count)
     )
+    # Rows without a user have left the feature tables.
+    merged = merge_features(*[stage(table) if staged else table for table in tables], key_present=True)
     return label_users(merged, deposits) if add_target else merged
 
 
