@@ -1,3 +1,4 @@
+import os
 import threading
 
 import pytest
@@ -225,3 +226,33 @@ def test_forests_that_keep_nodes_are_the_same(parts, monkeypatch):
     assert any(kept) and not learn.keeps_nodes(10**6, 2000, 12) and learn.keeps_nodes(8000, 2000, 1)
     monkeypatch.setattr(learn, "NODE_BYTES", 0)
     assert found() == with_nodes and not any(kept)
+
+
+def test_training_vectors_leave_no_steps_and_are_written_once(spark):
+    from userprism.operators import scale
+    from userprism.plans.queries import models
+
+    with scale.staging(spark) as paths:
+        names, train, test = models.model_parts(spark, "/root/testdata/sf0.001")
+        left = [p for p in paths if os.path.exists(p.removeprefix("file:"))]
+        assert len(left) == 2  # the vectors and their names
+        assert train.count() + test.count() == 150 and train.first().features.size == names.count()
+
+
+def test_a_single_fit_writes_nothing_anew(spark, parts, tmp_path, monkeypatch):
+    frame, kept = type(parts[0]), []
+    plain = frame.persist
+    monkeypatch.setattr(frame, "persist", lambda self, level: kept.append((self, level)) or plain(self, level))
+    learn.fit_tree(parts[0], max_depth=2)
+    learn.fit_boosted_on_auc(parts[0], rounds=1, maxDepth=1)
+    assert len(kept) == 3 and not any(level.useDisk for _, level in kept)
+    # Files of a table are put together; few of them are dealt anew.
+    path = str(tmp_path / "many")
+    parts[0].repartition(2 * learn.FILES).write.parquet(path)
+    many = spark.read.schema(parts[0].schema).parquet(path)
+    monkeypatch.setattr(learn, "fit_partitions", lambda size, cores: 2)
+    with learn.prepared(many, parts[0]) as (together, dealt):
+        plans = [df._jdf.queryExecution().analyzed().toString() for df in (kept[-2][0], kept[-1][0])]
+        assert together.rdd.getNumPartitions() == dealt.rdd.getNumPartitions() == 2
+        assert together.count() == dealt.count() == parts[0].count()
+    assert "Repartition 2, false" in plans[0] and "Repartition 2, true" in plans[1]

@@ -1,4 +1,6 @@
 import math
+import os
+import time
 
 import numpy as np
 import pytest
@@ -140,3 +142,36 @@ def test_quantiles_from_lists_equal_percentile(spark):
         sorted(map(str, f(df, "k", ["a.b", "i"], stats).collect())) for f in (quantiles.by_lists, quantiles.by_percentile)
     )
     assert lists == maps and len(lists) == len(values)
+
+
+def shuffle_files(spark):
+    files = spark._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()
+    return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle")}
+
+
+def test_a_staged_table_leaves_no_shuffle_files(spark, tmp_path):
+    from userprism.sources.store import TableStore
+
+    before, setting = shuffle_files(spark), spark.conf.get(scale.SHUFFLE_CLEANUP)
+    counts = spark.range(5000).groupBy((F.col("id") % 70).alias("k")).count().repartitionByRange(3, "k")
+    staged, stored = scale.stage(counts), TableStore(spark, str(tmp_path)).save("t", counts)
+    until = time.monotonic() + 10
+    while shuffle_files(spark) - before and time.monotonic() < until:
+        time.sleep(0.1)
+    assert not shuffle_files(spark) - before and spark.conf.get(scale.SHUFFLE_CLEANUP) == setting
+    # A frame that was staged can be read again, as its shuffles are made anew.
+    assert staged.count() == stored.count() == counts.count() == 70
+
+
+def test_steps_on_the_way_are_deleted(spark):
+    def build():
+        step = scale.stage(spark.range(6))
+        kept = scale.stage(step.groupBy("id").count())
+        return kept.filter("id > 0"), scale.stage(step.join(kept, "id"))
+
+    with scale.staging(spark) as paths:
+        some, joined = scale.without_steps(spark, build)
+        assert len(paths) == 3 and (some.count(), joined.count()) == (5, 6)
+        left = [os.path.exists(p.removeprefix("file:")) for p in paths]
+        assert left == [False, True, True]
+    assert not any(os.path.exists(p.removeprefix("file:")) for p in paths)
