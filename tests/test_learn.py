@@ -256,3 +256,18 @@ def test_a_single_fit_writes_nothing_anew(spark, parts, tmp_path, monkeypatch):
         assert together.rdd.getNumPartitions() == dealt.rdd.getNumPartitions() == 2
         assert together.count() == dealt.count() == parts[0].count()
     assert "Repartition 2, false" in plans[0] and "Repartition 2, true" in plans[1]
+
+
+def test_dense_tables_are_staged_whole_and_once(spark):
+    from userprism.operators import scale
+    from userprism.plans.queries import models, wide
+
+    def left(paths):
+        return sum(os.path.exists(p.removeprefix("file:")) for p in paths)
+
+    sf_dir = "/root/testdata/sf0.001"
+    with scale.staging(spark) as paths:
+        names, train, test = wide.planted_parts(spark, sf_dir)
+        assert left(paths) == 1 and train.count() + test.count() == 150 and train.first().features.size == len(names)
+        assert models.model_table(spark, sf_dir).count() == 150 and left(paths) == 2
+        assert models.save_load(spark, sf_dir).count() > 140 and left(paths) == 2  # its table is in the store alone

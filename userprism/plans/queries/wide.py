@@ -1,10 +1,12 @@
 """Queries on wide categories, typed categories, JSON pairs, and a label that a tree must find."""
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from ...functions import jsonprops
 from ...operators import explore, features, learn, scale, sparse, split
-from .. import samples
+from .. import samples, training
 from .assembly import full_table
 from .registry import near_all, query
 
@@ -108,7 +110,9 @@ DECISIVE, LIMIT = "leverage_1_count", 5
 
 def planted_parts(spark, sf_dir):
     """(names, train, test) of the full merged table under the planted label."""
-    table = scale.stage(full_table(spark, sf_dir).withColumn("target", (F.col(DECISIVE) > LIMIT).cast("int")))
+    planted = (F.col(DECISIVE) > LIMIT).cast("int")
+    build = partial(training.training_table, staged=False)  # the whole table is staged, not its parts too
+    table = scale.without_steps(spark, lambda: scale.stage(full_table(spark, sf_dir, build).withColumn("target", planted)))
     names = learn.feature_columns(table)
     return names, *[learn.to_vectors(part, names) for part in split.hash_split(table)]
 
