@@ -1,6 +1,7 @@
 """Wide categories without value lists, layouts for later logs, daily state, sketches, shared fits."""
 
 import math
+import os
 import re
 
 import pytest
@@ -148,6 +149,23 @@ def test_a_state_is_added_up_by_narrow_keys(spark):
     assert all(same(got[u][c], want[u][c]) for u in want for c in want[u])
 
 
+def test_a_state_is_read_from_its_days_alone(spark, rows, tmp_path):
+    from userprism.operators import scale
+
+    kept = daily.DailyState(TableStore(spark, str(tmp_path)), "state", SPEC)
+    with scale.staging(spark) as paths:
+        for day in range(4):
+            kept.add(day, rows.filter(F.col("day") == day))
+        assert paths and not any(os.path.exists(p.removeprefix("file:")) for p in paths)  # a day's rows are not kept
+        done = len(paths)
+        found = kept.features()
+        assert len(paths) == done + 1 and spark.read.parquet(paths[-1]).count() == 0  # the list of users with many entries
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        dealt = re.findall(r"Exchange (\w+)\(([^)]*)", plan)
+        assert {kind for kind, _ in dealt} <= {"hashpartitioning", "HashedRelationBroadcastMode"}
+        assert all(keys.count("#") == 1 for kind, keys in dealt if kind == "hashpartitioning")  # by the user, nothing else
+
+
 def test_state_without_rows(spark, rows):
     state = daily.day_state(rows.limit(0), SPEC)
     assert state.count() == 0 and daily.features_from_state(state, SPEC).count() == 0
