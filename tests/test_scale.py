@@ -175,3 +175,21 @@ def test_steps_on_the_way_are_deleted(spark):
         left = [os.path.exists(p.removeprefix("file:")) for p in paths]
         assert left == [False, True, True]
     assert not any(os.path.exists(p.removeprefix("file:")) for p in paths)
+
+
+def test_a_side_of_many_keys_is_not_broadcast(spark, tmp_path, monkeypatch):
+    from userprism.plans import samples
+
+    spark.range(1000).withColumnRenamed("id", "k").selectExpr("k", "k % 7 AS x").write.parquet(str(tmp_path / "t"))
+    side, rows = spark.read.parquet(str(tmp_path / "t")), spark.range(5000).withColumnRenamed("id", "k")
+
+    def joins(df):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        return [j for j in ("BroadcastHashJoin", "SortMergeJoin") if j in plan]
+
+    few, many = (rows.join(scale.join_side(side, "k", limit), "k") for limit in (1000 * 24, 1000 * 24 - 1))
+    assert joins(few) == ["BroadcastHashJoin"] and joins(many) == ["SortMergeJoin"] and bag(few) == bag(many)
+    # However few columns are left of it.
+    monkeypatch.setattr(scale, "fits_broadcast", lambda table, limit: False)
+    for log in (samples.positions, samples.attribution):
+        assert joins(log(spark, "/root/testdata/sf0.001").select("user_id")) == ["SortMergeJoin"]

@@ -159,6 +159,15 @@ def fits_broadcast(table, limit_bytes=BROADCAST_BYTES):
     return measured_bytes(table) <= limit_bytes
 
 
+def join_side(table, key, limit_bytes=BROADCAST_BYTES):
+    """A table to join by its ``key``, broadcast by Spark only if its keys measure no more than the limit.
+
+    Spark goes by the size of the files, less the columns that are not read: a small part of what many
+    rows take in the driver, and each join of a query may collect them anew.
+    """
+    return table if fits_broadcast(table.select(col(key)), limit_bytes) else table.hint("merge")
+
+
 def lookup_join(facts, lookup, key, how="left", limit_bytes=BROADCAST_BYTES, staged=False, fits=None):
     """Join many rows to a lookup that is unique on ``key``, without shuffling a hot key.
 

@@ -61,9 +61,13 @@ def score_new_users(spark, sf_dir):
 
 
 def labelled_cells(spark, sf_dir):
-    rows = samples.positions(spark, sf_dir)
-    labels = assemble.label_users(distinct_ids(rows), samples.deposits(spark, sf_dir))
-    return scale.stage(sparse.long_features(rows, SPEC)), scale.stage(labels)
+    def build():
+        # Each part of the spec reads the rows: the log is joined once.
+        rows = scale.stage(samples.positions(spark, sf_dir).select("user_id", "instrument_active_id", "buy_amount", "leverage"))
+        labels = assemble.label_users(distinct_ids(rows), samples.deposits(spark, sf_dir))
+        return scale.stage(sparse.long_features(rows, SPEC)), scale.stage(labels)
+
+    return scale.without_steps(spark, build)
 
 
 @query("wide_target_corr", "SELECT name, round(correlation + 1e-9, 6) AS correlation FROM correlations", CORRELATIONS_SQL)

@@ -5,6 +5,8 @@ The same definitions are written as SQL in ``LOGS_SQL``.
 
 from pyspark.sql import functions as F
 
+from ..operators import scale
+
 # Brands standing in for the instruments kept by name.
 BRANDS = ("Brand#1", "Brand#2", "Brand#3", "Brand#5", "Brand#8", "Brand#13", "Brand#21")
 
@@ -13,12 +15,16 @@ def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def joined_table(spark, sf_dir, name, key):
+    return scale.join_side(table(spark, sf_dir, name), key)
+
+
 def positions(spark, sf_dir):
     """One row per order line; lines of 50 units are repeated to give duplicates."""
     joined = (
         table(spark, sf_dir, "lineitem")
-        .join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+        .join(joined_table(spark, sf_dir, "orders", "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+        .join(joined_table(spark, sf_dir, "part", "p_partkey"), F.col("l_partkey") == F.col("p_partkey"))
     )
     price, tax = F.col("l_extendedprice"), F.col("l_tax")
     status = F.col("o_orderstatus")
@@ -75,7 +81,7 @@ def attribution(spark, sf_dir):
     status = F.col("o_orderstatus")
     return (
         table(spark, sf_dir, "orders")
-        .join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+        .join(joined_table(spark, sf_dir, "customer", "c_custkey"), F.col("o_custkey") == F.col("c_custkey"))
         .select(
             F.col("o_custkey").alias("user_id"),
             F.when(status == "F", 9).when(status == "O", 12).otherwise(15).cast("long").alias("client_platform_id"),
